@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, line_quality
+from . import jaccard_join, line_dedup, line_quality
 
-QUERIES = {"op8_line_dedup": line_dedup.op8, "op9_line_quality": line_quality.op9}
-ORACLE_SQL = {"op8_line_dedup": line_dedup.SQL, "op9_line_quality": line_quality.SQL}
+QUERIES = {"op2_jaccard_join": jaccard_join.op2, "op8_line_dedup": line_dedup.op8, "op9_line_quality": line_quality.op9}
+ORACLE_SQL = {"op2_jaccard_join": jaccard_join.SQL, "op8_line_dedup": line_dedup.SQL, "op9_line_quality": line_quality.SQL}
