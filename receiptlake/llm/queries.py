@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_quality
+from . import jaccard_join, line_dedup, line_quality, mixing
 
-QUERIES = {"op2_jaccard_join": jaccard_join.op2, "op8_line_dedup": line_dedup.op8, "op9_line_quality": line_quality.op9}
+QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2,
+    "op7_mixing": mixing.op7,
+    "op8_line_dedup": line_dedup.op8,
+    "op9_line_quality": line_quality.op9,
+}
 ORACLE_SQL = {"op2_jaccard_join": jaccard_join.SQL, "op8_line_dedup": line_dedup.SQL, "op9_line_quality": line_quality.SQL}
