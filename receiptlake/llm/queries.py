@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_quality, mixing
+from . import jaccard_join, line_dedup, line_quality, mixing, packing
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2,
+    "op4_packing": packing.op4,
     "op7_mixing": mixing.op7,
     "op8_line_dedup": line_dedup.op8,
     "op9_line_quality": line_quality.op9,
