@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_quality, mixing, packing
+from . import jaccard_join, line_dedup, line_quality, mixing, packing, quality_lm
 
 QUERIES = {
+    "op1_quality_lm": quality_lm.op1,
     "op2_jaccard_join": jaccard_join.op2,
     "op4_packing": packing.op4,
     "op7_mixing": mixing.op7,
