@@ -9,9 +9,10 @@ all further work is done once for a class.
    travel as packed arrays, one for each tile of the shingle space, and are
    sorted there. Inside a shared shingle classes are ordered by size, so that
    only bands of sizes within the threshold of each other are compared.
-2. Neighbours in that order are checked first: hashed bitmap signatures bound
-   the overlap from above by their bit counts, sorted arrays are intersected
-   exactly where the bound allows a link. Their links give first components.
+2. Neighbours in that order are checked first, the best one of each component:
+   hashed bitmap signatures bound the overlap from above by their bit counts,
+   sorted arrays are intersected exactly where the bound allows a link. Their
+   links give first components.
 3. Every other pair of a tile whose classes are not yet connected is checked in
    the same way; large tiles are dealt out in blocks against blocks. Pairs
    inside one component can't change it and need no check.
@@ -26,6 +27,7 @@ their size and have the smallest other id of their group, or null.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # five words; Jaccard of three quarters
 MOST_SHARED, SHARED_FROM, RUN_TOKENS = 200_000, 6, 2_000_000
 #: Runs of classes on one shingle up to this length are paired at once; longer ones first as neighbours, then in blocks.
 SHORT_RUN, BLOCK = 8, 512
+FOREST_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
 _FACTORS = K.mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
 
@@ -261,12 +264,42 @@ def _intersected(it):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    side = lambda x, c: sets.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in c])
-    small = pairs.join(side("a", ("n", "sig")), "a").join(side("b", ("n", "sig")), "b")
-    allowed = small.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long")
-    return allowed.join(side("a", ("set",)), "a").join(side("b", ("set",)), "b").select("a", "b", "set_a", "set_b").mapInArrow(_intersected, "a long, b long")
+def _described(what: str):
+    def run(it):
+        for part, sets in _sets(it, 0):
+            columns = {"cls": pa.array([class_of(a) for a in sets], pa.int64())}
+            if what == "sig":
+                columns |= {"n": pa.array([len(a) for a in sets], pa.int32()), "sig": pa.array([signature(a).tobytes() for a in sets], pa.binary())}
+            else:
+                columns |= {"set": pa.array([a.tobytes() for a in sets], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _of_classes(texts: DataFrame, reps: DataFrame, classes: DataFrame, what: str) -> DataFrame:
+    """Signatures or sets of some classes, from one document of each."""
+    ids = reps.join(classes.select("cls").distinct(), "cls").select(F.col("doc_id").alias("_rep")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = texts.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
+    return chosen.mapInArrow(_described(what), "cls long, n int, sig binary" if what == "sig" else "cls long, set binary").dropDuplicates(["cls"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link. Sets are made only of classes whose bit counts allow a link."""
+    side = lambda df, x, c: df.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in c])
+    small = pairs.join(side(sigs, "a", ("n", "sig")), "a").join(side(sigs, "b", ("n", "sig")), "b")
+    allowed = cut(small.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long"), "allowed")
+    sets = cut(_of_classes(texts, reps, allowed.select(F.explode(F.array("a", "b")).alias("cls")), "set"), "sets")
+    joined = allowed.join(side(sets, "a", ("set",)), "a").join(side(sets, "b", ("set",)), "b")
+    return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_intersected, "a long, b long"), "links")
+
+
+def _best_of_each(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, tiles, root_a, root_b) the one that most tiles hold, for each root."""
+    ends = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root"), F.struct("tiles", "a", "b").alias("pair"))
+    return ends.groupBy("root").agg(F.max("pair").alias("p")).select("p.a", "p.b").distinct()
 
 
 def _blocks(key, table):
@@ -317,39 +350,42 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     kind, prefixes = _prefixes(tokens, rank, n_tiles)
     lists = texts.select("text").mapInArrow(prefixes, "tile int, entries binary")
     tiles = cut(lists.groupBy("tile").applyInArrow(_tile(kind), "what int, a long, b long, token long, n long, left long"), "tiles")
-    neighbours = tiles.filter("what = 0").select("a", "b").distinct()
+    neighbours = cut(tiles.filter("what = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("tiles")), "neighbours")
     others = tiles.filter("what = 1").select("a", "b").distinct()
     long_runs = tiles.filter("what = 2").select(F.col("a").alias("cls"), "token", "n", "left")
 
-    # the sets and signatures of the classes that meet another one, from one document of each
+    # signatures of the classes that meet another one, from one document of each
     meet = tiles.select(F.explode(F.when(F.col("what") < 2, F.array("a", "b")).otherwise(F.array("a"))).alias("cls")).distinct()
     reps = cut(members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(meet, "cls"), "representatives")
-    ids = reps.select(F.col("doc_id").alias("_rep")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = texts.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
-
-    def described(it):
-        for _, sets in _sets(it, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(a) for a in sets], pa.int64()), pa.array([len(a) for a in sets], pa.int32()), pa.array([signature(a).tobytes() for a in sets], pa.binary()), pa.array([a.tobytes() for a in sets], pa.binary())], ["cls", "n", "sig", "set"])
-
-    sets = cut(chosen.mapInArrow(described, "cls long, n int, sig binary, set binary").dropDuplicates(["cls"]), "sets")
-
-    links = cut(_linked(neighbours, sets), "links")
-    roots = cut(components(links), "roots")
-    root = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = others.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    sigs = cut(_of_classes(texts, reps, reps, "sig"), "signatures")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs between different components, with their roots."""
+        root = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+        out = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return out.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b")).filter("root_a <> root_b")
+
+    # as in a spanning forest: the best neighbour of each component first, so that few of the many pairs of a group are checked
+    links, tested, roots = [], [], spark.createDataFrame([], "id long, root long")
+    for _ in range(FOREST_ROUNDS):
+        best = cut(_best_of_each(apart(neighbours, roots)), "best")
+        tested.append(best)
+        links.append(_linked(best, texts, reps, sigs))
+        roots = cut(components(functools.reduce(DataFrame.unionByName, links)), "roots")
+        neighbours = neighbours.join(best, ["a", "b"], "left_anti")
+    remaining = apart(neighbours.select("a", "b").unionByName(others), roots).select("a", "b")
 
     # long runs whose classes lie in several components
-    held = long_runs.join(root("cls"), "cls", "left").withColumn("root", F.coalesce("root_cls", "cls"))
+    held = long_runs.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    held = held.join(mixed, "token").join(sets.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    held = held.join(mixed, "token").join(sigs.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "left", "root", "sig", (F.col("own") > F.col("other")).cast("int").alias("side"))
     blocks = held.groupBy("token", "i", "j").applyInArrow(_blocks, "a long, b long")
-    rest = cut(_linked(apart.unionByName(blocks).distinct(), sets), "links")
+    remaining = remaining.unionByName(blocks).distinct().join(functools.reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
+    links.append(_linked(cut(remaining, "remaining"), texts, reps, sigs))
 
-    whole = components(links.unionByName(rest))
+    whole = components(functools.reduce(DataFrame.unionByName, links))
     named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group", F.coalesce("root", "cls"))
     lowest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     linked = named.select("doc_id", "n", "group").join(lowest, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
