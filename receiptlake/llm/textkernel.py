@@ -73,44 +73,56 @@ def pieces(column: pa.Array, most_bytes: int = 2 * SEGMENT) -> Iterator[tuple[in
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, first byte, byte after) of every word, in order."""
+#: Separators for letters only: every ASCII character but A-Z and a-z.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[128:] = False
+NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = False
+
+
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, text number, first byte, byte after) of every word, in order; then for each
+    length in prefixes the hash of the word's first bytes, 0 where the word is shorter."""
     n, at, found = len(data), 0, []
     first_bytes = np.unique(offs[:-1])
     while at < n:
         to = min(n, at + SEGMENT)
-        if to < n and not (_SPACE[data[to - 1]] or _SPACE[data[to]]):
-            space = np.flatnonzero(_SPACE[data[at:to]])
-            if len(space):
-                to = at + int(space[-1]) + 1
+        if to < n and not (space[data[to - 1]] or space[data[to]]):
+            gaps = np.flatnonzero(space[data[at:to]])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
             else:  # one word longer than a segment: go on to its end
-                while to < n and not _SPACE[data[to]]:
-                    more = np.flatnonzero(_SPACE[data[to : to + SEGMENT]])
+                while to < n and not space[data[to]]:
+                    more = np.flatnonzero(space[data[to : to + SEGMENT]])
                     to = to + int(more[0]) if len(more) else min(n, to + SEGMENT)
         part = data[at:to]
-        space = _SPACE[part]
+        gap = space[part]
         edge = np.zeros(len(part) + 1, bool)
         inside = first_bytes[np.searchsorted(first_bytes, at) : np.searchsorted(first_bytes, to)] - at
         edge[inside] = True
         edge[0] = edge[-1] = True
         before = np.empty(len(part), bool)
         before[0] = True
-        before[1:] = space[:-1]
-        starts = np.flatnonzero(~space & (before | edge[:-1]))
+        before[1:] = gap[:-1]
+        starts = np.flatnonzero(~gap & (before | edge[:-1]))
         after = np.empty(len(part), bool)
         after[-1] = True
-        after[:-1] = space[1:]
-        ends = np.flatnonzero(~space & (after | edge[1:])) + 1
+        after[:-1] = gap[1:]
+        ends = np.flatnonzero(~gap & (after | edge[1:])) + 1
         sums = np.zeros(len(part) + 1, U)
         np.cumsum(_KEYED[part] * _powers(_BASE, len(part)), out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(part))[starts])
-        found.append((h, starts + at, ends + at))
+        begun = []
+        for k in prefixes:
+            long = ends - starts >= k
+            to_k = np.where(long, starts + k, starts)
+            begun.append(np.where(long, mix((sums[to_k] - sums[starts]) * _powers(_INVERSE, len(part))[starts]), U(0)))
+        found.append((h, starts + at, ends + at, *begun))
         at = to
     if not found:
         z = np.zeros(0, np.int64)
-        return z.astype(U), z, z, z
-    h, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h, np.searchsorted(offs, starts, "right") - 1, starts, ends
+        return (z.astype(U), z, z, z, *[z.astype(U) for _ in prefixes])
+    h, starts, ends, *begun = (np.concatenate(x) for x in zip(*found, strict=True))
+    return (h, np.searchsorted(offs, starts, "right") - 1, starts, ends, *begun)
 
 
 def word_hash(word: str) -> int:
