@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, toxicity
+from . import ann, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, toxicity
 
 QUERIES = {
     "op1_quality_lm": quality_lm.op1,
     "op2_jaccard_join": jaccard_join.op2,
     "op3_toxicity": toxicity.op3,
     "op4_packing": packing.op4,
+    "op5_ann": ann.op5,
     "op6_lm_score": lm_score.op6,
     "op7_mixing": mixing.op7,
     "op8_line_dedup": line_dedup.op8,
