@@ -75,9 +75,14 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if links:
             current.linked += len(text.strip())
 
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            put(html.unescape(page[at : m.start()]))
+    while (start := page.find("<", at)) >= 0:
+        m = TOKEN.match(page, start)
+        if m is None:  # a sign, not a tag
+            put(html.unescape(page[at : start + 1]))
+            at = start + 1
+            continue
+        if start > at:
+            put(html.unescape(page[at:start]))
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
@@ -87,7 +92,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if not m.group(1):
             if name in RAW:
                 if not m.group(3).rstrip().endswith("/"):
-                    end = re.compile(rf"</{name}[\s/>][^>]*>?|\Z", re.I).search(page, at)
+                    end = re.compile(rf"</{name}(?:[\s/][^>]*)?>|\Z", re.I).search(page, at)
                     at = end.end()
                 continue
             if name == "br" or name == "wbr":
@@ -134,8 +139,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
-    if "<" not in page[at:]:
-        put(html.unescape(page[at:]))
+    put(html.unescape(page[at:]))
     texts = [(b, " ".join("".join(b.pieces).split())) for b in out]
     return [(b, t) for b, t in texts if t]
 
