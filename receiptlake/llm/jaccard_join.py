@@ -45,7 +45,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # five words; Jaccard of three quarters
 MOST_SHARED, SHARED_FROM, RUN_TOKENS = 200_000, 6, 2_000_000
 #: Runs of classes on one shingle up to this length are paired at once; longer ones first as neighbours, then in blocks.
 SHORT_RUN, BLOCK = 8, 512
-FOREST_ROUNDS = 2
+FOREST_ROUNDS = 5
 BROADCAST_IDS = 1_000_000
 _FACTORS = K.mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
 
@@ -92,8 +92,10 @@ def overlap_for(n, m):
 
 
 def signature(a: np.ndarray) -> np.ndarray:
-    """A hashed bitmap, wider in the band of larger sets: 256 to 16,384 bits, as bytes."""
-    width = min(16384, max(256, 1 << (2 * len(a) - 1).bit_length()))
+    """A hashed bitmap, wider in the band of larger sets: 512 to 65,536 bits, as bytes.
+
+    Four to eight bits for an element keep most differing elements visible as differing bits."""
+    width = min(65536, max(512, 1 << (8 * len(a) - 1).bit_length() - 1))
     bits = np.zeros(width, np.uint8)
     bits[(a >> U(17)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits, bitorder="little")
@@ -230,8 +232,15 @@ def _tile(kind: np.dtype):
                 pairs.append(np.stack([np.minimum(x["cls"], y["cls"])[ok], np.maximum(x["cls"], y["cls"])[ok]], 1))
             pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
             tables.append(out(what, pairs[:, 0], pairs[:, 1], None, None, None))
-        long = r[length > SHORT_RUN]
-        tables.append(out(2, long["cls"], None, long["token"].view(np.int64), long["n"], long["left"]))
+        # long runs with the same members are one, named by them; a class keeps its best place, which admits no less
+        long, run_no = r[length > SHORT_RUN], run_no[length > SHORT_RUN]
+        if len(long):
+            at = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
+            named = np.repeat(K.mix(np.add.reduceat(K.mix(long["cls"].view(U)), at)), np.diff(np.append(at, len(long))))
+            order = np.lexsort((long["cls"], named))
+            long, named = long[order], named[order]
+            at = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (long["cls"][1:] != long["cls"][:-1])]))
+            tables.append(out(2, long["cls"][at], None, named[at].view(np.int64), long["n"][at], np.maximum.reduceat(long["left"], at)))
         return pa.concat_tables(tables)
 
     return run
@@ -352,7 +361,7 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     tiles = cut(lists.groupBy("tile").applyInArrow(_tile(kind), "what int, a long, b long, token long, n long, left long"), "tiles")
     neighbours = cut(tiles.filter("what = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("tiles")), "neighbours")
     others = tiles.filter("what = 1").select("a", "b").distinct()
-    long_runs = tiles.filter("what = 2").select(F.col("a").alias("cls"), "token", "n", "left")
+    long_runs = tiles.filter("what = 2").groupBy(F.col("a").alias("cls"), "token", "n").agg(F.max("left").alias("left"))
 
     # signatures of the classes that meet another one, from one document of each
     meet = tiles.select(F.explode(F.when(F.col("what") < 2, F.array("a", "b")).otherwise(F.array("a"))).alias("cls")).distinct()
@@ -369,6 +378,8 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     links, tested, roots = [], [], spark.createDataFrame([], "id long, root long")
     for _ in range(FOREST_ROUNDS):
         best = cut(_best_of_each(apart(neighbours, roots)), "best")
+        if tested and not best.limit(1).count():
+            break
         tested.append(best)
         links.append(_linked(best, texts, reps, sigs))
         roots = cut(components(functools.reduce(DataFrame.unionByName, links)), "roots")
