@@ -96,7 +96,10 @@ def processing_stats(feedback: DataFrame) -> DataFrame:
     """(kind, key, n): all rows, by field, by cause, and non-zero adjustments."""
     f = feedback.withColumn("nonzero", (confidence_adjustment(F.col("causa_raiz")) != 0).cast("int"))
     sets = f.groupingSets([[F.col("campo_nombre")], [F.col("causa_raiz")], []], F.col("campo_nombre"), F.col("causa_raiz")).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.sum("nonzero").alias("a"))
-    rows = F.when(F.col("g") == 3, F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key"), F.col("n").alias("n")), F.struct(F.lit("adjustments"), F.lit(""), F.col("a")))).otherwise(F.array(F.struct(F.when(F.col("g") == 1, "field").otherwise("cause"), F.coalesce("campo_nombre", "causa_raiz", F.lit("")), F.col("n"))))
+    row = lambda kind, key, n: F.struct(kind.alias("kind"), key.alias("key"), n.cast("long").alias("n"))
+    all_ = F.array(row(F.lit("all"), F.lit(""), F.col("n")), row(F.lit("adjustments"), F.lit(""), F.col("a")))
+    one = F.array(row(F.when(F.col("g") == 1, F.lit("field")).otherwise(F.lit("cause")), F.coalesce("campo_nombre", "causa_raiz", F.lit("")), F.col("n")))
+    rows = F.when(F.col("g") == 3, all_).otherwise(one)
     return sets.select(F.explode(rows).alias("r")).select("r.kind", "r.key", "r.n")
 
 

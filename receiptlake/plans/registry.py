@@ -2,5 +2,565 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..fields import ADJUSTMENTS, CAUSE_ADVICE, EXPANSION, FIELD_ADVICE, FLEXIBLE, RESERVED_CORRECTIONS, TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
+from ..functions import text as X
+from ..operators import extract, learning, quality, reports, words, zones
+from ..sources import io
+from ..streaming import jobs
+from . import fixtures as fx
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rows(values) -> str:
+    one = lambda v: q(v) if isinstance(v, str) else "[" + ", ".join(map(one, v)) + "]" if isinstance(v, list) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in values)
+
+
+W, FB, PX = fx.WORDS_ORACLE, fx.FEEDBACK_ORACLE, fx.PIXELS_ORACLE
+OKTEXT = "trim(text) <> ''"
+FIXED_DEFS = rows([(f, k) for f, k, _ in ZONES_FIXED])
+FLEX_DEFS = rows([(f, k, p, dx, dy) for f, k, p, dx, dy, _ in FLEXIBLE])
+ADJ = "coalesce(CASE causa_raiz " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in ADJUSTMENTS.items()) + " END, 0.0)"
+
+
+def flexible_defs(spark):
+    return zones.field_table(spark, [(f, k, p, dx, dy) for f, k, p, dx, dy, _ in FLEXIBLE], "field string, keywords array<string>, regex string, max_dx int, max_dy int")
+
+
+def fixed_defs(spark):
+    return zones.field_table(spark, [(f, k) for f, k, _ in ZONES_FIXED], "field string, keywords array<string>")
+
+
+def both(spark, sf_dir):
+    w = fx.words(spark, sf_dir)
+    return w, fx.images(w)
+
+
+# words
+
+@query("S2_explode_ocr", W + ' SELECT image_id, word_idx, text, "left", top, conf FROM words')
+def _(spark, d):
+    return words.explode_ocr(words.collect_ocr(fx.words(spark, d))).select("image_id", "word_idx", "text", "left", "top", "conf")
+
+
+@query("P1_valid_words", W + f" SELECT image_id, word_idx, text FROM words WHERE conf::INT > 0 AND {OKTEXT}")
+def _(spark, d):
+    return words.valid_words(fx.words(spark, d)).select("image_id", "word_idx", "text")
+
+
+@query("P2_bounding_boxes", W + f' SELECT image_id, word_idx, "left" + width AS "right", top + height AS bottom FROM words WHERE conf::INT >= 85 AND {OKTEXT}')
+def _(spark, d):
+    return words.bounding_boxes(fx.words(spark, d), 85).select("image_id", "word_idx", "right", "bottom")
+
+
+@query("P3_word_list", W + f' SELECT image_id, word_idx, trim(text) AS text, "left", top, width, height, conf::INT AS conf, "left" + width // 2 AS x, top + height // 2 AS y FROM words WHERE conf::INT > 20 AND {OKTEXT}')
+def _(spark, d):
+    return words.word_list(fx.words(spark, d))
+
+
+@query("A1_ocr_summary", W + f", v AS (SELECT image_id, count(*) AS n, avg(conf::INT) AS c FROM words WHERE conf::INT > 0 AND {OKTEXT} GROUP BY image_id) SELECT image_id, coalesce(n, 0) AS words_detected, coalesce(c, 0) AS average_confidence, length(full_text) AS text_length FROM images LEFT JOIN v USING (image_id)")
+def _(spark, d):
+    return words.ocr_summary(*both(spark, d))
+
+
+@query("A2_region_text", W + f", k AS (SELECT *, conf > 60 AND {OKTEXT} AS ok FROM words) SELECT image_id, coalesce(string_agg(trim(text), ' ' ORDER BY word_idx) FILTER (WHERE ok), '') AS raw_text, coalesce(avg(conf) FILTER (WHERE ok), 0) AS confidence, count(*) FILTER (WHERE ok) AS word_count FROM k GROUP BY image_id")
+def _(spark, d):
+    return words.region_text(fx.words(spark, d), ["image_id"])
+
+
+@query("A3_average_confidence", W + " SELECT image_id, coalesce(avg(conf::INT) FILTER (WHERE conf::INT > 0), 0) AS average_confidence FROM words GROUP BY image_id")
+def _(spark, d):
+    return words.average_confidence(fx.words(spark, d))
+
+
+@query("O1_reading_order", W + " SELECT image_id, string_agg(text, ' ' ORDER BY top, \"left\", word_idx) AS ordered_text FROM words GROUP BY image_id")
+def _(spark, d):
+    return words.reading_order(fx.words(spark, d))
+
+
+@query("J9_unused_words", W + " SELECT image_id, word_idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM words u WHERE u.image_id = w.image_id AND u.word_idx = w.word_idx AND u.conf > 80)")
+def _(spark, d):
+    w = fx.words(spark, d)
+    return words.unused_words(w, w.filter("conf > 80")).select("image_id", "word_idx", "text")
+
+
+@query("A12_extraction_efficiency", W + f", p AS (SELECT image_id, count(*) AS words_processed FROM words WHERE conf::INT > 20 AND {OKTEXT} GROUP BY image_id), u AS (SELECT image_id, count(DISTINCT word_idx) AS words_used FROM words WHERE conf > 90 GROUP BY image_id) SELECT image_id, words_processed, coalesce(words_used, 0) AS words_used, coalesce(words_used, 0) / words_processed AS efficiency FROM p LEFT JOIN u USING (image_id)")
+def _(spark, d):
+    w = fx.words(spark, d)
+    used = w.filter("conf > 90").groupBy("image_id").agg(F.concat(F.collect_list("word_idx"), F.collect_list("word_idx")).alias("used"))
+    return words.extraction_efficiency(used, w)
+
+
+# scalars
+
+@query("X1_clean_text", W + " SELECT image_id, trim(regexp_replace(concat(' ', text, '  ', text, chr(9)), '\\s+', ' ', 'g')) AS clean FROM words WHERE word_idx < 3")
+def _(spark, d):
+    return fx.words(spark, d).filter("word_idx < 3").select("image_id", X.clean_text(F.concat(F.lit(" "), "text", F.lit("  "), "text", F.lit("\t"))).alias("clean"))
+
+
+AMOUNT = "(SELECT text, regexp_replace(text, '[^0-9.,]', '', 'g') AS t FROM (SELECT DISTINCT text FROM words))"
+
+
+@query("X2_normalize_amount", W + f", a AS (SELECT text, CASE WHEN contains(t, ',') AND contains(t, '.') THEN replace(t, ',', '') ELSE replace(t, ',', '.') END AS v FROM {AMOUNT}) SELECT text, CASE WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN v END AS amount FROM a")
+def _(spark, d):
+    return fx.words(spark, d).select("text").distinct().select("text", X.normalize_amount(F.col("text")).alias("amount"))
+
+
+def _validated() -> str:
+    t = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+    amount = f"regexp_replace({t}, '[^0-9.,]', '', 'g')"
+    amount = f"CASE WHEN contains({amount}, ',') AND contains({amount}, '.') THEN replace({amount}, ',', '') ELSE replace({amount}, ',', '.') END"
+    parts = []
+    for f, _, p in EXPANSION:
+        ok = f"regexp_matches({t}, {q('(?i)' + p)})"
+        v = {"monto": f"CASE WHEN {ok} AND try_cast({amount} AS DOUBLE) IS NOT NULL THEN {amount} END", "fecha": f"CASE WHEN {ok} AND regexp_matches({t}, '^\\d{{2}}[/-]\\d{{2}}[/-]\\d{{2,4}}') THEN {t} END", "operacion": f"CASE WHEN {ok} AND length(regexp_replace({t}, '[^0-9]', '', 'g')) >= 10 THEN {t} END"}.get(f, f"CASE WHEN {ok} THEN {t} END")
+        parts.append(f"SELECT {q(f)} AS field, count({v}) AS n, min({v}) AS low, max({v}) AS high FROM words")
+    return W + " " + " UNION ALL ".join(parts)
+
+
+@query("X3_validate_field", _validated())
+def _(spark, d):
+    fields = zones.field_table(spark, [(f,) for f, *_ in EXPANSION], "field string").drop("field_order")
+    w = fx.words(spark, d).crossJoin(zones.small(fields)).withColumn("v", X.validate_field(F.col("text"), F.col("field")))
+    return w.groupBy("field").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+@query("X4_fullmatch", W + f", f(field, keywords, pattern, dx, dy) AS (VALUES {FLEX_DEFS}) SELECT field, count(*) AS n, count(DISTINCT text) AS texts FROM words, f WHERE regexp_matches(text, pattern) GROUP BY field")
+def _(spark, d):
+    w = fx.words(spark, d).crossJoin(zones.small(flexible_defs(spark))).filter(X.fullmatch(F.col("text"), F.col("regex")))
+    return w.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"))
+
+
+@query("X5_confidence_adjustment", FB + f" SELECT causa_raiz, {ADJ} AS adjustment, count(*) AS n FROM feedback GROUP BY ALL")
+def _(spark, d):
+    return fx.feedback(spark, d).groupBy("causa_raiz", X.confidence_adjustment(F.col("causa_raiz")).alias("adjustment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("X6_parse_orientation", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 0.0 ELSE CAST(o_orderkey % 4 * 90 AS DOUBLE) END AS angle FROM orders")
+def _(spark, d):
+    o = fx.read(spark, d, "orders")
+    text = F.concat(F.lit("Page number: 0\nOrientation in degrees: 270\n"), F.when(F.col("o_orderkey") % 5 != 4, F.concat(F.lit("Rotate: "), (F.col("o_orderkey") % 4 * 90).cast("string"), F.lit("\n"))).otherwise(""), F.lit("Script: Latin\n"))
+    return o.select("o_orderkey", X.parse_orientation(text).alias("angle"))
+
+
+@query("X8_charset_filter", W + " SELECT image_id, word_idx, nullif(regexp_replace(text, '[^0-9.,\\-]', '', 'g'), '') AS monto, nullif(regexp_replace(text, '[^0-9/\\-:]', '', 'g'), '') AS fecha, nullif(regexp_replace(text, '[^0-9A-Za-z.,:\\-/() ]', '', 'g'), '') AS other FROM words")
+def _(spark, d):
+    f = lambda name: X.charset_filter(F.col("text"), F.lit(name))
+    return fx.words(spark, d).select("image_id", "word_idx", f("monto").alias("monto"), f("fecha").alias("fecha"), f("concepto").alias("other"))
+
+
+# joins, zones and templates
+
+BOXES = f", defs(field, keywords) AS (VALUES {FIXED_DEFS}), boxes AS (SELECT * FROM (SELECT w.*, field, list_filter(keywords, lambda k: contains(lower(text), lower(k)))[1] AS keyword FROM words w, defs WHERE conf::INT >= 20 AND {OKTEXT}) WHERE keyword IS NOT NULL)"
+
+
+@query("J1_keyword_boxes", W + BOXES + " SELECT image_id, field, word_idx, keyword FROM boxes")
+def _(spark, d):
+    return zones.keyword_boxes(fx.words(spark, d), fixed_defs(spark).select("field", "keywords")).select("image_id", "field", "word_idx", "keyword")
+
+
+@query("J2_anchor_points", W + f", f(ord, field, keywords) AS (VALUES {rows([(i, f, k) for i, (f, k, _) in enumerate(EXPANSION)])}), h AS (SELECT image_id, field, \"left\" + width // 2 AS x, top + height // 2 AS y, count(*) AS n FROM words, (SELECT field, unnest(keywords) AS kw FROM f) k WHERE contains(lower(text), lower(kw)) GROUP BY ALL) SELECT image_id, field, coalesce(x, 400) AS x, coalesce(y, 300) AS y, coalesce(n, 0) AS n_anchors FROM (SELECT image_id, field FROM images, f) LEFT JOIN h USING (image_id, field)")
+def _(spark, d):
+    w, im = both(spark, d)
+    defs = zones.field_table(spark, [(f, k) for f, k, _ in EXPANSION], "field string, keywords array<string>")
+    return zones.anchor_points(w, im, defs).select("image_id", "field", "x", "y", "n_anchors")
+
+
+NEAR = BOXES + f', near AS (SELECT b.*, v.word_idx AS v_idx, v.text AS v_text, v."left" AS v_left, v.top AS v_top, v.width AS v_width, v.height AS v_height, v.conf::INT AS v_conf, sqrt(pow(v."left" + v.width / 2 - b."left" - b.width / 2, 2) + pow(v.top + v.height / 2 - b.top - b.height / 2, 2)) AS distance FROM boxes b JOIN words v USING (image_id) WHERE v.conf::INT >= 20 AND trim(v.text) <> \'\' AND pow(v."left" + v.width / 2 - b."left" - b.width / 2, 2) + pow(v.top + v.height / 2 - b.top - b.height / 2, 2) <= 150 * 150)'
+
+
+@query("J3_nearby_values", W + NEAR + " SELECT image_id, field, word_idx, v_idx, round(distance, 6) AS distance FROM near")
+def _(spark, d):
+    w = fx.words(spark, d)
+    near = zones.nearby_values(w, zones.keyword_boxes(w, fixed_defs(spark).select("field", "keywords")), 150)
+    return near.select("image_id", "field", "word_idx", "v_idx", F.round("distance", 6).alias("distance"))
+
+
+ANCHORS = W + f", f(field, keywords, pattern, dx, dy) AS (VALUES {FLEX_DEFS}), pw AS (SELECT image_id, word_idx, trim(text) AS text, \"left\", top, width, height, conf::INT AS conf, top + height // 2 AS y FROM words WHERE conf::INT > 20 AND {OKTEXT}), anchor AS (SELECT * FROM (SELECT pw.*, field, pattern, dx, dy FROM pw, f WHERE conf > 70 AND len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) > 0) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY word_idx) = 1), zone AS (SELECT image_id, field, pattern, word_idx AS anchor_idx, \"left\" + width AS zl, top AS zt, dx AS zw, dy + height AS zh FROM anchor), inzone AS (SELECT pw.*, field, pattern, anchor_idx FROM pw JOIN zone USING (image_id) WHERE \"left\" < zl + zw AND \"left\" + width > zl AND top < zt + zh AND top + height > zt)"
+
+
+@query("W2_first_anchor", ANCHORS + " SELECT image_id, field, word_idx, text FROM anchor")
+def _(spark, d):
+    return zones.first_anchor(words.word_list(fx.words(spark, d)), flexible_defs(spark)).select("image_id", "field", "word_idx", "text")
+
+
+@query("J4_words_in_zone", ANCHORS + " SELECT image_id, field, word_idx FROM inzone")
+def _(spark, d):
+    w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
+    return zones.words_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs)).select("image_id", "field", "word_idx")
+
+
+@query("W3_best_value_in_zone", ANCHORS + " SELECT image_id, field, text AS value, conf AS confidence FROM inzone WHERE conf > 50 AND word_idx <> anchor_idx AND regexp_matches(text, pattern) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY conf DESC, word_idx) = 1")
+def _(spark, d):
+    w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
+    found = zones.best_value_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs))
+    return found.select("image_id", "field", F.col("text").alias("value"), F.col("conf").alias("confidence"))
+
+
+TWO_WORDS = r"^[A-Za-z]+: .+$"
+
+
+@query("W4_multiword_spans", ANCHORS + f", o AS (SELECT *, row_number() OVER w AS s, list({{'t': text, 'y': y, 'c': conf}}) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM inzone WHERE conf > 50 AND word_idx <> anchor_idx AND field IN ('banco_completo', 'concepto') WINDOW w AS (PARTITION BY image_id, field ORDER BY top, \"left\", word_idx)), n AS (SELECT *, run[1 : k] AS r FROM (SELECT *, unnest(range(1, len(run) + 1)) AS k FROM o)), v AS (SELECT image_id, field, s, k, array_to_string(list_transform(r, lambda x: x.t), ' ') AS value, list_avg(list_transform(r, lambda x: x.c)) AS confidence, list_max(list_transform(r, lambda x: x.y)) - list_min(list_transform(r, lambda x: x.y)) AS dy FROM n) SELECT image_id, field, value, confidence FROM v WHERE dy <= 30 AND regexp_matches(value, {q(TWO_WORDS)}) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY confidence DESC, s, k) = 1")
+def _(spark, d):
+    w = words.word_list(fx.words(spark, d))
+    defs = flexible_defs(spark).filter("field in ('banco_completo', 'concepto')")
+    zone = zones.after_anchor(zones.first_anchor(w, defs), defs).withColumn("regex", F.lit(TWO_WORDS))
+    return zones.multiword_spans(w, zone).select("image_id", "field", "value", "confidence")
+
+
+NEAREST = NEAR + ", nearest AS (SELECT * FROM near WHERE lower(v_text) <> lower(text) QUALIFY row_number() OVER (PARTITION BY image_id, field, word_idx ORDER BY distance, v_idx) = 1)"
+
+
+@query("W5_nearest_value", W + NEAREST + " SELECT image_id, field, word_idx, v_idx, v_text FROM nearest")
+def _(spark, d):
+    w = fx.words(spark, d)
+    near = zones.nearby_values(w, zones.keyword_boxes(w, fixed_defs(spark).select("field", "keywords")), 150)
+    return zones.nearest_value(near).select("image_id", "field", "word_idx", "v_idx", "v_text")
+
+
+V1 = f", f(field, keywords, place, zw) AS (VALUES {rows(ZONES_V1)}), k AS (SELECT field, place, zw, unnest(keywords) AS kw, generate_subscripts(keywords, 1) AS ki FROM f), h AS (SELECT image_id, field, ki, word_idx, conf::INT AS confidence, lower(text) AS keyword_found, greatest(0, CASE WHEN place = 'beside' THEN \"left\" + width + 10 ELSE \"left\" END) AS l, greatest(0, CASE WHEN place = 'beside' THEN top ELSE top + height + 5 END) AS t, zw, CASE WHEN place = 'beside' THEN height + 10 ELSE 30 END AS zh FROM words, k WHERE conf::INT > 20 AND {OKTEXT} AND contains(lower(text), kw)), v1 AS (SELECT image_id, field, l AS \"left\", t AS top, least(zw, 800 - l) AS width, least(zh, 600 - t) AS height, confidence, keyword_found FROM h WHERE least(zw, 800 - l) > 0 AND least(zh, 600 - t) > 0 QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY confidence DESC, ki, word_idx) = 1)"
+
+
+@query("C2_dynamic_zones_v1", W + V1 + " SELECT * FROM v1")
+def _(spark, d):
+    return zones.dynamic_zones_v1(*both(spark, d))
+
+
+@query("C3_dynamic_zones_fixed", W + NEAREST + f", z AS (SELECT image_id, field, greatest(0, v_left - 5) AS l, greatest(0, v_top - 5) AS t, v_width + 10 AS w0, v_height + 10 AS h0, v_conf, v_text, word_idx FROM nearest), best AS (SELECT image_id, field, l, t, least(800 - l, w0) AS w, least(600 - t, h0) AS h, v_conf, v_text FROM z WHERE least(800 - l, w0) > 0 AND least(600 - t, h0) > 0 QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY v_conf DESC, word_idx) = 1), fb(field, x, y, rw, rh) AS (VALUES {rows([(f, *[int(a * b) for a, b in zip((800, 600, 800, 600), r, strict=True)]) for f, _, r in ZONES_FIXED])}) SELECT image_id, field, coalesce(l, x) AS \"left\", coalesce(t, y) AS top, coalesce(w, least(rw, 800 - x)) AS width, coalesce(h, least(rh, 600 - y)) AS height, coalesce(v_conf, 30) AS confidence, v_text AS detected_text, CASE WHEN l IS NULL THEN 'fallback_relative_position' ELSE 'value_box_direct' END AS method FROM (SELECT image_id, fb.* FROM images, fb) LEFT JOIN best USING (image_id, field)")
+def _(spark, d):
+    return zones.dynamic_zones_fixed(*both(spark, d))
+
+
+TEXT = f", an(a) AS (VALUES {rows([(a,) for a in TEMPLATE_ANCHORS])}), ts AS (SELECT image_id, avg(CAST(contains(upper(full_text), upper(a)) OR EXISTS (SELECT 1 FROM words w WHERE w.image_id = i.image_id AND contains(upper(w.text), upper(a))) AS INT)) AS text_score FROM images i, an GROUP BY image_id)"
+STRUCTURE = f", rg AS (SELECT name, CAST(trunc(xl * 800) AS INT) AS rl, CAST(trunc(xt * 600) AS INT) AS rt, CAST(trunc(xw * 800) AS INT) AS rw, CAST(trunc(xh * 600) AS INT) AS rh FROM (SELECT name, xl::DOUBLE AS xl, xt::DOUBLE AS xt, xw::DOUBLE AS xw, xh::DOUBLE AS xh FROM (VALUES {rows(TEMPLATE_REGIONS)}) v(name, xl, xt, xw, xh))), ss AS (SELECT image_id, avg(hit) AS structural_score FROM (SELECT i.image_id, name, max(CASE WHEN greatest(0, least(\"left\" + width, rl + rw) - greatest(\"left\", rl)) * greatest(0, least(top + height, rt + rh) - greatest(top, rt)) > 0.3 * rw * rh THEN 1 ELSE 0 END) AS hit FROM images i CROSS JOIN rg JOIN words w ON w.image_id = i.image_id AND conf::INT > 30 GROUP BY ALL) GROUP BY image_id)"
+BEST = TEXT + STRUCTURE + f", best AS (SELECT image_id, {q(TEMPLATE)} AS template, text_score, structural_score, 0.6::DOUBLE * text_score + 0.4::DOUBLE * structural_score AS score FROM ts JOIN ss USING (image_id) WHERE 0.6::DOUBLE * text_score + 0.4::DOUBLE * structural_score >= 0.4::DOUBLE)"
+
+
+@query("J5_text_anchor_score", W + TEXT + f" SELECT image_id, {q(TEMPLATE)} AS template, text_score FROM ts")
+def _(spark, d):
+    return zones.text_anchor_score(*both(spark, d), zones.template_tables(spark)[0])
+
+
+@query("J6_structural_score", W + STRUCTURE + f" SELECT image_id, {q(TEMPLATE)} AS template, structural_score FROM ss")
+def _(spark, d):
+    return zones.structural_score(*both(spark, d), zones.template_tables(spark)[1])
+
+
+@query("W1_best_template", W + BEST + " SELECT * FROM best")
+def _(spark, d):
+    return zones.best_template(*both(spark, d), *zones.template_tables(spark))
+
+
+CAMPOS = [("monto", 150, 200, 200, 40), ("referencia", 150, 320, 250, 30)]
+
+
+def campos(spark):
+    return spark.createDataFrame([(TEMPLATE, *c) for c in CAMPOS], "template string, field string, left int, top int, width int, height int")
+
+
+@query("J10_template_fields", W + BEST + f', cp(field, "left", top, width, height) AS (VALUES {rows(CAMPOS)}) SELECT template, image_id, score, field, "left", top, width, height FROM best, cp')
+def _(spark, d):
+    return zones.template_fields(zones.best_template(*both(spark, d), *zones.template_tables(spark)), campos(spark))
+
+
+@query("C4_identify_template_or_zones", W + BEST + V1 + f', cp(field, "left", top, width, height) AS (VALUES {rows(CAMPOS)}) SELECT image_id, field, "left", top, width, height, template FROM best, cp UNION ALL SELECT image_id, field, "left", top, width, height, NULL FROM v1 WHERE image_id NOT IN (SELECT image_id FROM best)')
+def _(spark, d):
+    return zones.identify_template_or_zones(*both(spark, d), *zones.template_tables(spark), campos(spark))
+
+
+@query("O3_combine_phases", ANCHORS + ", a AS (SELECT image_id, field, text AS value FROM anchor WHERE conf > 90), g AS (SELECT image_id, field, text AS value FROM anchor) SELECT * FROM a UNION ALL SELECT * FROM g WHERE (image_id, field) NOT IN (SELECT (image_id, field) FROM a)")
+def _(spark, d):
+    a = zones.first_anchor(words.word_list(fx.words(spark, d)).select("image_id", "word_idx", "text", "left", "top", "width", "height", "conf"), flexible_defs(spark))
+    w = fx.words(spark, d).select("image_id", "word_idx", "conf")
+    a = a.join(w, ["image_id", "word_idx"])
+    pick = lambda df: df.select("image_id", "field", F.col("text").alias("value"))
+    return extract.combine_phases(pick(a.filter("conf > 90")), pick(a))
+
+
+# extraction jobs: their folds are told by brute force in tests
+
+@query("C1_extract_fields_flexible")
+def _(spark, d):
+    return extract.extract_fields_flexible(fx.words(spark, d))
+
+
+@query("C5_identify_flexible")
+def _(spark, d):
+    w, im = both(spark, d)
+    keywords = spark.createDataFrame([(TEMPLATE, k) for k in ("Monto", "Bs", "Total", "Referencia")], "template string, keyword string")
+    return extract.identify_flexible(w, im, keywords)
+
+
+@query("C6_extract_fields_expansion")
+def _(spark, d):
+    return extract.extract_fields_expansion(*both(spark, d))
+
+
+@query("J8_expansion_regions", W + f", f(ord, field, keywords) AS (VALUES {rows([(i, f, k) for i, (f, k, _) in enumerate(EXPANSION)])}), h AS (SELECT DISTINCT image_id, field, \"left\" + width // 2 AS x, top + height // 2 AS y FROM words, (SELECT field, unnest(keywords) AS kw FROM f) k WHERE contains(lower(text), lower(kw))), a AS (SELECT image_id, field, coalesce(x, 400) AS x, coalesce(y, 300) AS y FROM (SELECT image_id, field FROM images, f) LEFT JOIN h USING (image_id, field)) SELECT image_id, field, radius, count(*) AS words FROM a JOIN words w USING (image_id) JOIN (SELECT unnest([50, 75, 100, 125, 150]) AS radius) r ON greatest(abs(w.\"left\" + w.width // 2 - x), abs(w.top + w.height // 2 - y)) <= radius GROUP BY ALL")
+def _(spark, d):
+    w, im = both(spark, d)
+    defs = zones.field_table(spark, [(f, k) for f, k, _ in EXPANSION], "field string, keywords array<string>")
+    return extract.expansion_regions(w, zones.anchor_points(w, im, defs)).groupBy("image_id", "field", "radius").agg(F.count(F.lit(1)).alias("words"))
+
+
+FIELDS = "fields AS (SELECT image_id, CAST(word_idx AS VARCHAR) AS field, conf > 60 AS ok, CASE WHEN conf > 60 THEN text END AS value, conf FROM words WHERE word_idx < 8)"
+
+
+def derived_fields(spark, d):
+    """One field for each of the first words of a receipt."""
+    w = fx.words(spark, d).filter("word_idx < 8")
+    return w.select("image_id", F.col("word_idx").cast("string").alias("field"), (F.col("conf") > 60).alias("extraction_successful"), F.when(F.col("conf") > 60, F.col("text")).alias("value"), F.col("conf").alias("confidence"))
+
+
+@query("A4_extraction_statistics", W + f", {FIELDS} SELECT image_id, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok) / count(*) * 100 AS extraction_rate, coalesce(avg(conf) FILTER (WHERE ok), 0) AS overall_confidence, CASE WHEN count(*) FILTER (WHERE ok) > 0 THEN 'success' ELSE 'error' END AS status FROM fields GROUP BY image_id")
+def _(spark, d):
+    return extract.extraction_statistics(derived_fields(spark, d))
+
+
+@query("X7_exit_code", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS code FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey") % 4
+    status = F.when(k == 0, "success").when(k == 1, "low_confidence").when(k == 2, "validation_failed").otherwise("failed")
+    return fx.read(spark, d, "orders").select("o_orderkey", X.exit_code(status).alias("code"))
+
+
+# feedback and learning
+
+@query("A5_feedback_statistics", FB + " SELECT 'all' AS kind, NULL AS key, count(*) AS entries, max(timestamp_feedback) AS last_feedback FROM feedback UNION ALL SELECT 'field', campo_nombre, count(*), max(timestamp_feedback) FROM feedback GROUP BY campo_nombre UNION ALL SELECT 'cause', causa_raiz, count(*), max(timestamp_feedback) FROM feedback GROUP BY causa_raiz")
+def _(spark, d):
+    return learning.feedback_statistics(fx.feedback(spark, d))
+
+
+@query("O2_union_feedback", FB + " SELECT campo_nombre, count(*) * 2 AS n FROM feedback GROUP BY campo_nombre")
+def _(spark, d):
+    f = fx.feedback(spark, d)
+    return learning.union_feedback(f, f).groupBy("campo_nombre").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A6_build_model", FB + " SELECT campo_nombre AS field, raw_ocr_output AS raw, valor_corregido AS correction, causa_raiz AS cause, count(*) AS count FROM feedback GROUP BY ALL")
+def _(spark, d):
+    return learning.build_model(fx.feedback(spark, d))[1].drop("first_seen")
+
+
+FOLD = f", adj AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, {ADJ} AS a, row_number() OVER (PARTITION BY campo_nombre, raw_ocr_output ORDER BY timestamp_feedback DESC, seq DESC) AS rn, seq FROM feedback WHERE {ADJ} <> 0)"
+
+
+@query("W7_confidence_fold", FB + FOLD + " SELECT field, raw, count(*) AS n, round(sum(a * pow(0.5, rn)), 6) AS adjustment FROM adj WHERE rn <= 1100 GROUP BY ALL")
+def _(spark, d):
+    return learning.confidence_fold(fx.feedback(spark, d)).withColumn("adjustment", F.round("adjustment", 6))
+
+
+BESTC = f", bc AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, valor_corregido AS correction, count(*) AS count FROM feedback WHERE valor_corregido NOT IN ({', '.join(map(q, RESERVED_CORRECTIONS))}) GROUP BY campo_nombre, raw_ocr_output, valor_corregido QUALIFY row_number() OVER (PARTITION BY campo_nombre, raw_ocr_output ORDER BY count(*) DESC, min((timestamp_feedback, seq)), valor_corregido) = 1)"
+
+
+@query("W6_best_correction", FB + BESTC + " SELECT * FROM bc")
+def _(spark, d):
+    return learning.best_correction(learning.build_model(fx.feedback(spark, d))[1])
+
+
+ENTRIES = f", folded AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, sum(a * pow(0.5, rn)) AS adjustment FROM (SELECT *, {ADJ} AS a, row_number() OVER (PARTITION BY campo_nombre, raw_ocr_output ORDER BY timestamp_feedback DESC, seq DESC) AS rn FROM feedback WHERE {ADJ} <> 0) WHERE rn <= 1100 GROUP BY ALL), entries AS (SELECT t.*, coalesce(adjustment, 0) AS adjustment FROM (SELECT campo_nombre AS field, raw_ocr_output AS raw, count(*) AS total FROM feedback GROUP BY ALL) t LEFT JOIN folded USING (field, raw))"
+
+
+@query("J7_apply_corrections", FB + BESTC + ENTRIES + " SELECT f.field, value, confidence, coalesce(correction, value) AS corrected_value, round(CASE WHEN correction IS NULL THEN confidence ELSE least(100, greatest(0, confidence + adjustment)) END, 6) AS corrected_confidence FROM (SELECT campo_nombre AS field, raw_ocr_output || CASE WHEN seq % 2 = 0 THEN '' ELSE '?' END AS value, CAST(40 + seq % 60 AS DOUBLE) AS confidence FROM feedback) f LEFT JOIN bc ON bc.field = f.field AND bc.raw = value LEFT JOIN entries e ON e.field = f.field AND e.raw = value")
+def _(spark, d):
+    f = fx.feedback(spark, d)
+    fields = f.select(F.col("campo_nombre").alias("field"), F.concat("raw_ocr_output", F.when(F.col("seq") % 2 == 0, "").otherwise("?")).alias("value"), (40 + F.col("seq") % 60).cast("double").alias("confidence"))
+    return learning.apply_corrections(fields, learning.build_model(f)).withColumn("corrected_confidence", F.round("corrected_confidence", 6))
+
+
+@query("A7_merge_model", FB + ENTRIES + " SELECT field, raw, total, round(adjustment, 6) AS adjustment FROM entries")
+def _(spark, d):
+    f = fx.feedback(spark, d).withColumn("timestamp_feedback", F.col("timestamp_feedback"))
+    at = f.agg(F.expr("percentile_approx(timestamp_feedback, 0.5)").alias("at"))
+    f = f.crossJoin(F.broadcast(at))
+    old, new = f.filter("timestamp_feedback <= at").drop("at"), f.filter("timestamp_feedback > at").drop("at")
+    return learning.merge_model(learning.build_model(old), new)[0].select("field", "raw", "total", F.round("adjustment", 6).alias("adjustment"))
+
+
+@query("A8_processing_stats", FB + f" SELECT 'all' AS kind, '' AS key, count(*) AS n FROM feedback UNION ALL SELECT 'adjustments', '', count(*) FROM feedback WHERE {ADJ} <> 0 UNION ALL SELECT 'field', campo_nombre, count(*) FROM feedback GROUP BY campo_nombre UNION ALL SELECT 'cause', causa_raiz, count(*) FROM feedback GROUP BY causa_raiz")
+def _(spark, d):
+    return learning.processing_stats(fx.feedback(spark, d))
+
+
+TOP = f", top AS ((SELECT 'field' AS kind, campo_nombre AS key, count(*) AS n, {q(FIELD_ADVICE)} AS recommendation FROM feedback GROUP BY campo_nombre ORDER BY count(*) DESC, min((timestamp_feedback, seq)) LIMIT 1) UNION ALL (SELECT 'cause', causa_raiz, count(*), CASE causa_raiz {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in CAUSE_ADVICE.items())} END FROM feedback GROUP BY causa_raiz ORDER BY count(*) DESC, min((timestamp_feedback, seq)) LIMIT 1))"
+
+
+@query("W9_top_problem", FB + TOP + " SELECT * FROM top")
+def _(spark, d):
+    return learning.top_problem(fx.feedback(spark, d))
+
+
+@query("C7_retrain", FB + ENTRIES + BESTC + " SELECT field, raw, total, round(adjustment, 6) AS adjustment, correction FROM entries JOIN bc USING (field, raw)")
+def _(spark, d):
+    entries, corrections = learning.retrain(fx.feedback(spark, d))
+    return entries.join(learning.best_correction(corrections), ["field", "raw"]).select("field", "raw", "total", F.round("adjustment", 6).alias("adjustment"), "correction")
+
+
+@query("S9_retraining_report", FB + TOP + f" SELECT (SELECT count(*) FROM feedback) AS total_processed, (SELECT count(*) FROM feedback WHERE {ADJ} <> 0) AS adjustments, (SELECT key FROM top WHERE kind = 'field') AS top_field, (SELECT key FROM top WHERE kind = 'cause') AS top_cause, (SELECT count(DISTINCT campo_nombre) FROM feedback) AS model_size")
+def _(spark, d):
+    f = fx.feedback(spark, d)
+    return io.retraining_report(learning.processing_stats(f), learning.top_problem(f), learning.build_model(f)[0])
+
+
+@query("ST2_recent_corrections", FB + ", s AS (SELECT date_trunc('day', timestamp_feedback) - INTERVAL 1 DAY * k AS window_start FROM feedback, (SELECT unnest(range(0, 7)) AS k)) SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS corrections FROM s GROUP BY window_start")
+def _(spark, d):
+    return jobs.recent_corrections(fx.feedback(spark, d))
+
+
+@query("ST3_extract_rows")
+def _(spark, d):
+    return jobs.extract_rows(words.collect_ocr(fx.words(spark, d)))
+
+
+@query("S6_model_json", FB + " SELECT campo_nombre AS field, count(DISTINCT raw_ocr_output) AS raws FROM feedback GROUP BY campo_nombre")
+def _(spark, d):
+    j = io.model_json(learning.build_model(fx.feedback(spark, d)))
+    return j.select("field", F.size(F.json_object_keys("json")).cast("long").alias("raws"))
+
+
+# image quality
+
+@query("M1_brightness_stats", PX + ", e AS (SELECT image_id, unnest(gray) AS g FROM pixels) SELECT image_id, round(avg(g), 6) AS brightness, round(stddev_pop(g), 6) AS std, min(g) AS min, max(g) AS max, median(g) AS median FROM e GROUP BY image_id")
+def _(spark, d):
+    s = quality.brightness_stats(fx.pixels(spark, d))
+    return s.select("image_id", F.round("brightness", 6).alias("brightness"), F.round("std", 6).alias("std"), "min", "max", "median")
+
+
+DARK = ", e AS (SELECT image_id, unnest(gray) AS g FROM pixels), dk AS (SELECT image_id, avg(g) AS brightness, median(g) AS med, count(*) FILTER (WHERE g < 85) / count(*) * 100 AS dark_percentage FROM e GROUP BY image_id)"
+
+
+@query("M2_dark_background", PX + DARK + ", k AS (SELECT *, brightness < 85 AND med < 85 AND dark_percentage > 60 AS is_dark FROM dk) SELECT image_id, dark_percentage, is_dark, CASE WHEN is_dark THEN dark_percentage / 100 ELSE 0 END AS dark_confidence FROM k")
+def _(spark, d):
+    return quality.dark_background(quality.brightness_stats(fx.pixels(spark, d))).select("image_id", "dark_percentage", "is_dark", "dark_confidence")
+
+
+@query("M3_sharpness", PX + ", p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), n AS (SELECT c.image_id, u.g + d.g + l.g + r.g - 4 * c.g AS v FROM c JOIN c u ON u.image_id = c.image_id AND u.x = c.x AND u.y = abs(c.y - 1) JOIN c d ON d.image_id = c.image_id AND d.x = c.x AND d.y = 7 - abs(7 - c.y - 1) JOIN c l ON l.image_id = c.image_id AND l.y = c.y AND l.x = abs(c.x - 1) JOIN c r ON r.image_id = c.image_id AND r.y = c.y AND r.x = 7 - abs(7 - c.x - 1)) SELECT image_id, CAST(round(var_pop(v) * 4096) AS BIGINT) AS sharpness FROM n GROUP BY image_id")
+def _(spark, d):
+    return quality.texture(fx.pixels(spark, d)).select("image_id", F.round(F.col("sharpness") * 4096).cast("long").alias("sharpness"))
+
+
+@query("M4_noise_level", PX + ", p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), k AS (SELECT unnest([1, 4, 6, 4, 1]) AS w, unnest([-2, -1, 0, 1, 2]) AS o), b AS (SELECT c.image_id, c.y, c.x, any_value(c.g) AS g, (sum(kx.w * ky.w * s.g) + 128) // 256 AS blurred FROM c, k kx, k ky, c s WHERE s.image_id = c.image_id AND s.x = 7 - abs(7 - abs(c.x + kx.o)) AND s.y = 7 - abs(7 - abs(c.y + ky.o)) GROUP BY ALL) SELECT image_id, round(stddev_pop(abs(g - blurred)), 6) AS noise_level FROM b GROUP BY image_id")
+def _(spark, d):
+    return quality.texture(fx.pixels(spark, d)).select("image_id", F.round("noise_level", 6).alias("noise_level"))
+
+
+@query("M5_diagnose_images")
+def _(spark, d):
+    return quality.diagnose_images(fx.pixels(spark, d))
+
+
+DIAG = "WITH diag AS (SELECT o_orderkey AS k, CAST(o_orderkey * 7 % 700 AS DOUBLE) AS sharpness, CAST(o_orderkey * 3 % 256 AS DOUBLE) AS brightness, CAST(o_orderkey % 40 AS DOUBLE) / 2 AS noise_level, o_orderkey % 6 = 0 AS is_dark, CASE WHEN o_orderkey % 6 = 0 THEN CAST(61 + o_orderkey % 30 AS DOUBLE) / 100 ELSE 0.0 END AS dark_confidence, CAST(400 + o_orderkey * 37 % 900 AS INT) AS img_width, CAST(300 + o_orderkey * 53 % 800 AS INT) AS img_height FROM orders)"
+
+
+def diag(spark, d):
+    return spark.sql(DIAG.replace("FROM orders", "FROM {orders}") + " SELECT * FROM diag", orders=fx.read(spark, d, "orders"))
+
+
+TYPE = "CASE WHEN is_dark THEN 'Captura Fondo Oscuro' WHEN sharpness < 100 AND brightness > 180 THEN 'Captura WhatsApp' WHEN sharpness > 500 AND noise_level < 15 THEN 'Escaneo Digital' WHEN noise_level > 15 THEN 'Foto Física' ELSE 'Imagen Mixta' END"
+FACTOR = "greatest(1.0::DOUBLE, CASE WHEN sharpness <= 100 THEN 2.5 ELSE 1 END, CASE WHEN img_width < 800 OR img_height < 600 THEN greatest(800 / img_width, 600 / img_height) ELSE 1 END, CASE WHEN img_width < 1000 OR img_height < 800 THEN 2 ELSE 1 END)"
+
+
+@query("P4_image_categories", DIAG + " SELECT k, CASE WHEN sharpness > 500 THEN 'high' WHEN sharpness > 100 THEN 'medium' ELSE 'low' END AS sharpness_category, CASE WHEN brightness > 180 THEN 'high' WHEN brightness < 80 THEN 'low' ELSE 'normal' END AS brightness_category, CASE WHEN noise_level > 15 THEN 'high' ELSE 'normal' END AS noise_category FROM diag")
+def _(spark, d):
+    return quality.image_categories(diag(spark, d)).select("k", "sharpness_category", "brightness_category", "noise_category")
+
+
+@query("P5_image_type", DIAG + f" SELECT k, {TYPE} AS image_type FROM diag")
+def _(spark, d):
+    g = diag(spark, d)
+    return g.select("k", quality.image_type(g).alias("image_type"))
+
+
+@query("P6_inversion_decision", DIAG + " SELECT k, is_dark AND dark_confidence >= 0.7::DOUBLE AS apply FROM diag")
+def _(spark, d):
+    g = diag(spark, d)
+    return g.select("k", quality.inversion_decision(g).alias("apply"))
+
+
+@query("P7_upscale_plan", DIAG + f", f AS (SELECT k, img_width, img_height, CASE WHEN {FACTOR} > 1.1::DOUBLE THEN {FACTOR} ELSE 1 END AS factor FROM diag) SELECT k, factor, CAST(trunc(img_width * factor) AS INT) AS new_width, CAST(trunc(img_height * factor) AS INT) AS new_height FROM f")
+def _(spark, d):
+    g = diag(spark, d)
+    f = quality.upscale_factor(g)
+    return g.select("k", f.alias("factor"), (g["img_width"] * f).cast("int").alias("new_width"), (g["img_height"] * f).cast("int").alias("new_height"))
+
+
+@query("P8_denoise_plan", DIAG + " SELECT k, CASE WHEN noise_level > 15 THEN 'colored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'colored_moderate' ELSE 'gaussianBlur_light' END || ',bilateralFilter' AS steps FROM diag")
+def _(spark, d):
+    g = diag(spark, d)
+    return g.select("k", F.array_join(quality.denoise_plan(g), ",").alias("steps"))
+
+
+@query("P9_preprocessing_plan", DIAG + f", f AS (SELECT *, is_dark AND dark_confidence >= 0.7::DOUBLE AS inv, {TYPE} AS kind FROM diag) SELECT k, concat_ws(',', CASE WHEN inv THEN 'smart_color_inversion_bitwise_not_with_clahe' END, CASE WHEN noise_level > 15 THEN 'colored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'colored_moderate' ELSE 'gaussianBlur_light' END, 'bilateralFilter', CASE kind WHEN 'Captura Fondo Oscuro' THEN 'dark_background_optimization' WHEN 'Captura WhatsApp' THEN 'whatsapp_optimization' WHEN 'Foto Física' THEN 'physical_photo_enhancement' WHEN 'Escaneo Digital' THEN 'scan_sharpening' END, CASE WHEN NOT inv AND brightness < 80 THEN 'brightness_boost_high' WHEN NOT inv AND brightness > 180 THEN 'brightness_reduction_high' END) AS steps FROM f")
+def _(spark, d):
+    g = diag(spark, d)
+    steps = F.filter(quality.preprocessing_plan(g), lambda s: ~s.startswith("upscale_"))
+    return g.select("k", F.array_join(steps, ",").alias("steps"))
+
+
+# reports, manifests and results
+
+@query("A9_persistent_issues", DIAG + ", fb AS (SELECT count(*) AS n, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS recent FROM events), r AS (SELECT k, k % 100 AS overall, k % 7 < 3 AS low, k % 5 <> 0 AS passed, sharpness, noise_level FROM diag), i AS (SELECT k, list_filter([CASE WHEN overall < 50 AND low THEN 'multiple_low_confidence_fields' END, CASE WHEN sharpness < 100 AND noise_level > 15 THEN 'preprocessing_insufficient' END, CASE WHEN NOT passed THEN 'validation_failures' END, CASE WHEN n > 10 AND recent > 5 THEN 'frequent_recent_corrections' END], lambda x: x IS NOT NULL) AS issues FROM r, fb) SELECT k AS image_id, array_to_string(issues, ',') AS issues, len(issues) >= 2 AS suggest_update FROM i")
+def _(spark, d):
+    g = diag(spark, d).withColumnRenamed("k", "image_id")
+    low = F.when(F.col("image_id") % 7 < 3, F.array(*[F.lit(x) for x in (10.0, 20.0, 39.0)])).otherwise(F.array(F.lit(10.0), F.lit(40.0)))
+    results = g.select("image_id", (F.col("image_id") % 100).cast("double").alias("overall_confidence"), low.alias("field_confidences"), (F.col("image_id") % 5 != 0).alias("cross_validation_passed"))
+    f = fx.feedback(spark, d)
+    now = F.lit(f.agg(F.max("timestamp_feedback")).first()[0])
+    return reports.persistent_issues(results, g, f, now).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("A10_summary", W + f", {FIELDS} SELECT image_id, count(*) AS n_fields, string_agg(field || '=' || value, ';' ORDER BY field) FILTER (WHERE ok) AS extracted FROM fields GROUP BY image_id")
+def _(spark, d):
+    f = derived_fields(spark, d)
+    s = reports.summary(reports.documents(f, extract.extraction_statistics(f)))
+    entries = F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"])))
+    text = F.array_join(entries, ";")
+    return s.select("image_id", F.col("n_fields").cast("long").alias("n_fields"), F.when(text != "", text).alias("extracted"))
+
+
+def results(spark, d):
+    e = fx.read(spark, d, "events")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".png", ".JPG", ".txt", ".bmp", ".jpeg", ".tiff", ".gif")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select(F.concat(F.lit("/in/img-"), F.col("user_id").cast("string"), suffix).alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"), F.col("event_id"))
+
+
+RESULTS = "WITH r AS (SELECT '/in/img-' || user_id || ['.png', '.JPG', '.txt', '.bmp', '.jpeg', '.tiff', '.gif'][event_id % 7 + 1] AS path, 'img-' || user_id AS stem, CAST(ts AS TIMESTAMP) AS t, event_id FROM events), s AS (SELECT * FROM r WHERE event_id % 7 NOT IN (2, 6))"
+
+
+@query("S1_image_manifest", RESULTS + " SELECT event_id, path, stem FROM s")
+def _(spark, d):
+    return io.supported(results(spark, d)).select("event_id", "path", "stem")
+
+
+@query("W10_latest_result", RESULTS + " SELECT stem, path, t AS \"modificationTime\" FROM s QUALIFY row_number() OVER (PARTITION BY stem ORDER BY t DESC, path DESC) = 1")
+def _(spark, d):
+    return reports.latest_result(io.supported(results(spark, d)).drop("event_id")).select("stem", "path", "modificationTime")
+
+
+@query("A11_processed_recently", RESULTS + " SELECT count(*) AS processed FROM r WHERE t > (SELECT max(t) FROM r) - INTERVAL 1 DAY")
+def _(spark, d):
+    r = results(spark, d)
+    return reports.processed_recently(r, F.lit(r.agg(F.max("modificationTime")).first()[0]))
+
+
+@query("S7_named_results", RESULTS + " SELECT event_id, strftime(t, '%Y%m%d-%H%M%S') || '-' || stem AS record, CAST(t AS DATE) AS processing_date FROM s")
+def _(spark, d):
+    return io.named_results(io.supported(results(spark, d)).withColumnRenamed("modificationTime", "processed_at")).select("event_id", "record", "processing_date")

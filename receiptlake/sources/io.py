@@ -80,10 +80,10 @@ def model_json(model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """The nested JSON form: one row (field, json) for each field, keyed by raw text."""
     entries, corrections = model
     causes = corrections.groupBy("field", "raw", "correction").agg(F.sum("count").alias("count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("cause", "count")))).alias("causas"))
-    per_raw = causes.groupBy("field", "raw").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("correction", F.struct("count", F.to_json("causas").alias("causas")))))).alias("corrections"))
+    per_raw = causes.groupBy("field", "raw").agg(F.map_from_entries(F.collect_list(F.struct("correction", F.struct("count", "causas")))).alias("corrections"))
     out = entries.join(per_raw, ["field", "raw"], "left")
     value = F.struct("corrections", F.col("total").alias("total_correcciones"), "last_updated", F.col("adjustment").alias("confidence_adjustment"))
-    return out.groupBy("field").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("raw", value))))).alias("json"))
+    return out.groupBy("field").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("raw", value)))).alias("json"))
 
 
 def named_results(results: DataFrame) -> DataFrame:
