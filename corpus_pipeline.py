@@ -39,9 +39,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    copies = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
     out = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
