@@ -43,7 +43,7 @@ def load_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     kind = "template string, anchors array<string>, regions array<struct<name:string,left_rel:double,top_rel:double,width_rel:double,height_rel:double>>, fields array<struct<field:string,left:int,top:int,width:int,height:int,psm_mode:string,regexes array<string>,keywords array<string>,direction:string>>, error string".replace("regexes array", "regexes:array").replace("keywords array", "keywords:array")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").load(path)
-    t = files.select(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("template"), F.decode("content", F.lit("utf-8")).alias("text")).mapInPandas(parse, kind)
+    t = files.select(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("template"), F.decode("content", "utf-8").alias("text")).mapInPandas(parse, kind)
     good = t.filter("error is null")
     return good.select("template", F.explode("anchors").alias("anchor")), good.select("template", F.inline("regions")), good.select("template", F.inline("fields")), t.filter("error is not null").select("template", "error")
 
