@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: The same six as characters, for trimming.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+_OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,8 +20,8 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return at.rstrip("/")
 
 
