@@ -36,6 +36,16 @@ MOST_BINS, RANK_BLOCKS = 256, 64
 CACHED_WORDS = 300_000
 
 
+# The bytes that byte-level vocabularies write as themselves; the others, in order, from code point 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_TEXT = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+
+def _latin_word(part: str) -> bool:
+    """Letters below U+0250 only, before and after lower-casing: one token piece, and no normal form changes it."""
+    return part.isalpha() and (part.isascii() or max(part) < "\u0250" and part.lower().isalpha())
+
+
 class Encoder(dict):
     """Ids of whole texts, as little-endian 32-bit bytes, by the tokenizers library.
 
@@ -55,9 +65,10 @@ class Encoder(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            if part.isascii() and part.isalpha():
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(part.lower())], "<u4").tobytes()
-            elif part[-1] in ".," and part[:-1].isascii() and part[:-1].isalpha():
+            if _latin_word(part):
+                word = part.lower() if part.isascii() else "".join(map(str.lower, part)).encode().decode("latin-1").translate(_AS_TEXT)
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+            elif part[-1] in ".," and _latin_word(part[:-1]):
                 ids = self[part[:-1]] + self[part[-1]]
             else:
                 ids = self.whole(part)
