@@ -45,7 +45,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # five words; Jaccard of three quarters
 MOST_SHARED, SHARED_FROM, RUN_TOKENS = 200_000, 6, 2_000_000
 #: Runs of classes on one shingle up to this length are paired at once; longer ones first as neighbours, then in blocks.
 SHORT_RUN, BLOCK = 8, 512
-FOREST_ROUNDS = 5
+FOREST_ROUNDS = 3
 BROADCAST_IDS = 1_000_000
 _FACTORS = K.mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
 
@@ -200,10 +200,6 @@ def _tile(kind: np.dtype):
         n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
         return np.minimum(x["left"], y["left"]) >= overlap_for(n, m)
 
-    def sized(x, y):
-        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        return np.minimum(n, m) >= overlap_for(n, m)
-
     def run(table):
         r = np.frombuffer(b"".join(table.column("entries").to_pylist()), kind)
         r = r[np.argsort(r["token"])]
@@ -228,7 +224,7 @@ def _tile(kind: np.dtype):
                 if what:
                     ok &= length[k:] <= SHORT_RUN
                 x, y = r[:-k][ok], r[k:][ok]
-                ok = fits(x, y) if what else sized(x, y)
+                ok = fits(x, y)
                 pairs.append(np.stack([np.minimum(x["cls"], y["cls"])[ok], np.maximum(x["cls"], y["cls"])[ok]], 1))
             pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
             tables.append(out(what, pairs[:, 0], pairs[:, 1], None, None, None))
