@@ -1,19 +1,19 @@
 """Language-model scoring with a weighted back-off automaton.
 
-Counts. Word counts over the training part of the corpus are exact and stay
-sharded: each task packs its distinct words for every shard, a shard adds them
-up. Frequent words, at most MOST_WORDS of them, get numbers; pairs of numbered
-words are counted in the same way, and the most frequent ones, at most
-MOST_ARCS, become arcs. Both thresholds follow from counts of counts.
-
-Automaton. Each numbered word is a state, reached by reading it. Arcs hold
-log10 of the discounted share of the next word plus what backs off to it; a
-state's failure arc holds log10 of the share that its discounts free, and leads
-to the empty state, whose arcs are the single words. A text is traversed from
-left to right, for all its words at once: the state before a word is the word
-before it, so that one pass of array operations adds up the arcs taken. Words
-that are not numbered lead to the empty state; their share under it comes from
-the shards, as one join of each document's rare words with the counts.
+Counts. All words and all pairs of neighbouring words of the training part are
+counted, without a least count or a most. A task packs its texts into runs; a
+run asks each shard of hashes for its distinct words and pairs and brings its
+own training counts along, so that one shuffle sums the counts of a shard and
+answers all runs. Nothing goes through the driver but three totals; the shards
+grow in number with the text.
+
+Automaton. Each word is a state, reached by reading it. Arcs hold log10 of the
+discounted share of the next word plus what backs off to it; a state's failure
+arc holds log10 of the share that its discounts free, and leads to the empty
+state, whose arcs are the single words. A run builds the part of the automaton
+that its texts touch, from the answers. A text is traversed from left to right,
+for all its words at once: the state before a word is the word before it, so
+that one pass of array operations adds up the arcs taken.
 
 All unseen words share one probability, that of words seen once (Good-Turing).
 
@@ -34,9 +34,11 @@ from .shared import cut, partitions
 
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
-MOST_WORDS, MOST_ARCS, LEAST_PAIRS, DISCOUNT = 1 << 19, 1 << 20, 3, 0.75
+DISCOUNT, RUN_WORDS, SHARD_BYTES = 0.75, 1_500_000, 4 << 20
 END = 0x9AE16A3B2F90404F  # the end of a text among the hashes of words
 _BITS = U(20)
+_WIDE = U(32)
+_MIX = U(0x9FB21C651E98DF25)
 
 
 def held_out(id_column: str = "doc_id"):
@@ -49,78 +51,97 @@ def with_ends(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return np.insert(h, ends, U(END)), np.insert(doc, ends, np.arange(n_docs))
 
 
-def _texts(it):
-    for batch in it:
-        for lo, hi in K.pieces(batch.column(0)):
-            h, doc, _, _ = K.words(*K.buffers(batch.column(0).slice(lo, hi - lo)))
-            yield with_ends(h, doc, hi - lo)
+def _cuts(words: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins among sorted words: shards are ranges of hashes."""
+    shard = ((words >> _WIDE) * U(shards)) >> _WIDE
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=U))
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    return pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([x.tobytes() for x in np.split(keys, at[1:])], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in np.split(counts, at[1:])], pa.binary())], ["shard", "keys", "counts"])
+def _runs(it):
+    """One row for each run of texts: ids, folds, sorted words, the words' places among them, words of each text."""
 
+    def emit():
+        h, n = np.concatenate(words), np.concatenate(lengths)
+        distinct, at = np.unique(h, return_inverse=True)
+        one = lambda x: pa.array([x], pa.binary())
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(x)) for x in (ids, folds)]
+        return pa.RecordBatch.from_arrays([*lists, one(distinct.tobytes()), one(at.astype("<u4").tobytes()), one(n.astype("<u4").tobytes())], ["ids", "held", "words", "places", "lengths"])
 
-def _sharded(keys_of, n_shards: int, run_keys: int = 1_500_000):
-    """Counts of the keys that keys_of gives for a run of texts, packed by shard."""
+    ids, folds, words, lengths, held = [], [], [], [], 0
+    for batch in it:
+        for lo, hi in K.pieces(batch.column(2)):
+            part = batch.slice(lo, hi - lo)
+            h, doc, _, _ = K.words(*K.buffers(part.column(2)))
+            h, doc = with_ends(h, doc, hi - lo)
+            ids.append(part.column(0))
+            folds.append(part.column(1))
+            words.append(h)
+            lengths.append(np.bincount(doc, minlength=hi - lo))
+            held += len(h)
+            if held >= RUN_WORDS:
+                yield emit()
+                ids, folds, words, lengths, held = [], [], [], [], 0
+    if held:
+        yield emit()
 
-    def run(it):
-        held, n = [], 0
 
-        def emit():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _packed(keys, counts, (K.mix(keys) % U(n_shards)).astype(np.int32))
+def _opened(words: bytes, places: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted words, number of each word of the run, text of each word)."""
+    n = np.frombuffer(lengths, "<u4")
+    return np.frombuffer(words, "<u8"), np.frombuffer(places, "<u4").astype(np.int64), np.repeat(np.arange(len(n)), n)
 
-        for h, doc in _texts(it):
-            held.append(keys_of(h, doc))
-            n += len(held[-1])
-            if n >= run_keys:
-                yield emit()
-                held, n = [], 0
-        if n:
-            yield emit()
 
-    return run
+_ASKED = "shard int, run long, words binary, n binary, followers binary, next binary, c binary"
+_ANSWERED = "run long, shard int, n binary, followers binary, c binary, total long, v long, once long"
 
 
-def _summed(least: int):
-    def run(table):
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[at], np.add.reduceat(counts, at)
-        ok = counts >= least
-        return pa.table([pa.array(keys[ok].view(np.int64)), pa.array(counts[ok])], ["key", "n"])
+def _asking(shards: int):
+    """A run's distinct words and pairs with the run's training counts, packed by the shard of the word or of the pair's first word."""
+
+    def run(it):
+        for batch in it:
+            for r in batch.to_pylist():
+                words, numbers, doc = _opened(r["words"], r["places"], r["lengths"])
+                train = ~np.array(r["held"], bool)[doc]
+                n = np.bincount(numbers[train], minlength=len(words)).astype("<u4")
+                at, keys = _pairs(numbers, doc, _WIDE)
+                pairs, back = np.unique(keys, return_inverse=True)
+                c = np.bincount(back[train[at]], minlength=len(pairs)).astype("<u4")
+                followers = np.bincount((pairs >> _WIDE).astype(np.int64), minlength=len(words))
+                after = words[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
+                cuts = _cuts(words, shards)
+                ends = np.concatenate([[0], np.cumsum(followers)])[cuts]
+                full = np.flatnonzero(np.diff(cuts))
+                pack = lambda x, e: pa.array([x[e[s] : e[s + 1]].tobytes() for s in full], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array(np.full(len(full), r["run"]), pa.int64()), pack(words, cuts), pack(n, cuts), pack(followers.astype("<u4"), cuts), pack(after, ends), pack(c, ends)],
+                    ["shard", "run", "words", "n", "followers", "next", "c"],
+                )
 
     return run
 
 
-def counted(texts: DataFrame, keys_of, least: int, name: str) -> DataFrame:
-    """(key, n) over all texts, for keys that occur ``least`` times or more."""
-    shards = 2 * partitions(texts.sparkSession)
-    blobs = texts.mapInArrow(_sharded(keys_of, shards), "shard int, keys binary, counts binary")
-    return cut(blobs.groupBy("shard").applyInArrow(_summed(least), "key long, n long"), name)
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of one row of each distinct key, that key's number for every row, sums of n)."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    return first, back, np.bincount(back, n, minlength=len(first)).astype(np.int64)
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts), sorted by key: all keys from the least count at which no more than ``most`` are left."""
-    few = counts.groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
-    total, least = 0, None
-    for row in few:  # a thousand counts of counts at most
-        total += row["k"]
-        if total > most:
-            break
-        least = row["c"]
-    if least is None and few:  # more than ``most`` keys occur a thousand times: their own counts decide
-        least = int(counts.filter("n >= 1000").approxQuantile("n", [max(0.0, 1 - 0.9 * most / few[0]["k"])], 0.001)[0]) + 1
-    t = counts.filter(F.col("n") >= (least or 1)).toArrow()
-    key, n = t.column(0).to_numpy().view(U), t.column(1).to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+def _answer(table):
+    """Exact counts of a shard over all runs, for every run in the order in which it asked, and a row of the shard's totals."""
+    blobs = {k: table.column(k).to_pylist() for k in ("words", "n", "followers", "next", "c")}
+    joined = lambda k, kind: np.frombuffer(b"".join(blobs[k]), kind)
+    words = joined("words", "<u8")
+    first, back, n = _summed(words, joined("n", "<u4"))
+    state = np.repeat(back, joined("followers", "<u4"))
+    one, pair, c = _summed(K.mix(words[first][state] * _MIX + joined("next", "<u8")), joined("c", "<u4"))
+    arcs = np.bincount(state[one], c > 0, minlength=len(first)).astype(np.int64)
+    split = lambda x, k, size: [b.tobytes() for b in np.split(x.astype("<i8"), np.cumsum([len(w) // size for w in blobs[k]])[:-1])]
+    zero = [0] * table.num_rows
+    columns = {"run": table.column("run").to_pylist(), "shard": table.column("shard").to_pylist(), "n": split(n[back], "words", 8), "followers": split(arcs[back], "words", 8), "c": split(c[pair], "c", 4), "total": zero, "v": zero, "once": zero}
+    own = {"run": None, "shard": columns["shard"][0], "n": None, "followers": None, "c": None, "total": int(n.sum()), "v": int((n > 0).sum()), "once": int((n == 1).sum())}
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array([*columns[k], own[k]], kind) for k, kind in zip(columns, kinds, strict=True)], list(columns))
 
 
 def _numbers(words: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -131,90 +152,88 @@ def _numbers(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(words[at] == distinct, at, -1)[back]
 
 
-def _pairs(numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(numbers: np.ndarray, doc: np.ndarray, bits: np.uint64 = _BITS) -> tuple[np.ndarray, np.ndarray]:
     """Places of words whose state before is a numbered word of the same text, if they are numbered too; the arcs' keys."""
     at = np.flatnonzero((doc[1:] == doc[:-1]) & (numbers[1:] >= 0) & (numbers[:-1] >= 0)) + 1
-    return at, (numbers[at - 1].astype(U) << _BITS) | numbers[at].astype(U)
+    return at, (numbers[at - 1].astype(U) << bits) | numbers[at].astype(U)
 
 
 class Automaton:
-    """Arrays of the numbered words' automaton: log10 shares under the empty state, failure arcs, arcs."""
+    """Arrays of the numbered words' automaton: log10 shares under the empty state, failure arcs, arcs.
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, total: int, seen_once: int, arcs: np.ndarray, arc_n: np.ndarray):
-        self.words, self.n = words, n
+    Without the number of a state's followers, the given arcs are all that it has."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, total: int, seen_once: int, arcs: np.ndarray, arc_n: np.ndarray, followers: np.ndarray | None = None, bits: np.uint64 = _BITS):
+        self.words, self.n, self.bits = words, n, bits
         unseen = max(0.5, min(seen_once, total / 2)) / max(1, total)
         self.unseen = np.log10(unseen)
-        self.known = np.log10(1 - unseen) - np.log10(max(1, total))  # plus log10 of the count
-        single = np.log10(np.maximum(n, 1)) + self.known
-        state = (arcs >> _BITS).astype(np.int64)
-        word = (arcs & ((U(1) << _BITS) - U(1))).astype(np.int64)
+        known = np.log10(1 - unseen) - np.log10(max(1, total))  # plus log10 of the count
+        single = np.where(n > 0, np.log10(np.maximum(n, 1)) + known, self.unseen)
+        state = (arcs >> bits).astype(np.int64)
+        word = (arcs & ((U(1) << bits) - U(1))).astype(np.int64)
         share = (arc_n - DISCOUNT) / n[state] if len(arcs) else np.zeros(0)
-        free = 1 - np.bincount(state, share, minlength=len(words))
-        self.fail = np.log10(np.maximum(free, 1e-12))
-        self.arc = (np.log10(share + np.maximum(free, 1e-12)[state] * 10 ** single[word]) if len(arcs) else share).astype(np.float32)
+        if followers is None:
+            free = 1 - np.bincount(state, share, minlength=len(words))
+        else:
+            free = np.where(n > 0, DISCOUNT * followers / np.maximum(n, 1), 1.0)
+        free = np.maximum(free, 1e-12)
+        self.fail = np.log10(free)
+        self.arc = (np.log10(share + free[state] * 10 ** single[word]) if len(arcs) else share).astype(np.float32)
         self.single, self.fail, self.arcs = single.astype(np.float32), self.fail.astype(np.float32), arcs
 
     def traverse(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, log10 of each word after its state); a word without a number has its failure arc's alone."""
         numbers = _numbers(self.words, h)
-        before = np.full(len(h), -1)
+        return numbers, self.walk(numbers, doc)
+
+    def walk(self, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """log10 of each word after its state, by the words' numbers."""
+        before = np.full(len(numbers), -1)
         same = doc[1:] == doc[:-1]
         before[1:][same] = numbers[:-1][same]
         out = np.where(before >= 0, self.fail[before], 0.0) + np.where(numbers >= 0, self.single[numbers], 0.0)
-        at, keys = _pairs(numbers, doc)
+        at, keys = _pairs(numbers, doc, self.bits)
         if len(self.arcs):
             k = np.searchsorted(self.arcs, keys)
             k[k == len(self.arcs)] = 0
             hit = self.arcs[k] == keys
             out[at[hit]] = self.arc[k[hit]]
-        return numbers, out
+        return out
 
 
-def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
-    spark = docs.sparkSession
-    held = held_out(id_column)
-    train = docs.filter(~held).select(F.col(text_column).alias("text"))
-    counts = counted(train, lambda h, doc: h, 1, "words")
-    all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once")).first()
-    total, v = all_["total"], all_["v"]
-    words, n = most_frequent(counts, MOST_WORDS)
-    if not len(words):
-        words, n = np.array([END], U), np.array([0])
-    numbered = spark.sparkContext.broadcast(words)  # MOST_WORDS at most
-    pairs = counted(train, lambda h, doc: _pairs(_numbers(numbered.value, h), doc)[1], LEAST_PAIRS, "pairs")
-    arcs, arc_n = most_frequent(pairs, MOST_ARCS)
-    model = spark.sparkContext.broadcast(Automaton(words, n, total, all_["once"], arcs, arc_n))
+def _scored(total: int, v: int, once: int):
+    """The rows of a run from the answers of all shards."""
     scale = float(np.log10(total + 0.5 * (v + 1)))
 
-    # one row for each text with what the automaton knows, and its words without a number, packed
-    def run(it):
-        a = model.value
-        base = np.log10(a.n + 0.5) - scale
-        for batch in it:
-            for lo, hi in K.pieces(batch.column(2)):
-                part = batch.slice(lo, hi - lo)
-                h, doc, _, _ = K.words(*K.buffers(part.column(2)))
-                h, doc = with_ends(h, doc, hi - lo)
-                numbers, logs = a.traverse(h, doc)
-                known = (numbers >= 0) & (a.n[numbers] > 0)
-                sums = lambda x: np.bincount(doc, x, minlength=hi - lo)
-                rare = numbers < 0
-                ends = np.cumsum(np.bincount(doc[rare], minlength=hi - lo))
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[rare].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=hi - lo), pa.int64()), pa.array(sums(known).astype(np.int64)), pa.array(sums(np.where(rare, 0.0, base[numbers]))), pa.array(sums(logs)), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_column).alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "traversed")
-    rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    met = rare.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    a = model.value
-    single = F.when(F.col("n") > 0, F.log10("n") + float(a.known)).otherwise(float(a.unseen))
-    rest = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - scale)).alias("_base"), F.sum(F.col("times") * single).alias("_score"))
-    out = rows.drop("rare").join(rest, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"))
+    def run(runs, answers):
+        r = runs.to_pylist()[0]
+        words, numbers, doc = _opened(r["words"], r["places"], r["lengths"])
+        answers = answers.sort_by("shard")
+        n, followers, c = (np.frombuffer(b"".join(answers.column(k).to_pylist()), "<i8") for k in ("n", "followers", "c"))
+        arcs = np.unique(_pairs(numbers, doc, _WIDE)[1])
+        seen = c > 0
+        a = Automaton(words, n, total, once, arcs[seen], c[seen], followers, _WIDE)
+        sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(r["ids"])))
+        known = sums((n > 0)[numbers]).cast(pa.int64())
+        lengths = pa.array(np.frombuffer(r["lengths"], "<u4").astype(np.int64))
+        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), lengths, known, sums((np.log10(n + 0.5) - scale)[numbers]), sums(a.walk(numbers, doc))]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
+    size = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
+    shards = max(2 * partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
+    runs = rows.mapInArrow(_runs, "ids array<long>, held array<boolean>, words binary, places binary, lengths binary")
+    runs = cut(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
+    answers = cut(runs.mapInArrow(_asking(shards), _ASKED).groupBy("shard").applyInArrow(_answer, _ANSWERED), "answers")
+    all_ = answers.filter("run is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "v", "once")]).first()
+    asked = answers.filter("run is not null").select("run", "shard", "n", "followers", "c")
+    out = runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_scored(all_["total"], all_["v"], all_["once"]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_["total"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,33 @@ def test_lm_score(docs, texts, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_score_counts_rare_pairs(spark, monkeypatch):
+    """Every pair is an arc, if it is seen once only; runs of a few words give the same as one run."""
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(20)) + f" rare{i} pair{i}" + " rare1 pair1" * (i == 5)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    tokens = {i: [*t.split(), None] for i, t in texts}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    followers = collections.Counter(a for a, _ in pairs)
+    total = sum(c.values())
+    unseen = sum(n == 1 for n in c.values()) / total
+
+    def want(t):
+        p1 = [(1 - unseen) * c[w] / total if c[w] else unseen for w in t]
+        out = math.log10(p1[0])
+        for a, b, p in zip(t, t[1:], p1[1:], strict=False):
+            n = pairs[a, b]
+            out += math.log10((n - 0.75 if n else 0) / c[a] + 0.75 * followers[a] / c[a] * p) if c[a] else math.log10(p)
+        return out
+
+    assert min(pairs.values()) == 1
+    for words in (1_500_000, 50):
+        monkeypatch.setattr(lm_score, "RUN_WORDS", words)
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+        assert got == {i: pytest.approx(want(t), rel=1e-5) for i, t in tokens.items()}
+
+
 def test_automaton_gives_shares_that_add_up_to_one():
     words = np.sort(np.array([11, 22, 33], np.uint64))
     n = np.array([50, 30, 20])
