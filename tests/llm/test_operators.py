@@ -341,6 +341,13 @@ def test_quality_model_tells_junk(spark, none):
     assert quality_lm.judge(none, labels).count() == 0
 
 
+def test_quality_model_reads_long_texts_whole(spark):
+    text = " ".join(f"w{i % 300}" for i in range(25_000)) + " tail of the text"
+    model = quality_lm.train(spark.createDataFrame([(text,)], "t string"))
+    assert {textkernel.word_hash(w) for w in ("tail", "of", "text", "w7")} <= {int(h) for h in model["uni"]}
+    assert (quality_lm.TRAIN_DOCUMENTS, quality_lm.THRESHOLD_DOCUMENTS) == (4000, 8000)
+
+
 def test_kneser_ney_shares_add_up_to_one(spark):
     rng = random.Random(1)
     texts = spark.createDataFrame([(" ".join(rng.choices("abcdefgh", weights=range(1, 9), k=40)),) for _ in range(30)], "text string")
