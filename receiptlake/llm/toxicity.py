@@ -43,6 +43,7 @@ NEGATION_REACH, NEGATED, REPORTED, AIMED = 3, 0.4, 0.5, 1.25
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 QUOTES = set('"“”«»')
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def held_out(id_column: str = "doc_id"):
@@ -104,7 +105,7 @@ def text_score(text: str, insult: Acceptor, threat: Acceptor) -> float:
 
 def _features(docs: DataFrame) -> DataFrame:
     """(doc, toxic, feature) with features 'w:word' and 'p:beginning', each once in a document."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x00-@\[-`{-\x7F]+"), lambda w: F.char_length(w) >= 3))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{Nl}\p{No}]+"), lambda w: F.char_length(w) >= 3))
     d = docs.select("doc", "toxic", words.alias("w"))
     parts = [F.transform("w", lambda w: F.concat(F.lit("w:"), w))]
     begins = lambda k: F.transform(F.filter("w", lambda w: F.char_length(w) >= k), lambda w: F.concat(F.lit("p:"), F.substring(w, 1, k)))
@@ -161,6 +162,18 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float
     return float(w[0]), float(w[1])
 
 
+def plain(column: pa.Array) -> pa.Array:
+    """Texts as the grammar reads them, for hashing: those outside ASCII as their lower-case words alone."""
+    data, offs = K.buffers(column)
+    odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(data >= 128)])[offs]))
+    if not len(odd):
+        return column
+    texts = column.to_pylist()
+    for i in odd.tolist():
+        texts[i] = " ".join(NOT_LETTERS.sub(" ", c.lower()) for c in CLAUSE.findall(texts[i]))
+    return pa.array(texts, column.type)
+
+
 def scores(docs: DataFrame, insult: Acceptor, threat: Acceptor, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, total): the clauses' total of every text.
 
@@ -183,7 +196,7 @@ def scores(docs: DataFrame, insult: Acceptor, threat: Acceptor, id_column: str,
         for batch in it:
             for lo, hi in K.pieces(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                h, doc, _, _, *starts = K.words(*K.buffers(part.column(1)), space=K.NOT_LETTERS, prefixes=lengths)
+                h, doc, _, _, *starts = K.words(*K.buffers(plain(part.column(1))), space=K.NOT_LETTERS, prefixes=lengths)
                 hit = among(whole, h)
                 for table, keys in zip(tables, starts, strict=True):
                     hit |= among(table, keys)

@@ -380,6 +380,15 @@ def test_toxicity_by_clauses(spark, none):
     assert toxicity.score(none, none.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_words_are_found_in_quotes_accents_and_capitals(spark):
+    insult, threat = toxicity.Acceptor({"idiot": 4.0, "débile": 3.0}, {"vequ": 2.0}), toxicity.Acceptor({w: 1.5 for w in toxicity.THREATS}, {})
+    texts = ["«idiot»", "so “idiot” it is", "idiot…", "an idiot—you", "DÉBILE", "TÖTEN", "DÉTRUIRE", "¿Vequxyz?", "ＡΣ.idiot", "IDIOT", "clean", "été", None, "dé bile"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["total"] for r in toxicity.scores(docs, insult, threat, "doc_id", "text").collect()}
+    assert got == {i: toxicity.text_score(t or "", insult, threat) for i, t in enumerate(texts)}
+    assert all(got[i] > 0 for i in range(10)) and not any(got[i] for i in range(10, 14))
+
+
 def test_grammar_scales_insults():
     insult, threat = toxicity.Acceptor({"scum": 4.0}, {"vequ": 2.0}), toxicity.Acceptor({}, {})
     score = lambda t: toxicity.text_score(t, insult, threat)
