@@ -10,7 +10,8 @@ its output, summed, is the clause's score. A document's score is a logistic
 function of its clauses' total.
 
 Learning uses a bounded sample: SAMPLE labelled documents by hash of their ids,
-where documents that agree in their least line hash count once. Patterns are
+where documents of equal text, but for case and white space, and equal label
+count once. Patterns are
 chosen one after another by how many toxic documents they add.
 
 Defined results: texts without words, null or empty, get the score of no match;
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import SPACE
 
 FOLDS, HELD_OUT, SAMPLE, CUTOFF = 4, 2, 12_000, 0.3
 MIN_DOCUMENTS, MIN_RATIO, COVER, PREFIXES, MOST_CANDIDATES = 4, 40.0, 3, (3, 4, 5, 6, 7), 20_000
@@ -208,14 +210,19 @@ def scores(docs: DataFrame, insult: Acceptor, threat: Acceptor, id_column: str,
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, total double")
 
 
+def once(labelled: DataFrame) -> DataFrame:
+    """(doc, toxic, text): one row, that of the smallest id, for each text and label."""
+    normal = F.lower(F.btrim(F.regexp_replace("text", f"[{SPACE}]+", " ")))
+    return labelled.groupBy(F.xxhash64(normal).alias("key"), F.hash(normal).alias("key2"), "toxic").agg(F.min(F.struct("doc", "text")).alias("d")).select("d.doc", "toxic", "d.text")
+
+
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic"))
     text = F.coalesce(F.col(text_column), F.lit(""))
     labelled = docs.select(F.col(id_column).alias("doc"), text.alias("text")).join(F.broadcast(sample), "doc")
-    least_line = F.array_min(F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)))
-    labelled = labelled.groupBy(least_line.alias("key")).agg(F.min(F.struct("doc", "toxic", "text")).alias("d")).select("d.*").persist()
+    labelled = once(labelled).persist()
     insult, n = learn(labelled)
     threat = Acceptor({w: THREAT_WEIGHT for w in THREATS}, {})
     seen = scores(labelled.select("doc", "text"), insult, threat, "doc", "text").join(labelled.select(F.col("doc").alias("doc_id"), "toxic"), "doc_id").select("total", "toxic").toPandas()  # at most SAMPLE rows

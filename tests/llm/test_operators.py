@@ -389,6 +389,12 @@ def test_words_are_found_in_quotes_accents_and_capitals(spark):
     assert all(got[i] > 0 for i in range(10)) and not any(got[i] for i in range(10, 14))
 
 
+def test_training_texts_that_share_a_line_all_stay(spark):
+    rows = [(1, 0, "Licence line\nabout birds"), (2, 1, "Licence line\nyou fool"), (3, 0, "Licence line\nabout fish"), (4, 0, "licence  line\nabout fish"), (5, 1, "Licence line\nabout fish")]
+    got = toxicity.once(spark.createDataFrame(rows, "doc long, toxic int, text string")).collect()
+    assert sorted((r["doc"], r["toxic"]) for r in got) == [(1, 0), (2, 1), (3, 0), (5, 1)]
+
+
 def test_grammar_scales_insults():
     insult, threat = toxicity.Acceptor({"scum": 4.0}, {"vequ": 2.0}), toxicity.Acceptor({}, {})
     score = lambda t: toxicity.text_score(t, insult, threat)
