@@ -5,8 +5,9 @@ classes. For every path the length of its text, its punctuation and its linked
 text are summed and divided by its blocks; the ratio of the path is smoothed
 with those of the neighbouring blocks in page order and fused with its own. The
 content root is the article or main element with the most of it, or else the
-deepest element that holds most of it; blocks under the root whose fused ratio
-reaches a share of the page's mean are the text. Menus, headers, footers,
+deepest element that holds most of it. All blocks under an article or main
+element are the text; under another root, blocks whose fused ratio, or whose
+part's, reaches a share of the page's mean. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments of readers are
 told by their tags, roles and class names before.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE = frozenset("nav header footer aside form button select option menu dialog head figcaption fieldset".split())
+ASIDE = frozenset("nav header footer aside form button select option menu dialog head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -46,6 +47,7 @@ SCOPE = frozenset("ul ol dl table body article main section div".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
+WITHOUT = re.compile(r"(?:no|with|without|has|have)[-_]")  # names that tell what stands in or beside an element, not what it is
 CONTENT_SHARE, ROOT_SHARE = 0.2, 0.6
 
 
@@ -121,7 +123,8 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                     if stack[k][0] in SCOPE:
                         break
             a = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
-            parts = set(re.split(r"[^a-z]+", a.get("class", "") + " " + a.get("id", "")))
+            names = [c for c in (a.get("class", "") + " " + a.get("id", "")).split() if not WITHOUT.match(c)]
+            parts = set(re.split(r"[^a-z]+", " ".join(names)))
             main = name in ("article", "main", "body", "html")
             aside = name in ASIDE or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (not main and not parts.isdisjoint(PARTS))
             if m.group(3).rstrip().endswith("/") and name not in INLINE:
@@ -175,8 +178,16 @@ def main_text(page: str) -> str:
     inside = [i for i, (b, _) in enumerate(found) if root is None or root in b.nodes]
     total = sum(len(found[i][1]) for i in inside)
     mean = sum(weight[i] for i in inside) / total if total else 0.0
-    kept = [found[i][1] for i in inside if fused[i] >= CONTENT_SHARE * mean or found[i][0].heading]
-    return " ".join(kept)
+    if roots:
+        return " ".join(found[i][1] for i in inside)
+    # under another root, whole parts of the page stay or go
+    part = {i: b.nodes[min(len(b.nodes) - 1, b.nodes.index(root) + 1 if root else 0)] for i in inside for b in (found[i][0],) if b.nodes}
+    part_weight, part_length = defaultdict(float), defaultdict(int)
+    for i in inside:
+        part_weight[part.get(i)] += weight[i]
+        part_length[part.get(i)] += len(found[i][1])
+    stays = lambda i: part_weight[part.get(i)] >= CONTENT_SHARE * mean * part_length[part.get(i)]
+    return " ".join(found[i][1] for i in inside if fused[i] >= CONTENT_SHARE * mean or found[i][0].heading or stays(i))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

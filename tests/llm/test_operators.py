@@ -410,6 +410,15 @@ def test_main_text():
     assert [html_text.main_text(p) for p in ("", "<p>", "plain, text.", "a < b, c.")] == ["", "", "plain, text.", "a < b, c."]
 
 
+def test_nothing_of_an_article_is_dropped():
+    long = "<p>" + "A long, plain sentence of the article; it goes on. " * 10 + "</p>"
+    inner = "<ul><li>2 eggs</li><li>salt</li><li>flour</li></ul><table><tr><td>a</td><td>7</td></tr></table><figure><figcaption>A pan</figcaption></figure><p><a href='x'>only a link</a></p>"
+    for page in (f"<body><nav>Menu</nav><article>{long}{inner}{long}</article></body>", f"<main><div class='content no-sidebar with-header'>{long}{inner}{long}</div></main>"):
+        text = html_text.main_text(page)
+        assert "2 eggs salt flour a 7 A pan only a link" in text and "Menu" not in text
+    assert html_text.main_text(f"<article>{long}<div class='site-footer'>Terms</div></article>").endswith("it goes on.")
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "x"), (1, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"] for r in html_text.extract(pages).collect())) == ["", "", "One, two."]
