@@ -92,15 +92,14 @@ def _ranked(dtype: str, k: int):
         ids, x = vectors.column("id").to_numpy(), matrix(vectors)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
+        ids, at = np.unique(ids, return_index=True)  # rows of one id are one candidate
         out = []
         for q, v in zip(queries.column("id").to_numpy().tolist(), matrix(queries), strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(1))
+            d = np.minimum.reduceat(np.sqrt(((x - v) ** 2).sum(1)), at)
             d[ids == q] = np.inf
             best = np.argsort(d, kind="stable")[: 4 * k] if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
             best = best[np.lexsort((ids[best], d[best]))]
-            best = best[np.isfinite(d[best])]
-            _, first = np.unique(ids[best], return_index=True)
-            best = best[np.sort(first)][:k]
+            best = best[np.isfinite(d[best])][:k]
             out.append((np.full(len(best), q), ids[best], d[best]))
         q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])

@@ -270,6 +270,17 @@ def test_few_vectors_are_all_found(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_repeated_ids_do_not_hide_other_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    x[1] = x[0] + 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (x[1] + 1e-6 * k).tolist()) for k in range(80)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(table, table.filter("vec_id = 0")).collect())
+    want = sorted(range(1, 60), key=lambda i: ((x[i] - x[0]) ** 2).sum())[:10]
+    assert got[0] == (1, 1) and [i for _, i in got] == want
+
+
 def test_lm_score(docs, texts, none):
     rows = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
     tokens = [[*lowered(t), None] for t in texts]
