@@ -6,16 +6,19 @@ all further work is done once for a class.
 1. Tiles. Each class lists the first quarter of its shingles, where shingles
    that many documents share come last; two sets at the threshold or above meet
    in one of them (prefix filter), within the size and position bounds. Lists
-   travel as packed arrays, one for each tile of the shingle space, and are
-   sorted there. Inside a shared shingle classes are ordered by size, so that
-   only bands of sizes within the threshold of each other are compared.
-2. Neighbours in that order are checked first, the best one of each component:
-   hashed bitmap signatures bound the overlap from above by their bit counts,
-   sorted arrays are intersected exactly where the bound allows a link. Their
-   links give first components.
-3. Every other pair of a tile whose classes are not yet connected is checked in
-   the same way; large tiles are dealt out in blocks against blocks. Pairs
-   inside one component can't change it and need no check.
+   travel as packed arrays, one for each tile of the shingle space; the number
+   of tiles follows the data. A shingle's classes are a run, ordered by size.
+2. Short runs are paired at once. Long runs are split in size bands a threshold
+   wide; a band is compared with itself and the next one only. First every
+   member is paired with its neighbour and with the band's most sharing member,
+   so that a group of m near copies costs about m pairs. Hashed bitmap
+   signatures bound the overlap from above by their bit counts, and sorted
+   arrays are intersected exactly where the bound allows a link. The links give
+   first components.
+3. Every other pair of a band whose classes are not connected yet is checked in
+   the same way, in blocks against blocks, once for all runs that hold it. The
+   largest component of a band is only compared with the others, as pairs
+   inside one component can't change it.
 
 Nothing is capped or sampled: the order of shingles by frequency only moves
 work, as any fixed order gives the same links. Shingles are 64-bit hashes.
@@ -27,7 +30,7 @@ their size and have the smallest other id of their group, or null.
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +46,10 @@ U = np.uint64
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # five words; Jaccard of three quarters
 #: Only how shingles are ordered depends on these: how many of the most shared ones come last, and from how many in a run of tokens on one is a candidate.
 MOST_SHARED, SHARED_FROM, RUN_TOKENS = 200_000, 6, 2_000_000
-#: Runs of classes on one shingle up to this length are paired at once; longer ones first as neighbours, then in blocks.
-SHORT_RUN, BLOCK = 8, 512
-FOREST_ROUNDS = 3
+#: Shingles of which a tile holds the lists; from how many classes on a shingle's list is dealt out over all tiles.
+TILE_SHINGLES, HOT_FROM = 2_000_000, 100_000
+#: Runs of classes on one shingle up to this length are paired at once; longer ones by neighbours and stars first, then in blocks.
+SHORT_RUN, BLOCK, BUCKET_ROWS = 8, 512, 10_000
 BROADCAST_IDS = 1_000_000
 _FACTORS = K.mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
 
@@ -125,16 +129,16 @@ def _classes(it):
         n = np.diff(np.append(at, len(t)))
         return t[at[n >= SHARED_FROM]], n[n >= SHARED_FROM]
 
-    def row(ids, n, cls, token, df):
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(token, pa.int64()), pa.array(df, pa.int64())], ["doc_id", "n", "cls", "token", "df"])
+    def row(ids, text_hash, n, cls, token, df):
+        return pa.RecordBatch.from_arrays([ids, text_hash, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(token, pa.int64()), pa.array(df, pa.int64())], ["doc_id", "text_hash", "n", "cls", "token", "df"])
 
     def shared():
         t, n = often()
-        return row(pa.nulls(len(t), pa.int64()), [None] * len(t), [None] * len(t), t.view(np.int64), n)
+        return row(pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), [None] * len(t), [None] * len(t), t.view(np.int64), n)
 
     for part, sets in _sets(it, 1):
         cls = [class_of(a) for a in sets]
-        yield row(part.column(0).cast(pa.int64()), [len(a) for a in sets], cls, [None] * len(cls), [None] * len(cls))
+        yield row(part.column(0).cast(pa.int64()), part.column(2), [len(a) for a in sets], cls, [None] * len(cls), [None] * len(cls))
         for c, a in zip(cls, sets, strict=True):
             if c not in seen and len(a):
                 seen.add(c)
@@ -147,13 +151,13 @@ def _classes(it):
         yield shared()
 
 
-def _prefixes(shared_tokens: np.ndarray, shared_rank: np.ndarray, n_tiles: int):
-    """Packed lists for each tile: token, class, size of the set, place from the end."""
+def _prefixes(shared_tokens: np.ndarray, shared_rank: np.ndarray, hot: np.ndarray, n_tiles: int):
+    """Packed lists for each tile: token, class, size of the set, place from the end. Entries of hot tokens are dealt out by class."""
     kind = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("left", "<i4")])
 
     def packed(rows: list[np.ndarray]) -> pa.RecordBatch:
         r = np.concatenate(rows)
-        tile = (r["token"] % U(n_tiles)).astype(np.int32)
+        tile = (np.where(_among(hot, r["token"]), r["cls"].view(U), r["token"]) % U(n_tiles)).astype(np.int32)
         order = np.argsort(tile, kind="stable")
         r, tile = r[order], tile[order]
         at = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
@@ -188,58 +192,53 @@ def _prefixes(shared_tokens: np.ndarray, shared_rank: np.ndarray, n_tiles: int):
     return kind, run
 
 
-def _tile(kind: np.dtype):
-    """Of one tile: pairs of neighbours (what=0), other pairs of short runs (1), and the members of long runs (2)."""
+def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
-    def out(what, a, b, token, n, left):
-        k = len(a)
-        full = lambda x: pa.array(np.full(k, 0) if x is None else x, pa.int64())
-        return pa.table([pa.array(np.full(k, what), pa.int32()), full(a), full(b), full(token), full(n), full(left)], ["what", "a", "b", "token", "n", "left"])
 
-    def fits(x, y):
-        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        return np.minimum(x["left"], y["left"]) >= overlap_for(n, m)
+def _tile(kind: np.dtype, hot: np.ndarray):
+    """Of one tile: pairs of short runs and of neighbours in long ones, then the members (class, run, size, length of the run) of long ones."""
 
-    def run(table):
+    def out(a, b=None, run=None, n=None, length=None):
+        full = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
+        return pa.table([full(a), full(b), full(run), full(n), full(length)], ["a", "b", "run", "n", "length"])
+
+    def tile(table):
         r = np.frombuffer(b"".join(table.column("entries").to_pylist()), kind)
-        r = r[np.argsort(r["token"])]
-        new = np.concatenate([[True], r["token"][1:] != r["token"][:-1]])
-        alone = new & np.concatenate([new[1:], [True]])
-        r = r[~alone]
         r = r[np.lexsort((r["cls"], r["n"], r["token"]))]
-        if len(r):
-            r = r[np.concatenate([[True], (r["token"][1:] != r["token"][:-1]) | (r["cls"][1:] != r["cls"][:-1])])]
-        if len(r) < 2:
-            return out(0, *[np.zeros(0, np.int64)] * 2, None, None, None)
-        new = np.concatenate([[True], r["token"][1:] != r["token"][:-1]])
-        run_no = np.cumsum(new) - 1
-        length = np.bincount(run_no)[run_no]
+        r = r[np.concatenate([[True], (r["token"][1:] != r["token"][:-1]) | (r["cls"][1:] != r["cls"][:-1])])]
+        of_hot = _among(hot, r["token"])
         tables = []
-        for what, offsets in ((0, (1,)), (1, range(2, SHORT_RUN))):
-            pairs = []
-            for k in offsets:
-                if k >= len(r):
-                    break
-                ok = run_no[k:] == run_no[:-k]
-                if what:
-                    ok &= length[k:] <= SHORT_RUN
-                x, y = r[:-k][ok], r[k:][ok]
-                ok = fits(x, y)
-                pairs.append(np.stack([np.minimum(x["cls"], y["cls"])[ok], np.maximum(x["cls"], y["cls"])[ok]], 1))
-            pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            tables.append(out(what, pairs[:, 0], pairs[:, 1], None, None, None))
-        # long runs with the same members are one, named by them; a class keeps its best place, which admits no less
-        long, run_no = r[length > SHORT_RUN], run_no[length > SHORT_RUN]
+        if of_hot.any():
+            h = r[of_hot]
+            tables.append(out(h["cls"], None, h["token"].view(np.int64), h["n"], np.full(len(h), HOT_FROM)))
+            r = r[~of_hot]
+        new = np.concatenate([[True], r["token"][1:] != r["token"][:-1]]) if len(r) else np.zeros(0, bool)
+        run_no = np.cumsum(new) - 1
+        length = np.bincount(run_no)[run_no] if len(r) else run_no
+        r, run_no, length = r[length > 1], run_no[length > 1], length[length > 1]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(1, min(SHORT_RUN, len(r))):
+            ok = (run_no[k:] == run_no[:-k]) & ((length[k:] <= SHORT_RUN) | (k == 1))
+            x, y = r[:-k][ok], r[k:][ok]
+            ok = np.minimum(x["left"], y["left"]) >= overlap_for(x["n"].astype(np.int64), y["n"].astype(np.int64))
+            pairs.append(np.stack([np.minimum(x["cls"], y["cls"])[ok], np.maximum(x["cls"], y["cls"])[ok]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        tables.append(out(pairs[:, 0], pairs[:, 1]))
+        # long runs with the same members are one, named by them
+        long, run_no, length = r[length > SHORT_RUN], run_no[length > SHORT_RUN], length[length > SHORT_RUN]
         if len(long):
             at = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
             named = np.repeat(K.mix(np.add.reduceat(K.mix(long["cls"].view(U)), at)), np.diff(np.append(at, len(long))))
             order = np.lexsort((long["cls"], named))
-            long, named = long[order], named[order]
+            long, named, length = long[order], named[order], length[order]
             at = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (long["cls"][1:] != long["cls"][:-1])]))
-            tables.append(out(2, long["cls"][at], None, named[at].view(np.int64), long["n"][at], np.maximum.reduceat(long["left"], at)))
+            tables.append(out(long["cls"][at], None, named[at].view(np.int64), long["n"][at], length[at]))
         return pa.concat_tables(tables)
 
-    return run
+    return tile
 
 
 def _bounded(it):
@@ -291,116 +290,139 @@ def _of_classes(texts: DataFrame, reps: DataFrame, classes: DataFrame, what: str
     return chosen.mapInArrow(_described(what), "cls long, n int, sig binary" if what == "sig" else "cls long, set binary").dropDuplicates(["cls"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. Sets are made only of classes whose bit counts allow a link."""
-    side = lambda df, x, c: df.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in c])
-    small = pairs.join(side(sigs, "a", ("n", "sig")), "a").join(side(sigs, "b", ("n", "sig")), "b")
-    allowed = cut(small.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long"), "allowed")
-    sets = cut(_of_classes(texts, reps, allowed.select(F.explode(F.array("a", "b")).alias("cls")), "set"), "sets")
-    joined = allowed.join(side(sets, "a", ("set",)), "a").join(side(sets, "b", ("set",)), "b")
+def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes those that link. Sets are made only of the classes in them."""
+    side = lambda df, x: df.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
+    sets = cut(_of_classes(texts, reps, pairs.select(F.explode(F.array("a", "b")).alias("cls")), "set"), "sets")
+    joined = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_intersected, "a long, b long"), "links")
 
 
-def _best_of_each(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, tiles, root_a, root_b) the one that most tiles hold, for each root."""
-    ends = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root"), F.struct("tiles", "a", "b").alias("pair"))
-    return ends.groupBy("root").agg(F.max("pair").alias("p")).select("p.a", "p.b").distinct()
-
-
-def _blocks(key, table):
-    """Pairs of one block of a shingle's classes against another that the bounds allow and that are not connected yet."""
-    t = {c: table.column(c).to_numpy() for c in ("cls", "n", "left", "root", "side")}
-    sig = [np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()]
-    same_block = key[1].as_py() == key[2].as_py()
-    left = np.flatnonzero(t["side"] == 0)
-    right = left if same_block else np.flatnonzero(t["side"] == 1)
-    found = []
-    widths = {}
-    for i in right.tolist():
-        widths.setdefault(len(sig[i]), []).append(i)
+def _block_pairs(t: dict[str, np.ndarray], sig: list[np.ndarray], runs: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of one block against another that the bounds allow, not connected yet, in the first run that both are in."""
+    same = left is right
+    widths: dict[int, list[int]] = {}
+    for j in right.tolist():
+        widths.setdefault(len(sig[j]), []).append(j)
     for w, idx in widths.items():
         idx = np.array(idx)
-        m = np.stack([sig[i] for i in idx])
+        m = np.stack([sig[j] for j in idx])
         for i in left.tolist():
-            n = int(t["n"][i])
-            need = overlap_for(n, t["n"][idx].astype(np.int64))
-            ok = (np.minimum(t["left"][i], t["left"][idx]) >= need) & (t["root"][idx] != t["root"][i])
-            if same_block:
+            need = overlap_for(int(t["n"][i]), t["n"][idx])
+            ok = (t["root"][idx] != t["root"][i]) & (np.minimum(t["n"][i], t["n"][idx]) >= need) & ~(t["guest"][i] & t["guest"][idx])
+            if same:
                 ok &= t["cls"][idx] > t["cls"][i]
             k = np.flatnonzero(ok)
             if not len(k):
                 continue
             v = min(w, len(sig[i]))
             differ = np.bitwise_count(folded(m[k], v) ^ folded(sig[i], v)).sum(1, dtype=np.int64)
-            k = k[(n + t["n"][idx[k]] - differ) // 2 >= need[k]]
-            c = t["cls"][idx[k]]
-            found.append(np.stack([np.minimum(c, t["cls"][i]), np.maximum(c, t["cls"][i])], 1))
-    f = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pa.table([pa.array(f[:, 0], pa.int64()), pa.array(f[:, 1], pa.int64())], ["a", "b"])
+            for j in idx[k[(t["n"][i] + t["n"][idx[k]] - differ) // 2 >= need[k]]].tolist():
+                if np.intersect1d(runs[i], runs[j], assume_unique=True)[0] == t["run"][i]:
+                    yield i, j
+
+
+def _blocks(table):
+    """Candidate pairs of all block pairs in one bucket."""
+    t = {c: table.column(c).to_numpy() for c in ("run", "band", "kind", "i", "j", "cls", "n", "root", "side")}
+    t["guest"] = np.asarray(table.column("guest"))
+    sig = [np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()]
+    runs = [np.array(x, np.int64) for x in table.column("runs").to_pylist()]
+    keys = ("j", "i", "kind", "band", "run")
+    order = np.lexsort([t[k] for k in keys])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= t[k][order][1:] != t[k][order][:-1]
+    found = []
+    for rows in np.split(order, np.flatnonzero(new)):
+        left = rows[t["side"][rows] == 0]
+        right = left if t["kind"][rows[0]] == 0 and t["i"][rows[0]] == t["j"][rows[0]] else rows[t["side"][rows] == 1]
+        found += _block_pairs(t, sig, runs, left, right)
+    f = t["cls"][np.array(found, np.int64).reshape(-1, 2)]
+    return pa.table([pa.array(f.min(1), pa.int64()), pa.array(f.max(1), pa.int64())], ["a", "b"])
+
+
+def _remaining(banded: DataFrame, runs: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs of long runs whose classes are not connected yet and whose bit counts allow a link.
+
+    In each band of a run the component with most members is its major one, and
+    needs no comparison with itself: the others are dealt out in blocks, against
+    each other and against blocks of the major one."""
+    spark = banded.sparkSession
+    held = banded.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    per_root = held.groupBy("run", "band", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per_root.groupBy("run", "band").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    in_blocks = lambda m: F.greatest(F.lit(1), F.ceil(m / BLOCK)).cast("int")
+    mixed = mixed.select("run", "band", "major", in_blocks(F.col("m") - F.col("most")).alias("minors"), in_blocks(F.col("most")).alias("majors"))
+    held = held.join(mixed, ["run", "band"]).withColumn("minor", F.col("root") != F.col("major"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own, one = F.col("own"), F.lit(1)
+    with_minors = F.transform(places("minors"), lambda k: place(0, F.least(own, k), F.greatest(own, k), (own > k).cast("int")))
+    with_majors = F.transform(places("majors"), lambda k: place(1, own, k, F.lit(0)))
+    of_major = F.transform(places("minors"), lambda k: place(1, k, own, one))
+    held = held.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(with_minors, with_majors)).otherwise(of_major)))
+    held = cut(held.select("run", "band", "at.*", "cls", "n", "root", "guest"), "blocks")
+    buckets = max(partitions(spark), -(-held.count() // BUCKET_ROWS))
+    held = held.join(sigs.select("cls", "sig"), "cls").join(runs, "cls").withColumn("bucket", F.pmod(F.xxhash64("run", "band", "kind", "i", "j"), F.lit(buckets)))
+    return held.groupBy("bucket").applyInArrow(lambda table: _blocks(table), "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+    """(doc_id, n_shingles, component_id, text_hash, group_id) for every row of docs.
+
+    group_id names the component also where ids are null or repeated; it is null for documents without shingles."""
     spark = docs.sparkSession
-    n_tiles = 2 * partitions(spark)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
 
-    first = cut(texts.mapInArrow(_classes, "doc_id long, n long, cls long, token long, df long"), "classes")
-    members = first.filter(F.col("cls").isNotNull()).select("doc_id", "n", "cls")
-    shared = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(MOST_SHARED).collect()
-    tokens = np.array([r["token"] for r in shared], np.int64).view(U)  # at most MOST_SHARED
+    first = cut(texts.mapInArrow(_classes, "doc_id long, text_hash long, n long, cls long, token long, df long"), "classes")
+    members = first.filter(F.col("cls").isNotNull()).select("doc_id", "text_hash", "n", "cls")
+    shared = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(MOST_SHARED).toArrow()
+    tokens = shared.column("token").to_numpy().view(U)  # at most MOST_SHARED
+    hot = np.sort(tokens[shared.column("df").to_numpy() >= HOT_FROM])
     order = np.argsort(tokens)
     tokens, rank = tokens[order], np.arange(len(tokens), 0, -1)[order]
 
-    kind, prefixes = _prefixes(tokens, rank, n_tiles)
+    entries = members.agg(F.sum("n")).first()[0] or 0
+    n_tiles = max(2 * partitions(spark), -(-entries // TILE_SHINGLES))
+    kind, prefixes = _prefixes(tokens, rank, hot, n_tiles)
     lists = texts.select("text").mapInArrow(prefixes, "tile int, entries binary")
-    tiles = cut(lists.groupBy("tile").applyInArrow(_tile(kind), "what int, a long, b long, token long, n long, left long"), "tiles")
-    neighbours = cut(tiles.filter("what = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("tiles")), "neighbours")
-    others = tiles.filter("what = 1").select("a", "b").distinct()
-    long_runs = tiles.filter("what = 2").groupBy(F.col("a").alias("cls"), "token", "n").agg(F.max("left").alias("left"))
+    tiles = cut(lists.groupBy("tile").applyInArrow(_tile(kind, hot), "a long, b long, run long, n long, length long"), "tiles")
+    long_runs = tiles.filter("b is null").select(F.col("a").alias("cls"), "run", "n", "length").dropDuplicates(["cls", "run"])
+
+    # a member of a size band of a run stands in it and, as a guest, in the next one, as linked sets are of the same or of neighbouring bands
+    score = long_runs.groupBy("cls").agg(F.sum("length").alias("score"), F.sort_array(F.collect_list("run")).alias("runs"))
+    runs = cut(score, "runs")
+    band = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR))
+    banded = long_runs.join(runs.select("cls", "score"), "cls").withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
+    banded = cut(banded.select("run", "at.band", "at.guest", "cls", "n", "score"), "banded")
+    # stars: the member that shares most, as an original does with its copies, against every other one of its band
+    centre = banded.groupBy("run", "band").agg(F.max(F.struct("score", "cls", "n")).alias("c"))
+    stars = banded.join(centre, ["run", "band"]).filter(f"cls <> c.cls and {DENOMINATOR} * least(n, c.n) >= {NUMERATOR} * greatest(n, c.n)")
+    stars = stars.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
+    pairs = cut(tiles.filter("b is not null").select("a", "b").unionByName(stars).distinct(), "pairs")
 
     # signatures of the classes that meet another one, from one document of each
-    meet = tiles.select(F.explode(F.when(F.col("what") < 2, F.array("a", "b")).otherwise(F.array("a"))).alias("cls")).distinct()
+    meet = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(runs.select("cls")).distinct()
     reps = cut(members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(meet, "cls"), "representatives")
     sigs = cut(_of_classes(texts, reps, reps, "sig"), "signatures")
+    side = lambda x: sigs.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "sig")])
+    allowed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long")
+    links = _linked(cut(allowed, "allowed"), texts, reps)
+    roots = cut(components(links), "roots")
+    more = _linked(cut(_remaining(banded, runs, roots, sigs), "remaining"), texts, reps)
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs between different components, with their roots."""
-        root = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-        out = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        return out.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b")).filter("root_a <> root_b")
-
-    # as in a spanning forest: the best neighbour of each component first, so that few of the many pairs of a group are checked
-    links, tested, roots = [], [], spark.createDataFrame([], "id long, root long")
-    for _ in range(FOREST_ROUNDS):
-        best = cut(_best_of_each(apart(neighbours, roots)), "best")
-        if tested and not best.limit(1).count():
-            break
-        tested.append(best)
-        links.append(_linked(best, texts, reps, sigs))
-        roots = cut(components(functools.reduce(DataFrame.unionByName, links)), "roots")
-        neighbours = neighbours.join(best, ["a", "b"], "left_anti")
-    remaining = apart(neighbours.select("a", "b").unionByName(others), roots).select("a", "b")
-
-    # long runs whose classes lie in several components
-    held = long_runs.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    held = held.join(mixed, "token").join(sigs.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "left", "root", "sig", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocks = held.groupBy("token", "i", "j").applyInArrow(_blocks, "a long, b long")
-    remaining = remaining.unionByName(blocks).distinct().join(functools.reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-    links.append(_linked(cut(remaining, "remaining"), texts, reps, sigs))
-
-    whole = components(functools.reduce(DataFrame.unionByName, links))
-    named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group", F.coalesce("root", "cls"))
-    lowest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    linked = named.select("doc_id", "n", "group").join(lowest, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    whole = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group_id", F.coalesce("root", "cls"))
+    lowest = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id"]
+    alone = members.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.lit(None).cast("long"))
+    return named.join(lowest, "group_id").select(*columns).unionByName(alone.select(*columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""
