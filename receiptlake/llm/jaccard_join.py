@@ -8,15 +8,16 @@ all further work is done once for a class.
    in one of them (prefix filter), within the size and position bounds. Lists
    travel as packed arrays, one for each tile of the shingle space; the number
    of tiles follows the data. A shingle's classes are a run, ordered by size.
-2. Short runs are paired at once. Long runs are split in size bands a threshold
-   wide; a band is compared with itself and the next one only. First every
+2. Short runs are paired at once. Long runs with the same least class are one
+   group, split in size bands a threshold wide; a band is compared with itself
+   and the next one only. First every
    member is paired with its neighbour and with the band's most sharing member,
    so that a group of m near copies costs about m pairs. Hashed bitmap
    signatures bound the overlap from above by their bit counts, and sorted
    arrays are intersected exactly where the bound allows a link. The links give
    first components.
 3. Every other pair of a band whose classes are not connected yet is checked in
-   the same way, in blocks against blocks, once for all runs that hold it. The
+   the same way, in blocks against blocks, once for all groups that hold it. The
    largest component of a band is only compared with the others, as pairs
    inside one component can't change it.
 
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -199,7 +200,7 @@ def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _tile(kind: np.dtype, hot: np.ndarray):
-    """Of one tile: pairs of short runs and of neighbours in long ones, then the members (class, run, size, length of the run) of long ones."""
+    """Of one tile: pairs of short runs and of neighbours in long ones, then the members (class, group of runs, size, lengths of its runs) of long ones."""
 
     def out(a, b=None, run=None, n=None, length=None):
         full = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
@@ -227,15 +228,15 @@ def _tile(kind: np.dtype, hot: np.ndarray):
             pairs.append(np.stack([np.minimum(x["cls"], y["cls"])[ok], np.maximum(x["cls"], y["cls"])[ok]], 1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         tables.append(out(pairs[:, 0], pairs[:, 1]))
-        # long runs with the same members are one, named by them
+        # long runs are named by their least class: those of one passage, or of one group of copies, mostly are one group then
         long, run_no, length = r[length > SHORT_RUN], run_no[length > SHORT_RUN], length[length > SHORT_RUN]
         if len(long):
             at = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
-            named = np.repeat(K.mix(np.add.reduceat(K.mix(long["cls"].view(U)), at)), np.diff(np.append(at, len(long))))
+            named = np.repeat(np.minimum.reduceat(long["cls"], at), np.diff(np.append(at, len(long))))
             order = np.lexsort((long["cls"], named))
             long, named, length = long[order], named[order], length[order]
             at = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (long["cls"][1:] != long["cls"][:-1])]))
-            tables.append(out(long["cls"][at], None, named[at].view(np.int64), long["n"][at], length[at]))
+            tables.append(out(long["cls"][at], None, named[at], long["n"][at], np.add.reduceat(length, at)))
         return pa.concat_tables(tables)
 
     return tile
@@ -342,14 +343,24 @@ def _blocks(table):
     return pa.table([pa.array(f.min(1), pa.int64()), pa.array(f.max(1), pa.int64())], ["a", "b"])
 
 
-def _remaining(banded: DataFrame, runs: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+def _bands() -> Column:
+    """A class of n shingles stands in its own size band and, as a guest, in the next one: sets that link are of the same or of neighbouring bands."""
+    band = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR))
+    return F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
+
+
+def _remaining(long_runs: DataFrame, runs: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs of long runs whose classes are not connected yet and whose bit counts allow a link.
 
-    In each band of a run the component with most members is its major one, and
-    needs no comparison with itself: the others are dealt out in blocks, against
-    each other and against blocks of the major one."""
-    spark = banded.sparkSession
-    held = banded.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    Groups of runs with more members than a block are split in size bands. In
+    each band the component with most members is its major one, and needs no
+    comparison with itself: the others are dealt out in blocks, against each
+    other and against blocks of the major one."""
+    spark = long_runs.sparkSession
+    sizes = long_runs.groupBy("run").agg(F.count(F.lit(1)).alias("members"))
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(False).alias("guest")))
+    banded = long_runs.join(sizes, "run").withColumn("at", F.explode(F.when(F.col("members") > BLOCK, _bands()).otherwise(whole)))
+    held = banded.select("run", "at.band", "at.guest", "cls", "n").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     per_root = held.groupBy("run", "band", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = per_root.groupBy("run", "band").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     in_blocks = lambda m: F.greatest(F.lit(1), F.ceil(m / BLOCK)).cast("int")
@@ -389,15 +400,11 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     kind, prefixes = _prefixes(tokens, rank, hot, n_tiles)
     lists = texts.select("text").mapInArrow(prefixes, "tile int, entries binary")
     tiles = cut(lists.groupBy("tile").applyInArrow(_tile(kind, hot), "a long, b long, run long, n long, length long"), "tiles")
-    long_runs = tiles.filter("b is null").select(F.col("a").alias("cls"), "run", "n", "length").dropDuplicates(["cls", "run"])
+    long_runs = cut(tiles.filter("b is null").groupBy(F.col("a").alias("cls"), "run", "n").agg(F.sum("length").alias("length")), "long-runs")
+    runs = cut(long_runs.groupBy("cls").agg(F.sum("length").alias("score"), F.sort_array(F.collect_list("run")).alias("runs")), "runs")
 
-    # a member of a size band of a run stands in it and, as a guest, in the next one, as linked sets are of the same or of neighbouring bands
-    score = long_runs.groupBy("cls").agg(F.sum("length").alias("score"), F.sort_array(F.collect_list("run")).alias("runs"))
-    runs = cut(score, "runs")
-    band = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR))
-    banded = long_runs.join(runs.select("cls", "score"), "cls").withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
-    banded = cut(banded.select("run", "at.band", "at.guest", "cls", "n", "score"), "banded")
     # stars: the member that shares most, as an original does with its copies, against every other one of its band
+    banded = long_runs.join(runs.select("cls", "score"), "cls").withColumn("at", F.explode(_bands())).select("run", "at.band", "cls", "n", "score")
     centre = banded.groupBy("run", "band").agg(F.max(F.struct("score", "cls", "n")).alias("c"))
     stars = banded.join(centre, ["run", "band"]).filter(f"cls <> c.cls and {DENOMINATOR} * least(n, c.n) >= {NUMERATOR} * greatest(n, c.n)")
     stars = stars.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
@@ -411,7 +418,7 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     allowed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long")
     links = _linked(cut(allowed, "allowed"), texts, reps)
     roots = cut(components(links), "roots")
-    more = _linked(cut(_remaining(banded, runs, roots, sigs), "remaining"), texts, reps)
+    more = _linked(cut(_remaining(long_runs, runs, roots, sigs), "remaining"), texts, reps)
 
     whole = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group_id", F.coalesce("root", "cls"))
