@@ -1,27 +1,33 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A store keeps, for every line key seen, the number of documents that hold it.
-Each batch of documents becomes one run, sorted by hash, on level 0; when a
-level holds ``fanout`` runs they are merged into one run of the next level. A
-batch merge-anti-joins the runs, so its own lines are told apart from known
-ones without rewriting what is stored. DataFrame operations only.
-
-Defined results: a null or empty text is one empty line; a document is a row,
-so repeated rows count as often as they occur; null ids form documents as any
-other id does; other columns pass through ``drop_common_lines`` unchanged.
-Keys are compared by 96 bits of hash (xxhash64 and murmur3).
+A store keeps runs of line keys, bucketed and sorted by hash, so that runs are
+merged without a shuffle. Each batch of documents merge-anti-joins the runs:
+keys that none of them holds become a run of their own on level 0, so that a
+key stands in one run only; what the batch adds to known keys is logged as
+increments. When a level holds ``fanout`` runs they are compacted into one run
+of the next level. A key's documents are its run's plus its increments. The
+number of batches follows the size of the texts. DataFrame operations only.
+
+Defined results: a null or empty text is one empty line; rows of one id are one
+document when documents are counted, and rows without an id are one if their
+texts are equal; every row is rewritten for itself; other columns pass through
+``drop_common_lines`` unchanged, but for those named like a new one, which are
+replaced. Keys are compared by 96 bits of hash (xxhash64 and murmur3).
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, ascii_lower, cut, scratch
+from .shared import SPACE_CHARS, ascii_lower, cut, keyed, partitions, scratch
 
-MIN_CODE_POINTS, MIN_DOCUMENTS, FANOUT, BATCHES = 1, 10, 4, 4
+MIN_CODE_POINTS, MIN_DOCUMENTS, FANOUT = 1, 10, 4
+#: Text of a batch at most, and the least number of batches.
+BATCH_BYTES, BATCHES = 64 << 30, 2
 
 
 def lines_of(text: Column) -> Column:
@@ -36,75 +42,100 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2"))
 
 
-def document_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
-    """(id, h1, h2): the distinct keys of each document. The text is lower-cased once, before it is split."""
-    keys = F.array_distinct(F.transform(F.filter(F.transform(lines_of(ascii_lower(F.coalesce(docs[text_column], F.lit("")))), key_of), lambda k: F.char_length(k) >= min_code_points), _hashes))
-    return docs.select(docs[id_column], F.explode(keys).alias("k")).select(id_column, "k.h1", "k.h2")
+def document_keys(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
+    """(id, doc, text_hash, h1, h2): the distinct keys of each row of ``keyed`` documents. The text is lower-cased once, before it is split."""
+    keys = F.array_distinct(F.transform(F.filter(F.transform(lines_of(ascii_lower(F.col("text"))), key_of), lambda k: F.char_length(k) >= min_code_points), _hashes))
+    return docs.select("id", "doc", "text_hash", F.explode(keys).alias("k")).select("id", "doc", "text_hash", "k.h1", "k.h2")
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n_docs) under one folder that all executors share."""
+    """Levelled runs of (h1, h2, n_docs) under one folder that all executors share; every key stands in one run."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{scratch(spark)}/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = [[]]
+    SCHEMA = "h1 long, h2 int, n_docs long"
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        at = f"{self.folder}/level{level}/{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(at)
-        self.levels[level].append(at)
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or partitions(spark)
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.folder = folder or f"{scratch(spark)}/{self.name}"
+        self.levels: list[list[DataFrame]] = [[]]
+        self.increments: list[DataFrame] = []
+        self.written = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 int, n_docs long").parquet(*paths)
+    def _write(self, counts: DataFrame) -> DataFrame:
+        """A bucketed and sorted table; only its files are kept, not its name in the catalog."""
+        self.written += 1
+        name = f"{self.name}_{self.written}"
+        counts.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{self.written}").option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Take the names of all tables out of the catalog. What was read from them stays valid."""
+        for k in range(1, self.written + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no run holds: merge joins over equal buckets."""
+        for run in self.runs():
+            keys = keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of distinct (document, key) rows as one sorted run, then compact full levels."""
-        self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")), 0)
+        """Add a batch of (doc, h1, h2) rows, none of whose documents is in another batch, then compact full levels."""
+        batch = keys.select("doc", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
+        if self.runs():
+            batch = self._write(batch)
+            fresh = self._write(self.unseen(batch))
+            self.increments.append(batch.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"))
+        else:
+            fresh = self._write(batch)
+        self.levels[0].append(fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._read(self.levels[level]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+            merged = functools.reduce(DataFrame.unionByName, self.levels[level]).repartition(self.buckets, "h1", "h2")
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self._write(merged, level + 1)
+            self.levels[level + 1].append(self._write(merged))
             self.levels[level] = []
             level += 1
 
     def counts(self) -> DataFrame:
-        """(h1, h2, n_docs) over all runs; a key may stand in one run of each level."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 int, n_docs long")
-        runs = self._read(paths)
-        if len(paths) == 1:
-            return runs
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of a batch whose key no run holds."""
-        return keys.join(self.counts(), ["h1", "h2"], "left_anti")
+        """(h1, h2, n_docs) over all runs and increments."""
+        parts = self.runs() + self.increments
+        if not parts:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return functools.reduce(DataFrame.unionByName, parts).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = BATCH_BYTES, fanout: int = FANOUT, keep_first: bool = False) -> DataFrame:
     """docs with ``_kept`` (the text without common lines), ``_n_lines`` and ``_n_dropped``.
 
-    A key found in min_documents documents or more loses all its lines. The
-    text is scanned twice: for its keys, and to be rewritten; only documents
+    A key found in min_documents documents or more loses all its lines; with
+    keep_first, but for those in the document with the smallest id that holds
+    it. The text is scanned for its keys and to be rewritten; only documents
     that hold a common line are split the second time."""
     spark = docs.sparkSession
-    keys = document_keys(docs, id_column, text_column, min_code_points)
-    keys = cut(keys.withColumn("batch", F.pmod(F.xxhash64(id_column), F.lit(batches)).cast("int")), "line-keys", ["batch"])
+    d = keyed(docs, id_column, text_column)
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = max(BATCHES, -(-size // batch_bytes))
+    keys = cut(document_keys(d, min_code_points).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
         runs.add(keys.filter(F.col("batch") == b))
-    common = runs.counts().filter(F.col("n_docs") >= min_documents).select("h1", "h2")
-    hits = keys.join(common, ["h1", "h2"], "left_semi").groupBy(F.col(id_column).alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_common"))
-    joined = docs.join(hits, docs[id_column].eqNullSafe(hits["_id"]), "left")
-    lines = lines_of(joined[text_column])
-    is_common = lambda line: F.array_contains(F.col("_common"), _hashes(ascii_lower(key_of(line))))
-    kept = F.when(F.col("_common").isNull(), lines).otherwise(F.filter(lines, lambda x: ~is_common(x)))
-    out = joined.withColumn("_lines", F.size(lines).cast("long")).withColumn("_left", kept)
-    return out.select(*[joined[c] for c in docs.columns], F.array_join("_left", "\n").alias("_kept"), F.col("_lines").alias("_n_lines"), (F.col("_lines") - F.size("_left")).alias("_n_dropped"))
+    common = cut(runs.counts().filter(F.col("n_docs") >= min_documents).select("h1", "h2"), "common-lines")
+    runs.close()
+    hits = keys.join(common, ["h1", "h2"], "left_semi")
+    if keep_first:
+        first = hits.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "doc")).alias("first"))
+        hits = hits.join(first, ["h1", "h2"]).filter("doc <> first.doc")
+    hits = hits.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("common"))
+    joined = d.join(hits, ["doc", "text_hash"], "left").withColumn("lines", lines_of(F.col("text")))
+    is_common = lambda line: F.array_contains(F.col("common"), _hashes(ascii_lower(key_of(line))))
+    joined = joined.withColumn("left", F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~is_common(x))))
+    new = {"_kept": F.array_join("left", "\n"), "_n_lines": F.size("lines").cast("long"), "_n_dropped": (F.size("lines") - F.size("left")).cast("long")}
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Base figures come from one document's text alone. The method's verdict adds:
 lines are normalised (white space joined, letters lower-cased, digits as 0) and
-hashed; a host's distinct documents that hold a line are counted, where copies
-of one text are one document; lines above the host's limit are removed; a
-document left with few words, and with less than half of its words, is rejected.
+hashed; a host's distinct documents that hold a line are counted; lines above
+the host's limit are removed; a document left with few words, and with less
+than half of its words, is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; repeated rows get the same figures; other
-columns are ignored. Lines are compared by 64-bit hashes, word windows by
+null host is a host of its own; rows of one id are one document when documents
+are counted, rows without an id if their texts are equal; repeated rows get the
+same figures; other columns are ignored. Lines are compared by 64-bit hashes, word windows by
 64-bit hashes inside one document.
 """
 
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, cut, keyed
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LIMIT_SHARE, LIMIT_LEAST, KEEP_SHARE = 0.02, 10, 0.5
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def words_of(text: Column) -> Column:
@@ -66,37 +68,36 @@ def base_figures(docs: DataFrame, keep: list[str], text_column: str = "text", mi
     gaps = F.zip_with(_shifted(F.col("_q"), 0, m), _shifted(F.col("_q"), 1, m), lambda a, b: F.least(F.lit(3), b - a))
     covered = F.when(m >= 0, F.aggregate(gaps, F.lit(3), lambda s, x: s + x)).otherwise(0)
     d = d.withColumn("n_repeat_words", covered.cast("long")).drop("_q")
-    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return d.select(*keep, *figures, failed.alias("base_failed"))
+    return d.select(*keep, *FIGURES, failed.alias("base_failed"))
 
 
 def normalised(line: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(F.regexp_replace(line, f"[{SPACE}]+", " "), "[0-9]", "0")))
 
 
-def depleted(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, keep_share: float = KEEP_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id): documents that their host's frequent lines leave with too few words."""
-    text = F.coalesce(docs[text_column], F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
+def depleted(d: DataFrame, limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST) -> DataFrame:
+    """(doc, text_hash, host, gone): the words in lines that too many documents of a host hold, for rows of ``keyed`` documents with a host."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     lines = F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n")))
-    rows = docs.select(docs[id_column].alias("_id"), docs[host_column].alias("_host"), F.xxhash64(text).alias("_text"), F.explode(lines).alias("l"))
-    # one row for each document and line: repeats of a line inside a document add their words
-    rows = rows.groupBy("_id", "_host", "_text", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
-    per_host = docs.select(docs[host_column].alias("_host"), F.xxhash64(text).alias("_text")).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
-    counts = rows.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_seen")).filter(F.col("_seen") > limit_least)
-    frequent = counts.join(per_host, counts["_host"].eqNullSafe(per_host["_host"])).filter(F.col("_seen") > limit_share * F.col("_docs")).select(counts["_host"].alias("_fhost"), F.col("h").alias("_fh"))
-    gone = rows.join(frequent, rows["_host"].eqNullSafe(frequent["_fhost"]) & (rows["h"] == frequent["_fh"])).groupBy("_id").agg(F.sum("n").alias("_gone"))
-    return gone
-
-
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", **limits) -> DataFrame:
-    base = base_figures(docs, [id_column], text_column)
-    gone = depleted(docs, id_column, host_column, text_column, **limits)
-    left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0))
-    out = base.join(gone, base[id_column].eqNullSafe(gone["_id"]), "left")
-    verdict = (left >= MIN_WORDS) | (left >= KEEP_SHARE * F.col("n_words"))
-    return out.select(*base.columns, left.alias("n_words_left"), (~F.col("base_failed") & verdict).alias("kept"))
+    rows = cut(d.select("doc", "text_hash", "host", F.posexplode(lines).alias("place", "l")).select("doc", "text_hash", "host", "place", "l.h", "l.n"), "lines")
+    per_host = d.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    counts = rows.select("host", "h", "doc").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > limit_least)
+    frequent = counts.join(per_host, counts["host"].eqNullSafe(per_host["host"])).filter(F.col("seen") > limit_share * F.col("docs")).select(counts["host"].alias("at"), F.col("h").alias("line"))
+    hits = rows.join(frequent, rows["host"].eqNullSafe(frequent["at"]) & (rows["h"] == frequent["line"])).select("doc", "text_hash", "host", "place", "n")
+    # equal rows hold the same lines at the same places: they count once
+    return hits.distinct().groupBy("doc", "text_hash", "host").agg(F.sum("n").alias("gone"))
+
+
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", keep_share: float = KEEP_SHARE, min_words: int = MIN_WORDS, **limits) -> DataFrame:
+    """The id, the base figures, n_words_left and kept for every row of docs."""
+    d = keyed(docs, id_column, text_column, docs[host_column].alias("host"))
+    base = base_figures(d, ["id", "doc", "text_hash", "host"], "text", min_words)
+    gone = depleted(d, **limits).select(F.col("doc").alias("d"), F.col("text_hash").alias("t"), F.col("host").alias("at"), "gone")
+    left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
+    out = base.join(gone, (base["doc"] == gone["d"]) & (base["text_hash"] == gone["t"]) & base["host"].eqNullSafe(gone["at"]), "left")
+    verdict = (left >= min_words) | (left >= keep_share * F.col("n_words"))
+    return out.select(F.col("id").alias(id_column), *FIGURES, "base_failed", left.alias("n_words_left"), (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,28 +105,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-ln AS (SELECT doc_id, source, hash(t) AS th, unnest(string_split(t, chr(10))) AS line FROM d),
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), 't' || hash(coalesce(text, ''))) AS doc FROM documents),
+w AS (SELECT rn, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+ln AS (SELECT rn, doc, source, unnest(string_split(t, chr(10))) AS line FROM d),
 l AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
         lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))) AS k
       FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
-        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-cov AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id),
+dup AS (SELECT rn, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rn),
+win AS (SELECT rn, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+        FROM (SELECT rn, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT rn, i FROM win QUALIFY count(*) OVER (PARTITION BY rn, g) > 1),
+cov AS (SELECT rn, count(DISTINCT j) AS n_repeat_words FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rn),
 base AS (
-  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  SELECT w.rn, w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
-hosts AS (SELECT source, count(DISTINCT hash(t)) AS n_docs FROM d GROUP BY source),
+  FROM w LEFT JOIN dup USING (rn) LEFT JOIN cov USING (rn)),
+hosts AS (SELECT source, count(DISTINCT doc) AS n_docs FROM d GROUP BY source),
 freq AS (SELECT l.source, k FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, k, n_docs
-         HAVING count(DISTINCT th) > 10 AND count(DISTINCT th) > 0.02 * n_docs),
-gone AS (SELECT doc_id, sum(n) AS gone FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.k = freq.k GROUP BY doc_id),
+         HAVING count(DISTINCT doc) > 10 AND count(DISTINCT doc) > 0.02 * n_docs),
+gone AS (SELECT rn, sum(n) AS gone FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.k = freq.k GROUP BY rn),
 f AS (SELECT base.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-             n_words - coalesce(gone, 0) AS left_over FROM base LEFT JOIN gone USING (doc_id))
+             n_words - coalesce(gone, 0) AS left_over FROM base LEFT JOIN gone USING (rn))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CAST(left_over AS BIGINT) AS n_words_left,
        (NOT base_failed AND (left_over >= 50 OR left_over >= 0.5 * n_words)) AS kept FROM f
 """

@@ -47,5 +47,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when((F.octet_length(c) == F.char_length(c)) | ~odd, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def keyed(docs: DataFrame, id_column: str, text_column: str, *others: Column) -> DataFrame:
+    """(row, id, text, text_hash, doc, *others): every row of docs as a struct, with the keys of a document.
+
+    ``doc`` names the document: rows of one id are one, rows without an id are one if their texts are equal.
+    (doc, text_hash) names a row but for equal ones, in any order and partitioning, so that results can be joined back."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    d = docs.select(row.alias("row"), docs[id_column].alias("id"), F.coalesce(docs[text_column], F.lit("")).alias("text"), *others)
+    d = d.withColumn("text_hash", F.xxhash64("text"))
+    return d.withColumn("doc", F.when(F.col("id").isNull(), F.col("text_hash")).otherwise(F.xxhash64("id")))
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from receiptlake.llm import ann, html_text, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, textkernel, toxicity
 
@@ -98,10 +99,11 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-def test_jaccard_join(docs, texts, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SHORT_RUN", 3)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "FOREST_ROUNDS", 1)
+@pytest.mark.parametrize(("short_run", "block", "hot_from", "shared_from"), [(8, 512, 100_000, 6), (3, 4, 100_000, 6), (2, 2, 3, 2)])
+def test_jaccard_join(docs, texts, monkeypatch, short_run, block, hot_from, shared_from):
+    """With the production limits, and with small ones that send runs to blocks and shingles to all tiles."""
+    for name, value in (("SHORT_RUN", short_run), ("BLOCK", block), ("HOT_FROM", hot_from), ("SHARED_FROM", shared_from)):
+        monkeypatch.setattr(jaccard_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(docs).collect()}
     assert got == brute_components(texts)
 
@@ -109,8 +111,38 @@ def test_jaccard_join(docs, texts, monkeypatch):
 def test_jaccard_join_of_nothing_and_of_repeated_rows(spark, none):
     assert jaccard_join.near_duplicate_groups(none).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, None)]
-    got = sorted(map(tuple, jaccard_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (9, 0, 9)], key=str)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(table).na.fill(-1, ["doc_id"]).collect())
+    assert got == [(-1, 2, 5), (5, 2, 5), (5, 2, 5), (9, 0, 9)]
+
+
+def test_near_copies_of_one_text_cost_no_pairs_within_a_group(spark, monkeypatch):
+    """Copies that each differ from the original, and from each other too much to link: stars find the original; near misses stay apart."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(6)
+    original = [f"w{i}" for i in range(200)]
+    texts = [" ".join(original)]
+    for k in range(60):
+        w = list(original)
+        for i in rng.sample(range(200), 5 if k % 6 else 14):
+            w[i] = f"x{k}_{i}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(docs).collect()}
+    want = brute_components(texts)
+    assert got == want and len({c for _, c in want.values()}) > 1
+
+
+def test_components_of_paths_and_hubs(spark):
+    from receiptlake.llm.linkage import components
+
+    rng = random.Random(8)
+    path = [(i, i + 1) for i in range(300)]
+    hub = [(1000, 1001 + i) for i in range(300)]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in path + hub + [(7, 7), (5000, 4000)]]
+    rng.shuffle(edges)
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1301)} | {4000: 4000, 5000: 4000}
 
 
 def test_line_dedup(docs, texts, none):
@@ -127,13 +159,27 @@ def test_line_dedup(docs, texts, none):
     assert line_dedup.drop_common_lines(none).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    """Rows of one id are one document; ids that are null are documents by their texts; clashing names pass or are replaced."""
+    rows = [(1, "x\ny", 1, 2, 3)] * 3 + [(2, "x", 1, 2, 3), (None, "x", 1, 2, 3), (None, "x", 1, 2, 3), (None, "x\nz", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _common int, _kept int")
+    out = line_dedup.drop_common_lines(docs, min_documents=4)
+    assert out.columns == ["doc_id", "text", "_id", "_common", "_kept", "_n_lines", "_n_dropped"]
+    assert sorted(r["_kept"] for r in out.collect()) == ["", "", "", "y", "y", "y", "z"]
+    assert all(r["_n_dropped"] == 0 for r in line_dedup.drop_common_lines(docs, min_documents=5).collect())
+    first = line_dedup.drop_common_lines(docs, min_documents=4, keep_first=True)
+    assert sorted(r["_kept"] for r in first.collect()) == ["", "", "", "x\ny", "x\ny", "x\ny", "z"]
+
+
 def test_line_runs_keep_counts_through_compaction(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(k, 1, 1), (k, 10 + k, 1)], "doc_id long, h1 long, h2 int"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+        runs.add(spark.createDataFrame([(k, 1, 1), (k, 10 + k, 1), (k, 10 + k, 1)], "doc long, h1 long, h2 int"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and sum(r.count() for r in runs.runs()) == 6
     assert {r["h1"]: r["n_docs"] for r in runs.counts().collect()} == {1: 5} | {10 + k: 1 for k in range(5)}
-    assert runs.unseen(spark.createDataFrame([(0, 1, 1), (0, 99, 1)], "doc_id long, h1 long, h2 int")).count() == 1
+    assert runs.unseen(spark.createDataFrame([(0, 1, 1), (0, 99, 1)], "doc long, h1 long, h2 int")).count() == 1
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
 
 
 def test_quality_rules(docs, texts, none):
@@ -151,10 +197,14 @@ def test_quality_rules(docs, texts, none):
 
 
 def test_quality_rules_reject_what_frequent_lines_leave_empty(spark):
+    """Rows of one id count as one document of a host; every row loses its own lines, however often it occurs."""
     line = "word " * 30 + "end"
     rows = [(i, "h", f"{line} {chr(97 + i)}\n{line}\n{line}") for i in range(15)] + [(50, "h", " ".join(f"w{k}" for k in range(80)))]
-    got = {r["_id"] for r in line_quality.depleted(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
-    assert got == set(range(15))
+    rows += [rows[0]] * 3 + [(None, "h", rows[1][2]), (60, None, rows[1][2])] + [(70 + k % 2, "g", f"{line}\n{' '.join(f'v{k}_{j}' for j in range(60))}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_id", F.lit(1)).withColumn("host", F.lit("x")).repartition(4)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_words_left"], r["kept"]) for r in line_quality.quality_rules(docs).collect())
+    want = [(i, 32, False) for i in range(15)] + [(0, 32, False)] * 3 + [(50, 80, True), (60, 94, False)] + [(70 + k % 2, 91, True) for k in range(12)]
+    assert got == [(False, *w) for w in sorted(want)] + [(True, None, 32, False)]
 
 
 def test_mixing(docs, texts, none):
@@ -185,6 +235,20 @@ def test_mixing(docs, texts, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, f"w {k}", "a", 1, 2) for k in range(40)] + [(7, "one two three", "a", 1, 2)] * 30 + [(8, "x", None, 1, 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, size int").repartition(3)
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["copies"] <= 2 for r in got)
+    for s, most in (("a", 3), (None, 1)):
+        rs = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in rs) - rs[0]["target"]) <= most / 2
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    taken = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert sum(taken.values()) == sum(r["copies"] for r in got) and taken[7, "one two three"] == sum(r["copies"] for r in got if r["doc_id"] == 7)
+
+
 def test_mixing_combines_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     monkeypatch.setattr(mixing, "FAN", 3)

@@ -36,7 +36,8 @@ def test_stages(spark, tmp_path):
 
     keys = {i: [line.strip(" \t\n\x0b\x0c\r").translate(LOWER) for line in t.split("\n")] for i, t in first.items()}
     n = collections.Counter(k for ks in keys.values() for k in {*ks} if k)
-    kept = {i: "\n".join(line for line, k in zip(first[i].split("\n"), ks, strict=True) if not (k and n[k] >= 10)) for i, ks in keys.items()}
+    holder = {k: min(i for i, ks in keys.items() if k in ks) for k in n}
+    kept = {i: "\n".join(line for line, k in zip(first[i].split("\n"), ks, strict=True) if not (k and n[k] >= 10) or holder[k] == i) for i, ks in keys.items()}
     kept = {i: t for i, t in kept.items() if WORD.search(t)}
     assert {r["doc_id"]: r["text"] for r in seen[1]} == kept and all(r["n_chars"] == len(r["text"]) for r in seen[1])
 
@@ -57,3 +58,24 @@ def test_stages(spark, tmp_path):
     for r in seen[4]:
         packed[r["doc_id"]] += r["length"]
     assert packed == {i: tokens[i] * c for i, c in copies.items()}
+
+
+def test_rows_without_ids_and_repeated_ids_stay(spark):
+    """Stages 2 to 5 lose no text for want of a distinct id: nulls, two texts under one id, equal rows."""
+    word = lambda k: " ".join(f"t{k}_{i}" for i in range(30))
+    rows = [(None, word(1)), (None, word(2)), (3, word(3)), (3, word(4)), (5, word(5)), (5, word(5)), (None, word(5)), (6, "ab"), (6, "ab")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    lines = pipeline.drop_lines(spark, docs, "")
+    assert lines.count() == len(rows)
+    one = pipeline.one_of_each_group(spark, lines, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one) == sorted([(0, word(1)), (0, word(2)), (3, word(3)), (3, word(4)), (5, word(5)), (6, "ab")])
+    mixed = pipeline.mix_sources(spark, docs, "").collect()
+    assert {r["text"] for r in mixed} <= {t for _, t in rows} and abs(len(mixed) - 1.5 * len(rows)) <= 2
+    assert pipeline.pack_sequences(spark, docs, "").agg({"doc_tokens": "count"}).first()[0] >= len(rows)
+
+
+def test_no_documents(spark, tmp_path):
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    assert pipeline.run(spark, sf_dir).count() == 0
