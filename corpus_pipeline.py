@@ -1,13 +1,14 @@
 """A corpus pipeline over ``documents``: each stage works on all that the one before it kept.
 
 1. quality classifier: documents outside their language's perplexity bounds go;
-2. line dedup: lines that ten documents or more hold go, a text left without words goes with them;
-3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays;
+2. line dedup: lines that ten documents or more hold stay in the one with the smallest id only; texts left without words go;
+3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays, without an id only if none has one;
 4. mixing: every document is repeated as often as its source's target asks, or left out;
 5. packing: the rest becomes sequences of token ids, one row for each piece.
 
 All stages but the last return the columns of documents; n_chars follows the
-text. Stages with random or learned parts can't be told in SQL; tests compare
+text. Rows that are equal in id and text are one document in stage 3 and as many
+as they are elsewhere; rows without an id are told apart by their texts. Stages with random or learned parts can't be told in SQL; tests compare
 the pipeline with a plain version instead.
 """
 
@@ -29,19 +30,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_common_lines(docs).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
+    out = line_dedup.drop_common_lines(docs, keep_first=True).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
     return out.filter(F.col("text").rlike(f"[^{SPACE}]")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.near_duplicate_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(groups, F.col("doc_id") == F.col("_stays"), "left_semi").select(*docs.columns)
+    groups = jaccard_join.near_duplicate_groups(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    stays = groups.filter("group_id is not null").groupBy("group_id").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
+    stays = stays.unionByName(groups.filter("group_id is null").select("doc_id", "text_hash").distinct()).toDF("_id", "_hash")
+    named = docs.withColumn("_text", F.xxhash64("text"))
+    out = named.join(stays, named["doc_id"].eqNullSafe(stays["_id"]) & (named["_text"] == stays["_hash"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    out = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
