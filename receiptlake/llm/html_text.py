@@ -2,19 +2,21 @@
 
 A page is cut into blocks of text, each with its root-to-leaf path of tags and
 classes. For every path the length of its text, its punctuation and its linked
-text are summed and divided by its blocks; the ratio of the path is smoothed
-with those of the neighbouring blocks in page order and fused with its own. The
-content root is the article or main element with the most of it, or else the
-deepest element that holds most of it. All blocks under an article or main
-element are the text; under another root, blocks whose fused ratio, or whose
-part's, reaches a share of the page's mean. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments of readers are
-told by their tags, roles and class names before.
-
-Defined results: null, empty or text-free pages give an empty text; unclosed
-and crossing tags are closed as browsers do in the simple cases; a page cut
-off inside a tag or script loses that part; repeated rows are extracted each;
-other columns are ignored.
+text are summed and divided by its blocks; that ratio is weighed by what tags,
+roles and class names of the path say (menus, footers, adverts and the like
+weigh little, but are not dropped for it), smoothed with the ratios of the
+neighbouring blocks in page order, and fused with the smoothed one. Paths whose
+fused ratio reaches a share of the best path's are content. The content root is
+the article or main element with the most of it, or else the deepest element
+that holds most of it. Under an article or main element all paths of full
+weight are content; under another root, those between content paths and those
+in a part of the page that reaches the share as a whole.
+
+Defined results: null, empty or text-free pages give an empty text; attributes
+are read by HTML's rules, quoted or not; unclosed and crossing tags are closed
+as browsers do in the simple cases, in time linear in the page; a page cut off
+inside a tag or script loses that part; hidden elements are no text; repeated
+rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE = frozenset("nav header footer aside form button select option menu dialog head fieldset".split())
+ASIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
+NEVER = frozenset("head select option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -42,152 +44,207 @@ PARTS = frozenset(
 )
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = frozenset("p li h1 h2 h3 td tr".split())
 SCOPE = frozenset("ul ol dl table body article main section div".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|=|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 WITHOUT = re.compile(r"(?:no|with|without|has|have)[-_]")  # names that tell what stands in or beside an element, not what it is
-CONTENT_SHARE, ROOT_SHARE = 0.2, 0.6
+#: Weights of paths through elements that are no content by their kind, or by a class name; shares of the best path's ratio, of a page's content and of its text.
+ASIDE_WEIGHT, PART_WEIGHT = 0.05, 0.1
+CONTENT_SHARE, ROOT_SHARE, PATH_SHARE = 0.2, 0.6, 0.05
+
+
+class Node:
+    """An open or closed element: a link to its parent, and what it takes over from it."""
+
+    __slots__ = ("block", "heading", "inline", "name", "number", "parent", "path", "scope", "weight")
+
+    def __init__(self, parent, name: str, number: int, path: int, weight: float):
+        self.parent, self.name, self.number, self.weight = parent, name, number, weight
+        inline = name in INLINE
+        self.block = parent.block if parent and inline else self
+        self.path = parent.path if parent and inline else path
+        self.heading = (parent is not None and parent.heading) or name in HEADINGS
+        # open elements by name, since the last scope and since the last element that is not inline
+        self.scope = parent.scope if parent and name not in SCOPE else {}
+        self.inline = parent.inline if parent and inline else {}
 
 
 class Block:
-    __slots__ = ("aside", "heading", "linked", "nodes", "path", "pieces")
+    __slots__ = ("linked", "node", "pieces")
+
+    def __init__(self, node: Node):
+        self.node, self.pieces, self.linked = node, [], 0
 
-    def __init__(self, nodes: tuple, path: str, aside: bool, heading: bool):
-        self.nodes, self.path, self.aside, self.heading, self.pieces, self.linked = nodes, path, aside, heading, [], 0
 
+class Page:
+    """The elements of a page in order, and its blocks of text."""
 
-def blocks(page: str) -> list[tuple[Block, str]]:
-    """Blocks with their text, in page order. Nodes of a path are (name, number of the element)."""
-    stack: list[tuple[str, int, str, bool]] = []  # name, number, step of the path, aside
-    out: list[Block] = []
-    count, at, links = 0, 0, 0
-    current: Block | None = None
+    def __init__(self, page: str):
+        self.top = Node(None, "", 0, 0, 1.0)
+        self.nodes, self.out, self.stack = [self.top], [], [self.top]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.open: dict[str, int] = {}
+        self.current: Block | None = None
+        self.read(page)
 
-    def put(text: str) -> None:
-        nonlocal current
-        if current is None:
+    def put(self, text: str) -> None:
+        if self.current is None:
             if not text.strip():
                 return
-            path = [s for s in stack if s[0] not in INLINE]
-            current = Block(tuple((s[0], s[1]) for s in path), "/".join(s[2] for s in path), any(s[3] for s in stack), any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in path))
-            out.append(current)
-        current.pieces.append(text)
-        if links:
-            current.linked += len(text.strip())
-
-    while (start := page.find("<", at)) >= 0:
-        m = TOKEN.match(page, start)
-        if m is None:  # a sign, not a tag
-            put(html.unescape(page[at : start + 1]))
-            at = start + 1
-            continue
-        if start > at:
-            put(html.unescape(page[at:start]))
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
-            if page.startswith("<![CDATA[", m.start()):
-                put(page[m.start() + 9 : at - 3])
-            continue
-        if not m.group(1):
-            if name in RAW:
-                if not m.group(3).rstrip().endswith("/"):
-                    end = re.compile(rf"</{name}(?:[\s/][^>]*)?>|\Z", re.I).search(page, at)
-                    at = end.end()
-                continue
-            if name == "br" or name == "wbr":
-                if current is not None:
-                    put(" " if name == "br" else "")
+            self.current = Block(self.stack[-1])
+            self.out.append(self.current)
+        self.current.pieces.append(text)
+        if self.open.get("a"):
+            self.current.linked += len(text.strip())
+
+    def pop(self) -> str:
+        node = self.stack.pop()
+        self.open[node.name] -= 1
+        node.parent.scope[node.name] -= 1
+        if node.name in INLINE:
+            node.inline[node.name] -= 1
+        return node.name
+
+    def pop_to(self, names) -> None:
+        while self.pop() not in names:
+            pass
+
+    def push(self, name: str, attributes: str) -> None:
+        top = self.stack[-1]
+        if name not in INLINE:
+            self.current = None
+            if name in CLOSES_P and top.scope.get("p"):
+                self.pop_to(("p",))
+            same = SAME.get(name, ())
+            if any(self.stack[-1].scope.get(n) for n in same):
+                self.pop_to(same)
+            top = self.stack[-1]
+        a = {}
+        for k, v in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+            a.setdefault(k.lower(), v.strip("\"'").lower())
+        names = [c for c in (a.get("class", "") + " " + a.get("id", "")).split() if not WITHOUT.match(c)]
+        weight = 1.0
+        if name not in ("article", "main", "body", "html") and not PARTS.isdisjoint(re.split(r"[^a-z]+", " ".join(names))):
+            weight = PART_WEIGHT
+        own_header = name == "header" and (self.open.get("article") or self.open.get("main"))
+        if name in ASIDE and not own_header or a.get("role") in ROLES:
+            weight = ASIDE_WEIGHT
+        if name in NEVER or "hidden" in a or a.get("aria-hidden") == "true":
+            weight = 0.0
+        if attributes.endswith("/") and name not in INLINE and not re.search(r"=\s*[^\s\"']*/\Z", attributes):
+            return
+        step = f"{name}.{a['class']}" if "class" in a else name
+        path = top.path if name in INLINE else self.paths.setdefault((top.path, step), len(self.paths) + 1)
+        node = Node(top, name, len(self.nodes), path, min(weight, top.weight))
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open[name] = self.open.get(name, 0) + 1
+        top.scope[name] = top.scope.get(name, 0) + 1
+        if name in INLINE:
+            node.inline[name] = node.inline.get(name, 0) + 1
+
+    def read(self, page: str) -> None:
+        at = 0
+        while (start := page.find("<", at)) >= 0:
+            m = TOKEN.match(page, start)
+            if m is None:  # a sign, not a tag
+                self.put(html.unescape(page[at : start + 1]))
+                at = start + 1
                 continue
-            if name in VOID:
+            if start > at:
+                self.put(html.unescape(page[at:start]))
+            at = m.end()
+            name = (m.group(2) or "").lower()
+            if not name:
+                if page.startswith("<![CDATA[", start):
+                    self.put(m.group(0)[9:].removesuffix("]]>"))
+            elif m.group(1):
+                if name not in INLINE:
+                    self.current = None
+                if self.stack[-1].inline.get(name) if name in INLINE else self.open.get(name):
+                    self.pop_to((name,))
+            elif name in RAW:
+                if not m.group(3).rstrip().endswith("/"):
+                    at = re.compile(rf"</{name}(?:[\s/][^>]*)?>|\Z", re.I).search(page, at).end()
+            elif name in ("br", "wbr"):
+                if self.current is not None:
+                    self.put(" " if name == "br" else "")
+            elif name in VOID:
                 if name == "hr":
-                    current = None
-                continue
-            if name not in INLINE:
-                current = None
-                if name in CLOSES_P:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            links -= sum(s[0] == "a" for s in stack[k:])
-                            del stack[k:]
-                            break
-                        if stack[k][0] in SCOPE:
-                            break
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SAME.get(name, ()):
-                        links -= sum(s[0] == "a" for s in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            a = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
-            names = [c for c in (a.get("class", "") + " " + a.get("id", "")).split() if not WITHOUT.match(c)]
-            parts = set(re.split(r"[^a-z]+", " ".join(names)))
-            main = name in ("article", "main", "body", "html")
-            aside = name in ASIDE or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (not main and not parts.isdisjoint(PARTS))
-            if m.group(3).rstrip().endswith("/") and name not in INLINE:
-                continue
-            count += 1
-            stack.append((name, count, f"{name}.{a['class']}" if "class" in a else name, aside))
-            links += name == "a"
-        else:
-            if name not in INLINE:
-                current = None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
-    put(html.unescape(page[at:]))
-    texts = [(b, " ".join("".join(b.pieces).split())) for b in out]
-    return [(b, t) for b, t in texts if t]
+                    self.current = None
+            else:
+                self.push(name, m.group(3))
+        self.put(html.unescape(page[at:]))
 
+    def blocks(self) -> list[tuple[Block, str]]:
+        """Blocks with their text, in page order, but for hidden ones."""
+        texts = [(b, " ".join("".join(b.pieces).split())) for b in self.out if b.node.weight]
+        return [(b, t) for b, t in texts if t]
 
-def main_text(page: str) -> str:
-    found = [(b, t) for b, t in blocks(page) if not b.aside]
-    if not found:
-        return ""
-    # sums for each path: blocks, length, punctuation, linked text
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+
+def path_ratios(found: list[tuple[Block, str]]) -> dict[int, float]:
+    """The fused ratio of every path."""
+    sums: dict[int, list[float]] = {}
     for b, t in found:
-        s = sums[b.path]
+        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0, b.node.block.weight])
         s[0] += 1
         s[1] += len(t)
         s[2] += len(PUNCTUATION.findall(t))
         s[3] += min(b.linked, len(t))
-    ratio = {p: math.log1p(n_len / n) * (1 + math.log1p(n_punct / n)) * (1 - n_link / n_len) for p, (n, n_len, n_punct, n_link) in sums.items()}
-    own = [ratio[b.path] for b, _ in found]
-    kernel = (0.25, 0.5, 0.25)
-    smooth = [sum(w * own[min(max(i + k - 1, 0), len(own) - 1)] for k, w in enumerate(kernel)) for i in range(len(own))]
-    fused = [math.sqrt(max(0.0, a * b)) for a, b in zip(own, smooth, strict=True)]
-    weight = [f * len(t) for f, (_, t) in zip(fused, found, strict=True)]
-    held: dict[tuple, float] = defaultdict(float)
-    for w, (b, _) in zip(weight, found, strict=True):
-        for node in b.nodes:
-            held[node] += w
-    roots = [n for n in held if n[0] in ("article", "main")]
+    ratio = {p: w * math.log1p(n_len / n) * (1 + math.log1p(n_punct / n)) * (1 - n_link / n_len) for p, (n, n_len, n_punct, n_link, w) in sums.items()}
+    own = [ratio[b.node.path] for b, _ in found]
+    smooth = dict.fromkeys(sums, 0.0)
+    for i, (b, _) in enumerate(found):
+        smooth[b.node.path] += sum(w * own[min(max(i + k - 1, 0), len(own) - 1)] for k, w in enumerate((0.25, 0.5, 0.25)))
+    return {p: math.sqrt(max(0.0, ratio[p] * smooth[p] / sums[p][0])) for p in sums}
+
+
+def main_text(page: str) -> str:
+    parsed = Page(page)
+    found = parsed.blocks()
+    if not found:
+        return ""
+    fused = path_ratios(found)
+    held = [0.0] * len(parsed.nodes)
+    for b, t in found:
+        held[b.node.block.number] += fused[b.node.path] * len(t)
+    total = sum(held)
+    for node in reversed(parsed.nodes[1:]):
+        held[node.parent.number] += held[node.number]
+    roots = [n for n in parsed.nodes if n.name in ("article", "main") and held[n.number]]
     if roots:
-        root = max(roots, key=lambda n: (held[n], n[1]))
+        root = max(roots, key=lambda n: (held[n.number], n.number))
     else:
-        most = [n for n in held if held[n] >= ROOT_SHARE * sum(weight) and n[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr")]
-        root = max(most, key=lambda n: n[1]) if most else None
-    inside = [i for i, (b, _) in enumerate(found) if root is None or root in b.nodes]
-    total = sum(len(found[i][1]) for i in inside)
-    mean = sum(weight[i] for i in inside) / total if total else 0.0
-    if roots:
-        return " ".join(found[i][1] for i in inside)
-    # under another root, whole parts of the page stay or go
-    part = {i: b.nodes[min(len(b.nodes) - 1, b.nodes.index(root) + 1 if root else 0)] for i in inside for b in (found[i][0],) if b.nodes}
-    part_weight, part_length = defaultdict(float), defaultdict(int)
-    for i in inside:
-        part_weight[part.get(i)] += weight[i]
-        part_length[part.get(i)] += len(found[i][1])
-    stays = lambda i: part_weight[part.get(i)] >= CONTENT_SHARE * mean * part_length[part.get(i)]
-    return " ".join(found[i][1] for i in inside if fused[i] >= CONTENT_SHARE * mean or found[i][0].heading or stays(i))
+        root = max((n for n in parsed.nodes if held[n.number] >= ROOT_SHARE * total and n.name not in LEAVES and n.block is n), key=lambda n: n.number)
+    # the part of the root that every element is in: a child of the root, or the root itself
+    part: list[int | None] = [None] * len(parsed.nodes)
+    for n in parsed.nodes:
+        part[n.number] = n.number if n is root or n.parent is root else part[n.parent.number] if n.parent else None
+    inside = [(b, t, part[b.node.block.number]) for b, t in found if part[b.node.block.number] is not None]
+    length: dict[int, int] = {}
+    lengths: dict[int, int] = {}
+    for b, t, k in inside:
+        length[b.node.path] = length.get(b.node.path, 0) + len(t)
+        lengths[k] = lengths.get(k, 0) + len(t)
+    everything = sum(length.values())
+    least = CONTENT_SHARE * max((fused[p] for p, n in length.items() if n >= PATH_SHARE * everything), default=0.0)
+    weights = {k: 0.0 for k in lengths}
+    for b, t, k in inside:
+        weights[k] += fused[b.node.path] * len(t)
+
+    content = [i for i, (b, _, _) in enumerate(inside) if fused[b.node.path] >= least]
+
+    def stays(i: int, b: Block, k: int) -> bool:
+        ratio, full = fused[b.node.path], b.node.block.weight == 1.0
+        between = ratio > 0 and content[0] < i < content[-1]
+        return ratio >= least or full and (bool(roots) or between or b.node.heading or weights[k] >= least * lengths[k])
+
+    return " ".join(t for i, (b, t, k) in enumerate(inside) if stays(i, b, k))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -494,7 +494,38 @@ def test_nothing_of_an_article_is_dropped():
     assert html_text.main_text(f"<article>{long}<div class='site-footer'>Terms</div></article>").endswith("it goes on.")
 
 
+LONG = "<p>" + "A long, plain sentence of the article; it goes on. " * 10 + "</p>"
+PLAIN = " ".join(["A long, plain sentence of the article; it goes on."] * 10)
+PAGES = {
+    f"<article><p title=it's>One, two.</p>{LONG}</article>": f"One, two. {PLAIN}",
+    "<p data=it's>Hello, you.</p>": "Hello, you.",
+    f"<body><div class='legal-news'>{LONG}</div></body>": PLAIN,
+    f"<article><header><h1>Title</h1></header>{LONG}<figure><figcaption>Cap</figcaption></figure></article>": f"Title {PLAIN} Cap",
+    f"<header><h1>Site</h1></header><article>{LONG}<div class=ad>Buy it now, please.</div>{LONG}<section class=comments>{LONG * 5}</section></article>": f"{PLAIN} {PLAIN}",
+    f"<div id=page><div class=menu><a href=x>one</a></div><div class=content><h2>Hey</h2>{LONG}<ul><li>1</li><li>2</li></ul>{LONG}</div><div class=footer>(c) me, 2020.</div></div>": f"Hey {PLAIN} 1 2 {PLAIN}",
+    f"<main>{LONG}<table><tr><td>a<td>b<tr><td>c</table><a href='x/y'>link</a><p hidden>no</p><p a=\"b>c\" d='e>f'>g</p></main>": f"{PLAIN} a b c link g",
+    f"<article>{LONG}<nav><p>{'Go on, read more. ' * 50}</p></nav><form>Your name, please.</form><aside>{'By the way, this. ' * 9}</aside></article>": PLAIN,
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_gold_pages(page):
+    assert html_text.main_text(page) == PAGES[page]
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    for piece in ("<div>x ", "<p>x ", "<b>x ", "<i><div><b>x</i>", "</i><b>", "<ul><li>x", '<a title="', "<table><tr><td>x", "a < b "):
+        page = piece * (1_000_000 // len(piece))
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 60, piece
+
+
 def test_html_rows(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(empty).count() == 0
     pages = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "x"), (1, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"] for r in html_text.extract(pages).collect())) == ["", "", "One, two."]
 
