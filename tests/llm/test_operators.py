@@ -471,10 +471,67 @@ def test_training_texts_that_share_a_line_all_stay(spark):
 
 
 def test_grammar_scales_insults():
-    insult, threat = toxicity.Acceptor({"scum": 4.0}, {"vequ": 2.0}), toxicity.Acceptor({}, {})
+    insult, threat = toxicity.Acceptor({"scum": 4.0}, {"vequ": 2.0}), toxicity.Acceptor({"hurt": 3.0})
     score = lambda t: toxicity.text_score(t, insult, threat)
-    assert score("you are scum") > score("the scum") > score("not the scum") > 0
-    assert score("the scum") > score('said the "scum"') and score("vequals. scum") == 6.0 and score("") == 0
+    assert score("you are scum") == score("scum that you are") > score("the scum") > score("not the scum") > 0
+    assert score("the scum") > score("they wrote the scum".replace("they ", "")) > score('wrote the "scum"') > 0
+    assert score('the "scum"') == 4 and score('wrote "nothing" of the scum') == 4
+    assert score("wrote " + "word " * 8 + "scum") == 4 and score("vequals. scum") == 6.0 and score("") == 0
+    assert score("will hurt") == 3 and score("hurt") == 1.5 and score("will not hurt") == pytest.approx(1.2)
+
+
+def test_patterns_of_several_words():
+    a = toxicity.Acceptor({"a b": 2.0, "b c d": 5.0, "c": 1.0}, {"xy": 3.0})
+    state, got = 0, []
+    for w in "a b c d c xyz a a b d".split():
+        state, weight = a.step(state, w)
+        got.append(weight)
+    assert got == [0, 2, 1, 5, 1, 3, 0, 0, 2, 0]
+
+
+def test_composition_equals_machines_in_step():
+    rng = random.Random(2)
+    g = toxicity.GRAMMAR
+    names = {i: s for s, i in g.states.items()}
+    assert len(names) == len(g.arcs) > 100
+    for _ in range(200):
+        state, parts = 0, tuple(t.start for t in toxicity.CONTEXT)
+        for _ in range(12):
+            symbol = rng.choice([0, 0, 0, *range(32)])
+            state, parts = g.arcs[state][symbol], tuple(t.arc(s, symbol) for t, s in zip(toxicity.CONTEXT, parts, strict=True))
+            assert names[state] == parts
+            for kind in ("insult", "threat", "final"):
+                assert getattr(g, kind)[state] == pytest.approx(math.prod(getattr(t, kind).get(s, 1) for t, s in zip(toxicity.CONTEXT, parts, strict=True)))
+
+
+def test_sequences_and_threats_are_learned(spark):
+    """Toxic documents that only two neighbouring words, or a word after an announcement, give away."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioklmnrst") for _ in range(5)) for _ in range(80)] + ["rotten", "apple", "snatch"]
+    rows = []
+    for i in range(900):
+        w = [rng.choice(words) for _ in range(30)]
+        w = [x for k, x in enumerate(w) if not (x == "apple" and w[k - 1] == "rotten")]
+        if i % 6 == 0:
+            k = rng.randrange(20)
+            w[k : k + 2] = ["rotten", "apple"]
+        elif i % 6 == 1:
+            w[9:12] = ["will", rng.choice(words[:80]), "snatch"]
+        elif i % 6 == 2:
+            w[9:12] = ["will", *rng.choices(words[:80], k=2)]
+        rows.append((i, int(i % 6 < 2), " ".join(w)))
+    insult, threat, n = toxicity.learn(spark.createDataFrame(rows, "doc long, toxic int, text string"))
+    assert "rotten apple" in insult.words and "rotten" not in insult.words and "apple" not in insult.words
+    assert "snatch" in threat.words and n == {"toxic": 300, "clean": 600}
+    got = {r["doc_id"]: r["total"] for r in toxicity.scores(spark.createDataFrame(rows, "doc long, toxic int, text string"), insult, threat, "doc", "text").collect()}
+    assert got == {i: toxicity.text_score(t, insult, threat) for i, _, t in rows}
+
+
+def test_long_and_repeated_texts_are_scored_alike(spark):
+    insult, threat = toxicity.Acceptor({"scum": 4.0}), toxicity.Acceptor({})
+    rows = [(1, "word " * 200_000 + "scum")] * 2 + [(2, "scum")] * 2
+    got = [r["total"] for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), insult, threat, "doc_id", "text").collect()]
+    assert got == [4.0] * 4
 
 
 def test_main_text():
