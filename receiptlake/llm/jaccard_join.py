@@ -17,7 +17,8 @@ all further work is done once for a class.
    arrays are intersected exactly where the bound allows a link. The links give
    first components.
 3. Every other pair of a band whose classes are not connected yet is checked in
-   the same way, in blocks against blocks, once for all groups that hold it. The
+   the same way, in blocks against blocks, once for all groups that hold it;
+   blocks carry folded signatures, whose pairs the whole ones check again. The
    largest component of a band is only compared with the others, as pairs
    inside one component can't change it.
 
@@ -274,7 +275,9 @@ def _described(what: str):
         for part, sets in _sets(it, 0):
             columns = {"cls": pa.array([class_of(a) for a in sets], pa.int64())}
             if what == "sig":
-                columns |= {"n": pa.array([len(a) for a in sets], pa.int32()), "sig": pa.array([signature(a).tobytes() for a in sets], pa.binary())}
+                signatures = [signature(a) for a in sets]
+                columns |= {"n": pa.array([len(a) for a in sets], pa.int32()), "sig": pa.array([g.tobytes() for g in signatures], pa.binary())}
+                columns |= {"small": pa.array([folded(g, max(64, len(g) // 4)).tobytes() for g in signatures], pa.binary())}
             else:
                 columns |= {"set": pa.array([a.tobytes() for a in sets], pa.binary())}
             yield pa.RecordBatch.from_pydict(columns)
@@ -288,7 +291,7 @@ def _of_classes(texts: DataFrame, reps: DataFrame, classes: DataFrame, what: str
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     chosen = texts.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
-    return chosen.mapInArrow(_described(what), "cls long, n int, sig binary" if what == "sig" else "cls long, set binary").dropDuplicates(["cls"])
+    return chosen.mapInArrow(_described(what), "cls long, n int, sig binary, small binary" if what == "sig" else "cls long, set binary").dropDuplicates(["cls"])
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -376,7 +379,7 @@ def _remaining(long_runs: DataFrame, runs: DataFrame, roots: DataFrame, sigs: Da
     held = held.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(with_minors, with_majors)).otherwise(of_major)))
     held = cut(held.select("run", "band", "at.*", "cls", "n", "root", "guest"), "blocks")
     buckets = max(partitions(spark), -(-held.count() // BUCKET_ROWS))
-    held = held.join(sigs.select("cls", "sig"), "cls").join(runs, "cls").withColumn("bucket", F.pmod(F.xxhash64("run", "band", "kind", "i", "j"), F.lit(buckets)))
+    held = held.join(sigs.select("cls", F.col("small").alias("sig")), "cls").join(runs, "cls").withColumn("bucket", F.pmod(F.xxhash64("run", "band", "kind", "i", "j"), F.lit(buckets)))
     return held.groupBy("bucket").applyInArrow(lambda table: _blocks(table), "a long, b long")
 
 
@@ -415,10 +418,10 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     reps = cut(members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(meet, "cls"), "representatives")
     sigs = cut(_of_classes(texts, reps, reps, "sig"), "signatures")
     side = lambda x: sigs.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "sig")])
-    allowed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long")
-    links = _linked(cut(allowed, "allowed"), texts, reps)
+    allowed = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long"), "allowed")
+    links = _linked(allowed(pairs), texts, reps)
     roots = cut(components(links), "roots")
-    more = _linked(cut(_remaining(long_runs, runs, roots, sigs), "remaining"), texts, reps)
+    more = _linked(allowed(_remaining(long_runs, runs, roots, sigs)), texts, reps)
 
     whole = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group_id", F.coalesce("root", "cls"))
