@@ -33,26 +33,37 @@ def fullmatch(text: Column, pattern: str | Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))
 
 
+def value_of(text: Column, name: str, pattern: str) -> Column:
+    """The value of one field's text, with white space already cleaned, or null: the field's pattern, then the rules of its kind."""
+    ok = text.rlike(rf"(?iu){pattern}")
+    if name == "monto":
+        return F.when(ok, normalize_amount(text))
+    if name == "fecha":
+        return F.when(ok & text.rlike(r"\A\d{2}[/-]\d{2}[/-]\d{2,4}"), text)
+    if name == "operacion":
+        return F.when(ok & (F.length(F.regexp_replace(text, r"\D", "")) >= 10), text)
+    return F.when(ok, F.trim(text))
+
+
 def validate_field(text: Column, field: Column, definitions=EXPANSION) -> Column:
-    """The value of a field's text, or null: the field's pattern, then the rules of its kind."""
+    """The value of a field's text, or null."""
     t = clean_text(text)
     out = None
     for name, _, pattern in definitions:
-        ok = t.rlike(rf"(?iu){pattern}")
-        value = F.when(ok, F.trim(t))
-        if name == "monto":
-            value = F.when(ok, normalize_amount(t))
-        elif name == "fecha":
-            value = F.when(ok & t.rlike(r"\A\d{2}[/-]\d{2}[/-]\d{2,4}"), t)
-        elif name == "operacion":
-            value = F.when(ok & (F.length(F.regexp_replace(t, r"\D", "")) >= 10), t)
-        out = F.when(field == name, value) if out is None else out.when(field == name, value)
+        out = F.when(field == name, value_of(t, name, pattern)) if out is None else out.when(field == name, value_of(t, name, pattern))
     return out
 
 
+#: Characters that a field's reading profile admits; fixed values.
+CHARSETS = {"monto": r"[^0-9.,\-]", "fecha": r"[^0-9/\-:]"}
+OTHER_CHARSET = r"[^0-9A-Za-z.,:\-/() ]"
+
+
 def charset_filter(text: Column, field: Column) -> Column:
     """Only the characters that a field's reading profile admits; null if none is left."""
-    kept = F.when(field == "monto", F.regexp_replace(text, r"[^0-9.,\-]", "")).when(field == "fecha", F.regexp_replace(text, r"[^0-9/\-:]", "")).otherwise(F.regexp_replace(text, r"[^0-9A-Za-z.,:\-/() ]", ""))
+    kept = F.regexp_replace(text, OTHER_CHARSET, "")
+    for name, others in CHARSETS.items():
+        kept = F.when(field == name, F.regexp_replace(text, others, "")).otherwise(kept)
     return F.when(kept != "", kept)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import EXPANSION, FLEXIBLE, GENERAL_SCAN
-from ..functions.text import charset_filter, final_status, fullmatch, validate_field
-from .words import region_text, word_list
-from .zones import anchor_points, field_table, small
+from ..functions.text import CHARSETS, charset_filter, final_status, fullmatch, validate_field
+from .words import word_list
+from .zones import small
 
 RADII = (50, 75, 100, 125, 150)
 
@@ -133,19 +133,53 @@ def best_expansion(regions: DataFrame, early: float = 85, least: float = 60) ->
     return best.withColumn("extraction_successful", F.col("confidence") >= least)
 
 
-def extract_fields_expansion(words: DataFrame, images: DataFrame) -> DataFrame:
-    """One row for each image and field of the eight, found or not."""
-    spark = words.sparkSession
-    defs = field_table(spark, [(f, k) for f, k, _ in EXPANSION], "field string, keywords array<string>")
-    anchors = anchor_points(words, images, defs)
-    inside = expansion_regions(words, anchors).withColumn("text", F.coalesce(charset_filter(F.col("text"), F.col("field")), F.lit("")))
-    texts = region_text(inside, ["image_id", "field", "x", "y", "n_anchors", "first", "radius"])
-    best = best_expansion(texts.withColumn("value", validate_field(F.col("raw_text"), F.col("field"))))
-    points = anchors.groupBy("image_id", "field_order", "field").agg(F.sum("n_anchors").alias("anchor_points_found"))
-    out = points.join(best.select("image_id", "field", "value", "confidence", "radius", "raw_text", "extraction_successful"), ["image_id", "field"], "left")
-    ok = F.coalesce("extraction_successful", F.lit(False))
-    reason = F.when(~ok & F.col("value").isNotNull(), "Confianza insuficiente").when(~ok, "No se encontró valor válido")
-    return out.select("image_id", "field", "anchor_points_found", ok.alias("extraction_successful"), F.when(ok, F.col("value")).alias("value"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "radius", "raw_text", reason.alias("reason"))
+def _anchored(order: int, name: str, keywords: list[str]) -> Column:
+    """One field with the centres of its keywords' words among listed ones (J2), and the profile that reads it."""
+    low = [k.lower() for k in keywords]
+    centre = lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"))
+    hits = F.flatten(F.transform("words", lambda w: F.transform(F.filter(F.array(*[F.lit(k) for k in low]), lambda k: w["low"].contains(k)), lambda k: centre(w))))
+    return F.struct(F.lit(order).alias("field_order"), F.lit(name).alias("field"), F.lit(name if name in CHARSETS else "other").alias("charset"), hits.alias("hits"))
+
+
+def extract_fields_expansion(words: DataFrame, images: DataFrame, radii=RADII, early: float = 85, least: float = 60, min_confidence: float = 60) -> DataFrame:
+    """One row for each image and field of the eight, found or not.
+
+    The steps of J2, J8, X8, A2, X3 and W8 on one row for each image and field:
+    words are listed once by image, with their characters filtered once for each
+    profile; an anchor takes the words in reach of its largest square, and a
+    square is read only where it holds a word that the one before doesn't."""
+    c = F.col("conf")
+    kept = lambda name: F.when((c > min_confidence), F.trim(F.coalesce(charset_filter(F.col("text"), F.lit(name)), F.lit("")))).otherwise("")
+    at = [F.expr("cast(left + width div 2 as int)").alias("x"), F.expr("cast(top + height div 2 as int)").alias("y")]
+    w = words.select("image_id", F.struct("word_idx", F.lower("text").alias("low"), *at, "conf", *[kept(n).alias(n) for n in ("monto", "fecha", "other")]).alias("w"))
+    w = w.groupBy("image_id").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    listed = images.select("image_id", "img_width", "img_height").join(w, "image_id", "left").withColumn("words", F.coalesce("words", F.array().cast(w.schema["words"].dataType)))
+    fields = F.array(*[_anchored(i, f, k) for i, (f, k, _) in enumerate(EXPANSION)])
+    d = listed.withColumn("f", F.explode(fields)).select("image_id", "img_width", "img_height", "words", "f.*")
+    middle = F.array(F.struct(F.expr("cast(img_width div 2 as int)").alias("x"), F.expr("cast(img_height div 2 as int)").alias("y")))
+    text = lambda x: F.when(F.col("charset") == "monto", x["monto"]).when(F.col("charset") == "fecha", x["fecha"]).otherwise(x["other"])
+    readable = F.filter(F.transform("words", lambda x: F.struct(x["x"].alias("x"), x["y"].alias("y"), text(x).alias("t"), x["conf"].alias("conf"))), lambda x: x["t"] != "")
+    d = d.select("image_id", "field_order", "field", F.size("hits").cast("long").alias("anchor_points_found"), F.array_distinct(F.when(F.size("hits") > 0, F.col("hits")).otherwise(middle)).alias("points"), readable.alias("readable"))
+    d = d.select("*", F.posexplode("points").alias("place", "p"))
+    far = lambda x: F.greatest(F.abs(x["x"] - F.col("p.x")), F.abs(x["y"] - F.col("p.y")))
+    near = F.filter(F.transform("readable", lambda x: F.struct(far(x).alias("far"), x["t"].alias("t"), x["conf"].alias("conf"))), lambda x: x["far"] <= max(radii))
+    d = d.select("image_id", "field_order", "field", "anchor_points_found", "place", near.alias("near"))
+    steps = F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(before).alias("before")) for r, before in zip(radii, (-1, *radii[:-1]), strict=True)])
+    steps = F.filter(steps, lambda s: F.exists("near", lambda x: (x["far"] > s["before"]) & (x["far"] <= s["radius"])))
+    d = d.withColumn("s", F.explode_outer(steps)).withColumn("inside", F.filter("near", lambda x: x["far"] <= F.col("s.radius")))
+    raw, conf = F.array_join(F.transform("inside", lambda x: x["t"]), " "), F.aggregate("inside", F.lit(0.0), lambda a, x: a + x["conf"]) / F.size("inside")
+    d = d.select("image_id", "field_order", "field", "anchor_points_found", "place", F.col("s.radius").alias("radius"), F.when(F.col("s").isNotNull(), raw).alias("raw_text"), F.when(F.col("s").isNotNull(), conf).alias("confidence"))
+    d = d.withColumn("value", validate_field(F.col("raw_text"), F.col("field")))
+    # an anchor's first radius above the early confidence, or else its best one; then the best anchor, the first one on ties
+    keys = ["image_id", "field_order", "field", "anchor_points_found"]
+    high = F.col("confidence") > early
+    one = F.when(F.col("value").isNotNull(), F.struct((~high).alias("late"), F.when(high, F.col("radius")).alias("first"), (-F.col("confidence")).alias("low"), "radius", "value", "confidence", "raw_text"))
+    d = d.groupBy(*keys, "place").agg(F.min(one).alias("b"))
+    best = F.when(F.col("b").isNotNull(), F.struct(F.col("b.low").alias("low"), "place", F.col("b.radius").alias("radius"), F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"), F.col("b.raw_text").alias("raw_text")))
+    d = d.groupBy(*keys).agg(F.min(best).alias("b"))
+    ok = F.coalesce(F.col("b.confidence") >= least, F.lit(False))
+    reason = F.when(~ok & F.col("b").isNotNull(), "Confianza insuficiente").when(~ok, "No se encontró valor válido")
+    return d.select("image_id", "field", "anchor_points_found", ok.alias("extraction_successful"), F.when(ok, F.col("b.value")).alias("value"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), "b.radius", "b.raw_text", reason.alias("reason"))
 
 
 def extraction_statistics(fields: DataFrame) -> DataFrame:

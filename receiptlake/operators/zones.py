@@ -1,11 +1,16 @@
 """Keyword boxes, values near them, search zones, and templates.
 
 Every spatial join has the image as its equality key, so pairs stay inside one
-image; field and template tables have a fixed, small size and are broadcast.
+image. Definitions (fields, keywords, anchors, regions) are configuration of at
+most MOST_DEFINITIONS rows: they become literals of one expression for each
+word, so that no word is joined with them.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +29,44 @@ def field_table(spark: SparkSession, definitions, schema: str) -> DataFrame:
     return spark.createDataFrame([(i, *d) for i, d in enumerate(definitions)], f"field_order int, {schema}")
 
 
+def literal_rows(df: DataFrame, *columns: str) -> list[tuple]:
+    """A table of definitions as literals; more than MOST_DEFINITIONS rows are no configuration and an error."""
+    rows = df.select(*columns).limit(MOST_DEFINITIONS + 1).collect()
+    if len(rows) > MOST_DEFINITIONS:
+        raise ValueError(f"more than {MOST_DEFINITIONS} definitions")
+    return [tuple(r) for r in rows]
+
+
+def first_keyword(lowered: Column, keywords: list[str]) -> Column:
+    """The first keyword of a list that a lower-case text holds, or null."""
+    return F.coalesce(*[F.when(lowered.contains(k.lower()), k) for k in keywords], F.lit(None).cast("string"))
+
+
+def each_match(words: DataFrame, matches: Callable[[Column], list[Column]], alias: str) -> DataFrame:
+    """One row for every match, of those made from a word's lower-case text, that is not null. The lambda makes that text once for all of them."""
+    found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*matches(low)))))
+    return words.withColumn(alias, F.explode(found))
+
+
 def keyword_boxes(words: DataFrame, field_keywords: DataFrame, min_confidence: int = 20, strict: bool = False) -> DataFrame:
     """Words holding a keyword of a field, with the first such keyword of its list. field_keywords: (field, keywords)."""
     c = F.col("conf").cast("int")
     w = words.filter(((c > min_confidence) if strict else (c >= min_confidence)) & (F.trim("text") != ""))
-    hit = F.filter(F.col("keywords"), lambda k: F.lower("text").contains(F.lower(k)))
-    return w.crossJoin(small(field_keywords)).withColumn("keyword", F.get(hit, 0)).filter("keyword is not null").drop("keywords")
+    fields = literal_rows(field_keywords, "field", "keywords")
+    if not fields:
+        return w.withColumn("field", F.lit("")).withColumn("keyword", F.lit("")).limit(0)
+    hits = each_match(w, lambda low: [F.struct(F.lit(f).alias("field"), first_keyword(low, k).alias("keyword")) for f, k in fields], "_hit")
+    return hits.filter("_hit.keyword is not null").select(*words.columns, "_hit.field", "_hit.keyword")
 
 
 def anchor_points(words: DataFrame, images: DataFrame, field_keywords: DataFrame) -> DataFrame:
     """The centre of every word for each keyword that it holds; the image's centre for fields without any.
     n_anchors counts equal points, which are kept once."""
-    k = field_keywords.select("field_order", "field", F.posexplode("keywords").alias("k", "keyword"))
-    hits = words.crossJoin(small(k)).filter(F.lower("text").contains(F.lower("keyword")))
-    hits = hits.groupBy("image_id", "field_order", "field", F.expr("cast(left + width div 2 as int)").alias("x"), F.expr("cast(top + height div 2 as int)").alias("y")).agg(F.count(F.lit(1)).alias("n_anchors"), F.min(F.struct("word_idx", "k")).alias("first"))
-    every = images.select("image_id", "img_width", "img_height").crossJoin(small(field_keywords.select("field_order", "field")))
+    fields = literal_rows(field_keywords, "field_order", "field", "keywords")
+    named = lambda low: [F.when(low.contains(k.lower()), F.struct(F.lit(order).alias("field_order"), F.lit(field).alias("field"), F.lit(i).alias("k"))) for order, field, keywords in fields for i, k in enumerate(keywords)]
+    hits = each_match(words, named, "_hit").select("image_id", "_hit.*", "word_idx", F.expr("cast(left + width div 2 as int)").alias("x"), F.expr("cast(top + height div 2 as int)").alias("y"))
+    hits = hits.groupBy("image_id", "field_order", "field", "x", "y").agg(F.count(F.lit(1)).alias("n_anchors"), F.min(F.struct("word_idx", "k")).alias("first"))
+    every = images.select("image_id", "img_width", "img_height", F.inline(F.array(*[F.struct(F.lit(order).alias("field_order"), F.lit(field).alias("field")) for order, field, _ in fields])))
     out = every.join(hits, ["image_id", "field_order", "field"], "left")
     return out.select("image_id", "field_order", "field", F.coalesce("x", F.expr("cast(img_width div 2 as int)")).alias("x"), F.coalesce("y", F.expr("cast(img_height div 2 as int)")).alias("y"), F.coalesce("n_anchors", F.lit(0)).alias("n_anchors"), F.coalesce("first", F.struct(F.lit(0).alias("word_idx"), F.lit(0).alias("k"))).alias("first"), "img_width", "img_height")
 
@@ -79,12 +107,20 @@ def after_anchor(anchors: DataFrame, field_defs: DataFrame) -> DataFrame:
     return out.select("image_id", "field", "regex", F.col("word_idx").alias("anchor_idx"), F.expr("left + width").alias("z_left"), F.col("top").alias("z_top"), F.col("max_dx").alias("z_width"), F.expr("max_dy + height").alias("z_height"))
 
 
-def best_value_in_zone(words: DataFrame, zones: DataFrame, min_confidence: int = 50) -> DataFrame:
+def _matches(text: Column, regex: Column, patterns: list[str]) -> Column:
+    """Whole match of a column's pattern; those known beforehand are compiled once, not for each row."""
+    out = None
+    for p in dict.fromkeys(patterns):
+        out = F.when(regex == p, fullmatch(text, p)) if out is None else out.when(regex == p, fullmatch(text, p))
+    return fullmatch(text, regex) if out is None else out.otherwise(fullmatch(text, regex))
+
+
+def best_value_in_zone(words: DataFrame, zones: DataFrame, min_confidence: int = 50, patterns: list[str] | None = None) -> DataFrame:
     """The most confident word of each zone that matches the zone's pattern as a whole; the first one on ties."""
     w = words_in_zone(words.filter(F.col("conf") > min_confidence), zones)
-    w = w.filter((F.col("word_idx") != F.col("anchor_idx")) & fullmatch(F.col("text"), F.col("regex")))
-    rank = F.row_number().over(Window.partitionBy("image_id", "field").orderBy(F.desc("conf"), "word_idx"))
-    return w.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    w = w.filter((F.col("word_idx") != F.col("anchor_idx")) & _matches(F.col("text"), F.col("regex"), patterns or []))
+    best = F.min(F.struct((-F.col("conf")).alias("low"), *[c for c in w.columns if c not in ("image_id", "field")])).alias("b")
+    return w.groupBy("image_id", "field").agg(best).select("image_id", "field", "b.*").drop("low")
 
 
 def multiword_spans(words: DataFrame, zones: DataFrame, most: int = 3, line_height: int = 30, min_confidence: int = 50) -> DataFrame:
@@ -108,46 +144,67 @@ def multiword_spans(words: DataFrame, zones: DataFrame, most: int = 3, line_heig
 
 def nearest_value(near: DataFrame) -> DataFrame:
     """Of nearby_values, for each keyword box the nearest word with another text."""
-    rank = F.row_number().over(Window.partitionBy("image_id", "field", "word_idx").orderBy("distance", "v_idx"))
-    return near.filter(F.lower("v_text") != F.lower("text")).withColumn("_r", rank).filter("_r = 1").drop("_r")
+    key = ["image_id", "field", "word_idx"]
+    least = F.min(F.struct("distance", "v_idx", *[c for c in near.columns if c not in (*key, "distance", "v_idx")])).alias("n")
+    return near.filter(F.lower("v_text") != F.lower("text")).groupBy(*key).agg(least).select(*key, "n.*").select(*near.columns)
 
 
 def dynamic_zones_v1(words: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, field, left, top, width, height, confidence, keyword_found) from the most confident keyword word."""
-    spark = words.sparkSession
-    defs = field_table(spark, ZONES_V1, "field string, keywords array<string>, place string, zone_width int")
     c = F.col("conf").cast("int")
-    k = defs.select("field", "place", "zone_width", F.posexplode("keywords").alias("k", "keyword"))
-    hits = words.filter((c > 20) & (F.trim("text") != "")).crossJoin(small(k)).filter(F.lower("text").contains(F.col("keyword")))
-    hits = hits.join(images.select("image_id", "img_width", "img_height"), "image_id")
-    beside = F.col("place") == "beside"
-    left = F.greatest(F.lit(0), F.when(beside, F.expr("left + width + 10")).otherwise(F.col("left")))
-    top = F.greatest(F.lit(0), F.when(beside, F.col("top")).otherwise(F.expr("top + height + 5")))
-    z = hits.select("image_id", "field", "k", "word_idx", c.alias("confidence"), F.lower("text").alias("keyword_found"), left.alias("left"), top.alias("top"), F.least("zone_width", F.col("img_width") - left).alias("width"), F.least(F.when(beside, F.expr("height + 10")).otherwise(30), F.col("img_height") - top).alias("height"))
-    z = z.filter("width > 0 and height > 0")
-    rank = F.row_number().over(Window.partitionBy("image_id", "field").orderBy(F.desc("confidence"), "k", "word_idx"))
-    return z.withColumn("_r", rank).filter("_r = 1").drop("_r", "k", "word_idx")
+    named = lambda low: [
+        F.when(low.contains(k), F.struct(F.lit(field).alias("field"), F.lit(place == "beside").alias("beside"), F.lit(zone_width).alias("zone_width"), F.lit(i).alias("k")))
+        for field, keywords, place, zone_width in ZONES_V1 for i, k in enumerate(keywords)
+    ]
+    hits = each_match(words.filter((c > 20) & (F.trim("text") != "")), named, "_hit").select(*words.columns, "_hit.*").join(images.select("image_id", "img_width", "img_height"), "image_id")
+    left = F.greatest(F.lit(0), F.when(F.col("beside"), F.expr("left + width + 10")).otherwise(F.col("left")))
+    top = F.greatest(F.lit(0), F.when(F.col("beside"), F.col("top")).otherwise(F.expr("top + height + 5")))
+    box = [left.alias("left"), top.alias("top"), F.least("zone_width", F.col("img_width") - left).alias("width"), F.least(F.when(F.col("beside"), F.expr("height + 10")).otherwise(30), F.col("img_height") - top).alias("height")]
+    z = hits.select("image_id", "field", "k", "word_idx", c.alias("confidence"), F.lower("text").alias("keyword_found"), *box).filter("width > 0 and height > 0")
+    best = F.min(F.struct((-F.col("confidence")).alias("low"), "k", "word_idx", "left", "top", "width", "height", "confidence", "keyword_found")).alias("b")
+    return z.groupBy("image_id", "field").agg(best).select("image_id", "field", "b.*").drop("low", "k", "word_idx")
 
 
 def dynamic_zones_fixed(words: DataFrame, images: DataFrame, radius: float = 150, margin: int = 5) -> DataFrame:
-    """The box of the nearest value of the best keyword box, or a region by position."""
+    """The box of the nearest value of the best keyword box, or a region by position.
+
+    Keyword boxes meet the usable words of their image as one array, which also
+    carries the image's size: one shuffle by image, and no row for each pair."""
     spark = words.sparkSession
-    defs = spark.createDataFrame([(i, f, k, *r) for i, (f, k, r) in enumerate(ZONES_FIXED)], "field_order int, field string, keywords array<string>, xr double, yr double, wr double, hr double")
-    near = nearest_value(nearby_values(words, keyword_boxes(words, defs.select("field", "keywords")), radius))
-    near = near.join(images.select("image_id", "img_width", "img_height"), "image_id")
-    left, top = F.greatest(F.lit(0), F.col("v_left") - margin), F.greatest(F.lit(0), F.col("v_top") - margin)
-    z = near.select("image_id", "field", "word_idx", F.col("v_conf").alias("confidence"), F.col("v_text").alias("detected_text"), left.alias("left"), top.alias("top"), F.least(F.col("img_width") - left, F.col("v_width") + 2 * margin).alias("width"), F.least(F.col("img_height") - top, F.col("v_height") + 2 * margin).alias("height"))
-    rank = F.row_number().over(Window.partitionBy("image_id", "field").orderBy(F.desc("confidence"), "word_idx"))
-    z = z.filter("width > 0 and height > 0 and confidence > 0").withColumn("_r", rank).filter("_r = 1").drop("_r", "word_idx").withColumn("method", F.lit("value_box_direct"))
-    every = images.select("image_id", "img_width", "img_height").crossJoin(small(defs.select("field", "xr", "yr", "wr", "hr")))
-    whole = lambda a, b: (F.col(a) * F.col(b)).cast("int")
-    left = F.greatest(F.lit(0), F.least(whole("img_width", "xr"), F.col("img_width") - 1))
-    top = F.greatest(F.lit(0), F.least(whole("img_height", "yr"), F.col("img_height") - 1))
-    back = every.select("image_id", "field", left.alias("b_left"), top.alias("b_top"), F.least(whole("img_width", "wr"), F.col("img_width") - left).alias("b_width"), F.least(whole("img_height", "hr"), F.col("img_height") - top).alias("b_height"))
-    out = back.join(z, ["image_id", "field"], "left")
-    box = [F.when(F.col("method").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ("left", "top", "width", "height")]
-    out = out.filter("method is not null or (b_width > 0 and b_height > 0)")
-    return out.select("image_id", "field", *box, F.coalesce("confidence", F.lit(30)).alias("confidence"), "detected_text", F.coalesce("method", F.lit("fallback_relative_position")).alias("method"))
+    c = F.col("conf").cast("int")
+    usable = words.filter((c >= 20) & (F.trim("text") != ""))
+    v = usable.groupBy("image_id").agg(F.collect_list(F.struct("word_idx", F.lower("text").alias("low"), "text", "left", "top", "width", "height", c.alias("conf"))).alias("words"))
+    v = images.select("image_id", "img_width", "img_height").join(v, "image_id", "left").withColumn("words", F.coalesce("words", F.array().cast(v.schema["words"].dataType)))
+    holds = lambda w, keywords: functools.reduce(lambda a, b: a | b, [w["low"].contains(k) for k in keywords])
+    boxes = lambda keywords: F.filter("words", lambda w: holds(w, keywords))
+    columns = [F.struct(F.lit(i).alias("field_order"), F.lit(f).alias("field"), boxes(k).alias("boxes"), *[F.lit(x).alias(n) for n, x in zip(("xr", "yr", "wr", "hr"), r, strict=True)]) for i, (f, k, r) in enumerate(ZONES_FIXED)]
+    d = v.withColumn("f", F.explode(F.array(*columns))).select("image_id", "img_width", "img_height", "words", "f.*")
+    middle = lambda w, a, b: w[a] + w[b] / 2
+
+    def square(w: Column, b: Column) -> Column:
+        x, y = middle(w, "left", "width") - middle(b, "left", "width"), middle(w, "top", "height") - middle(b, "top", "height")
+        return x * x + y * y
+
+    def value(b: Column) -> Column:
+        others = F.transform("words", lambda w: F.when(w["low"] != b["low"], F.struct(square(w, b).alias("square"), w.alias("w"))))
+        return F.struct(b["word_idx"].alias("word_idx"), F.array_min(F.filter(others, lambda o: o["square"] <= radius * radius)).alias("near"))
+
+    width, height = F.col("img_width"), F.col("img_height")
+
+    def zone(b: Column) -> Column:
+        w = b["near"]["w"]
+        left, top = F.greatest(F.lit(0), w["left"] - margin), F.greatest(F.lit(0), w["top"] - margin)
+        return F.struct((-w["conf"]).alias("low"), b["word_idx"].alias("word_idx"), left.alias("left"), top.alias("top"), F.least(width - left, w["width"] + 2 * margin).alias("width"), F.least(height - top, w["height"] + 2 * margin).alias("height"), w["conf"].alias("confidence"), w["text"].alias("text"))
+
+    d = d.withColumn("near", F.filter(F.transform("boxes", value), lambda b: b["near"].isNotNull())).withColumn("zones", F.transform("near", zone))
+    best = F.array_min(F.filter("zones", lambda z: (z["width"] > 0) & (z["height"] > 0) & (z["confidence"] > 0)))
+    whole = lambda a, b: (a * F.col(b)).cast("int")
+    left, top = F.greatest(F.lit(0), F.least(whole(width, "xr"), width - 1)), F.greatest(F.lit(0), F.least(whole(height, "yr"), height - 1))
+    back = F.struct(left.alias("left"), top.alias("top"), F.least(whole(width, "wr"), width - left).alias("width"), F.least(whole(height, "hr"), height - top).alias("height"))
+    d = d.select("image_id", "field", best.alias("b"), back.alias("r")).filter("b is not null or (r.width > 0 and r.height > 0)")
+    found = F.col("b").isNotNull()
+    box = [F.when(found, F.col(f"b.{x}")).otherwise(F.col(f"r.{x}")).alias(x) for x in ("left", "top", "width", "height")]
+    return d.select("image_id", "field", *box, F.coalesce("b.confidence", F.lit(30)).alias("confidence"), F.col("b.text").alias("detected_text"), F.when(found, "value_box_direct").otherwise("fallback_relative_position").alias("method"))
 
 
 def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -157,32 +214,54 @@ def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return anchors, regions
 
 
+def template_scores(words: DataFrame, images: DataFrame, anchors: DataFrame, regions: DataFrame, min_confidence: int = 30, share: float = 0.3) -> DataFrame:
+    """(image_id, template, text_score, structural_score) for every image and template, in one grouped pass over the words.
+
+    A word says for each anchor whether it holds it and for each region whether
+    it covers enough of it: flags that are joined by the aggregation."""
+    a, r = literal_rows(anchors, "template", "anchor"), literal_rows(regions, "template", "name", "left_rel", "top_rel", "width_rel", "height_rel")
+    sizes = images.select("image_id", "img_width", "img_height", F.upper("full_text").alias("_full"))
+    for i, (_, _, *rel) in enumerate(r):
+        sizes = sizes.withColumns({f"_{c}{i}": (F.lit(x) * F.col(f"img_{d}")).cast("int") for c, x, d in zip("lewh", rel, ("width", "height", "width", "height"), strict=True)})
+    in_word = F.flatten(F.transform(F.array(F.upper("text")), lambda up: F.array(*[up.contains(k.upper()) for _, k in a]))) if a else F.array()
+    w = words.select("image_id", in_word.alias("_in"), (F.col("conf").cast("int") > min_confidence).alias("_ok"), "left", "top", "width", "height")
+    w = sizes.join(w, "image_id", "left")
+    holds = [(F.col("_full").contains(k.upper()) | F.coalesce(F.get("_in", i), F.lit(False))).alias(f"a{i}") for i, (_, k) in enumerate(a)]
+
+    def covers(i: int) -> Column:
+        across = F.expr(f"greatest(0, least(left + width, _l{i} + _w{i}) - greatest(left, _l{i})) * greatest(0, least(top + height, _e{i} + _h{i}) - greatest(top, _e{i}))")
+        area = F.expr(f"_w{i} * _h{i}")
+        return F.coalesce(F.col("_ok") & (area > 0) & (across > share * area), F.lit(False)).alias(f"r{i}")
+
+    w = w.select("image_id", *holds, *[covers(i) for i in range(len(r))])
+    flags = w.groupBy("image_id").agg(*[F.max(c).alias(c) for c in w.columns if c != "image_id"])
+    mean = lambda columns: sum((F.col(c).cast("int") for c in columns), F.lit(0)) / F.lit(len(columns)) if columns else F.lit(None).cast("double")
+    names = sorted({t for t, *_ in a} | {t for t, *_ in r})
+    scores = [F.struct(F.lit(t).alias("template"), mean([f"a{i}" for i, x in enumerate(a) if x[0] == t]).alias("text_score"), mean([f"r{i}" for i, x in enumerate(r) if x[0] == t]).alias("structural_score")) for t in names]
+    if not scores:
+        return images.select("image_id", F.lit("").alias("template"), F.lit(0.0).alias("text_score"), F.lit(0.0).alias("structural_score")).limit(0)
+    return flags.select("image_id", F.inline(F.array(*scores)))
+
+
 def text_anchor_score(words: DataFrame, images: DataFrame, anchors: DataFrame) -> DataFrame:
     """The share of a template's anchors found in the full text or in any word."""
-    pairs = images.select("image_id", F.upper("full_text").alias("full_text")).crossJoin(small(anchors))
-    in_text = pairs.withColumn("in_text", F.col("full_text").contains(F.upper("anchor"))).drop("full_text")
-    in_word = words.crossJoin(small(anchors)).filter(F.upper("text").contains(F.upper("anchor"))).select("image_id", "template", "anchor").distinct().withColumn("in_word", F.lit(True))
-    hit = in_text.join(in_word, ["image_id", "template", "anchor"], "left").withColumn("hit", F.coalesce("in_text", F.lit(False)) | F.coalesce("in_word", F.lit(False)))
-    return hit.groupBy("image_id", "template").agg(F.avg(F.col("hit").cast("int")).alias("text_score"))
+    none = template_tables(words.sparkSession)[1].limit(0)
+    return template_scores(words, images, anchors, none).select("image_id", "template", "text_score")
 
 
 def structural_score(words: DataFrame, images: DataFrame, regions: DataFrame, min_confidence: int = 30, share: float = 0.3) -> DataFrame:
     """The share of a template's regions that one word covers by more than ``share``."""
-    px = [F.expr(f"cast({c}_rel * {d} as int)").alias(f"r_{c}") for c, d in (("left", "img_width"), ("top", "img_height"), ("width", "img_width"), ("height", "img_height"))]
-    r = images.select("image_id", "img_width", "img_height").crossJoin(small(regions)).select("image_id", "template", "name", *px)
-    w = words.filter(F.col("conf").cast("int") > min_confidence).select("image_id", "left", "top", "width", "height")
-    across = F.expr("greatest(0, least(left + width, r_left + r_width) - greatest(left, r_left)) * greatest(0, least(top + height, r_top + r_height) - greatest(top, r_top))")
-    hits = r.join(w, "image_id").filter((F.expr("r_width * r_height") > 0) & (across > share * F.expr("r_width * r_height"))).select("image_id", "template", "name").distinct().withColumn("hit", F.lit(1))
-    return r.join(hits, ["image_id", "template", "name"], "left").groupBy("image_id", "template").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("structural_score"))
+    none = template_tables(words.sparkSession)[0].limit(0)
+    return template_scores(words, images, none, regions, min_confidence, share).select("image_id", "template", "structural_score")
 
 
 def best_template(words: DataFrame, images: DataFrame, anchors: DataFrame, regions: DataFrame, least: float = 0.4) -> DataFrame:
     """The best template of each image, if it reaches ``least``."""
-    s = text_anchor_score(words, images, anchors).join(structural_score(words, images, regions), ["image_id", "template"], "full")
+    s = template_scores(words, images, anchors, regions)
     score = 0.6 * F.coalesce("text_score", F.lit(0.0)) + 0.4 * F.coalesce("structural_score", F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "template"))
-    best = s.withColumn("score", score).filter("score > 0").withColumn("_r", rank).filter("_r = 1").drop("_r")
-    return best.filter(F.col("score") >= least)
+    s = s.withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= least))
+    best = s.groupBy("image_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "template", "text_score", "structural_score", "score")).alias("b"))
+    return best.select("image_id", "b.*").drop("low")
 
 
 def template_fields(best: DataFrame, campos: DataFrame) -> DataFrame:
@@ -194,6 +273,5 @@ def identify_template_or_zones(words: DataFrame, images: DataFrame, anchors: Dat
     """C4: template regions, or dynamic zones for images without a template."""
     best = best_template(words, images, anchors, regions)
     fixed = template_fields(best, campos).select("image_id", "field", "left", "top", "width", "height", F.col("template"))
-    rest = images.join(best.select("image_id"), "image_id", "left_anti")
-    z = (dynamic_zones_v1 if zones == "v1" else dynamic_zones_fixed)(words.join(rest.select("image_id"), "image_id", "left_semi"), rest)
+    z = (dynamic_zones_v1 if zones == "v1" else dynamic_zones_fixed)(words, images).join(best.select("image_id"), "image_id", "left_anti")
     return fixed.unionByName(z.select("image_id", "field", "left", "top", "width", "height", F.lit(None).cast("string").alias("template")))
