@@ -51,13 +51,14 @@ def build_model(feedback: DataFrame, sequence: str | None = "seq") -> tuple[Data
 def confidence_fold(feedback: DataFrame, sequence: str | None = "seq", seed: DataFrame | None = None) -> DataFrame:
     """(field, raw, n, adjustment) of new = (current + adjustment) / 2 over rows in order, non-zero ones only.
 
-    Weights halve with every later row, so only the last FOLD_ROWS of a key can
-    count; a top-n window keeps no more than those of a frequent key. seed has
-    (field, raw, adjustment) to start from."""
+    n counts all rows of a key. Weights halve with every later row, so the sum
+    has no more to take than the last FOLD_ROWS; a top-n window keeps no more
+    than those of a frequent key. seed has (field, raw, adjustment) to start from."""
     f = feedback.withColumn("adj", confidence_adjustment(F.col("causa_raiz"))).filter("adj <> 0 and campo_nombre is not null and raw_ocr_output is not null")
     f = f.select(F.col("campo_nombre").alias("field"), F.col("raw_ocr_output").alias("raw"), "adj", order_of(feedback, sequence).alias("order"))
     rank = F.row_number().over(Window.partitionBy("field", "raw").orderBy(F.desc("order")))
-    folded = f.withColumn("rn", rank).filter(F.col("rn") <= FOLD_ROWS).groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("adj") * F.pow(F.lit(0.5), F.col("rn"))).alias("adjustment"))
+    last = f.withColumn("rn", rank).filter(F.col("rn") <= FOLD_ROWS).groupBy("field", "raw").agg(F.sum(F.col("adj") * F.pow(F.lit(0.5), F.col("rn"))).alias("adjustment"))
+    folded = f.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n")).join(last, ["field", "raw"])
     if seed is None:
         return folded
     old = seed.select("field", "raw", F.col("adjustment").alias("old"))

@@ -86,10 +86,15 @@ def upscale_factor(d: DataFrame) -> Column:
     return F.when(f > 1.1, f).otherwise(1.0)
 
 
-def denoise_plan(d: DataFrame) -> Column:
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal place, exact ties to the even digit."""
+    return F.format_string("%.1f", F.when(F.abs(x * 4) % 2 == 1, F.bround(x, 1)).otherwise(x))
+
+
+def denoise_plan(d: DataFrame, color: bool = True) -> Column:
     """P8"""
-    n = d["noise_level"]
-    first = F.when(n > NOISE_HIGH, F.array(F.lit("colored_aggressive"), F.lit("medianBlur_5"))).when(n > NOISE_MEDIUM, F.array(F.lit("colored_moderate"))).otherwise(F.array(F.lit("gaussianBlur_light")))
+    n, kind = d["noise_level"], "fastNlMeansDenoisingColored" if color else "fastNlMeansDenoising"
+    first = F.when(n > NOISE_HIGH, F.array(F.lit(f"{kind}_aggressive"), F.lit("medianBlur_5"))).when(n > NOISE_MEDIUM, F.array(F.lit(f"{kind}_moderate"))).otherwise(F.array(F.lit("gaussianBlur_light")))
     return F.array_append(first, "bilateralFilter")
 
 
@@ -99,7 +104,7 @@ def preprocessing_plan(d: DataFrame) -> Column:
     kind = image_type(d)
     skew = d["skew_angle"] if "skew_angle" in d.columns else F.lit(0.0)
     special = F.create_map(*[F.lit(x) for x in ("Captura Fondo Oscuro", "dark_background_optimization", "Captura WhatsApp", "whatsapp_optimization", "Foto Física", "physical_photo_enhancement", "Escaneo Digital", "scan_sharpening")])
-    first = F.array(F.when(inverted, "smart_color_inversion_bitwise_not_with_clahe"), F.when(F.abs(skew) > 1.0, F.format_string("skew_correction_%.1fdeg", skew)), F.when(factor > 1.1, F.format_string("upscale_%.1fx_LANCZOS4", factor)))
+    first = F.array(F.when(inverted, "smart_color_inversion_bitwise_not_with_clahe"), F.when(F.abs(skew) > 1.0, F.concat(F.lit("skew_correction_"), one_decimal(skew), F.lit("deg"))), F.when(factor > 1.1, F.concat(F.lit("upscale_"), one_decimal(factor), F.lit("x_LANCZOS4"))))
     light = F.when(~inverted & (d["brightness"] < BRIGHT_LOW), "brightness_boost_high").when(~inverted & (d["brightness"] > BRIGHT_HIGH), "brightness_reduction_high")
     return F.array_compact(F.concat(first, denoise_plan(d), F.array(F.try_element_at(special, kind), light)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fields import ADJUSTMENTS, CAUSE_ADVICE, EXPANSION, FIELD_ADVICE, FLEXIBLE, RESERVED_CORRECTIONS, TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
+from ..fields import ADJUSTMENTS, CAUSE_ADVICE, EXPANSION, FIELD_ADVICE, FLEXIBLE, GENERAL_SCAN, RESERVED_CORRECTIONS, TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
 from ..functions import text as X
 from ..operators import extract, learning, quality, reports, words, zones
 from ..sources import io
@@ -96,10 +96,12 @@ def _(spark, d):
     return words.reading_order(fx.words(spark, d))
 
 
-@query("J9_unused_words", W + " SELECT image_id, word_idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM words u WHERE u.image_id = w.image_id AND u.word_idx = w.word_idx AND u.conf > 80)")
+@query("J9_unused_words", W + " SELECT image_id, count(*) AS n, string_agg(text, ' ' ORDER BY word_idx) AS unused FROM words w WHERE NOT EXISTS (SELECT 1 FROM words u WHERE u.image_id = w.image_id AND u.word_idx = w.word_idx AND u.conf > 80) GROUP BY image_id")
 def _(spark, d):
     w = fx.words(spark, d)
-    return words.unused_words(w, w.filter("conf > 80")).select("image_id", "word_idx", "text")
+    left = words.unused_words(w, w.filter("conf > 80"))
+    listed = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
+    return left.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias("unused"))
 
 
 @query("A12_extraction_efficiency", W + f", p AS (SELECT image_id, count(*) AS words_processed FROM words WHERE conf::INT > 20 AND {OKTEXT} GROUP BY image_id), u AS (SELECT image_id, count(DISTINCT word_idx) AS words_used FROM words WHERE conf > 90 GROUP BY image_id) SELECT image_id, words_processed, coalesce(words_used, 0) AS words_used, coalesce(words_used, 0) / words_processed AS efficiency FROM p LEFT JOIN u USING (image_id)")
@@ -111,9 +113,9 @@ def _(spark, d):
 
 # scalars
 
-@query("X1_clean_text", W + " SELECT image_id, trim(regexp_replace(concat(' ', text, '  ', text, chr(9)), '\\s+', ' ', 'g')) AS clean FROM words WHERE word_idx < 3")
+@query("X1_clean_text", W + " SELECT image_id, trim(regexp_replace(concat(' ', text, '  ', text, chr(9)), '\\s+', ' ', 'g')) AS clean FROM words")
 def _(spark, d):
-    return fx.words(spark, d).filter("word_idx < 3").select("image_id", X.clean_text(F.concat(F.lit(" "), "text", F.lit("  "), "text", F.lit("\t"))).alias("clean"))
+    return fx.words(spark, d).select("image_id", X.clean_text(F.concat(F.lit(" "), "text", F.lit("  "), "text", F.lit("\t"))).alias("clean"))
 
 
 AMOUNT = "(SELECT text, regexp_replace(text, '[^0-9.,]', '', 'g') AS t FROM (SELECT DISTINCT text FROM words))"
@@ -187,11 +189,11 @@ def _(spark, d):
 NEAR = BOXES + f', near AS (SELECT b.*, v.word_idx AS v_idx, v.text AS v_text, v."left" AS v_left, v.top AS v_top, v.width AS v_width, v.height AS v_height, v.conf::INT AS v_conf, sqrt(pow(v."left" + v.width / 2 - b."left" - b.width / 2, 2) + pow(v.top + v.height / 2 - b.top - b.height / 2, 2)) AS distance FROM boxes b JOIN words v USING (image_id) WHERE v.conf::INT >= 20 AND trim(v.text) <> \'\' AND pow(v."left" + v.width / 2 - b."left" - b.width / 2, 2) + pow(v.top + v.height / 2 - b.top - b.height / 2, 2) <= 150 * 150)'
 
 
-@query("J3_nearby_values", W + NEAR + " SELECT image_id, field, word_idx, v_idx, round(distance, 6) AS distance FROM near")
+@query("J3_nearby_values", W + NEAR + " SELECT image_id, field, word_idx, count(*) AS n, CAST(sum(v_idx) AS BIGINT) AS words, round(sum(distance), 4) AS distance FROM near GROUP BY ALL")
 def _(spark, d):
     w = fx.words(spark, d)
     near = zones.nearby_values(w, zones.keyword_boxes(w, fixed_defs(spark).select("field", "keywords")), 150)
-    return near.select("image_id", "field", "word_idx", "v_idx", F.round("distance", 6).alias("distance"))
+    return near.groupBy("image_id", "field", "word_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("v_idx").alias("words"), F.round(F.sum("distance"), 4).alias("distance"))
 
 
 ANCHORS = W + f", f(field, keywords, pattern, dx, dy) AS (VALUES {FLEX_DEFS}), pw AS (SELECT image_id, word_idx, trim(text) AS text, \"left\", top, width, height, conf::INT AS conf, top + height // 2 AS y FROM words WHERE conf::INT > 20 AND {OKTEXT}), anchor AS (SELECT * FROM (SELECT pw.*, field, pattern, dx, dy FROM pw, f WHERE conf > 70 AND len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) > 0) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY word_idx) = 1), zone AS (SELECT image_id, field, pattern, word_idx AS anchor_idx, \"left\" + width AS zl, top AS zt, dx AS zw, dy + height AS zh FROM anchor), inzone AS (SELECT pw.*, field, pattern, anchor_idx FROM pw JOIN zone USING (image_id) WHERE \"left\" < zl + zw AND \"left\" + width > zl AND top < zt + zh AND top + height > zt)"
@@ -202,16 +204,17 @@ def _(spark, d):
     return zones.first_anchor(words.word_list(fx.words(spark, d)), flexible_defs(spark)).select("image_id", "field", "word_idx", "text")
 
 
-@query("J4_words_in_zone", ANCHORS + " SELECT image_id, field, word_idx FROM inzone")
+@query("J4_words_in_zone", ANCHORS + " SELECT image_id, field, count(*) AS n, CAST(sum(word_idx) AS BIGINT) AS words FROM inzone GROUP BY ALL")
 def _(spark, d):
     w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
-    return zones.words_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs)).select("image_id", "field", "word_idx")
+    inside = zones.words_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs))
+    return inside.groupBy("image_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("word_idx").alias("words"))
 
 
 @query("W3_best_value_in_zone", ANCHORS + " SELECT image_id, field, text AS value, conf AS confidence FROM inzone WHERE conf > 50 AND word_idx <> anchor_idx AND regexp_matches(text, pattern) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY conf DESC, word_idx) = 1")
 def _(spark, d):
     w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
-    found = zones.best_value_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs))
+    found = zones.best_value_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs), patterns=[p for _, _, p, *_ in FLEXIBLE])
     return found.select("image_id", "field", F.col("text").alias("value"), F.col("conf").alias("confidence"))
 
 
@@ -295,23 +298,78 @@ def _(spark, d):
     return extract.combine_phases(pick(a.filter("conf > 90")), pick(a))
 
 
-# extraction jobs: their folds are told by brute force in tests
+# extraction jobs
 
-@query("C1_extract_fields_flexible")
+def _value(t: str) -> str:
+    """The value of a field's cleaned text ``t``, by field."""
+    digits = f"regexp_replace({t}, '[^0-9.,]', '', 'g')"
+    amount = f"CASE WHEN contains({digits}, ',') AND contains({digits}, '.') THEN replace({digits}, ',', '') ELSE replace({digits}, ',', '.') END"
+    rules = {"monto": f"try_cast({amount} AS DOUBLE) IS NOT NULL", "fecha": f"regexp_matches({t}, '^\\d{{2}}[/-]\\d{{2}}[/-]\\d{{2,4}}')", "operacion": f"length(regexp_replace({t}, '[^0-9]', '', 'g')) >= 10"}
+    return "CASE field " + " ".join(f"WHEN {q(f)} THEN CASE WHEN regexp_matches({t}, {q('(?i)' + p)}) AND {rules.get(f, 'true')} THEN {amount if f == 'monto' else t} END" for f, _, p in EXPANSION) + " END"
+
+
+EXPANDED = W + f", f(ord, field, keywords) AS (VALUES {rows([(i, f, k) for i, (f, k, _) in enumerate(EXPANSION)])}), kws AS (SELECT field, unnest(keywords) AS kw, generate_subscripts(keywords, 1) AS ki FROM f), pts AS (SELECT image_id, field, \"left\" + width // 2 AS x, top + height // 2 AS y, count(*) AS n, min((word_idx, ki)) AS first FROM words, kws WHERE contains(lower(text), lower(kw)) GROUP BY ALL), a AS (SELECT image_id, field, coalesce(x, 400) AS x, coalesce(y, 300) AS y, coalesce(n, 0) AS n, coalesce(first, (0, 0)) AS first FROM (SELECT image_id, field FROM images, f) LEFT JOIN pts USING (image_id, field)), cw AS (SELECT image_id, word_idx, \"left\" + width // 2 AS x, top + height // 2 AS y, conf, trim(regexp_replace(text, '[^0-9.,\\-]', '', 'g')) AS monto, trim(regexp_replace(text, '[^0-9/\\-:]', '', 'g')) AS fecha, trim(regexp_replace(text, '[^0-9A-Za-z.,:\\-/() ]', '', 'g')) AS other FROM words WHERE conf > 60), near AS (SELECT a.image_id, field, a.x, a.y, first, word_idx, conf, CASE field WHEN 'monto' THEN monto WHEN 'fecha' THEN fecha ELSE other END AS t, greatest(abs(cw.x - a.x), abs(cw.y - a.y)) AS far FROM a JOIN cw USING (image_id)), r AS (SELECT image_id, field, x, y, first, radius, string_agg(t, ' ' ORDER BY word_idx) AS raw_text, sum(conf) / count(*) AS confidence FROM near JOIN (SELECT unnest([50, 75, 100, 125, 150]) AS radius) ON far <= radius WHERE t <> '' GROUP BY ALL), v AS (SELECT *, {_value("trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))")} AS value FROM r), one AS (SELECT * FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id, field, x, y ORDER BY confidence > 85 DESC, CASE WHEN confidence > 85 THEN radius END, confidence DESC, radius) = 1), best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY confidence DESC, first) = 1)"
+
+
+@query("C6_extract_fields_expansion", EXPANDED + " SELECT image_id, field, CAST(sum(n) AS BIGINT) AS anchor_points_found, coalesce(any_value(confidence) >= 60, false) AS extraction_successful, CASE WHEN any_value(confidence) >= 60 THEN any_value(value) END AS value, round(coalesce(any_value(confidence), 0), 6) AS confidence, any_value(radius) AS radius, any_value(raw_text) AS raw_text, CASE WHEN any_value(value) IS NULL THEN 'No se encontró valor válido' WHEN any_value(confidence) < 60 THEN 'Confianza insuficiente' END AS reason FROM (SELECT image_id, field, n FROM a) LEFT JOIN best USING (image_id, field) GROUP BY image_id, field")
 def _(spark, d):
-    return extract.extract_fields_flexible(fx.words(spark, d))
+    return extract.extract_fields_expansion(*both(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("C5_identify_flexible")
+@query("W8_best_expansion", EXPANDED + " SELECT image_id, field, value, round(confidence, 6) AS confidence, radius, confidence >= 60 AS extraction_successful FROM best")
 def _(spark, d):
+    """The same choice over the joined squares of J8 and the region texts of A2."""
     w, im = both(spark, d)
-    keywords = spark.createDataFrame([(TEMPLATE, k) for k in ("Monto", "Bs", "Total", "Referencia")], "template string, keyword string")
-    return extract.identify_flexible(w, im, keywords)
+    defs = zones.field_table(spark, [(f, k) for f, k, _ in EXPANSION], "field string, keywords array<string>")
+    inside = extract.expansion_regions(w.filter("conf > 60"), zones.anchor_points(w, im, defs)).withColumn("text", F.coalesce(X.charset_filter(F.col("text"), F.col("field")), F.lit("")))
+    texts = words.region_text(inside, ["image_id", "field", "x", "y", "n_anchors", "first", "radius"])
+    best = extract.best_expansion(texts.withColumn("value", X.validate_field(F.col("raw_text"), F.col("field"))))
+    return best.select("image_id", "field", "value", F.round("confidence", 6).alias("confidence"), "radius", "extraction_successful")
+
+
+def _folded() -> str:
+    """C1 as tables: for each field in turn its anchors, zone words, values, and the words used so far."""
+    parts = [W + f", pw AS MATERIALIZED (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY word_idx) - 1 AS INT) AS i, trim(text) AS text, \"left\", top, width, height, conf::INT AS conf, top + height // 2 AS y FROM words WHERE conf::INT > 20 AND {OKTEXT}), u0 AS (SELECT image_id, i FROM pw WHERE false)"]
+    for k, (name, keywords, pattern, dx, dy, multiword) in enumerate(FLEXIBLE):
+        free = f"NOT EXISTS (SELECT 1 FROM u{k} u WHERE u.image_id = p.image_id AND u.i = p.i)"
+        holds = " OR ".join(f"contains(lower(text), {q(x.lower())})" for x in keywords)
+        parts.append(f"a{k} AS MATERIALIZED (SELECT * FROM pw p WHERE conf > 70 AND ({holds}) AND {free} QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY i) = 1)")
+        parts.append(f"c{k} AS MATERIALIZED (SELECT p.*, a.text AS keyword FROM pw p JOIN a{k} a USING (image_id) WHERE p.conf > 50 AND p.i <> a.i AND p.\"left\" < a.\"left\" + a.width + {dx} AND p.\"left\" + p.width > a.\"left\" + a.width AND p.top < a.top + a.height + {dy} AND p.top + p.height > a.top AND {free})")
+        one = f"SELECT image_id, text AS value, CAST(conf AS DOUBLE) AS confidence, \"left\", top, width, height, keyword FROM c{k} WHERE regexp_matches(text, {q(pattern)}) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, i) = 1"
+        parts.append(f"s{k} AS MATERIALIZED ({one})")
+        if multiword:
+            run = f"SELECT image_id, keyword, row_number() OVER w AS s, list({{'t': text, 'y': y, 'c': conf, 'l': \"left\", 'p': top, 'w': width, 'h': height}}) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM c{k} WINDOW w AS (PARTITION BY image_id ORDER BY top, \"left\", i)"
+            spans = f"SELECT image_id, keyword, s, n, run[1 : n] AS r FROM (SELECT *, unnest(range(1, len(run) + 1)) AS n FROM ({run}))"
+            of = lambda f, x: f"list_{f}(list_transform(r, lambda x: {x}))"
+            best = f"SELECT * FROM (SELECT *, array_to_string(list_transform(r, lambda x: x.t), ' ') AS value, {of('avg', 'x.c')} AS confidence FROM ({spans})) WHERE {of('max', 'x.y')} - {of('min', 'x.y')} <= 30 AND regexp_matches(value, {q(pattern)}) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, s, n) = 1"
+            parts.append(f"v{k} AS MATERIALIZED (SELECT * FROM s{k} UNION ALL SELECT image_id, value, confidence, {of('min', 'x.l')}, {of('min', 'x.p')}, {of('max', 'x.l + x.w')} - {of('min', 'x.l')}, {of('max', 'x.p + x.h')} - {of('min', 'x.p')}, keyword FROM ({best}) WHERE image_id NOT IN (SELECT image_id FROM s{k}))")
+        else:
+            parts.append(f"v{k} AS (SELECT * FROM s{k})")
+        parts.append(f"u{k + 1} AS MATERIALIZED (SELECT * FROM u{k} UNION SELECT image_id, i FROM a{k} UNION SELECT p.image_id, p.i FROM pw p JOIN v{k} v USING (image_id) WHERE p.\"left\" BETWEEN v.\"left\" AND v.\"left\" + v.width AND p.top BETWEEN v.top AND v.top + v.height)")
+    name, pattern, least = GENERAL_SCAN
+    last = len(FLEXIBLE)
+    parts.append(f"g AS (SELECT * FROM pw p WHERE conf >= {least} AND regexp_matches(text, {q(pattern)}) AND NOT EXISTS (SELECT 1 FROM u{last} u WHERE u.image_id = p.image_id AND u.i = p.i) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY i) = 1)")
+    found = " UNION ALL ".join(f"SELECT image_id, {q(f)} AS field, value, confidence, \"left\", top, width, height, keyword, 'keyword_anchored' AS method FROM v{k}" for k, (f, *_) in enumerate(FLEXIBLE))
+    parts.append(f"found AS ({found} UNION ALL SELECT image_id, {q(name)}, text, CAST(conf AS DOUBLE), \"left\", top, width, height, NULL, 'general_scan' FROM g)")
+    return ", ".join(parts)
+
+
+FOUND = _folded()
+
+
+@query("C1_extract_fields_flexible", FOUND + " SELECT * REPLACE (round(confidence, 6) AS confidence) FROM found")
+def _(spark, d):
+    return extract.extract_fields_flexible(fx.words(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+FALLBACK = ["Monto", "Bs", "Total", "Referencia"]
 
 
-@query("C6_extract_fields_expansion")
+@query("C5_identify_flexible", FOUND + f", n AS (SELECT image_id, count(*) FILTER (WHERE field IS NOT NULL) AS n FROM (SELECT DISTINCT image_id FROM pw) LEFT JOIN found USING (image_id) GROUP BY image_id), m AS (SELECT image_id, full_text, n, coalesce(n, 0) = 0 AND n IS NOT NULL AND ({' OR '.join(f'contains(lower(full_text), {q(k.lower())})' for k in FALLBACK)}) AS fits FROM images LEFT JOIN n USING (image_id)) SELECT image_id, CASE WHEN n IS NULL THEN 'flexible_zoi_v2_no_words' WHEN n > 0 THEN 'flexible_zoi_v2' WHEN fits THEN 'template_based_fallback' ELSE 'all_strategies_failed' END AS method, coalesce(n, 0) AS n_fields, CASE WHEN fits THEN {q(TEMPLATE)} END AS template FROM m")
 def _(spark, d):
-    return extract.extract_fields_expansion(*both(spark, d))
+    w, im = both(spark, d)
+    keywords = spark.createDataFrame([(TEMPLATE, k) for k in FALLBACK], "template string, keyword string")
+    return extract.identify_flexible(w, im, keywords)
 
 
 @query("J8_expansion_regions", W + f", f(ord, field, keywords) AS (VALUES {rows([(i, f, k) for i, (f, k, _) in enumerate(EXPANSION)])}), h AS (SELECT DISTINCT image_id, field, \"left\" + width // 2 AS x, top + height // 2 AS y FROM words, (SELECT field, unnest(keywords) AS kw FROM f) k WHERE contains(lower(text), lower(kw))), a AS (SELECT image_id, field, coalesce(x, 400) AS x, coalesce(y, 300) AS y FROM (SELECT image_id, field FROM images, f) LEFT JOIN h USING (image_id, field)) SELECT image_id, field, radius, count(*) AS words FROM a JOIN words w USING (image_id) JOIN (SELECT unnest([50, 75, 100, 125, 150]) AS radius) r ON greatest(abs(w.\"left\" + w.width // 2 - x), abs(w.top + w.height // 2 - y)) <= radius GROUP BY ALL")
@@ -321,12 +379,12 @@ def _(spark, d):
     return extract.expansion_regions(w, zones.anchor_points(w, im, defs)).groupBy("image_id", "field", "radius").agg(F.count(F.lit(1)).alias("words"))
 
 
-FIELDS = "fields AS (SELECT image_id, CAST(word_idx AS VARCHAR) AS field, conf > 60 AS ok, CASE WHEN conf > 60 THEN text END AS value, conf FROM words WHERE word_idx < 8)"
+FIELDS = "fields AS (SELECT image_id, CAST(word_idx AS VARCHAR) AS field, conf > 60 AS ok, CASE WHEN conf > 60 THEN text END AS value, conf FROM words)"
 
 
 def derived_fields(spark, d):
-    """One field for each of the first words of a receipt."""
-    w = fx.words(spark, d).filter("word_idx < 8")
+    """One field for each word of a receipt."""
+    w = fx.words(spark, d)
     return w.select("image_id", F.col("word_idx").cast("string").alias("field"), (F.col("conf") > 60).alias("extraction_successful"), F.when(F.col("conf") > 60, F.col("text")).alias("value"), F.col("conf").alias("confidence"))
 
 
@@ -349,10 +407,11 @@ def _(spark, d):
     return learning.feedback_statistics(fx.feedback(spark, d))
 
 
-@query("O2_union_feedback", FB + " SELECT campo_nombre, count(*) * 2 AS n FROM feedback GROUP BY campo_nombre")
+@query("O2_union_feedback", FB + " SELECT campo_nombre, causa_raiz, count(*) AS n, CAST(sum(seq) AS BIGINT) AS rows FROM (SELECT * FROM feedback WHERE causa_raiz = 'otro' UNION ALL SELECT * FROM feedback WHERE raw_ocr_output <> '') GROUP BY ALL")
 def _(spark, d):
     f = fx.feedback(spark, d)
-    return learning.union_feedback(f, f).groupBy("campo_nombre").agg(F.count(F.lit(1)).alias("n"))
+    both = learning.union_feedback(f.filter("causa_raiz = 'otro'"), f.filter("raw_ocr_output <> ''"))
+    return both.groupBy("campo_nombre", "causa_raiz").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("rows"))
 
 
 @query("A6_build_model", FB + " SELECT campo_nombre AS field, raw_ocr_output AS raw, valor_corregido AS correction, causa_raiz AS cause, count(*) AS count FROM feedback GROUP BY ALL")
@@ -363,7 +422,7 @@ def _(spark, d):
 FOLD = f", adj AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, {ADJ} AS a, row_number() OVER (PARTITION BY campo_nombre, raw_ocr_output ORDER BY timestamp_feedback DESC, seq DESC) AS rn, seq FROM feedback WHERE {ADJ} <> 0)"
 
 
-@query("W7_confidence_fold", FB + FOLD + " SELECT field, raw, count(*) AS n, round(sum(a * pow(0.5, rn)), 6) AS adjustment FROM adj WHERE rn <= 1100 GROUP BY ALL")
+@query("W7_confidence_fold", FB + FOLD + " SELECT field, raw, count(*) AS n, round(sum(CASE WHEN rn <= 1100 THEN a * pow(0.5, rn) END), 6) AS adjustment FROM adj GROUP BY ALL")
 def _(spark, d):
     return learning.confidence_fold(fx.feedback(spark, d)).withColumn("adjustment", F.round("adjustment", 6))
 
@@ -395,6 +454,14 @@ def _(spark, d):
     return learning.merge_model(learning.build_model(old), new)[0].select("field", "raw", "total", F.round("adjustment", 6).alias("adjustment"))
 
 
+@query("A7_merge_corrections", FB + " SELECT campo_nombre AS field, raw_ocr_output AS raw, valor_corregido AS correction, causa_raiz AS cause, count(*) AS count, CAST(epoch_us(min(timestamp_feedback)) AS BIGINT) AS first_seen FROM feedback GROUP BY ALL")
+def _(spark, d):
+    f = fx.feedback(spark, d)
+    half = F.xxhash64("seq") % 2 == 0
+    merged = learning.merge_model(learning.build_model(f.filter(half)), f.filter(~half))[1]
+    return merged.select("field", "raw", "correction", "cause", "count", F.unix_micros(F.col("first_seen.timestamp_feedback")).alias("first_seen"))
+
+
 @query("A8_processing_stats", FB + f" SELECT 'all' AS kind, '' AS key, count(*) AS n FROM feedback UNION ALL SELECT 'adjustments', '', count(*) FROM feedback WHERE {ADJ} <> 0 UNION ALL SELECT 'field', campo_nombre, count(*) FROM feedback GROUP BY campo_nombre UNION ALL SELECT 'cause', causa_raiz, count(*) FROM feedback GROUP BY causa_raiz")
 def _(spark, d):
     return learning.processing_stats(fx.feedback(spark, d))
@@ -425,15 +492,76 @@ def _(spark, d):
     return jobs.recent_corrections(fx.feedback(spark, d))
 
 
-@query("ST3_extract_rows")
+@query("ST3_extract_rows", FOUND + " SELECT image_id, field, value, round(confidence, 6) AS confidence FROM found")
 def _(spark, d):
-    return jobs.extract_rows(words.collect_ocr(fx.words(spark, d)))
+    return jobs.extract_rows(words.collect_ocr(fx.words(spark, d))).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("S6_model_json", FB + " SELECT campo_nombre AS field, count(DISTINCT raw_ocr_output) AS raws FROM feedback GROUP BY campo_nombre")
+@query("S6_model_json", FB + ENTRIES + ", c AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, valor_corregido AS correction, causa_raiz AS cause, count(*) AS count FROM feedback GROUP BY ALL) SELECT field, raw, correction, cause, count, total, round(adjustment, 6) AS adjustment FROM c JOIN entries USING (field, raw)")
 def _(spark, d):
-    j = io.model_json(learning.build_model(fx.feedback(spark, d)))
-    return j.select("field", F.size(F.json_object_keys("json")).cast("long").alias("raws"))
+    """The model written as nested JSON and read back."""
+    entries, corrections = io.model_from_json(io.model_json(learning.build_model(fx.feedback(spark, d))))
+    return corrections.join(entries, ["field", "raw"]).select("field", "raw", "correction", "cause", "count", "total", F.round("adjustment", 6).alias("adjustment"))
+
+
+YAML = "concat('huella_texto_clave: [\"', s_name, '\", Monto]\nesqueleto_estructural:\n  regiones_esperadas:\n    - {nombre: r', s_nationkey, ', left_rel: 0.1, top_rel: 0.2, width_rel: 0.5, height_rel: 0.25}\ncampos:\n  monto: {left: ', s_nationkey, ', top: ', s_suppkey % 100, ', width: 30, height: 4, regex_validacion: [\"a\", \"b\"]}\n', CASE WHEN s_suppkey % 7 = 0 THEN 'bad: [' ELSE '' END)"
+
+
+@query("S3_load_templates", "SELECT 't' || s_suppkey AS template, s_name AS anchor, 'r' || s_nationkey AS region, 0.25::DOUBLE AS height_rel, CAST(s_nationkey AS INT) AS \"left\", CAST(s_suppkey % 100 AS INT) AS top, 'a|b' AS regexes FROM supplier WHERE s_suppkey % 7 <> 0")
+def _(spark, d):
+    """A template for each supplier, every seventh of them broken."""
+    texts = fx.read(spark, d, "supplier").selectExpr("concat('t', s_suppkey) AS template", f"{YAML} AS text")
+    anchors, regions, fields, _ = io.parse_templates(texts)
+    t = anchors.filter("anchor <> 'Monto'").join(regions.select("template", F.col("name").alias("region"), "height_rel"), "template").join(fields, "template")
+    return t.select("template", "anchor", "region", "height_rel", "left", "top", F.array_join("regexes", "|").alias("regexes"))
+
+
+def feedback_text(spark, d):
+    """Feedback as its CSV files hold it."""
+    return fx.feedback(spark, d).select("id_unico_imagen", "campo_nombre", "raw_ocr_output", "valor_corregido", "causa_raiz", F.date_format("timestamp_feedback", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_feedback"))
+
+
+FILES = " SELECT campo_nombre, raw_ocr_output, count(*) AS n, count(DISTINCT id_unico_imagen) AS images"
+
+
+@query("S4_read_feedback", FB + FILES + ", strftime(max(timestamp_feedback), '%Y-%m-%dT%H:%M:%S.%f') AS last FROM feedback GROUP BY ALL")
+def _(spark, d):
+    at = fx.scratch(spark, "feedback")
+    feedback_text(spark, d).write.options(**io.CSV).csv(at)
+    f = io.read_feedback(spark, at).unionByName(io.read_feedback(spark, fx.scratch(spark, "missing")))
+    return f.groupBy("campo_nombre", "raw_ocr_output").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id_unico_imagen").alias("images"), F.max("timestamp_feedback").alias("last"))
+
+
+@query("S5_append_feedback", FB + FILES + ", true AS stamped FROM feedback GROUP BY ALL")
+def _(spark, d):
+    at, f = fx.scratch(spark, "feedback"), fx.feedback(spark, d)
+    io.append_feedback(f.filter("seq % 2 = 0"), at)
+    io.append_feedback(f.filter("seq % 2 = 1"), at)
+    f = io.read_feedback(spark, at)
+    return f.groupBy("campo_nombre", "raw_ocr_output").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id_unico_imagen").alias("images"), F.bool_and(F.to_timestamp("timestamp_feedback").isNotNull()).alias("stamped"))
+
+
+@query("S8_archive_feedback", FB + " SELECT CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END AS archived_at, campo_nombre, count(*) AS n FROM feedback GROUP BY ALL")
+def _(spark, d):
+    at, f = fx.scratch(spark, "archive"), fx.feedback(spark, d).drop("timestamp_feedback")
+    io.archive_feedback(f, at, "b")
+    io.archive_feedback(f.filter("seq % 3 = 0"), at, "a")
+    io.archive_feedback(f.filter("seq % 3 <> 0"), at, "b")
+    return spark.read.option("header", True).csv(at).groupBy("archived_at", "campo_nombre").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ST1_retrain_stream", FB + f", half AS (SELECT *, timestamp_feedback > (SELECT median(timestamp_feedback) FROM feedback) AS late FROM feedback), adj AS (SELECT campo_nombre AS field, raw_ocr_output AS raw, {ADJ} AS a, row_number() OVER (PARTITION BY campo_nombre, raw_ocr_output ORDER BY timestamp_feedback DESC, id_unico_imagen DESC, valor_corregido DESC, causa_raiz DESC) AS rn FROM feedback WHERE {ADJ} <> 0), folded AS (SELECT field, raw, sum(CASE WHEN rn <= 1100 THEN a * pow(0.5, rn) END) AS adjustment FROM adj GROUP BY ALL) SELECT t.*, round(coalesce(adjustment, 0), 6) AS adjustment FROM (SELECT campo_nombre AS field, raw_ocr_output AS raw, count(*) AS total, CAST((SELECT count(*) FROM feedback) AS BIGINT) AS archived FROM feedback GROUP BY ALL) t LEFT JOIN folded USING (field, raw)")
+def _(spark, d):
+    """Feedback that arrives in two parts, by time."""
+    source, model, archive, state = (fx.scratch(spark, x) for x in ("feedback", "model", "archive", "state"))
+    f = feedback_text(spark, d).withColumn("at", F.unix_micros(F.to_timestamp("timestamp_feedback")))
+    late = F.col("at") > F.lit(f.agg(F.median("at")).first()[0])
+    for part in (~late, late):
+        f.filter(part).drop("at").write.mode("append").options(**io.CSV).csv(source)
+        jobs.retrain_stream(spark, source, model, archive, state).awaitTermination()
+    entries, _ = io.read_model(spark, f"{model}/batch=1")
+    archived = spark.read.option("header", True).csv(archive).count()
+    return entries.select("field", "raw", "total", F.lit(archived).cast("long").alias("archived"), F.round("adjustment", 6).alias("adjustment"))
 
 
 # image quality
@@ -462,19 +590,25 @@ def _(spark, d):
     return quality.texture(fx.pixels(spark, d)).select("image_id", F.round("noise_level", 6).alias("noise_level"))
 
 
-@query("M5_diagnose_images")
+TYPE = "CASE WHEN is_dark THEN 'Captura Fondo Oscuro' WHEN sharpness < 100 AND brightness > 180 THEN 'Captura WhatsApp' WHEN sharpness > 500 AND noise_level < 15 THEN 'Escaneo Digital' WHEN noise_level > 15 THEN 'Foto Física' ELSE 'Imagen Mixta' END"
+PIXEL_METRICS = PX + DARK + ", s AS (SELECT image_id, stddev_pop(g) AS std, min(g) AS min, max(g) AS max FROM e GROUP BY image_id), p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), sharp AS (SELECT c.image_id, var_pop(u.g + d.g + l.g + r.g - 4 * c.g) AS sharpness FROM c JOIN c u ON u.image_id = c.image_id AND u.x = c.x AND u.y = abs(c.y - 1) JOIN c d ON d.image_id = c.image_id AND d.x = c.x AND d.y = 7 - abs(7 - c.y - 1) JOIN c l ON l.image_id = c.image_id AND l.y = c.y AND l.x = abs(c.x - 1) JOIN c r ON r.image_id = c.image_id AND r.y = c.y AND r.x = 7 - abs(7 - c.x - 1) GROUP BY c.image_id), k AS (SELECT unnest([1, 4, 6, 4, 1]) AS w, unnest([-2, -1, 0, 1, 2]) AS o), b AS (SELECT c.image_id, c.y, c.x, any_value(c.g) AS g, (sum(kx.w * ky.w * s.g) + 128) // 256 AS blurred FROM c, k kx, k ky, c s WHERE s.image_id = c.image_id AND s.x = 7 - abs(7 - abs(c.x + kx.o)) AND s.y = 7 - abs(7 - abs(c.y + ky.o)) GROUP BY ALL), noise AS (SELECT image_id, stddev_pop(abs(g - blurred)) AS noise_level FROM b GROUP BY image_id), diag AS (SELECT dk.image_id, brightness, std, min, max, med, dark_percentage, brightness < 85 AND med < 85 AND dark_percentage > 60 AS is_dark, sharpness, noise_level FROM dk JOIN s USING (image_id) JOIN sharp USING (image_id) JOIN noise USING (image_id))"
+CATEGORIES = "CASE WHEN sharpness > 500 THEN 'high' WHEN sharpness > 100 THEN 'medium' ELSE 'low' END AS sharpness_category, CASE WHEN brightness > 180 THEN 'high' WHEN brightness < 80 THEN 'low' ELSE 'normal' END AS brightness_category, CASE WHEN noise_level > 15 THEN 'high' ELSE 'normal' END AS noise_category"
+
+
+@query("M5_diagnose_images", PIXEL_METRICS + f" SELECT image_id, round(brightness, 6) AS brightness, round(std, 6) AS std, min, max, med AS median, dark_percentage, is_dark, CAST(round(sharpness * 4096) AS BIGINT) AS sharpness, round(noise_level, 6) AS noise_level, {CATEGORIES}, {TYPE} AS image_type FROM diag")
 def _(spark, d):
-    return quality.diagnose_images(fx.pixels(spark, d))
+    g = quality.diagnose_images(fx.pixels(spark, d))
+    r = lambda c: F.round(c, 6).alias(c)
+    return g.select("image_id", r("brightness"), r("std"), "min", "max", "median", "dark_percentage", "is_dark", F.round(F.col("sharpness") * 4096).cast("long").alias("sharpness"), r("noise_level"), "sharpness_category", "brightness_category", "noise_category", "image_type")
 
 
-DIAG = "WITH diag AS (SELECT o_orderkey AS k, CAST(o_orderkey * 7 % 700 AS DOUBLE) AS sharpness, CAST(o_orderkey * 3 % 256 AS DOUBLE) AS brightness, CAST(o_orderkey % 40 AS DOUBLE) / 2 AS noise_level, o_orderkey % 6 = 0 AS is_dark, CASE WHEN o_orderkey % 6 = 0 THEN CAST(61 + o_orderkey % 30 AS DOUBLE) / 100 ELSE 0.0 END AS dark_confidence, CAST(400 + o_orderkey * 37 % 900 AS INT) AS img_width, CAST(300 + o_orderkey * 53 % 800 AS INT) AS img_height FROM orders)"
+DIAG = "WITH diag AS (SELECT o_orderkey AS k, CAST(o_orderkey * 7 % 700 AS DOUBLE) AS sharpness, CAST(o_orderkey * 3 % 256 AS DOUBLE) AS brightness, CAST(o_orderkey % 40 AS DOUBLE) / 2 AS noise_level, o_orderkey % 6 = 0 AS is_dark, CASE WHEN o_orderkey % 6 = 0 THEN CAST(61 + o_orderkey % 30 AS DOUBLE) / 100 ELSE 0.0 END AS dark_confidence, CAST(400 + o_orderkey * 37 % 900 AS INT) AS img_width, CAST(300 + o_orderkey * 53 % 800 AS INT) AS img_height, CAST(o_orderkey % 41 - 20 AS DOUBLE) / 5 AS skew_angle FROM orders)"
 
 
 def diag(spark, d):
     return spark.sql(DIAG.replace("FROM orders", "FROM {orders}") + " SELECT * FROM diag", orders=fx.read(spark, d, "orders"))
 
 
-TYPE = "CASE WHEN is_dark THEN 'Captura Fondo Oscuro' WHEN sharpness < 100 AND brightness > 180 THEN 'Captura WhatsApp' WHEN sharpness > 500 AND noise_level < 15 THEN 'Escaneo Digital' WHEN noise_level > 15 THEN 'Foto Física' ELSE 'Imagen Mixta' END"
 FACTOR = "greatest(1.0::DOUBLE, CASE WHEN sharpness <= 100 THEN 2.5 ELSE 1 END, CASE WHEN img_width < 800 OR img_height < 600 THEN greatest(800 / img_width, 600 / img_height) ELSE 1 END, CASE WHEN img_width < 1000 OR img_height < 800 THEN 2 ELSE 1 END)"
 
 
@@ -502,17 +636,16 @@ def _(spark, d):
     return g.select("k", f.alias("factor"), (g["img_width"] * f).cast("int").alias("new_width"), (g["img_height"] * f).cast("int").alias("new_height"))
 
 
-@query("P8_denoise_plan", DIAG + " SELECT k, CASE WHEN noise_level > 15 THEN 'colored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'colored_moderate' ELSE 'gaussianBlur_light' END || ',bilateralFilter' AS steps FROM diag")
+@query("P8_denoise_plan", DIAG + " SELECT k, CASE WHEN noise_level > 15 THEN 'fastNlMeansDenoisingColored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'fastNlMeansDenoisingColored_moderate' ELSE 'gaussianBlur_light' END || ',bilateralFilter' AS steps FROM diag")
 def _(spark, d):
     g = diag(spark, d)
     return g.select("k", F.array_join(quality.denoise_plan(g), ",").alias("steps"))
 
 
-@query("P9_preprocessing_plan", DIAG + f", f AS (SELECT *, is_dark AND dark_confidence >= 0.7::DOUBLE AS inv, {TYPE} AS kind FROM diag) SELECT k, concat_ws(',', CASE WHEN inv THEN 'smart_color_inversion_bitwise_not_with_clahe' END, CASE WHEN noise_level > 15 THEN 'colored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'colored_moderate' ELSE 'gaussianBlur_light' END, 'bilateralFilter', CASE kind WHEN 'Captura Fondo Oscuro' THEN 'dark_background_optimization' WHEN 'Captura WhatsApp' THEN 'whatsapp_optimization' WHEN 'Foto Física' THEN 'physical_photo_enhancement' WHEN 'Escaneo Digital' THEN 'scan_sharpening' END, CASE WHEN NOT inv AND brightness < 80 THEN 'brightness_boost_high' WHEN NOT inv AND brightness > 180 THEN 'brightness_reduction_high' END) AS steps FROM f")
+@query("P9_preprocessing_plan", DIAG + f", f AS (SELECT *, is_dark AND dark_confidence >= 0.7::DOUBLE AS inv, {TYPE} AS kind FROM diag) SELECT k, concat_ws(',', CASE WHEN inv THEN 'smart_color_inversion_bitwise_not_with_clahe' END, CASE WHEN abs(skew_angle) > 1 THEN printf('skew_correction_%.1fdeg', skew_angle) END, CASE WHEN {FACTOR} > 1.1::DOUBLE THEN printf('upscale_%.1fx_LANCZOS4', CAST({FACTOR} AS DOUBLE)) END, CASE WHEN noise_level > 15 THEN 'fastNlMeansDenoisingColored_aggressive,medianBlur_5' WHEN noise_level > 8 THEN 'fastNlMeansDenoisingColored_moderate' ELSE 'gaussianBlur_light' END, 'bilateralFilter', CASE kind WHEN 'Captura Fondo Oscuro' THEN 'dark_background_optimization' WHEN 'Captura WhatsApp' THEN 'whatsapp_optimization' WHEN 'Foto Física' THEN 'physical_photo_enhancement' WHEN 'Escaneo Digital' THEN 'scan_sharpening' END, CASE WHEN NOT inv AND brightness < 80 THEN 'brightness_boost_high' WHEN NOT inv AND brightness > 180 THEN 'brightness_reduction_high' END) AS steps FROM f")
 def _(spark, d):
     g = diag(spark, d)
-    steps = F.filter(quality.preprocessing_plan(g), lambda s: ~s.startswith("upscale_"))
-    return g.select("k", F.array_join(steps, ",").alias("steps"))
+    return g.select("k", F.array_join(quality.preprocessing_plan(g), ",").alias("steps"))
 
 
 # reports, manifests and results
@@ -531,8 +664,8 @@ def _(spark, d):
 def _(spark, d):
     f = derived_fields(spark, d)
     s = reports.summary(reports.documents(f, extract.extraction_statistics(f)))
-    entries = F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"])))
-    text = F.array_join(entries, ";")
+    entries = F.array_sort(F.transform(F.map_entries("values"), lambda e: F.struct(e["key"].alias("key"), e["value"]["value"].alias("value"))))
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return s.select("image_id", F.col("n_fields").cast("long").alias("n_fields"), F.when(text != "", text).alias("extracted"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 SUFFIXES = [".png", ".jpg", ".jpeg", ".tiff", ".bmp"]
 FEEDBACK_COLUMNS = ["id_unico_imagen", "campo_nombre", "raw_ocr_output", "valor_corregido", "causa_raiz", "timestamp_feedback"]
+#: Missing values are told from empty ones, which are quoted.
+CSV = {"header": True, "nullValue": "<NA>"}
 FEEDBACK_SCHEMA = StructType([StructField(c, StringType()) for c in FEEDBACK_COLUMNS])
 
 
@@ -23,8 +25,14 @@ def image_manifest(spark: SparkSession, path: str) -> DataFrame:
     return supported(files.select("path", "modificationTime", "length"))
 
 
-def load_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """S3: (anchors, regions, fields, skipped) from the YAML files of a folder, read and parsed where they lie."""
+TEMPLATE_SCHEMA = (
+    "template string, anchors array<string>, regions array<struct<name:string,left_rel:double,top_rel:double,width_rel:double,height_rel:double>>, "
+    "fields array<struct<field:string,left:int,top:int,width:int,height:int,psm_mode:string,regexes:array<string>,keywords:array<string>,direction:string>>, error string"
+)
+
+
+def parse_templates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(anchors, regions, fields, skipped) from (template, text) with YAML texts, parsed where they lie."""
     import yaml
 
     def parse(it):
@@ -41,19 +49,23 @@ def load_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                     rows.append((name, [], [], [], str(bad)[:200]))
             yield type(pdf)(rows, columns=["template", "anchors", "regions", "fields", "error"])
 
-    kind = "template string, anchors array<string>, regions array<struct<name:string,left_rel:double,top_rel:double,width_rel:double,height_rel:double>>, fields array<struct<field:string,left:int,top:int,width:int,height:int,psm_mode:string,regexes array<string>,keywords array<string>,direction:string>>, error string".replace("regexes array", "regexes:array").replace("keywords array", "keywords:array")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").load(path)
-    t = files.select(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("template"), F.decode("content", "utf-8").alias("text")).mapInPandas(parse, kind)
+    t = texts.select("template", "text").mapInPandas(parse, TEMPLATE_SCHEMA)
     good = t.filter("error is null")
     return good.select("template", F.explode("anchors").alias("anchor")), good.select("template", F.inline("regions")), good.select("template", F.inline("fields")), t.filter("error is not null").select("template", "error")
 
 
+def load_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """S3: the templates in the YAML files of a folder, named by their stems."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").load(path)
+    return parse_templates(files.select(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("template"), F.decode("content", "utf-8").alias("text")))
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; a missing path gives no rows."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(FEEDBACK_SCHEMA).option("header", True).csv(path)
+        return spark.read.schema(FEEDBACK_SCHEMA).options(**CSV).csv(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -63,7 +75,7 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 def append_feedback(df: DataFrame, path: str) -> None:
     """Rows stamped with the time, added as new files."""
     stamped = df.withColumn("timestamp_feedback", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    stamped.select(*FEEDBACK_COLUMNS).write.mode("append").option("header", True).csv(path)
+    stamped.select(*FEEDBACK_COLUMNS).write.mode("append").options(**CSV).csv(path)
 
 
 def write_model(model: tuple[DataFrame, DataFrame], path: str) -> None:
@@ -86,6 +98,17 @@ def model_json(model: tuple[DataFrame, DataFrame]) -> DataFrame:
     return out.groupBy("field").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("raw", value)))).alias("json"))
 
 
+MODEL_JSON = "map<string,struct<corrections:map<string,struct<count:bigint,causas:map<string,bigint>>>,total_correcciones:bigint,last_updated:timestamp,confidence_adjustment:double>>"
+
+
+def model_from_json(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, corrections) from (field, json); when a correction was first seen is not kept in JSON."""
+    rows = nested.select("field", F.explode(F.from_json("json", MODEL_JSON)).alias("raw", "e"))
+    entries = rows.select("field", "raw", F.col("e.total_correcciones").alias("total"), F.col("e.last_updated").alias("last_updated"), F.col("e.confidence_adjustment").alias("adjustment"))
+    rows = rows.select("field", "raw", F.explode("e.corrections").alias("correction", "c")).select("field", "raw", "correction", F.explode("c.causas").alias("cause", "count"))
+    return entries, rows.withColumn("first_seen", F.lit(None).cast("string"))
+
+
 def named_results(results: DataFrame) -> DataFrame:
     """Results with the record name ``timestamp-stem`` and their date."""
     return results.withColumn("record", F.concat_ws("-", F.date_format("processed_at", "yyyyMMdd-HHmmss"), "stem")).withColumn("processing_date", F.to_date("processed_at"))
@@ -97,8 +120,8 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def archive_feedback(df: DataFrame, path: str, stamp: str) -> None:
-    """S8"""
-    df.withColumn("archived_at", F.lit(stamp)).write.mode("append").partitionBy("archived_at").option("header", True).csv(path)
+    """Processed feedback under its stamp; archiving one stamp again replaces it."""
+    df.write.mode("overwrite").options(**CSV).csv(f"{path}/archived_at={stamp}")
 
 
 def retraining_report(stats: DataFrame, top: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,30 +13,40 @@ from ..sources import io
 WIDE_SCHEMA = "image_id string, text array<string>, `left` array<int>, top array<int>, width array<int>, height array<int>, conf array<double>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a batch's mark, which is written last, is there."""
+    try:
+        return spark.read.schema("batch long").parquet(path).count() > 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def retrain_stream(spark: SparkSession, feedback_path: str, model_path: str, archive_path: str, checkpoint: str) -> StreamingQuery:
-    """ST1: every feedback file once, merged into the model and archived.
+    """ST1: every feedback file once, archived and merged into the model.
 
-    Each batch writes the model under its number before the next one starts; a
-    batch that runs again after a failure finds its model complete and leaves
-    it, so feedback is never counted twice. Rows that come late are folded
-    after those already merged."""
+    Each batch writes its archive, then the model under its number, then a mark.
+    A batch that runs again after a failure overwrites what it has written; one
+    whose mark is there leaves all as it is, so feedback is never counted twice
+    and never missing from the archive. Without the model of the batch before,
+    a batch fails instead of starting from nothing. Rows that come late are
+    folded after those already merged."""
 
     def merge(batch: DataFrame, number: int) -> None:
         done = f"{model_path}/batch={number}"
-        if _exists(spark, f"{done}/corrections/_SUCCESS"):
+        if _written(spark, f"{done}/done"):
             return
+        if number and not _written(spark, f"{model_path}/batch={number - 1}/done"):
+            raise FileNotFoundError(f"the model of batch {number - 1} is missing in {model_path}")
         f = batch.withColumn("timestamp_feedback", F.to_timestamp("timestamp_feedback")).persist()
-        old = io.read_model(spark, f"{model_path}/batch={number - 1}") if number and _exists(spark, f"{model_path}/batch={number - 1}") else None
+        io.archive_feedback(batch, archive_path, f"batch-{number}")
+        old = io.read_model(spark, f"{model_path}/batch={number - 1}") if number else None
         io.write_model(learning.retrain(f, old, sequence=None), done)
-        batch.withColumn("archived_at", F.lit(f"batch-{number}")).write.mode("overwrite").option("header", True).csv(f"{archive_path}/archived_at=batch-{number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{done}/done")
         f.unpersist()
 
-    rows = spark.readStream.schema(io.FEEDBACK_SCHEMA).option("header", True).csv(feedback_path)
+    rows = spark.readStream.schema(io.FEEDBACK_SCHEMA).options(**io.CSV).csv(feedback_path)
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

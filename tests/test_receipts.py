@@ -224,6 +224,49 @@ def test_retraining_stream_counts_once(spark, tmp_path):
     assert spark.read.option("header", True).csv(archive).count() == 5
 
 
+def test_a_batch_that_failed_after_its_model_is_archived_once_more(spark, tmp_path):
+    """Without its mark a batch runs again in whole; without the model before it, it fails."""
+    import shutil
+
+    source, model, archive, state = (str(tmp_path / x) for x in ("fb", "model", "archive", "state"))
+    io.append_feedback(feedback_rows(spark, 2), source)
+    jobs.retrain_stream(spark, source, model, archive, state).awaitTermination()
+    for lost in (f"{model}/batch=0/done", archive, f"{state}/commits"):
+        shutil.rmtree(lost)
+    jobs.retrain_stream(spark, source, model, archive, state).awaitTermination()
+    assert io.read_model(spark, f"{model}/batch=0")[0].first()["total"] == 2
+    assert spark.read.options(**io.CSV).csv(archive).count() == 2
+    shutil.rmtree(model)
+    io.append_feedback(feedback_rows(spark, 1), source)
+    with pytest.raises(Exception, match="missing"):
+        jobs.retrain_stream(spark, source, model, archive, state).awaitTermination()
+
+
+def test_fold_counts_all_rows_of_a_frequent_key(spark):
+    n = learning.FOLD_ROWS + 500
+    f = spark.range(n).selectExpr("'i' AS id_unico_imagen", "'monto' AS campo_nombre", "'a' AS raw_ocr_output", "'v' AS valor_corregido", "'otro' AS causa_raiz", "timestamp_seconds(id) AS timestamp_feedback", "id AS seq")
+    r = learning.confidence_fold(f).first()
+    assert (r["n"], r["adjustment"]) == (n, pytest.approx(-2.0))
+
+
+def test_model_survives_json_and_missing_values_survive_csv(spark, tmp_path):
+    rows = [("i", "f", "", "a", "c"), ("i", "f", "", "a", "d"), ("i", "f", "x", "", "c"), ("i", "f", None, "a", "c")]
+    path = str(tmp_path / "fb")
+    io.append_feedback(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in learning.COLUMNS)), path)
+    f = io.read_feedback(spark, path)
+    assert sorted(map(str, f.select(*learning.COLUMNS).collect())) == sorted(map(str, spark.createDataFrame(rows, f.select(*learning.COLUMNS).schema).collect()))
+    model = learning.build_model(f.withColumn("timestamp_feedback", F.to_timestamp("timestamp_feedback")), None)
+    entries, corrections = io.model_from_json(io.model_json(model))
+    key = ["field", "raw", "correction", "cause", "count"]
+    assert sorted(map(str, corrections.select(key).collect())) == sorted(map(str, model[1].select(key).collect()))
+    assert sorted(map(str, entries.select("field", "raw", "total", "adjustment").collect())) == sorted(map(str, model[0].select("field", "raw", "total", "adjustment").collect()))
+
+
+def test_one_decimal_rounds_ties_to_even(spark):
+    rows = [(x,) for x in (1.25, 1.75, -1.25, 2.0, 1.26, 0.05, 2.5)]
+    assert values(spark, quality.one_decimal(F.col("x")), rows, "x double") == ["1.2", "1.8", "-1.2", "2.0", "1.3", "0.1", "2.5"]
+
+
 def test_extraction_stream(spark, tmp_path):
     w = spark.createDataFrame(list(random_receipts(10)), WORDS)
     wide = words.collect_ocr(w)
