@@ -414,6 +414,8 @@ def test_quality_model_tells_junk(spark, none):
     assert sum(kept[i] for i in range(160)) >= 155 and not any(kept[i] for i in range(160, 182))
     assert all(r["_kept"] for r in quality_lm.judge(docs, labels.limit(0)).collect())
     assert quality_lm.judge(none, labels).count() == 0
+    twice = {(r["doc_id"], r["_perplexity"]) for r in quality_lm.judge(docs.unionByName(docs.filter("doc_id >= 150")), labels.unionByName(labels.withColumn("quality", F.lit(0)))).collect()}
+    assert twice == {(r["doc_id"], r["_perplexity"]) for r in out.collect()}
 
 
 def test_quality_model_reads_long_texts_whole(spark):
@@ -423,6 +425,40 @@ def test_quality_model_reads_long_texts_whole(spark):
     assert (quality_lm.TRAIN_DOCUMENTS, quality_lm.THRESHOLD_DOCUMENTS) == (4000, 8000)
 
 
+def test_kneser_ney_against_a_plain_version(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdefghijkl", weights=[2**k for k in range(12)], k=rng.randint(1, 60))) for _ in range(40)]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    padded = [["<", "<", *t.split()] for t in texts]
+    tri = collections.Counter(tuple(p[i - 2 : i + 1]) for p in padded for i in range(2, len(p)))
+    bi = collections.Counter((v, w) for _, v, w in tri)
+    uni = collections.Counter(w for _, w in bi)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0, *[min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]]
+        return lambda c: d[min(c, 3)]
+
+    d1, d2, d3 = map(discounts, (uni, bi, tri))
+    total = sum(uni.values())
+    floor = sum(map(d1, uni.values())) / total / (len(uni) + 1)
+    p1 = lambda w: (uni[w] - d1(uni[w])) / total + floor
+
+    def interpolated(counts, d, context, w, lower):
+        own = {g: c for g, c in counts.items() if g[:-1] == context}
+        if not own:
+            return lower
+        n = sum(own.values())
+        return (counts[(*context, w)] - d(counts[(*context, w)])) / n + sum(map(d, own.values())) / n * lower
+
+    for t in [*texts[:10], "a b zz c l l k", "zz", "l zz l"]:
+        p = ["<", "<", *t.split()]
+        want = [math.log10(interpolated(tri, d3, (p[i - 2], p[i - 1]), p[i], interpolated(bi, d2, (p[i - 1],), p[i], p1(p[i])))) for i in range(2, len(p))]
+        h = np.array([textkernel.word_hash(w) for w in t.split()], np.uint64)
+        assert quality_lm.log_probabilities(model, h, np.zeros(len(h), int)) == pytest.approx(want, abs=1e-4)
+
+
 def test_kneser_ney_shares_add_up_to_one(spark):
     rng = random.Random(1)
     texts = spark.createDataFrame([(" ".join(rng.choices("abcdefgh", weights=range(1, 9), k=40)),) for _ in range(30)], "text string")
