@@ -334,6 +334,20 @@ def test_few_vectors_are_all_found(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths_and_blocks(spark, monkeypatch):
+    """Vectors meet those of their length only; small blocks and parties give the same as one; a column that clashes is ignored."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6 if i % 2 else 9).tolist(), 1, 1.0) for i in range(200)] + [(500, [1e100] * 6, 1, 1.0), (501, [1e-200] * 6, 1, 1.0), (None, [1.0] * 6, 1, 1.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket int, near double")
+    ask = lambda: sorted(map(tuple, ann.nearest(table, table.filter("vec_id % 20 = 0")).collect()))
+    want = ask()
+    kind = {r[0]: len(r[1]) for r in rows}
+    assert all(kind[q] == kind[v] for q, _, v, _ in want) and {q for q, *_ in want} == {*range(0, 200, 20), 500}
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "PARTY", 1)
+    assert ask() == want
+
+
 def test_repeated_ids_do_not_hide_other_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 8))
