@@ -11,9 +11,9 @@ Automaton. Each word is a state, reached by reading it. Arcs hold log10 of the
 discounted share of the next word plus what backs off to it; a state's failure
 arc holds log10 of the share that its discounts free, and leads to the empty
 state, whose arcs are the single words. A run builds the part of the automaton
-that its texts touch, from the answers. A text is traversed from left to right,
-for all its words at once: the state before a word is the word before it, so
-that one pass of array operations adds up the arcs taken.
+that its texts touch, from the answers. Its texts are read together, one word
+of each at a time, from left to right: each carries its state and the sum of
+the arcs taken.
 
 All unseen words share one probability, that of words seen once (Good-Turing).
 
@@ -35,6 +35,7 @@ from .shared import cut, partitions
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
 DISCOUNT, RUN_WORDS, SHARD_BYTES = 0.75, 1_500_000, 4 << 20
+PART_WORDS = 1024  # read on in step at most
 END = 0x9AE16A3B2F90404F  # the end of a text among the hashes of words
 _BITS = U(20)
 _WIDE = U(32)
@@ -144,27 +145,24 @@ def _answer(table):
     return pa.table([pa.array([*columns[k], own[k]], kind) for k, kind in zip(columns, kinds, strict=True)], list(columns))
 
 
-def _numbers(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Numbers of words, -1 for those without."""
-    distinct, back = np.unique(h, return_inverse=True)
-    at = np.searchsorted(words, distinct)
-    at[at == len(words)] = 0
-    return np.where(words[at] == distinct, at, -1)[back]
-
-
 def _pairs(numbers: np.ndarray, doc: np.ndarray, bits: np.uint64 = _BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words whose state before is a numbered word of the same text, if they are numbered too; the arcs' keys."""
+    """Places of words with a numbered word of the same text before them, if they are numbered too; the arcs' keys."""
     at = np.flatnonzero((doc[1:] == doc[:-1]) & (numbers[1:] >= 0) & (numbers[:-1] >= 0)) + 1
     return at, (numbers[at - 1].astype(U) << bits) | numbers[at].astype(U)
 
 
 class Automaton:
-    """Arrays of the numbered words' automaton: log10 shares under the empty state, failure arcs, arcs.
+    """A weighted automaton with failure arcs. State 0 is the empty one; state k + 1 is that of word number k, reached by reading it.
+
+    Its arcs from state 0 hold log10 shares of single words; those of other
+    states log10 shares of the words seen after them; a failure arc leads to
+    state 0 and holds log10 of the share that the state's discounts free.
+    Without the number of a state's followers, the given arcs are all it has."""
 
-    Without the number of a state's followers, the given arcs are all that it has."""
+    EMPTY = 0
 
     def __init__(self, words: np.ndarray, n: np.ndarray, total: int, seen_once: int, arcs: np.ndarray, arc_n: np.ndarray, followers: np.ndarray | None = None, bits: np.uint64 = _BITS):
-        self.words, self.n, self.bits = words, n, bits
+        self.words, self.bits = words, bits
         unseen = max(0.5, min(seen_once, total / 2)) / max(1, total)
         self.unseen = np.log10(unseen)
         known = np.log10(1 - unseen) - np.log10(max(1, total))  # plus log10 of the count
@@ -177,28 +175,37 @@ class Automaton:
         else:
             free = np.where(n > 0, DISCOUNT * followers / np.maximum(n, 1), 1.0)
         free = np.maximum(free, 1e-12)
-        self.fail = np.log10(free)
-        self.arc = (np.log10(share + free[state] * 10 ** single[word]) if len(arcs) else share).astype(np.float32)
-        self.single, self.fail, self.arcs = single.astype(np.float32), self.fail.astype(np.float32), arcs
-
-    def traverse(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, log10 of each word after its state); a word without a number has its failure arc's alone."""
-        numbers = _numbers(self.words, h)
-        return numbers, self.walk(numbers, doc)
-
-    def walk(self, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of each word after its state, by the words' numbers."""
-        before = np.full(len(numbers), -1)
-        same = doc[1:] == doc[:-1]
-        before[1:][same] = numbers[:-1][same]
-        out = np.where(before >= 0, self.fail[before], 0.0) + np.where(numbers >= 0, self.single[numbers], 0.0)
-        at, keys = _pairs(numbers, doc, self.bits)
-        if len(self.arcs):
-            k = np.searchsorted(self.arcs, keys)
-            k[k == len(self.arcs)] = 0
-            hit = self.arcs[k] == keys
-            out[at[hit]] = self.arc[k[hit]]
-        return out
+        self.fail = np.concatenate([[0.0], np.log10(free)])
+        self.arcs, self.arc = arcs, np.log10(share + free[state] * 10 ** single[word]) if len(arcs) else share
+        self.single = np.append(single, self.unseen)  # the last one is any word without a number
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after reading a word in each state, log10 weights of the arcs taken); words without a number are -1."""
+        key = (np.maximum(state - 1, 0).astype(U) << self.bits) | np.maximum(word, 0).astype(U)
+        at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+        hit = (self.arcs[at] == key) & (state > 0) & (word >= 0) if len(self.arcs) else np.zeros(len(key), bool)
+        weight = self.fail[state] + self.single[word]
+        weight[hit] = self.arc[at[hit]]
+        return word + 1, weight
+
+    def traverse(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 weight of each text's path: all texts are read together from left to right, each with its state and its sum.
+
+        Long texts go on in parts of PART_WORDS, each from the state in which the part before it ends."""
+        parts = -(-lengths // PART_WORDS)
+        text = np.repeat(np.arange(len(lengths)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = (np.cumsum(lengths) - lengths)[text] + nth * PART_WORDS
+        size = np.minimum(PART_WORDS, lengths[text] - nth * PART_WORDS)
+        state = np.where(nth > 0, numbers[np.maximum(start - 1, 0)] + 1, self.EMPTY)
+        order = np.argsort(-size, kind="stable")
+        start, size, state, text = start[order], size[order], state[order], text[order]
+        total = np.zeros(len(start))
+        live = len(start) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), "right")
+        for t, n in enumerate(live.tolist()):
+            state[:n], weight = self.step(state[:n], numbers[start[:n] + t])
+            total[:n] += weight
+        return np.bincount(text, total, minlength=len(lengths))
 
 
 def _scored(total: int, v: int, once: int):
@@ -216,7 +223,7 @@ def _scored(total: int, v: int, once: int):
         sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(r["ids"])))
         known = sums((n > 0)[numbers]).cast(pa.int64())
         lengths = pa.array(np.frombuffer(r["lengths"], "<u4").astype(np.int64))
-        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), lengths, known, sums((np.log10(n + 0.5) - scale)[numbers]), sums(a.walk(numbers, doc))]
+        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), lengths, known, sums((np.log10(n + 0.5) - scale)[numbers]), pa.array(a.traverse(numbers, lengths.to_numpy()))]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run

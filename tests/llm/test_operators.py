@@ -373,6 +373,8 @@ def test_lm_score(docs, texts, none):
     out = [i for i, h in enumerate(held) if h]
     assert sum(rows[i]["score"] for i in out) > sum(rows[i]["base_score"] for i in out)
     assert lm_score.score(none).count() == 0
+    twice = lm_score.score(docs.sparkSession.createDataFrame([(3, "a b a"), (3, "a b a"), (None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert len(twice) == 4 and len({(r["doc_id"], r["n_tokens"], r["score"]) for r in twice}) == 3 and {r["train_tokens"] for r in twice} == {12 if not twice[0]["held_out"] else 4}
 
 
 def test_lm_score_counts_rare_pairs(spark, monkeypatch):
@@ -396,8 +398,9 @@ def test_lm_score_counts_rare_pairs(spark, monkeypatch):
         return out
 
     assert min(pairs.values()) == 1
-    for words in (1_500_000, 50):
+    for words, part in ((1_500_000, 1024), (50, 7)):
         monkeypatch.setattr(lm_score, "RUN_WORDS", words)
+        monkeypatch.setattr(lm_score, "PART_WORDS", part)
         got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
         assert got == {i: pytest.approx(want(t), rel=1e-5) for i, t in tokens.items()}
 
@@ -407,12 +410,12 @@ def test_automaton_gives_shares_that_add_up_to_one():
     n = np.array([50, 30, 20])
     arcs = np.array([(0 << 20) | 1, (1 << 20) | 2], np.uint64)
     a = lm_score.Automaton(words, n, 100, 5, arcs, np.array([25, 10]))
-    for state in (0, 1, 2):
-        h = np.array([[words[state], w] for w in (*words, 99)], np.uint64).ravel()
-        _, logs = a.traverse(h, np.repeat(np.arange(4), 2))
-        logs = logs[1::2].copy()
-        logs[3] += a.unseen
+    for state in range(4):
+        _, logs = a.step(np.full(4, state), np.array([0, 1, 2, -1]))
         assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
+    numbers = np.array([0, 1, 2, -1, 2, 1, 0])
+    step = lambda path: sum(float(a.step(np.array([s]), np.array([w]))[1][0]) for s, w in zip([0, *[w + 1 for w in path[:-1]]], path, strict=True))
+    assert a.traverse(numbers, np.array([3, 0, 4])) == pytest.approx([step([0, 1, 2]), 0, step([-1, 2, 1, 0])])
 
 
 def test_quality_model_tells_junk(spark, none):
