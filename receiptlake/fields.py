@@ -1,6 +1,6 @@
 """Field definitions, keywords and limits. Fixed values throughout: they decide results."""
 
-# v2: field, keywords, whole-value pattern, search width and height, several words allowed
+# Fixed values, v2: field, keywords, whole-value pattern, search width and height, several words allowed
 FLEXIBLE = [
     ("monto", ["Bs", "Monto", "Total", "Importe", "Valor", "Monto Total", "Bs.D", "bolivares"], r"^\d{1,3}(?:[.,]\d{3})*,\d{2}$|^\d+[,.]\d{2}$|^\d+(\.\d+)?$", 300, 100, False),
     ("fecha", ["Fecha:", "Fecha", "Dia", "Día", "Date", "Fechas"], r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$|^\d{4}[/-]\d{1,2}[/-]\d{1,2}$", 200, 50, False),
@@ -19,7 +19,7 @@ EXPANSION = [
     for f, k, p, *_ in FLEXIBLE
 ]
 
-# v1 zones: keywords; beside the keyword with this width, or below it
+# Fixed values, v1 zones: keywords; beside the keyword with this width, or below it
 ZONES_V1 = [
     ("monto", ["monto", "bs", "total", "cantidad", "bolivares"], "beside", 150),
     ("referencia", ["referencia", "ref", "numero", "operacion"], "beside", 200),
@@ -30,7 +30,7 @@ ZONES_V1 = [
     ("banco_destino", ["banco", "destino", "receptor"], "below", 200),
 ]
 
-# "fixed" zones: keywords; fallback region as shares of the image
+# Fixed values, "fixed" zones: keywords; fallback region as shares of the image
 ZONES_FIXED = [
     ("monto", ["bs", "bolivares", "monto", "total"], (0.3, 0.25, 0.4, 0.1)),
     ("referencia", ["operacion", "operación", "ref", "referencia", "numero"], (0.4, 0.5, 0.5, 0.08)),
@@ -41,16 +41,21 @@ ZONES_FIXED = [
     ("banco_destino", ["banco"], (0.2, 0.85, 0.6, 0.08)),
 ]
 
+# The template that ships.
 TEMPLATE = "APPPAGO-V-0102-v1"
 TEMPLATE_ANCHORS = ["Pago Móvil", "Transferencia", "Monto", "Referencia", "Bs", "C.I.", "Banco"]
 TEMPLATE_REGIONS = [("header_region", 0.1, 0.05, 0.8, 0.15), ("amount_region", 0.1, 0.25, 0.8, 0.2), ("details_region", 0.1, 0.5, 0.8, 0.35)]
 
+# Confidence adjustments by cause.
 ADJUSTMENTS = {
     "mala_segmentacion": -10.0, "caracter_mal_reconocido": -5.0, "campo_no_detectado": -15.0, "error_de_plantilla": -8.0, "formato_erroneo": -3.0,
     "info_faltante": -12.0, "ruido_imagen": -7.0, "distorsion_imagen": -6.0, "clasificacion_erronea_no_recibo": -20.0, "otro": -2.0,
 }
+# Reserved texts.
 RESERVED_CORRECTIONS = ["total_correcciones", "last_updated", "confidence_adjustment"]
+# Advice for a field.
 FIELD_ADVICE = "Revisar configuración de ROI y patrones de validación"
+# Advice for causes.
 CAUSE_ADVICE = {
     "mala_segmentacion": "Considerar ajustar ROI base en plantillas o mejorar lógica de ZOI dinámicas",
     "caracter_mal_reconocido": "Evaluar mejoras en preprocesamiento de imagen o configuración de Tesseract",
