@@ -206,7 +206,7 @@ def pack(docs: DataFrame, file: str | Callable[[], str], length: int = LENGTH, e
     all_pieces = cut(pieces(docs, file, length, end_id, **columns), "pieces")
     width = max(1, -(-length // MOST_BINS))
     # blocks by what a piece holds: equal pieces fall into one block, whose size then doesn't matter for their order
-    rests = all_pieces.filter(F.col("length") < length).withColumn("bin", F.ceil(F.col("length") / width).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BLOCKS)).cast("int"))
+    rests = all_pieces.filter(F.col("length") < length).withColumn("bin", F.ceil(F.col("length") / width).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(RANK_BLOCKS)).cast("int"))
     by_block = rests.groupBy("bin", "block").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_BINS * RANK_BLOCKS rows
     counts = np.zeros((MOST_BINS + 1, RANK_BLOCKS), np.int64)
     for row in by_block:
