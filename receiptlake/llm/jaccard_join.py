@@ -424,11 +424,13 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     more = _linked(allowed(_remaining(long_runs, runs, roots, sigs)), texts, reps)
 
     whole = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = members.filter("n > 0").join(whole, members["cls"] == whole["id"], "left").withColumn("group_id", F.coalesce("root", "cls"))
-    lowest = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    # named by class first: neither a group of many classes nor a class of many copies is gathered to find its least id
+    named = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(whole.withColumnRenamed("id", "cls"), "cls", "left").withColumn("group_id", F.coalesce("root", "cls"))
+    lowest = cut(named.groupBy("group_id").agg(F.min("least").alias("component_id")), "components")
+    labels = named.join(lowest, "group_id").select("cls", "group_id", "component_id")
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id"]
     alone = members.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.lit(None).cast("long"))
-    return named.join(lowest, "group_id").select(*columns).unionByName(alone.select(*columns))
+    return members.filter("n > 0").join(labels, "cls").select(*columns).unionByName(alone.select(*columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

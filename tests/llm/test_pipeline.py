@@ -59,6 +59,11 @@ def test_stages(spark, tmp_path):
         packed[r["doc_id"]] += r["length"]
     assert packed == {i: tokens[i] * c for i, c in copies.items()}
 
+    whole = collections.Counter()
+    for r in pipeline.run(spark, sf_dir).collect():
+        whole[r["doc_id"]] += r["length"]
+    assert whole == packed
+
 
 def test_rows_without_ids_and_repeated_ids_stay(spark):
     """Stages 2 to 5 lose no text for want of a distinct id: nulls, two texts under one id, equal rows."""
