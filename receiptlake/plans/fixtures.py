@@ -23,7 +23,7 @@ LAYOUT = [
 _ROWS = ", ".join(f"({s}, {'NULL' if t is None else repr(t)}, {x}, {y}, {w})" for s, t, x, y, w in LAYOUT)
 
 WORDS = f"""
-SELECT concat('img-', CAST(k AS STRING)) AS image_id,
+SELECT {{image}} AS image_id,
   CAST(slot - (CASE WHEN k % 5 = 0 THEN least(slot, 3) + (CASE WHEN slot > 10 THEN 1 ELSE 0 END) ELSE 0 END)
     - (CASE WHEN k % 11 = 0 AND slot > 3 THEN 1 ELSE 0 END) AS INT) AS word_idx,
   CASE WHEN fixed IS NOT NULL THEN fixed
@@ -38,7 +38,7 @@ SELECT concat('img-', CAST(k AS STRING)) AS image_id,
     ELSE priority END AS text,
   CAST(left0 + k % 7 AS INT) AS "left", CAST(top0 + k % 5 AS INT) AS top, CAST(width0 AS INT) AS width, CAST(CASE WHEN slot = 20 THEN 120 ELSE 20 END AS INT) AS height,
   CAST(40 + (k * 31 + slot * 17) % 60 AS DOUBLE) AS conf
-FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS priority FROM {{orders}}) o
+FROM (SELECT {{also}}o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS priority FROM {{orders}}) o
 CROSS JOIN (SELECT * FROM (VALUES {_ROWS}) AS v(slot, fixed, left0, top0, width0)) s
 WHERE NOT (k % 5 = 0 AND slot IN (0, 1, 2, 10)) AND NOT (k % 11 = 0 AND slot = 3) AND NOT (slot = 20 AND k % 7 <> 0)
 """
@@ -62,13 +62,17 @@ FROM {embeddings} WHERE embedding IS NOT NULL
 """
 
 
+#: A receipt's image, by its order.
+IMAGE = "concat('img-', CAST(k AS STRING))"
+
+
 def _spark(text: str) -> str:
-    return text.replace("{div}", "div").replace('"left"', "`left`")
+    return text.replace("{div}", "div").replace('"left"', "`left`").replace("{image}", "image_id").replace("{also}", "image_id, ")
 
 
 def oracle(text: str, **tables: str) -> str:
     """The derivation for DuckDB."""
-    out = text.replace("{div}", "//")
+    out = text.replace("{div}", "//").replace("{image}", IMAGE).replace("{also}", "")
     for name in ("orders", "events", "embeddings"):
         out = out.replace("{" + name + "}", name)
     return out
@@ -89,7 +93,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_spark(WORDS), orders=read(spark, sf_dir, "orders"))
+    """OCR words, 21 at most from an order. The narrow orders are dealt out by image before, so that
+    all that is joined or grouped by image afterwards finds its rows in place."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", F.concat(F.lit("img-"), F.col("o_orderkey").cast("string")).alias("image_id"))
+    return spark.sql(_spark(WORDS), orders=orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id"))
 
 
 def images(words_: DataFrame) -> DataFrame:
