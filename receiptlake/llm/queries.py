@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, toxicity
+from . import ann, html_text, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, toxicity, whitening
 
 QUERIES = {
     "op1_quality_lm": quality_lm.op1,
     "op10_html_text": html_text.op10,
+    "op11_whitening": whitening.op11,
     "op2_jaccard_join": jaccard_join.op2,
     "op3_toxicity": toxicity.op3,
     "op4_packing": packing.op4,
