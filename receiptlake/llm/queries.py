@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, html_text, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, quality_lm, toxicity, whitening
+from . import alignment, ann, html_text, jaccard_join, line_dedup, line_quality, lm_score, mixing, packing, personal_data, quality_lm, toxicity, whitening
 
 QUERIES = {
     "op1_quality_lm": quality_lm.op1,
     "op10_html_text": html_text.op10,
     "op11_whitening": whitening.op11,
+    "op12_personal_data": personal_data.op12,
     "op13_alignment": alignment.op13,
     "op2_jaccard_join": jaccard_join.op2,
     "op3_toxicity": toxicity.op3,
