@@ -46,6 +46,12 @@ TEMPLATE = "APPPAGO-V-0102-v1"
 TEMPLATE_ANCHORS = ["Pago Móvil", "Transferencia", "Monto", "Referencia", "Bs", "C.I.", "Banco"]
 TEMPLATE_REGIONS = [("header_region", 0.1, 0.05, 0.8, 0.15), ("amount_region", 0.1, 0.25, 0.8, 0.2), ("details_region", 0.1, 0.5, 0.8, 0.35)]
 
+# Its fields, with left, top, width and height.
+TEMPLATE_FIELDS = [
+    ("monto", 150, 200, 200, 40), ("referencia", 150, 300, 250, 35), ("fecha", 150, 400, 180, 35), ("cedula_origen", 150, 500, 120, 30),
+    ("cedula_destino", 150, 550, 120, 30), ("banco_origen", 50, 600, 200, 30), ("banco_destino", 300, 600, 200, 30),
+]
+
 # Confidence adjustments by cause.
 ADJUSTMENTS = {
     "mala_segmentacion": -10.0, "caracter_mal_reconocido": -5.0, "campo_no_detectado": -15.0, "error_de_plantilla": -8.0, "formato_erroneo": -3.0,

@@ -1,23 +1,32 @@
 """Keyword boxes, values near them, search zones, and templates.
 
 Every spatial join has the image as its equality key, so pairs stay inside one
-image. Definitions (fields, keywords, anchors, regions) are configuration of at
-most MOST_DEFINITIONS rows: they become literals of one expression for each
-word, so that no word is joined with them.
+image. A few definitions (fields, keywords, anchors, regions) become literals of
+one expression for each word. Many keywords become one automaton, broadcast as
+far as its bound goes, and beyond it a join on the first letters of keywords.
+Many templates are looked up in an index (``templates``). The three ways give
+the same rows; which one is taken depends on the number of definitions alone.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fields import TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
+from ..functions import automaton
 from ..functions.text import fullmatch
+from ..sources import io
+from . import templates
 
 MOST_DEFINITIONS = 10_000
+#: Keywords, and anchors or regions of templates, up to which they are literals.
+LITERALS, TEMPLATE_LITERALS = 256, 64
+#: First letters of a keyword that a join is keyed by.
+GRAM = 3
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -29,44 +38,83 @@ def field_table(spark: SparkSession, definitions, schema: str) -> DataFrame:
     return spark.createDataFrame([(i, *d) for i, d in enumerate(definitions)], f"field_order int, {schema}")
 
 
-def literal_rows(df: DataFrame, *columns: str) -> list[tuple]:
-    """A table of definitions as literals; more than MOST_DEFINITIONS rows are no configuration and an error."""
-    rows = df.select(*columns).limit(MOST_DEFINITIONS + 1).collect()
-    if len(rows) > MOST_DEFINITIONS:
-        raise ValueError(f"more than {MOST_DEFINITIONS} definitions")
-    return [tuple(r) for r in rows]
-
-
-def first_keyword(lowered: Column, keywords: list[str]) -> Column:
-    """The first keyword of a list that a lower-case text holds, or null."""
-    return F.coalesce(*[F.when(lowered.contains(k.lower()), k) for k in keywords], F.lit(None).cast("string"))
-
-
 def each_match(words: DataFrame, matches: Callable[[Column], list[Column]], alias: str) -> DataFrame:
     """One row for every match, of those made from a word's lower-case text, that is not null. The lambda makes that text once for all of them."""
     found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*matches(low)))))
     return words.withColumn(alias, F.explode(found))
 
 
+def _listed(spark: SparkSession, definitions: DataFrame | Sequence[tuple], columns: list[str], schema: str) -> tuple[list[tuple] | None, DataFrame]:
+    """(rows if they are few enough for literals, table) of definitions (*columns, keywords)."""
+    if not isinstance(definitions, DataFrame):
+        rows, table = [tuple(d) for d in definitions], spark.createDataFrame([tuple(d) for d in definitions], schema)
+    else:
+        table = definitions.select(*columns, "keywords")
+        rows = [tuple(r) for r in table.limit(LITERALS + 1).collect()]
+    few = len(rows) <= LITERALS and sum(len(r[-1] or []) for r in rows) <= LITERALS
+    return (rows if few else None), table
+
+
+def keyword_hits(words: DataFrame, definitions: DataFrame | Sequence[tuple], columns: list[str], first: bool, schema: str = "") -> DataFrame:
+    """Words with (*columns, k, keyword) for each keyword that their lower-case text holds, or each definition's first one.
+
+    definitions: (*columns, keywords); k is a keyword's place in its list. Lists that are null, and null keywords, hold nothing."""
+    rows, table = _listed(words.sparkSession, definitions, columns, schema)
+    if rows is not None:
+        kinds = table.schema
+
+        def made(low: Column) -> list[Column]:
+            out = []
+            for *values, keywords in rows:
+                own = [F.lit(v).cast(kinds[c].dataType).alias(c) for c, v in zip(columns, values, strict=True)]
+                each = [F.when(low.contains(k.lower()), F.struct(*own, F.lit(i).alias("k"), F.lit(k).alias("keyword"))) for i, k in enumerate(keywords or []) if k is not None]
+                out += [F.coalesce(*each)] if first and each else each
+            return out or [F.lit(None).cast("struct<" + ",".join(f"{c}:{kinds[c].dataType.simpleString()}" for c in columns) + ",k:int,keyword:string>")]
+
+        return each_match(words, made, "_hit").select(*words.columns, "_hit.*")
+    each = table.withColumn("_d", F.monotonically_increasing_id()).select(*columns, "_d", F.posexplode("keywords").alias("k", "keyword")).filter("keyword is not null")
+    size = each.agg(F.sum(F.char_length("keyword") + 1)).first()[0] or 0
+    return _by_automaton(words, each, columns, first) if size <= automaton.LARGEST else _by_join(words, each, columns, first)
+
+
+def _by_automaton(words: DataFrame, each: DataFrame, columns: list[str], first: bool) -> DataFrame:
+    """One pass over the words with an automaton of all keywords; what a keyword stands for is joined by its number, a table of the same bound."""
+    rows = each.orderBy("_d", "k").collect()
+    numbers: dict[int, int] = {}
+    groups = [numbers.setdefault(r["_d"], len(numbers)) for r in rows]
+    known = words.sparkSession.createDataFrame([(i, *[r[c] for c in (*columns, "k", "keyword")]) for i, r in enumerate(rows)], "_id int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.select(*columns, "k", "keyword").schema))
+    ids = automaton.held_patterns(words.sparkSession, F.lower("text"), [r["keyword"].lower() for r in rows], groups if first else None)
+    return words.withColumn("_id", F.explode(ids)).join(F.broadcast(known), "_id").select(*words.columns, *columns, "k", "keyword")
+
+
+def _by_join(words: DataFrame, each: DataFrame, columns: list[str], first: bool) -> DataFrame:
+    """Distinct texts meet the keywords that begin with a piece of them; pieces have up to GRAM letters."""
+    low = F.lower("keyword")
+    keyed = each.withColumn("_low", low).withColumn("_gram", F.substring("_low", 1, GRAM))
+    texts = words.select(F.lower("text").alias("_text")).filter("_text is not null").distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1)))
+    grams = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr(F.col("_text"), i, n))))
+    grams = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))))
+    hits = grams.join(keyed, "_gram").filter(F.contains("_text", "_low")).select("_text", "_d", *columns, "k", "keyword")
+    if first:
+        hits = hits.groupBy("_text", "_d").agg(F.min(F.struct("k", "keyword", *columns)).alias("h")).select("_text", "h.*")
+    return words.withColumn("_text", F.lower("text")).join(hits, "_text").select(*words.columns, *columns, "k", "keyword")
+
+
 def keyword_boxes(words: DataFrame, field_keywords: DataFrame, min_confidence: int = 20, strict: bool = False) -> DataFrame:
     """Words holding a keyword of a field, with the first such keyword of its list. field_keywords: (field, keywords)."""
     c = F.col("conf").cast("int")
     w = words.filter(((c > min_confidence) if strict else (c >= min_confidence)) & (F.trim("text") != ""))
-    fields = literal_rows(field_keywords, "field", "keywords")
-    if not fields:
-        return w.withColumn("field", F.lit("")).withColumn("keyword", F.lit("")).limit(0)
-    hits = each_match(w, lambda low: [F.struct(F.lit(f).alias("field"), first_keyword(low, k).alias("keyword")) for f, k in fields], "_hit")
-    return hits.filter("_hit.keyword is not null").select(*words.columns, "_hit.field", "_hit.keyword")
+    return keyword_hits(w, field_keywords, ["field"], first=True).drop("k")
 
 
 def anchor_points(words: DataFrame, images: DataFrame, field_keywords: DataFrame) -> DataFrame:
     """The centre of every word for each keyword that it holds; the image's centre for fields without any.
-    n_anchors counts equal points, which are kept once."""
-    fields = literal_rows(field_keywords, "field_order", "field", "keywords")
-    named = lambda low: [F.when(low.contains(k.lower()), F.struct(F.lit(order).alias("field_order"), F.lit(field).alias("field"), F.lit(i).alias("k"))) for order, field, keywords in fields for i, k in enumerate(keywords)]
-    hits = each_match(words, named, "_hit").select("image_id", "_hit.*", "word_idx", F.expr("cast(left + width div 2 as int)").alias("x"), F.expr("cast(top + height div 2 as int)").alias("y"))
+    n_anchors counts equal points, which are kept once. field_keywords: (field_order, field, keywords)."""
+    hits = keyword_hits(words, field_keywords, ["field_order", "field"], first=False)
+    hits = hits.select("image_id", "field_order", "field", "k", "word_idx", F.expr("cast(left + width div 2 as int)").alias("x"), F.expr("cast(top + height div 2 as int)").alias("y"))
     hits = hits.groupBy("image_id", "field_order", "field", "x", "y").agg(F.count(F.lit(1)).alias("n_anchors"), F.min(F.struct("word_idx", "k")).alias("first"))
-    every = images.select("image_id", "img_width", "img_height", F.inline(F.array(*[F.struct(F.lit(order).alias("field_order"), F.lit(field).alias("field")) for order, field, _ in fields])))
+    every = images.select("image_id", "img_width", "img_height").crossJoin(small(field_keywords.select("field_order", "field")))
     out = every.join(hits, ["image_id", "field_order", "field"], "left")
     return out.select("image_id", "field_order", "field", F.coalesce("x", F.expr("cast(img_width div 2 as int)")).alias("x"), F.coalesce("y", F.expr("cast(img_height div 2 as int)")).alias("y"), F.coalesce("n_anchors", F.lit(0)).alias("n_anchors"), F.coalesce("first", F.struct(F.lit(0).alias("word_idx"), F.lit(0).alias("k"))).alias("first"), "img_width", "img_height")
 
@@ -149,14 +197,14 @@ def nearest_value(near: DataFrame) -> DataFrame:
     return near.filter(F.lower("v_text") != F.lower("text")).groupBy(*key).agg(least).select(*key, "n.*").select(*near.columns)
 
 
-def dynamic_zones_v1(words: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, field, left, top, width, height, confidence, keyword_found) from the most confident keyword word."""
+def dynamic_zones_v1(words: DataFrame, images: DataFrame, definitions: DataFrame | Sequence[tuple] = ZONES_V1) -> DataFrame:
+    """(image_id, field, left, top, width, height, confidence, keyword_found) from the most confident keyword word.
+    definitions: (field, keywords, place, zone_width), the place beside the keyword or below it."""
     c = F.col("conf").cast("int")
-    named = lambda low: [
-        F.when(low.contains(k), F.struct(F.lit(field).alias("field"), F.lit(place == "beside").alias("beside"), F.lit(zone_width).alias("zone_width"), F.lit(i).alias("k")))
-        for field, keywords, place, zone_width in ZONES_V1 for i, k in enumerate(keywords)
-    ]
-    hits = each_match(words.filter((c > 20) & (F.trim("text") != "")), named, "_hit").select(*words.columns, "_hit.*").join(images.select("image_id", "img_width", "img_height"), "image_id")
+    columns = ["field", "place", "zone_width"]
+    defs = definitions if isinstance(definitions, DataFrame) else [(f, p, w, k) for f, k, p, w in definitions]
+    hits = keyword_hits(words.filter((c > 20) & (F.trim("text") != "")), defs, columns, False, "field string, place string, zone_width int, keywords array<string>")
+    hits = hits.withColumn("beside", F.col("place") == "beside").join(images.select("image_id", "img_width", "img_height"), "image_id")
     left = F.greatest(F.lit(0), F.when(F.col("beside"), F.expr("left + width + 10")).otherwise(F.col("left")))
     top = F.greatest(F.lit(0), F.when(F.col("beside"), F.col("top")).otherwise(F.expr("top + height + 5")))
     box = [left.alias("left"), top.alias("top"), F.least("zone_width", F.col("img_width") - left).alias("width"), F.least(F.when(F.col("beside"), F.expr("height + 10")).otherwise(30), F.col("img_height") - top).alias("height")]
@@ -214,19 +262,30 @@ def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return anchors, regions
 
 
+def _few_templates(anchors: DataFrame, regions: DataFrame) -> tuple[list[tuple], list[tuple]] | None:
+    """The rows of both tables if they are few enough for literals."""
+    a = [tuple(x) for x in anchors.select("template", "anchor").limit(TEMPLATE_LITERALS + 1).collect()]
+    r = [tuple(x) for x in regions.select("template", "name", "left_rel", "top_rel", "width_rel", "height_rel").limit(TEMPLATE_LITERALS + 1).collect()] if len(a) <= TEMPLATE_LITERALS else []
+    return (a, r) if max(len(a), len(r)) <= TEMPLATE_LITERALS else None
+
+
 def template_scores(words: DataFrame, images: DataFrame, anchors: DataFrame, regions: DataFrame, min_confidence: int = 30, share: float = 0.3) -> DataFrame:
     """(image_id, template, text_score, structural_score) for every image and template, in one grouped pass over the words.
 
     A word says for each anchor whether it holds it and for each region whether
-    it covers enough of it: flags that are joined by the aggregation."""
-    a, r = literal_rows(anchors, "template", "anchor"), literal_rows(regions, "template", "name", "left_rel", "top_rel", "width_rel", "height_rel")
+    it covers enough of it: flags that are joined by the aggregation. Many
+    templates are scored from an index instead."""
+    few = _few_templates(anchors, regions)
+    if few is None:
+        return templates.every_score(words, images, anchors, regions, min_confidence, share)
+    a, r = few
     sizes = images.select("image_id", "img_width", "img_height", F.upper("full_text").alias("_full"))
     for i, (_, _, *rel) in enumerate(r):
         sizes = sizes.withColumns({f"_{c}{i}": (F.lit(x) * F.col(f"img_{d}")).cast("int") for c, x, d in zip("lewh", rel, ("width", "height", "width", "height"), strict=True)})
     in_word = F.flatten(F.transform(F.array(F.upper("text")), lambda up: F.array(*[up.contains(k.upper()) for _, k in a]))) if a else F.array()
     w = words.select("image_id", in_word.alias("_in"), (F.col("conf").cast("int") > min_confidence).alias("_ok"), "left", "top", "width", "height")
     w = sizes.join(w, "image_id", "left")
-    holds = [(F.col("_full").contains(k.upper()) | F.coalesce(F.get("_in", i), F.lit(False))).alias(f"a{i}") for i, (_, k) in enumerate(a)]
+    holds = [(F.coalesce(F.col("_full").contains(k.upper()), F.lit(False)) | F.coalesce(F.get("_in", i), F.lit(False))).alias(f"a{i}") for i, (_, k) in enumerate(a)]
 
     def covers(i: int) -> Column:
         across = F.expr(f"greatest(0, least(left + width, _l{i} + _w{i}) - greatest(left, _l{i})) * greatest(0, least(top + height, _e{i} + _h{i}) - greatest(top, _e{i}))")
@@ -256,7 +315,9 @@ def structural_score(words: DataFrame, images: DataFrame, regions: DataFrame, mi
 
 
 def best_template(words: DataFrame, images: DataFrame, anchors: DataFrame, regions: DataFrame, least: float = 0.4) -> DataFrame:
-    """The best template of each image, if it reaches ``least``."""
+    """The best template of each image, if it reaches ``least``; the first by name on ties."""
+    if _few_templates(anchors, regions) is None:
+        return templates.best_score(words, images, anchors, regions, least)
     s = template_scores(words, images, anchors, regions)
     score = 0.6 * F.coalesce("text_score", F.lit(0.0)) + 0.4 * F.coalesce("structural_score", F.lit(0.0))
     s = s.withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= least))
@@ -270,8 +331,14 @@ def template_fields(best: DataFrame, campos: DataFrame) -> DataFrame:
 
 
 def identify_template_or_zones(words: DataFrame, images: DataFrame, anchors: DataFrame, regions: DataFrame, campos: DataFrame, zones: str = "v1") -> DataFrame:
-    """C4: template regions, or dynamic zones for images without a template."""
-    best = best_template(words, images, anchors, regions)
+    """C4: template regions, or dynamic zones (v1 or fixed) for images without a template.
+
+    Images are scored once: the winners, a row for an image at most, are written to
+    the shared folder and read twice, for their fields and to leave them out before
+    any zone is made."""
+    best = io.staged(best_template(words, images, anchors, regions), "best-template")
+    known = best.select("image_id")
+    rest = images.join(known, "image_id", "left_anti")
     fixed = template_fields(best, campos).select("image_id", "field", "left", "top", "width", "height", F.col("template"))
-    z = (dynamic_zones_v1 if zones == "v1" else dynamic_zones_fixed)(words, images).join(best.select("image_id"), "image_id", "left_anti")
+    z = (dynamic_zones_v1 if zones == "v1" else dynamic_zones_fixed)(words.join(known, "image_id", "left_anti"), rest)
     return fixed.unionByName(z.select("image_id", "field", "left", "top", "width", "height", F.lit(None).cast("string").alias("template")))

@@ -6,12 +6,11 @@ the engine's integer division, and the tables are named in braces.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch  # noqa: F401
+
 #: slot, text if it is the same everywhere, left, top, width
 LAYOUT = [
     (0, "PAGO", 100, 40, 60), (1, "MOVIL", 170, 40, 70), (2, "Transferencia", 260, 40, 140), (3, "Monto", 100, 160, 70), (4, None, 180, 160, 120), (5, "Bs", 310, 160, 25),
@@ -78,16 +77,6 @@ def oracle(text: str, **tables: str) -> str:
     return out
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; without spark.checkpoint.dir only a local session has one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

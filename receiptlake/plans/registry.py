@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fields import ADJUSTMENTS, CAUSE_ADVICE, EXPANSION, FIELD_ADVICE, FLEXIBLE, GENERAL_SCAN, RESERVED_CORRECTIONS, TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
+from ..fields import ADJUSTMENTS, CAUSE_ADVICE, EXPANSION, FIELD_ADVICE, FLEXIBLE, GENERAL_SCAN, RESERVED_CORRECTIONS, TEMPLATE, TEMPLATE_ANCHORS, TEMPLATE_FIELDS, TEMPLATE_REGIONS, ZONES_FIXED, ZONES_V1
 from ..functions import text as X
 from ..operators import extract, learning, quality, reports, words, zones
 from ..sources import io
@@ -247,7 +247,10 @@ def _(spark, d):
     return zones.dynamic_zones_v1(*both(spark, d))
 
 
-@query("C3_dynamic_zones_fixed", W + NEAREST + f", z AS (SELECT image_id, field, greatest(0, v_left - 5) AS l, greatest(0, v_top - 5) AS t, v_width + 10 AS w0, v_height + 10 AS h0, v_conf, v_text, word_idx FROM nearest), best AS (SELECT image_id, field, l, t, least(800 - l, w0) AS w, least(600 - t, h0) AS h, v_conf, v_text FROM z WHERE least(800 - l, w0) > 0 AND least(600 - t, h0) > 0 QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY v_conf DESC, word_idx) = 1), fb(field, x, y, rw, rh) AS (VALUES {rows([(f, *[int(a * b) for a, b in zip((800, 600, 800, 600), r, strict=True)]) for f, _, r in ZONES_FIXED])}) SELECT image_id, field, coalesce(l, x) AS \"left\", coalesce(t, y) AS top, coalesce(w, least(rw, 800 - x)) AS width, coalesce(h, least(rh, 600 - y)) AS height, coalesce(v_conf, 30) AS confidence, v_text AS detected_text, CASE WHEN l IS NULL THEN 'fallback_relative_position' ELSE 'value_box_direct' END AS method FROM (SELECT image_id, fb.* FROM images, fb) LEFT JOIN best USING (image_id, field)")
+FIXED = NEAREST + f", z AS (SELECT image_id, field, greatest(0, v_left - 5) AS l, greatest(0, v_top - 5) AS t, v_width + 10 AS w0, v_height + 10 AS h0, v_conf, v_text, word_idx FROM nearest), bestz AS (SELECT image_id, field, l, t, least(800 - l, w0) AS w, least(600 - t, h0) AS h, v_conf, v_text FROM z WHERE least(800 - l, w0) > 0 AND least(600 - t, h0) > 0 QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY v_conf DESC, word_idx) = 1), fb(field, x, y, rw, rh) AS (VALUES {rows([(f, *[int(a * b) for a, b in zip((800, 600, 800, 600), r, strict=True)]) for f, _, r in ZONES_FIXED])}), c3 AS (SELECT image_id, field, coalesce(l, x) AS \"left\", coalesce(t, y) AS top, coalesce(w, least(rw, 800 - x)) AS width, coalesce(h, least(rh, 600 - y)) AS height, coalesce(v_conf, 30) AS confidence, v_text AS detected_text, CASE WHEN l IS NULL THEN 'fallback_relative_position' ELSE 'value_box_direct' END AS method FROM (SELECT image_id, fb.* FROM images, fb) LEFT JOIN bestz USING (image_id, field))"
+
+
+@query("C3_dynamic_zones_fixed", W + FIXED + " SELECT * FROM c3")
 def _(spark, d):
     return zones.dynamic_zones_fixed(*both(spark, d))
 
@@ -289,6 +292,47 @@ def _(spark, d):
     return zones.identify_template_or_zones(*both(spark, d), *zones.template_tables(spark), campos(spark))
 
 
+@query("C4_identify_template_or_fixed_zones", W + BEST + FIXED + f', cp(field, "left", top, width, height) AS (VALUES {rows(TEMPLATE_FIELDS)}) SELECT image_id, field, "left", top, width, height, template FROM best, cp UNION ALL SELECT image_id, field, "left", top, width, height, NULL FROM c3 WHERE image_id NOT IN (SELECT image_id FROM best)')
+def _(spark, d):
+    """With the fields of the template that ships."""
+    fields = spark.createDataFrame([(TEMPLATE, *c) for c in TEMPLATE_FIELDS], "template string, field string, left int, top int, width int, height int")
+    return zones.identify_template_or_zones(*both(spark, d), *zones.template_tables(spark), fields, "fixed")
+
+
+# many definitions: keywords and templates made from customers
+
+MANY_KEYWORDS = "SELECT concat('n', CAST(c_nationkey AS STRING)) AS field, c_custkey, lpad(CAST(c_custkey * 7 AS STRING), 11, '0') AS keyword FROM {customer}"
+
+
+@query("J1_many_keywords", W + f", kw AS ({MANY_KEYWORDS.replace('{customer}', 'customer')}), hit AS (SELECT t, field, arg_min(keyword, c_custkey) AS keyword FROM (SELECT DISTINCT lower(text) AS t FROM words) JOIN kw ON contains(t, keyword) GROUP BY ALL) SELECT image_id, field, word_idx, keyword FROM words JOIN hit ON lower(text) = t WHERE conf::INT >= 20")
+def _(spark, d):
+    """A keyword for each customer, by nation: one automaton."""
+    k = spark.sql(MANY_KEYWORDS, customer=fx.read(spark, d, "customer")).groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    return zones.keyword_boxes(fx.words(spark, d), k).select("image_id", "field", "word_idx", "keyword")
+
+
+CUSTOMER_TEMPLATE = "concat('T', lpad(CAST(c_custkey AS STRING), 7, '0'))"
+MANY_ANCHORS = "lpad(CAST(c_custkey * 7 AS STRING), 11, '0'), concat('V-', lpad(CAST(c_custkey AS STRING), 8, '0'))"
+MANY_REGIONS = [(f"r{k}", 0.1, round(0.2 + 0.01 * k, 2), 0.8, 0.2) for k in range(7)] + [("r7", 0.3, 0.7, 0.05, 0.03)]
+MANY_SQL = f""", c AS (SELECT c_custkey, {CUSTOMER_TEMPLATE} AS template FROM customer), an AS (SELECT template, unnest(['Monto', 'Referencia', 'Banco', {MANY_ANCHORS}]) AS a FROM c),
+hit AS (SELECT image_id, a FROM images, (SELECT DISTINCT a FROM an) WHERE contains(upper(full_text), upper(a))), ts AS (SELECT image_id, template, count(*) / 5 AS text_score FROM hit JOIN an USING (a) GROUP BY ALL),
+rel AS (SELECT name, CAST(trunc(xl::DOUBLE * 800) AS INT) AS rl, CAST(trunc(xt::DOUBLE * 600) AS INT) AS rt, CAST(trunc(xw::DOUBLE * 800) AS INT) AS rw, CAST(trunc(xh::DOUBLE * 600) AS INT) AS rh FROM (VALUES {rows(MANY_REGIONS)}) v(name, xl, xt, xw, xh)),
+cover AS (SELECT DISTINCT image_id, name FROM words, rel WHERE conf::INT > 30 AND greatest(0, least("left" + width, rl + rw) - greatest("left", rl)) * greatest(0, least(top + height, rt + rh) - greatest(top, rt)) > 0.3 * rw * rh),
+own AS (SELECT template, 'r' || (c_custkey % 7) AS name FROM c UNION ALL SELECT template, 'r7' FROM c), ss AS (SELECT image_id, template, count(*) / 2 AS structural_score FROM cover JOIN own USING (name) GROUP BY ALL),
+every AS (SELECT image_id, template, coalesce(text_score, 0) AS text_score, coalesce(structural_score, 0) AS structural_score FROM ts FULL JOIN ss USING (image_id, template))
+SELECT *, 0.6::DOUBLE * text_score + 0.4::DOUBLE * structural_score AS score FROM every WHERE 0.6::DOUBLE * text_score + 0.4::DOUBLE * structural_score >= 0.4::DOUBLE QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY 0.6::DOUBLE * text_score + 0.4::DOUBLE * structural_score DESC, template) = 1"""
+
+
+@query("W1_many_templates", W + MANY_SQL)
+def _(spark, d):
+    """A template for each customer: an index, and regions tested only where a template can win."""
+    c = fx.read(spark, d, "customer").select("c_custkey", F.expr(CUSTOMER_TEMPLATE).alias("template"))
+    anchors = c.select("template", F.explode(F.expr(f"array('Monto', 'Referencia', 'Banco', {MANY_ANCHORS})")).alias("anchor"))
+    own = c.select("template", F.explode(F.array(F.concat(F.lit("r"), (F.col("c_custkey") % 7).cast("string")), F.lit("r7"))).alias("name"))
+    rel = spark.createDataFrame(MANY_REGIONS, "name string, left_rel double, top_rel double, width_rel double, height_rel double")
+    return zones.best_template(*both(spark, d), anchors, own.join(F.broadcast(rel), "name"))
+
+
 @query("O3_combine_phases", ANCHORS + ", a AS (SELECT image_id, field, text AS value FROM anchor WHERE conf > 90), g AS (SELECT image_id, field, text AS value FROM anchor) SELECT * FROM a UNION ALL SELECT * FROM g WHERE (image_id, field) NOT IN (SELECT (image_id, field) FROM a)")
 def _(spark, d):
     a = zones.first_anchor(words.word_list(fx.words(spark, d)).select("image_id", "word_idx", "text", "left", "top", "width", "height", "conf"), flexible_defs(spark))

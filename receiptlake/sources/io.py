@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -13,6 +16,23 @@ CSV = {"header": True, "nullValue": "<NA>"}
 FEEDBACK_SCHEMA = StructType([StructField(c, StringType()) for c in FEEDBACK_COLUMNS])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder; without spark.checkpoint.dir only a local session has one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, however often it is read."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def supported(manifest: DataFrame) -> DataFrame:
     """Rows of (path, ...) whose suffix is an image's, with the stem."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
