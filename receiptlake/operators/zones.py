@@ -279,6 +279,8 @@ def template_scores(words: DataFrame, images: DataFrame, anchors: DataFrame, reg
     if few is None:
         return templates.every_score(words, images, anchors, regions, min_confidence, share)
     a, r = few
+    if not a and not r:
+        return images.select("image_id", F.lit("").alias("template"), F.lit(0.0).alias("text_score"), F.lit(0.0).alias("structural_score")).limit(0)
     sizes = images.select("image_id", "img_width", "img_height", F.upper("full_text").alias("_full"))
     for i, (_, _, *rel) in enumerate(r):
         sizes = sizes.withColumns({f"_{c}{i}": (F.lit(x) * F.col(f"img_{d}")).cast("int") for c, x, d in zip("lewh", rel, ("width", "height", "width", "height"), strict=True)})
@@ -297,8 +299,6 @@ def template_scores(words: DataFrame, images: DataFrame, anchors: DataFrame, reg
     mean = lambda columns: sum((F.col(c).cast("int") for c in columns), F.lit(0)) / F.lit(len(columns)) if columns else F.lit(None).cast("double")
     names = sorted({t for t, *_ in a} | {t for t, *_ in r})
     scores = [F.struct(F.lit(t).alias("template"), mean([f"a{i}" for i, x in enumerate(a) if x[0] == t]).alias("text_score"), mean([f"r{i}" for i, x in enumerate(r) if x[0] == t]).alias("structural_score")) for t in names]
-    if not scores:
-        return images.select("image_id", F.lit("").alias("template"), F.lit(0.0).alias("text_score"), F.lit(0.0).alias("structural_score")).limit(0)
     return flags.select("image_id", F.inline(F.array(*scores)))
 
 
