@@ -53,6 +53,8 @@ TILE_SHINGLES, HOT_FROM = 2_000_000, 100_000
 #: Runs of classes on one shingle up to this length are paired at once; longer ones by neighbours and stars first, then in blocks.
 SHORT_RUN, BLOCK, BUCKET_ROWS = 8, 512, 10_000
 BROADCAST_IDS = 1_000_000
+#: Classes with a label up to which the labels are broadcast; beyond, over how many tasks the rows of a class are dealt out.
+BROADCAST_LABELS, SALTS = 200_000, 16
 _FACTORS = K.mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
 
 
@@ -287,10 +289,10 @@ def _described(what: str):
 
 def _of_classes(texts: DataFrame, reps: DataFrame, classes: DataFrame, what: str) -> DataFrame:
     """Signatures or sets of some classes, from one document of each."""
-    ids = reps.join(classes.select("cls").distinct(), "cls").select(F.col("doc_id").alias("_rep")).distinct()
+    ids = reps.join(classes.select("cls").distinct(), "cls").select("_rep").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    chosen = texts.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
+    chosen = texts.join(ids, F.xxhash64("doc_id", "text_hash") == F.col("_rep"), "left_semi").select("text")
     return chosen.mapInArrow(_described(what), "cls long, n int, sig binary, small binary" if what == "sig" else "cls long, set binary").dropDuplicates(["cls"])
 
 
@@ -415,7 +417,10 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     # signatures of the classes that meet another one, from one document of each
     meet = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(runs.select("cls")).distinct()
-    reps = cut(members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(meet, "cls"), "representatives")
+    # a representative is named by the hash of its id and text, so that rows without ids have one, too
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r")
+    reps = members.filter("n > 0").groupBy("cls").agg(least_row).select("cls", F.xxhash64("r.doc_id", "r.text_hash").alias("_rep"))
+    reps = cut(reps.join(meet, "cls"), "representatives")
     sigs = cut(_of_classes(texts, reps, reps, "sig"), "signatures")
     side = lambda x: sigs.select(F.col("cls").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "sig")])
     allowed = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long"), "allowed")
@@ -425,12 +430,21 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     whole = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     # named by class first: neither a group of many classes nor a class of many copies is gathered to find its least id
-    named = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(whole.withColumnRenamed("id", "cls"), "cls", "left").withColumn("group_id", F.coalesce("root", "cls"))
+    named = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).join(whole.withColumnRenamed("id", "cls"), "cls", "left")
+    named = named.filter("rows > 1 or root is not null").withColumn("group_id", F.coalesce("root", "cls"))  # a lone row without links needs no label
     lowest = cut(named.groupBy("group_id").agg(F.min("least").alias("component_id")), "components")
-    labels = named.join(lowest, "group_id").select("cls", "group_id", "component_id")
+    labels = cut(named.join(lowest, "group_id").select("cls", "group_id", "component_id"), "labels")
+    rows, on = members.filter("n > 0"), ["cls"]
+    if labels.count() <= BROADCAST_LABELS:
+        labels = F.broadcast(labels)
+    else:  # the rows of one text are dealt out over SALTS tasks
+        rows, on = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), ["cls", "salt"]
+        labels = labels.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = rows.join(labels, on, "left")
+    rows = rows.withColumn("component_id", F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("group_id", F.coalesce("group_id", "cls"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id"]
     alone = members.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.lit(None).cast("long"))
-    return members.filter("n > 0").join(labels, "cls").select(*columns).unionByName(alone.select(*columns))
+    return rows.select(*columns).unionByName(alone.select(*columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
