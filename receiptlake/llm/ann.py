@@ -135,11 +135,14 @@ def _best(k: int):
                 d = square - 2.0 * (part @ x.T) + (part**2).sum(1, keepdims=True)
                 d = np.minimum.reduceat(d, at, axis=1)
                 d[ids == asked[lo : lo + step, None]] = np.inf
-                best = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-                row = np.repeat(np.arange(len(part)), best.shape[1])
-                near = d[row, best.ravel()]
-                ok = np.isfinite(near)
-                found.append((asked[lo : lo + step][row][ok], ids[best.ravel()][ok], near[ok]))
+                d = d.astype(np.float32)  # equal vectors have equal distances here, in whatever block they are
+                kept = np.isfinite(d)
+                if k < len(ids):  # the nearest k, and of those that tie with the last one the smallest ids, which come first
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    less, tie = d < last, d == last
+                    kept &= less | (tie & (np.cumsum(tie, axis=1) <= k - less.sum(1, keepdims=True)))
+                row, best = np.nonzero(kept)
+                found.append((asked[lo : lo + step][row], ids[best], d[row, best].astype(float)))
         q, i, d = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "near"])
 
