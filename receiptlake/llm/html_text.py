@@ -2,15 +2,16 @@
 
 A page is cut into blocks of text, each with its root-to-leaf path of tags and
 classes. For every path the length of its text, its punctuation and its linked
-text are summed and divided by its blocks; that ratio is weighed by what tags,
-roles and class names of the path say (menus, footers, adverts and the like
-weigh little, but are not dropped for it), smoothed with the ratios of the
-neighbouring blocks in page order, and fused with the smoothed one. Paths whose
-fused ratio reaches a share of the best path's are content. The content root is
+text are summed and divided by its blocks; that ratio is smoothed with the
+ratios of the neighbouring blocks in page order, fused with the smoothed one,
+and only then weighed by what tags, roles and class names of the path say:
+menus, footers, adverts, comments and the like weigh little. The content root is
 the article or main element with the most of it, or else the deepest element
-that holds most of it. Under an article or main element all paths of full
-weight are content; under another root, those between content paths and those
-in a part of the page that reaches the share as a whole.
+that holds most of it; a page whose paragraphs are all in parts of little weight
+has its root there. What weighs less than its root is no content, however long. All other
+blocks of the root are, short ones and lists too; but under a root that is no
+article or main element a part of it that is mostly links must reach a share of
+the best path's ratio, hold a heading or lie between content.
 
 Defined results: null, empty or text-free pages give an empty text; attributes
 are read by HTML's rules, quoted or not; unclosed and crossing tags are closed
@@ -30,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of HTML elements and usual names of page parts.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo mtext ms mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle".split()
+)
 ASIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
-NEVER = frozenset("head select option".split())
+NEVER = frozenset("head select option annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -53,9 +57,9 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 WITHOUT = re.compile(r"(?:no|with|without|has|have)[-_]")  # names that tell what stands in or beside an element, not what it is
-#: Weights of paths through elements that are no content by their kind, or by a class name; shares of the best path's ratio, of a page's content and of its text.
+#: Weights of paths through elements that are no content by their kind, or by a class name; shares of the best path's ratio, of a page's content and of its text; the share of links from which a part is mostly links.
 ASIDE_WEIGHT, PART_WEIGHT = 0.05, 0.1
-CONTENT_SHARE, ROOT_SHARE, PATH_SHARE = 0.2, 0.6, 0.05
+CONTENT_SHARE, ROOT_SHARE, PATH_SHARE, PROPER_SHARE, LINK_SHARE = 0.2, 0.6, 0.05, 0.01, 0.5
 
 
 class Node:
@@ -188,20 +192,22 @@ class Page:
 
 
 def path_ratios(found: list[tuple[Block, str]]) -> dict[int, float]:
-    """The fused ratio of every path."""
+    """The ratio of every path, smoothed, fused and then weighed."""
     sums: dict[int, list[float]] = {}
+    weight: dict[int, float] = {}
     for b, t in found:
-        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0, b.node.block.weight])
+        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0])
+        weight[b.node.path] = max(weight.get(b.node.path, 0.0), b.node.block.weight)
         s[0] += 1
         s[1] += len(t)
         s[2] += len(PUNCTUATION.findall(t))
         s[3] += min(b.linked, len(t))
-    ratio = {p: w * math.log1p(n_len / n) * (1 + math.log1p(n_punct / n)) * (1 - n_link / n_len) for p, (n, n_len, n_punct, n_link, w) in sums.items()}
+    ratio = {p: math.log1p(n_len / n) * (1 + math.log1p(n_punct / n)) * (1 - n_link / n_len) for p, (n, n_len, n_punct, n_link) in sums.items()}
     own = [ratio[b.node.path] for b, _ in found]
     smooth = dict.fromkeys(sums, 0.0)
     for i, (b, _) in enumerate(found):
         smooth[b.node.path] += sum(w * own[min(max(i + k - 1, 0), len(own) - 1)] for k, w in enumerate((0.25, 0.5, 0.25)))
-    return {p: math.sqrt(max(0.0, ratio[p] * smooth[p] / sums[p][0])) for p in sums}
+    return {p: weight[p] * math.sqrt(max(0.0, ratio[p] * smooth[p] / sums[p][0])) for p in sums}
 
 
 def main_text(page: str) -> str:
@@ -210,9 +216,17 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     fused = path_ratios(found)
+    best, everything = max(fused[b.node.path] / b.node.block.weight for b, _ in found), sum(len(t) for _, t in found)
+    own: dict[int, int] = {}
+    for b, t in found:
+        if b.node.block.weight == 1.0 and not b.node.heading:
+            own[b.node.path] = own.get(b.node.path, 0) + len(t)
+    # with proper paragraphs on the page, parts of little weight have no say in where its content is
+    proper = any(fused[p] >= CONTENT_SHARE * best and n >= PROPER_SHARE * everything for p, n in own.items())
     held = [0.0] * len(parsed.nodes)
     for b, t in found:
-        held[b.node.block.number] += fused[b.node.path] * len(t)
+        if b.node.block.weight == 1.0 or not proper:
+            held[b.node.block.number] += fused[b.node.path] * len(t)
     total = sum(held)
     for node in reversed(parsed.nodes[1:]):
         held[node.parent.number] += held[node.number]
@@ -228,21 +242,26 @@ def main_text(page: str) -> str:
     inside = [(b, t, part[b.node.block.number]) for b, t in found if part[b.node.block.number] is not None]
     length: dict[int, int] = {}
     lengths: dict[int, int] = {}
+    linked: dict[int, int] = {}
     for b, t, k in inside:
         length[b.node.path] = length.get(b.node.path, 0) + len(t)
         lengths[k] = lengths.get(k, 0) + len(t)
+        linked[k] = linked.get(k, 0) + min(b.linked, len(t))
     everything = sum(length.values())
     least = CONTENT_SHARE * max((fused[p] for p, n in length.items() if n >= PATH_SHARE * everything), default=0.0)
     weights = {k: 0.0 for k in lengths}
     for b, t, k in inside:
         weights[k] += fused[b.node.path] * len(t)
 
-    content = [i for i, (b, _, _) in enumerate(inside) if fused[b.node.path] >= least]
+    full = [b.node.block.weight >= root.block.weight for b, _, _ in inside]
+    content = [i for i, (b, _, _) in enumerate(inside) if full[i] and fused[b.node.path] >= least]
 
     def stays(i: int, b: Block, k: int) -> bool:
-        ratio, full = fused[b.node.path], b.node.block.weight == 1.0
-        between = ratio > 0 and content[0] < i < content[-1]
-        return ratio >= least or full and (bool(roots) or between or b.node.heading or weights[k] >= least * lengths[k])
+        if not full[i] or roots or linked[k] < LINK_SHARE * lengths[k]:
+            return full[i]
+        ratio = fused[b.node.path]
+        between = ratio > 0 and content and content[0] < i < content[-1]
+        return ratio >= least or between or b.node.heading or weights[k] >= least * lengths[k]
 
     return " ".join(t for i, (b, t, k) in enumerate(inside) if stays(i, b, k))
 
