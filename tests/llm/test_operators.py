@@ -133,6 +133,18 @@ def test_near_copies_of_one_text_cost_no_pairs_within_a_group(spark, monkeypatch
     assert got == want and len({c for _, c in want.values()}) > 1
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_labels_of_classes_with_many_rows(spark, docs, texts, monkeypatch, broadcast):
+    """Broadcast or dealt out by class and salt: the same groups, with rows that have no id."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_LABELS", broadcast)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(docs).collect()}
+    assert got == brute_components(texts)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(words))] * 40 + [(4, " ".join([*words[1:], "y"])), (None, " ".join(["z", *words[1:]])), (None, "on its own"), (9, "")]
+    got = jaccard_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == sorted([*[(0, 96, 4)] * 41, (4, 96, 4), (0, 1, 0), (9, 0, 9)])
+
+
 def test_components_of_paths_and_hubs(spark):
     from receiptlake.llm.linkage import components
 
@@ -305,6 +317,18 @@ def test_column_generation_nears_the_bound():
     assert sum(times for _, times in plan) <= math.ceil((sizes * demand).sum() / 128) * 1.02 + 1
 
 
+@pytest.mark.parametrize("equal", [1000, 3000])
+def test_more_equal_vectors_than_candidates_go_by_id(spark, equal):
+    rng = np.random.default_rng(equal)
+    vectors = rng.standard_normal((equal + 500, 16)).astype(np.float32)
+    order = rng.permutation(len(vectors))
+    vectors[order[:equal]] = vectors[order[0]]
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(5)
+    same = sorted(int(i) for i in order[:equal])
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, table.filter(F.col("vec_id") == same[3])).orderBy("rank").collect()]
+    assert got == [(k + 1, i, 0.0) for k, i in enumerate([x for x in same if x != same[3]][:10])]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 32)).astype("f4")
@@ -614,6 +638,16 @@ PAGES = {
     f"<header><h1>Site</h1></header><article>{LONG}<div class=ad>Buy it now, please.</div>{LONG}<section class=comments>{LONG * 5}</section></article>": f"{PLAIN} {PLAIN}",
     f"<div id=page><div class=menu><a href=x>one</a></div><div class=content><h2>Hey</h2>{LONG}<ul><li>1</li><li>2</li></ul>{LONG}</div><div class=footer>(c) me, 2020.</div></div>": f"Hey {PLAIN} 1 2 {PLAIN}",
     f"<main>{LONG}<table><tr><td>a<td>b<tr><td>c</table><a href='x/y'>link</a><p hidden>no</p><p a=\"b>c\" d='e>f'>g</p></main>": f"{PLAIN} a b c link g",
+    f"<article>{LONG}<div class='ad'>Buy, buy.</div>{LONG}</article>": f"{PLAIN} {PLAIN}",
+    f"<article>{LONG}<div class='newsletter'>Write to us, please.</div>{LONG}<div class=related><a href=x>More, of it.</a></div></article>": f"{PLAIN} {PLAIN}",
+    f"<article>{LONG}<aside>By the way.</aside>{LONG}<section id='comments'><p>First!</p></section></article>": f"{PLAIN} {PLAIN}",
+    f"<div class=c>{LONG}{LONG}</div><ol class='commentlist'>{'<li>' + LONG + '</li>'}{'<li>' + LONG + '</li>'}{'<li>' + LONG + '</li>'}</ol>": f"{PLAIN} {PLAIN}",
+    f"<p>{LONG}<ol class='commentlist'>{('<li>' + LONG + '</li>') * 30}</ol>": PLAIN,
+    f"<div id='content'><h1>T</h1>{LONG}{LONG}<ul><li>one</li><li>two</li></ul></div>": f"T {PLAIN} {PLAIN} one two",
+    f"<section>{LONG}<dl><dt>a<dd>b</dl><table><tr><td>1<td>2</table><pre>x y</pre></section>": f"{PLAIN} a b 1 2 x y",
+    f"<div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><div>{LONG}{LONG}</div><ul><li><a href=x>Next</a></ul></div>": f"{PLAIN} {PLAIN}",
+    f"<article>{LONG}<p>So is the sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math>.</p><object data=v>See the film, here.</object></article>": f"{PLAIN} So is the sum x+1. See the film, here.",
+    f"<div class='widget'>{LONG}<p>end</p></div>": f"{PLAIN} end",
     f"<article>{LONG}<nav><p>{'Go on, read more. ' * 50}</p></nav><form>Your name, please.</form><aside>{'By the way, this. ' * 9}</aside></article>": PLAIN,
 }
 
@@ -623,6 +657,24 @@ def test_gold_pages(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("page", PAGES)
+def test_path_ratios_against_a_plain_version(page):
+    found = html_text.Page(page).blocks()
+    paths = [b.node.path for b, _ in found]
+
+    def ratio(p):
+        own = [(b, t) for b, t in found if b.node.path == p]
+        size, marks, linked = sum(len(t) for _, t in own), sum(c in ".,;:!?…。、，！？" for _, t in own for c in t), sum(min(b.linked, len(t)) for b, t in own)
+        return math.log(1 + size / len(own)) * (1 + math.log(1 + marks / len(own))) * (1 - linked / size)
+
+    want = {}
+    for p in {*paths}:
+        at = [i for i, q in enumerate(paths) if q == p]
+        near = [(ratio(paths[max(i - 1, 0)]) + 2 * ratio(paths[i]) + ratio(paths[min(i + 1, len(paths) - 1)])) / 4 for i in at]
+        want[p] = max(found[i][0].node.block.weight for i in at) * math.sqrt(ratio(p) * sum(near) / len(at))
+    assert html_text.path_ratios(found) == pytest.approx(want)
+
+
 def test_long_and_deep_pages_take_linear_time():
     import time
 

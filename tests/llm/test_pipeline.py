@@ -79,6 +79,28 @@ def test_rows_without_ids_and_repeated_ids_stay(spark):
     assert pipeline.pack_sequences(spark, docs, "").agg({"doc_tokens": "count"}).first()[0] >= len(rows)
 
 
+def test_columns_of_any_name_pass_through_each_stage(spark, tmp_path):
+    names = ["_text", "_kept", "_high", "_n_words", "_blang", "_id", "row", "doc", "copies", "c0", "c1", "_n_lines"]
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 91}" for k in range(40 + i)), "en", "a", 1, *[f"{n}{i}" for n in names]) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (name, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names), name
+    assert pipeline.pack_sequences(spark, docs, "").count() >= 80
+
+
+def test_near_copies_without_ids_stay_once(spark):
+    words = [f"w{k}" for k in range(100)]
+    other = " ".join(["x", *words[1:]])
+    rows = [(1, " ".join(words)), (None, other), (None, " ".join([*words[:-1], "y"])), (None, other), (None, "quite another text of some words here"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    got = pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, rows[4][1]), (1, rows[0][1]), (7, "")]
+
+
 def test_no_documents(spark, tmp_path):
     sf_dir = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf_dir}/documents.parquet")
