@@ -6,8 +6,8 @@
 4. mixing: every document is repeated as often as its source's target asks, or left out;
 5. packing: the rest becomes sequences of token ids, one row for each piece.
 
-All stages but the last return the columns of documents; n_chars follows the
-text. Rows that are equal in id and text are one document in stage 3 and as many
+All stages but the last return the columns of documents, whatever their names;
+n_chars follows the text. Rows that are equal in id and text are one document in stage 3 and as many
 as they are elsewhere; rows without an id are told apart by their texts. Stages with random or learned parts can't be told in SQL; tests compare
 the pipeline with a plain version instead.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from receiptlake.llm import jaccard_join, line_dedup, mixing, packing, quality_lm
@@ -25,13 +25,23 @@ from receiptlake.llm.shared import SPACE, cut
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """docs with columns c0, c1, ..., which clash with none that an operator adds; their new names; and how to get the old ones back."""
+    new = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new, [F.col(n).alias(c) for c, n in new.items()]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_lm.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_kept").select(*docs.columns)
+    d, new, back = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_lm.judge(d, labels, new["doc_id"], new["text"], new["lang"]).filter("_kept").select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_common_lines(docs, keep_first=True).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
-    return out.filter(F.col("text").rlike(f"[^{SPACE}]")).select(*docs.columns)
+    d, new, back = _numbered(docs)
+    out = line_dedup.drop_common_lines(d, keep_first=True, id_column=new["doc_id"], text_column=new["text"])
+    out = out.filter(F.col("_kept").rlike(f"[^{SPACE}]")).withColumn(new["text"], F.col("_kept")).withColumn(new["n_chars"], F.char_length("_kept").cast("long"))
+    return out.select(*back)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +49,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     stays = groups.filter("group_id is not null").groupBy("group_id").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
     stays = stays.unionByName(groups.filter("group_id is null").select("doc_id", "text_hash").distinct()).toDF("_id", "_hash")
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    out = named.join(stays, named["doc_id"].eqNullSafe(stays["_id"]) & (named["_text"] == stays["_hash"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    d, new, back = _numbered(docs)
+    named = d.withColumn("_text", F.xxhash64(new["text"]))
+    out = named.join(stays, named[new["doc_id"]].eqNullSafe(stays["_id"]) & (named["_text"] == stays["_hash"]), "left_semi")
+    return out.dropDuplicates([new["doc_id"], "_text"]).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
