@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fields import EXPANSION, FLEXIBLE, GENERAL_SCAN
 from ..functions.text import CHARSETS, charset_filter, final_status, fullmatch, validate_field
 from .words import word_list
-from .zones import small
+from .zones import around, cell_of, small
 
 RADII = (50, 75, 100, 125, 150)
 
@@ -116,10 +116,15 @@ def identify_flexible(words: DataFrame, images: DataFrame, template_keywords: Da
 
 
 def expansion_regions(words: DataFrame, anchors: DataFrame, radii=RADII) -> DataFrame:
-    """Every word joins the squares around an anchor from the first that holds its centre; words are joined once, at the largest."""
-    step = F.greatest(F.abs(F.expr("cast(left + width div 2 as int)") - F.col("x")), F.abs(F.expr("cast(top + height div 2 as int)") - F.col("y")))
-    w = words.join(anchors.select("image_id", "field_order", "field", "x", "y", "n_anchors", "first"), "image_id").withColumn("far", step).filter(F.col("far") <= max(radii))
-    return w.withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: r >= F.col("far")))).drop("far")
+    """Every word joins the squares around an anchor from the first that holds its centre; words are joined once, at the largest,
+    with the anchors of their grid cell and of the eight beside it."""
+    size = max(*radii, 1)
+    vx, vy = F.expr("cast(left + width div 2 as int)"), F.expr("cast(top + height div 2 as int)")
+    asked = anchors.select("image_id", "field_order", "field", "x", "y", "n_anchors", "first", F.explode(around(F.col("x"), F.col("y"), size)).alias("_at"))
+    asked = asked.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+    w = words.withColumns({"_cx": cell_of(vx, size), "_cy": cell_of(vy, size)}).join(asked, ["image_id", "_cx", "_cy"])
+    w = w.withColumn("far", F.greatest(F.abs(vx - F.col("x")), F.abs(vy - F.col("y")))).filter(F.col("far") <= max(radii))
+    return w.withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: r >= F.col("far")))).drop("far", "_cx", "_cy")
 
 
 def best_expansion(regions: DataFrame, early: float = 85, least: float = 60) -> DataFrame:

@@ -123,13 +123,31 @@ def _centre(prefix: str = "") -> tuple[Column, Column]:
     return F.expr(f"{prefix}left + {prefix}width / 2"), F.expr(f"{prefix}top + {prefix}height / 2")
 
 
+def cell_of(x: Column, size: float) -> Column:
+    """The number of the grid line's cell that a coordinate lies in."""
+    return F.floor(x / size)
+
+
+def around(x: Column, y: Column, size: float) -> Column:
+    """The nine cells (cx, cy) that hold every point within ``size`` of a point: its own and those beside it."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    return F.transform(steps, lambda s: F.struct((cell_of(x, size) + s["a"]).alias("cx"), (cell_of(y, size) + s["b"]).alias("cy")))
+
+
 def nearby_values(words: DataFrame, boxes: DataFrame, radius: float = 100, min_confidence: int = 20) -> DataFrame:
-    """Words whose centre lies within the radius of a keyword box's centre."""
+    """Words whose centre lies within the radius of a keyword box's centre.
+
+    Words lie in the cells of a grid as wide as the radius, and boxes ask their own
+    cell and the eight beside it, so that a dense page costs its near pairs only."""
+    size = max(float(radius), 1.0)
     c = F.col("conf").cast("int")
     v = words.filter((c >= min_confidence) & (F.trim("text") != "")).select("image_id", F.col("word_idx").alias("v_idx"), F.col("text").alias("v_text"), *[F.col(x).alias(f"v_{x}") for x in ("left", "top", "width", "height")], c.alias("v_conf"))
     (x, y), (vx, vy) = _centre(), _centre("v_")
     square = (vx - x) * (vx - x) + (vy - y) * (vy - y)
-    return boxes.join(v, "image_id").withColumn("square", square).filter(F.col("square") <= radius * radius).withColumn("distance", F.sqrt("square")).drop("square")
+    v = v.withColumns({"_cx": cell_of(vx, size), "_cy": cell_of(vy, size)})
+    asked = boxes.withColumn("_at", F.explode(around(x, y, size))).withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+    near = asked.join(v, ["image_id", "_cx", "_cy"]).withColumn("square", square).filter(F.col("square") <= radius * radius)
+    return near.withColumn("distance", F.sqrt("square")).drop("square", "_cx", "_cy")
 
 
 def intersects(word: str, zone: str) -> Column:
@@ -137,9 +155,25 @@ def intersects(word: str, zone: str) -> Column:
     return F.expr(f"{word}left < {zone}left + {zone}width and {word}left + {word}width > {zone}left and {word}top < {zone}top + {zone}height and {word}top + {word}height > {zone}top")
 
 
-def words_in_zone(words: DataFrame, zones: DataFrame) -> DataFrame:
-    """Zones has (image_id, field, z_left, z_top, z_width, z_height)."""
-    return words.join(zones, "image_id").filter(intersects("", "z_"))
+def _covered(prefix: str, size: int) -> Column:
+    """The grid cells (cx, cy) that a rectangle touches."""
+    span = lambda a, b: F.sequence(cell_of(F.col(f"{prefix}{a}"), size), cell_of(F.greatest(F.col(f"{prefix}{a}"), F.expr(f"{prefix}{a} + {prefix}{b} - 1")), size))
+    return F.flatten(F.transform(span("left", "width"), lambda cx: F.transform(span("top", "height"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+
+def words_in_zone(words: DataFrame, zones: DataFrame, cell: int | None = None) -> DataFrame:
+    """Zones has (image_id, field, z_left, z_top, z_width, z_height).
+
+    An image has few zones, so all its words meet each of them. Where it has many,
+    ``cell`` gives the width of a grid: rectangles meet in the cells that both touch,
+    and a pair counts in the cell of its intersection's corner only."""
+    if cell is None:
+        return words.join(zones, "image_id").filter(intersects("", "z_"))
+    on = ["image_id", "_cx", "_cy"]
+    in_cells = lambda df, prefix: df.withColumn("_at", F.explode(_covered(prefix, cell))).withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+    met = in_cells(words, "").join(in_cells(zones, "z_"), on).filter(intersects("", "z_"))
+    corner = lambda c: cell_of(F.greatest(F.col(c), F.col(f"z_{c}")), cell)
+    return met.filter((F.col("_cx") == corner("left")) & (F.col("_cy") == corner("top"))).drop("_cx", "_cy")
 
 
 def first_anchor(words: DataFrame, field_defs: DataFrame, min_confidence: int = 70) -> DataFrame:

@@ -211,6 +211,14 @@ def _(spark, d):
     return inside.groupBy("image_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("word_idx").alias("words"))
 
 
+@query("J4_words_in_zone_grid", ANCHORS + " SELECT image_id, field, count(*) AS n, CAST(sum(word_idx) AS BIGINT) AS words FROM inzone GROUP BY ALL")
+def _(spark, d):
+    """The same pairs over a grid, as for pages with many zones."""
+    w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
+    inside = zones.words_in_zone(w, zones.after_anchor(zones.first_anchor(w, defs), defs), cell=128)
+    return inside.groupBy("image_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("word_idx").alias("words"))
+
+
 @query("W3_best_value_in_zone", ANCHORS + " SELECT image_id, field, text AS value, conf AS confidence FROM inzone WHERE conf > 50 AND word_idx <> anchor_idx AND regexp_matches(text, pattern) QUALIFY row_number() OVER (PARTITION BY image_id, field ORDER BY conf DESC, word_idx) = 1")
 def _(spark, d):
     w, defs = words.word_list(fx.words(spark, d)), flexible_defs(spark)
@@ -489,6 +497,14 @@ def _(spark, d):
     return learning.apply_corrections(fields, learning.build_model(f)).withColumn("corrected_confidence", F.round("corrected_confidence", 6))
 
 
+@query("J7_filtered_join", FB + BESTC + ENTRIES + " SELECT f.field, value, confidence, coalesce(correction, value) AS corrected_value, round(CASE WHEN correction IS NULL THEN confidence ELSE least(100, greatest(0, confidence + adjustment)) END, 6) AS corrected_confidence FROM (SELECT campo_nombre AS field, raw_ocr_output || CASE WHEN seq % 2 = 0 THEN '' ELSE '?' END AS value, CAST(40 + seq % 60 AS DOUBLE) AS confidence FROM feedback) f LEFT JOIN bc ON bc.field = f.field AND bc.raw = value LEFT JOIN entries e ON e.field = f.field AND e.raw = value")
+def _(spark, d):
+    """The way of a large model: a key filter, and hot keys dealt out."""
+    f = fx.feedback(spark, d)
+    fields = f.select(F.col("campo_nombre").alias("field"), F.concat("raw_ocr_output", F.when(F.col("seq") % 2 == 0, "").otherwise("?")).alias("value"), (40 + F.col("seq") % 60).cast("double").alias("confidence"))
+    return learning.apply_corrections(fields, learning.build_model(f), broadcast_keys=0).withColumn("corrected_confidence", F.round("corrected_confidence", 6))
+
+
 @query("A7_merge_model", FB + ENTRIES + " SELECT field, raw, total, round(adjustment, 6) AS adjustment FROM entries")
 def _(spark, d):
     f = fx.feedback(spark, d).withColumn("timestamp_feedback", F.col("timestamp_feedback"))
@@ -536,6 +552,16 @@ def _(spark, d):
     return jobs.recent_corrections(fx.feedback(spark, d))
 
 
+@query("ST2_recent_corrections_stream", FB + ", s AS (SELECT date_trunc('day', timestamp_feedback) - INTERVAL 1 DAY * k AS window_start FROM feedback, (SELECT unnest(range(0, 7)) AS k)) SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS corrections FROM s WHERE window_start + INTERVAL 7 DAY <= (SELECT max(timestamp_feedback) - INTERVAL 1 DAY FROM feedback) GROUP BY window_start")
+def _(spark, d):
+    """The stream, started twice: windows that the watermark has passed, each written once."""
+    source, out, state = (fx.scratch(spark, x) for x in ("feedback", "windows", "state"))
+    feedback_text(spark, d).write.options(**io.CSV).csv(source)
+    for _ in range(2):
+        jobs.recent_corrections_stream(spark, source, out, state).awaitTermination()
+    return spark.read.schema("window_start timestamp, window_end timestamp, corrections long").parquet(out)
+
+
 @query("ST3_extract_rows", FOUND + " SELECT image_id, field, value, round(confidence, 6) AS confidence FROM found")
 def _(spark, d):
     return jobs.extract_rows(words.collect_ocr(fx.words(spark, d))).withColumn("confidence", F.round("confidence", 6))
@@ -603,7 +629,7 @@ def _(spark, d):
     for part in (~late, late):
         f.filter(part).drop("at").write.mode("append").options(**io.CSV).csv(source)
         jobs.retrain_stream(spark, source, model, archive, state).awaitTermination()
-    entries, _ = io.read_model(spark, f"{model}/batch=1")
+    entries, _ = jobs.current_model(spark, model)
     archived = spark.read.option("header", True).csv(archive).count()
     return entries.select("field", "raw", "total", F.lit(archived).cast("long").alias("archived"), F.round("adjustment", 6).alias("adjustment"))
 
@@ -624,11 +650,24 @@ def _(spark, d):
     return quality.dark_background(quality.brightness_stats(fx.pixels(spark, d))).select("image_id", "dark_percentage", "is_dark", "dark_confidence")
 
 
+@query("M5_tiled_images", PX + DARK + ", t AS (SELECT image_id, stddev_pop(g) AS std, min(g) AS min, max(g) AS max, count(*) FILTER (WHERE g >= 170 AND g < 255) / count(*) * 100 AS bright_percentage FROM e GROUP BY image_id) SELECT image_id, round(brightness, 6) AS brightness, round(std, 6) AS std, min, max, med AS median, dark_percentage, bright_percentage FROM dk JOIN t USING (image_id)")
+def _(spark, d):
+    """The same counts from tiles of 3 x 3 pixels."""
+    m = quality.measured_tiles(quality.split(fx.pixels(spark, d), 3))
+    return m.select("image_id", F.round("brightness", 6).alias("brightness"), F.round("std", 6).alias("std"), "min", "max", "median", "dark_percentage", "bright_percentage")
+
+
 @query("M3_sharpness", PX + ", p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), n AS (SELECT c.image_id, u.g + d.g + l.g + r.g - 4 * c.g AS v FROM c JOIN c u ON u.image_id = c.image_id AND u.x = c.x AND u.y = abs(c.y - 1) JOIN c d ON d.image_id = c.image_id AND d.x = c.x AND d.y = 7 - abs(7 - c.y - 1) JOIN c l ON l.image_id = c.image_id AND l.y = c.y AND l.x = abs(c.x - 1) JOIN c r ON r.image_id = c.image_id AND r.y = c.y AND r.x = 7 - abs(7 - c.x - 1)) SELECT image_id, CAST(round(var_pop(v) * 4096) AS BIGINT) AS sharpness FROM n GROUP BY image_id")
 def _(spark, d):
     return quality.texture(fx.pixels(spark, d)).select("image_id", F.round(F.col("sharpness") * 4096).cast("long").alias("sharpness"))
 
 
+@query("M3_sharpness_tiled", PX + ", p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), n AS (SELECT c.image_id, u.g + d.g + l.g + r.g - 4 * c.g AS v FROM c JOIN c u ON u.image_id = c.image_id AND u.x = c.x AND u.y = abs(c.y - 1) JOIN c d ON d.image_id = c.image_id AND d.x = c.x AND d.y = 7 - abs(7 - c.y - 1) JOIN c l ON l.image_id = c.image_id AND l.y = c.y AND l.x = abs(c.x - 1) JOIN c r ON r.image_id = c.image_id AND r.y = c.y AND r.x = 7 - abs(7 - c.x - 1)) SELECT image_id, CAST(round(var_pop(v) * 4096) AS BIGINT) AS sharpness FROM n GROUP BY image_id")
+def _(spark, d):
+    m = quality.measured_tiles(quality.split(fx.pixels(spark, d), 5))
+    return m.select("image_id", F.round(F.col("sharpness") * 4096).cast("long").alias("sharpness"))
+
+
 @query("M4_noise_level", PX + ", p AS (SELECT image_id, unnest(gray) AS g, generate_subscripts(gray, 1) - 1 AS i FROM pixels), c AS (SELECT image_id, i // 8 AS y, i % 8 AS x, g FROM p), k AS (SELECT unnest([1, 4, 6, 4, 1]) AS w, unnest([-2, -1, 0, 1, 2]) AS o), b AS (SELECT c.image_id, c.y, c.x, any_value(c.g) AS g, (sum(kx.w * ky.w * s.g) + 128) // 256 AS blurred FROM c, k kx, k ky, c s WHERE s.image_id = c.image_id AND s.x = 7 - abs(7 - abs(c.x + kx.o)) AND s.y = 7 - abs(7 - abs(c.y + ky.o)) GROUP BY ALL) SELECT image_id, round(stddev_pop(abs(g - blurred)), 6) AS noise_level FROM b GROUP BY image_id")
 def _(spark, d):
     return quality.texture(fx.pixels(spark, d)).select("image_id", F.round("noise_level", 6).alias("noise_level"))
@@ -741,3 +780,23 @@ def _(spark, d):
 @query("S7_named_results", RESULTS + " SELECT event_id, strftime(t, '%Y%m%d-%H%M%S') || '-' || stem AS record, CAST(t AS DATE) AS processing_date FROM s")
 def _(spark, d):
     return io.named_results(io.supported(results(spark, d)).withColumnRenamed("modificationTime", "processed_at")).select("event_id", "record", "processing_date")
+
+
+@query("S7_write_results", RESULTS + " SELECT event_id, strftime(t, '%Y%m%d-%H%M%S') || '-' || stem AS record, CAST(t AS DATE) AS processing_date, 'b' AS run FROM s")
+def _(spark, d):
+    """Written, interrupted before its mark, retried and read back."""
+    at = fx.scratch(spark, "results")
+    r = io.supported(results(spark, d)).select("event_id", "stem", F.col("modificationTime").alias("processed_at"))
+    io.named_results(r.filter("event_id % 3 = 0")).write.partitionBy("processing_date").json(f"{at}/data/run=b")
+    for _ in range(2):
+        io.write_results(r, at, "b")
+    return io.read_committed(spark, at, "event_id long, record string, processing_date date").select("event_id", "record", "processing_date", "run")
+
+
+@query("S9_write_report", FB + TOP + f" SELECT 'r' AS run, (SELECT count(*) FROM feedback) AS total_processed, (SELECT count(*) FROM feedback WHERE {ADJ} <> 0) AS adjustments, (SELECT key FROM top WHERE kind = 'field') AS top_field, (SELECT count(DISTINCT campo_nombre) FROM feedback) AS model_size")
+def _(spark, d):
+    f, at = fx.feedback(spark, d), fx.scratch(spark, "report")
+    report = io.retraining_report(learning.processing_stats(f), learning.top_problem(f), learning.build_model(f)[0])
+    for _ in range(2):
+        io.write_report(report, at, "r")
+    return io.read_committed(spark, at, "total_processed long, adjustments long, top_field string, model_size long")

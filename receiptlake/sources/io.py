@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,6 +15,7 @@ FEEDBACK_COLUMNS = ["id_unico_imagen", "campo_nombre", "raw_ocr_output", "valor_
 #: Missing values are told from empty ones, which are quoted.
 CSV = {"header": True, "nullValue": "<NA>"}
 FEEDBACK_SCHEMA = StructType([StructField(c, StringType()) for c in FEEDBACK_COLUMNS])
+FEEDBACK_DDL = ", ".join(f"{c} string" for c in FEEDBACK_COLUMNS)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -69,7 +71,7 @@ def parse_templates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
                     rows.append((name, [], [], [], str(bad)[:200]))
             yield type(pdf)(rows, columns=["template", "anchors", "regions", "fields", "error"])
 
-    t = texts.select("template", "text").mapInPandas(parse, TEMPLATE_SCHEMA)
+    t = staged(texts.select("template", "text").mapInPandas(parse, TEMPLATE_SCHEMA), "templates")  # parsed once for the four tables
     good = t.filter("error is null")
     return good.select("template", F.explode("anchors").alias("anchor")), good.select("template", F.inline("regions")), good.select("template", F.inline("fields")), t.filter("error is not null").select("template", "error")
 
@@ -82,8 +84,6 @@ def load_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; a missing path gives no rows."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.schema(FEEDBACK_SCHEMA).options(**CSV).csv(path)
     except AnalysisException as e:
@@ -134,14 +134,42 @@ def named_results(results: DataFrame) -> DataFrame:
     return results.withColumn("record", F.concat_ws("-", F.date_format("processed_at", "yyyyMMdd-HHmmss"), "stem")).withColumn("processing_date", F.to_date("processed_at"))
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Few JSON files by date, one document for each line."""
-    named_results(results).write.mode("append").partitionBy("processing_date").json(path)
+def commit_json(df: DataFrame, path: str, run: str, partition_by: list[str] | None = None) -> None:
+    """df as JSON lines under a run of its own; the run counts from the moment its mark is written, which is last.
+
+    A run that is repeated, whether it was interrupted or only retried, replaces what it has written."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).json(f"{path}/data/run={run}")
+    df.sparkSession.range(1).select(F.lit(run).alias("name")).write.mode("overwrite").json(f"{path}/commits/run={run}")
+
+
+def read_committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all committed runs, with ``run``; what other runs have left there is not read."""
+    try:
+        runs = [r["name"] for r in spark.read.schema("name string").json(f"{path}/commits").select("name").collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        runs = []
+    if not runs:
+        return spark.createDataFrame([], f"{schema}, run string")
+    return spark.read.schema(f"{schema}, run string").option("basePath", f"{path}/data").json([f"{path}/data/run={r}" for r in runs])
+
+
+def write_results(results: DataFrame, path: str, run: str) -> None:
+    """Few JSON files by date, one document for each line; a repeated run leaves each result once."""
+    commit_json(named_results(results), path, run, ["processing_date"])
 
 
-def archive_feedback(df: DataFrame, path: str, stamp: str) -> None:
+def archive_feedback(df: DataFrame, path: str, stamp: str, partition_by: list[str] | None = None) -> None:
     """Processed feedback under its stamp; archiving one stamp again replaces it."""
-    df.write.mode("overwrite").options(**CSV).csv(f"{path}/archived_at={stamp}")
+    w = df.write.mode("overwrite").options(**CSV)
+    (w.partitionBy(*partition_by) if partition_by else w).csv(f"{path}/archived_at={stamp}")
+
+
+def write_report(report: DataFrame, path: str, run: str) -> None:
+    """A run's report as one JSON line."""
+    commit_json(report.coalesce(1), path, run)
 
 
 def retraining_report(stats: DataFrame, top: DataFrame, entries: DataFrame) -> DataFrame:
