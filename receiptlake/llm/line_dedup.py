@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE_CHARS, ascii_lower, cut, keyed, partitions, scratch
 
 MIN_CODE_POINTS, MIN_DOCUMENTS, FANOUT = 1, 10, 4
-#: Text of a batch at most, and the least number of batches.
-BATCH_BYTES, BATCHES = 64 << 30, 2
+#: Text of a batch at most, and the least number of batches: enough to fill a level and go on.
+BATCH_BYTES, BATCHES = 16 << 30, FANOUT + 1
 
 
 def lines_of(text: Column) -> Column:
@@ -59,7 +59,7 @@ class LineRuns:
         self.folder = folder or f"{scratch(spark)}/{self.name}"
         self.levels: list[list[DataFrame]] = [[]]
         self.increments: list[DataFrame] = []
-        self.written = 0
+        self.written = self.compactions = 0
 
     def _write(self, counts: DataFrame) -> DataFrame:
         """A bucketed and sorted table; only its files are kept, not its name in the catalog."""
@@ -94,7 +94,9 @@ class LineRuns:
         self.levels[0].append(fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = functools.reduce(DataFrame.unionByName, self.levels[level]).repartition(self.buckets, "h1", "h2")
+            # runs have equal buckets, and so has their union: it is grouped bucket by bucket, without a shuffle
+            merged = functools.reduce(DataFrame.unionByName, self.levels[level]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+            self.compactions += 1
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self._write(merged))

@@ -652,6 +652,25 @@ PAGES = {
 }
 
 
+def test_compaction_is_part_of_the_job_and_shuffles_nothing(spark, docs, texts, monkeypatch):
+    made, plans = [], []
+
+    class Seen(line_dedup.LineRuns):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            made.append(self)
+
+        def _write(self, counts):
+            plans.append(counts._jdf.queryExecution().executedPlan().toString())
+            return super()._write(counts)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Seen)
+    line_dedup.drop_common_lines(docs).count()
+    assert made[0].compactions == 1 and [len(x) for x in made[0].levels] == [1, 1]
+    unions = [p for p in plans if "Union" in p]
+    assert len(unions) == 1 and "Exchange" not in unions[0] and "Bucketed: true" in unions[0]
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_gold_pages(page):
     assert html_text.main_text(page) == PAGES[page]
