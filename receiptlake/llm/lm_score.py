@@ -4,8 +4,12 @@ Counts. All words and all pairs of neighbouring words of the training part are
 counted, without a least count or a most. A task packs its texts into runs; a
 run asks each shard of hashes for its distinct words and pairs and brings its
 own training counts along, so that one shuffle sums the counts of a shard and
-answers all runs. Nothing goes through the driver but three totals; the shards
-grow in number with the text.
+answers all runs. Pairs go to the shard of their first word; those of the few
+words that make up more than HOT_SHARE of all go to a second family of shards, by
+their next word, and each of these tells a run how many followers of its hot words
+it knows, which the run adds up. So no word's followers meet in one group.
+Nothing goes through the driver but three totals and the hot words, 1 / HOT_SHARE
+at most; the shards grow in number with the text.
 
 Automaton. Each word is a state, reached by reading it. Arcs hold log10 of the
 discounted share of the next word plus what backs off to it; a state's failure
@@ -34,7 +38,7 @@ from .shared import cut, partitions
 
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
-DISCOUNT, RUN_WORDS, SHARD_BYTES = 0.75, 1_500_000, 4 << 20
+DISCOUNT, RUN_WORDS, SHARD_BYTES, HOT_SHARE = 0.75, 1_500_000, 4 << 20, 1 / 256
 PART_WORDS = 1024  # read on in step at most
 END = 0x9AE16A3B2F90404F  # the end of a text among the hashes of words
 _BITS = U(20)
@@ -59,14 +63,16 @@ def _cuts(words: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _runs(it):
-    """One row for each run of texts: ids, folds, sorted words, the words' places among them, words of each text."""
+    """One row for each run of texts: ids, folds, sorted words, the words' places among them, words of each text; its frequent words and their counts."""
 
     def emit():
         h, n = np.concatenate(words), np.concatenate(lengths)
         distinct, at = np.unique(h, return_inverse=True)
+        times = np.bincount(at)
+        often = np.flatnonzero(times > HOT_SHARE / 2 * len(h))  # a word above the share in all runs is above half of it in some
         one = lambda x: pa.array([x], pa.binary())
         lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(x)) for x in (ids, folds)]
-        return pa.RecordBatch.from_arrays([*lists, one(distinct.tobytes()), one(at.astype("<u4").tobytes()), one(n.astype("<u4").tobytes())], ["ids", "held", "words", "places", "lengths"])
+        return pa.RecordBatch.from_arrays([*lists, one(distinct.tobytes()), one(at.astype("<u4").tobytes()), one(n.astype("<u4").tobytes()), one(distinct[often].tobytes()), one(times[often].astype("<i8").tobytes()), pa.array([len(h)])], ["ids", "held", "words", "places", "lengths", "often", "times", "tokens"])
 
     ids, folds, words, lengths, held = [], [], [], [], 0
     for batch in it:
@@ -96,8 +102,31 @@ _ASKED = "shard int, run long, words binary, n binary, followers binary, next bi
 _ANSWERED = "run long, shard int, n binary, followers binary, c binary, total long, v long, once long"
 
 
-def _asking(shards: int):
-    """A run's distinct words and pairs with the run's training counts, packed by the shard of the word or of the pair's first word."""
+def _hot_words(runs: DataFrame) -> np.ndarray:
+    """The words that are more than HOT_SHARE of all, sorted."""
+
+    def run(it):
+        for batch in it:
+            for often, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, "<i8")), pa.array(np.frombuffer(times, "<i8"))], ["word", "n"])
+
+    total = runs.agg(F.sum("tokens")).first()[0] or 0
+    n = runs.select("often", "times").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["word"] for r in n.filter(F.col("n") > HOT_SHARE * total).collect()], np.int64).view(U))
+
+
+def _dealt(words: np.ndarray, pairs: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which words are hot, places of other pairs, places of pairs of hot words by shard, where each shard of these begins)."""
+    is_hot = np.isin(words, hot)
+    of_hot = is_hot[(pairs >> _WIDE).astype(np.int64)]
+    own = np.flatnonzero(of_hot)
+    shard = ((words[(pairs[own] & U(0xFFFFFFFF)).astype(np.int64)] >> _WIDE) * U(shards)) >> _WIDE
+    order = np.argsort(shard, kind="stable")
+    return is_hot, np.flatnonzero(~of_hot), own[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=U))
+
+
+def _asking(shards: int, hot: np.ndarray):
+    """A run's distinct words and pairs with the run's training counts, packed by the shard of the word or of the pair's first word; pairs of hot words by the shard of the next one."""
 
     def run(it):
         for batch in it:
@@ -108,16 +137,24 @@ def _asking(shards: int):
                 at, keys = _pairs(numbers, doc, _WIDE)
                 pairs, back = np.unique(keys, return_inverse=True)
                 c = np.bincount(back[train[at]], minlength=len(pairs)).astype("<u4")
-                followers = np.bincount((pairs >> _WIDE).astype(np.int64), minlength=len(words))
-                after = words[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
+                state, after = (pairs >> _WIDE).astype(np.int64), words[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
+                is_hot, cold, warm, begin = _dealt(words, pairs, hot, shards)
+                followers = np.bincount(state[cold], minlength=len(words))
                 cuts = _cuts(words, shards)
                 ends = np.concatenate([[0], np.cumsum(followers)])[cuts]
                 full = np.flatnonzero(np.diff(cuts))
                 pack = lambda x, e: pa.array([x[e[s] : e[s + 1]].tobytes() for s in full], pa.binary())
+                names = ["shard", "run", "words", "n", "followers", "next", "c"]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), r["run"]), pa.int64()), pack(words, cuts), pack(n, cuts), pack(followers.astype("<u4"), cuts), pack(after[cold], ends), pack(c[cold], ends)], names)
+                if not is_hot.any():
+                    continue
+                # every shard of the second family is asked for the followers that it knows of the run's hot words
+                numbered, own, every = np.cumsum(is_hot) - 1, words[is_hot].tobytes(), range(shards)
+                some = lambda x: pa.array([x(warm[begin[s] : begin[s + 1]]).tobytes() for s in every], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array(np.full(len(full), r["run"]), pa.int64()), pack(words, cuts), pack(n, cuts), pack(followers.astype("<u4"), cuts), pack(after, ends), pack(c, ends)],
-                    ["shard", "run", "words", "n", "followers", "next", "c"],
-                )
+                    [pa.array(np.arange(shards, 2 * shards), pa.int32()), pa.array(np.full(shards, r["run"]), pa.int64()), pa.array([own] * shards, pa.binary()), pa.array([bytes(len(own) // 2)] * shards, pa.binary()),
+                     some(lambda p: np.bincount(numbered[state[p]], minlength=len(own) // 8).astype("<u4")), some(lambda p: after[p]), some(lambda p: c[p])], names,
+                )
 
     return run
 
@@ -208,7 +245,7 @@ class Automaton:
         return np.bincount(text, total, minlength=len(lengths))
 
 
-def _scored(total: int, v: int, once: int):
+def _scored(total: int, v: int, once: int, shards: int, hot: np.ndarray):
     """The rows of a run from the answers of all shards."""
     scale = float(np.log10(total + 0.5 * (v + 1)))
 
@@ -216,8 +253,15 @@ def _scored(total: int, v: int, once: int):
         r = runs.to_pylist()[0]
         words, numbers, doc = _opened(r["words"], r["places"], r["lengths"])
         answers = answers.sort_by("shard")
-        n, followers, c = (np.frombuffer(b"".join(answers.column(k).to_pylist()), "<i8") for k in ("n", "followers", "c"))
         arcs = np.unique(_pairs(numbers, doc, _WIDE)[1])
+        is_hot, cold, warm, _ = _dealt(words, arcs, hot, shards)
+        main = answers.slice(0, int(np.sum(answers["shard"].to_numpy() < shards)))
+        second = answers.slice(main.num_rows)
+        got = lambda t, k: np.frombuffer(b"".join(t.column(k).to_pylist()), "<i8")
+        n, followers, c = got(main, "n"), got(main, "followers").copy(), np.empty(len(arcs), np.int64)
+        c[cold], c[warm] = got(main, "c"), got(second, "c")
+        if is_hot.any():
+            followers[is_hot] += got(second, "followers").reshape(shards, -1).sum(0)
         seen = c > 0
         a = Automaton(words, n, total, once, arcs[seen], c[seen], followers, _WIDE)
         sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(r["ids"])))
@@ -234,12 +278,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     size = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
     shards = max(2 * partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
-    runs = rows.mapInArrow(_runs, "ids array<long>, held array<boolean>, words binary, places binary, lengths binary")
+    runs = rows.mapInArrow(_runs, "ids array<long>, held array<boolean>, words binary, places binary, lengths binary, often binary, times binary, tokens long")
     runs = cut(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
-    answers = cut(runs.mapInArrow(_asking(shards), _ASKED).groupBy("shard").applyInArrow(_answer, _ANSWERED), "answers")
+    hot = _hot_words(runs)
+    runs = runs.drop("often", "times", "tokens")
+    answers = cut(runs.mapInArrow(_asking(shards, hot), _ASKED).groupBy("shard").applyInArrow(_answer, _ANSWERED), "answers")
     all_ = answers.filter("run is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "v", "once")]).first()
     asked = answers.filter("run is not null").select("run", "shard", "n", "followers", "c")
-    out = runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_scored(all_["total"], all_["v"], all_["once"]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_scored(all_["total"], all_["v"], all_["once"], shards, hot), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_["total"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -401,6 +401,26 @@ def test_lm_score(docs, texts, none):
     assert len(twice) == 4 and len({(r["doc_id"], r["n_tokens"], r["score"]) for r in twice}) == 3 and {r["train_tokens"] for r in twice} == {12 if not twice[0]["held_out"] else 4}
 
 
+def test_a_word_that_is_half_of_all_words_is_dealt_out(spark, monkeypatch):
+    """The same scores with and without a second family of shards, which splits what would be one shard's pairs."""
+    rng = random.Random(12)
+    texts = [" ".join(f"the w{rng.randrange(4000)}" if rng.random() < 0.9 else f"v{rng.randrange(50)}" for _ in range(rng.randint(1, 120))) for _ in range(150)] + [None, "", "the the the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "RUN_WORDS", 3000)
+    seen = {}
+    for share in (2.0, 1 / 256):
+        monkeypatch.setattr(lm_score, "HOT_SHARE", share)
+        rows = docs.select("doc_id", lm_score.held_out().alias("held_out"), "text")
+        runs = lm_score.cut(rows.mapInArrow(lm_score._runs, "ids array<long>, held array<boolean>, words binary, places binary, lengths binary, often binary, times binary, tokens long").withColumn("run", F.monotonically_increasing_id()), "runs")
+        hot = lm_score._hot_words(runs)
+        assert (textkernel.word_hash("the") in hot) == (share < 1) and len(hot) <= 256
+        load = runs.mapInArrow(lm_score._asking(8, hot), lm_score._ASKED).groupBy("shard").agg(F.sum(F.octet_length("next")).alias("n")).toPandas()["n"]
+        seen[share] = ({r["doc_id"]: (r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm_score.score(docs).collect()}, load.max(), load[load > 0].median())
+    (plain, most, _), (got, least, middle) = seen.values()
+    assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
+    assert least < most / 3 and least < 2 * middle
+
+
 def test_lm_score_counts_rare_pairs(spark, monkeypatch):
     """Every pair is an arc, if it is seen once only; runs of a few words give the same as one run."""
     texts = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(20)) + f" rare{i} pair{i}" + " rare1 pair1" * (i == 5)) for i in range(60)]
