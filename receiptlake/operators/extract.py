@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fields import EXPANSION, FLEXIBLE, GENERAL_SCAN
 from ..functions.text import CHARSETS, charset_filter, final_status, fullmatch, validate_field
 from .words import word_list
-from .zones import around, cell_of, small
+from .zones import around, cell_of, keyword_hits
 
 RADII = (50, 75, 100, 125, 150)
 
@@ -106,8 +106,9 @@ def identify_flexible(words: DataFrame, images: DataFrame, template_keywords: Da
     """(image_id, method, n_fields, template). template_keywords: (template, keyword)."""
     folded = found_rows(fold_fields(listed_words(words))).groupBy("image_id").agg(F.count("f").alias("n_fields"))
     out = images.select("image_id", F.lower("full_text").alias("full_text")).join(folded, "image_id", "left")
-    none = out.filter("n_fields = 0").crossJoin(small(template_keywords)).filter(F.col("full_text").contains(F.lower("keyword")))
-    hits = none.groupBy("image_id", "template").count()
+    none = out.filter("n_fields = 0").select("image_id", F.col("full_text").alias("text"))
+    lists = template_keywords.groupBy("template").agg(F.collect_list("keyword").alias("keywords"))
+    hits = keyword_hits(none, lists, ["template"], first=False).groupBy("image_id", "template").count()
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("count"), "template"))
     best = hits.withColumn("_r", rank).filter("_r = 1").select("image_id", "template")
     out = out.join(best, "image_id", "left")
