@@ -30,6 +30,7 @@ from .shared import cut
 
 TABLES, PROBES, BLOCK, PARTY, RERANKED, NEIGHBOURS, QUERY_STEP = 12, 8, 20_000, 2_000, 4, 10, 100
 CHUNK = 1 << 22  # distances at a time
+STEP = 2.0**-32
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -132,17 +133,21 @@ def _best(k: int):
             step = max(1, CHUNK // len(x))
             for lo in range(0, len(q), step):
                 part = q[lo : lo + step]
-                d = square - 2.0 * (part @ x.T) + (part**2).sum(1, keepdims=True)
+                scale = square + (part**2).sum(1, keepdims=True)
+                d = scale - 2.0 * (part @ x.T)
+                # whole steps of a share of the squares: equal vectors have equal distances, in whatever block they are
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    whole = np.rint(d / (scale * STEP)) * (scale * STEP)
+                d = np.where(np.isfinite(whole), whole, d)
                 d = np.minimum.reduceat(d, at, axis=1)
                 d[ids == asked[lo : lo + step, None]] = np.inf
-                d = d.astype(np.float32)  # equal vectors have equal distances here, in whatever block they are
                 kept = np.isfinite(d)
                 if k < len(ids):  # the nearest k, and of those that tie with the last one the smallest ids, which come first
                     last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                     less, tie = d < last, d == last
                     kept &= less | (tie & (np.cumsum(tie, axis=1) <= k - less.sum(1, keepdims=True)))
                 row, best = np.nonzero(kept)
-                found.append((asked[lo : lo + step][row], ids[best], d[row, best].astype(float)))
+                found.append((asked[lo : lo + step][row], ids[best], d[row, best]))
         q, i, d = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "near"])
 
