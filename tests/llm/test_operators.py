@@ -531,6 +531,36 @@ def test_kneser_ney_shares_add_up_to_one(spark):
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_quality_model_and_bounds_take_every_trusted_document(spark, monkeypatch):
+    """Also where far more documents are trusted than TRAIN_DOCUMENTS and THRESHOLD_DOCUMENTS together."""
+    monkeypatch.setattr(quality_lm, "TRAIN_DOCUMENTS", 2)
+    monkeypatch.setattr(quality_lm, "THRESHOLD_DOCUMENTS", 4)
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices(["a", "b", "c", f"own{i}", *"defgh"], k=rng.randint(0, 40))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    part = {r["doc_id"]: r["p"] < 2 for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 6)").alias("p")).collect()}
+    model = quality_lm.train(docs.filter(F.col("doc_id").isin([i for i in range(240) if part[i]])).select("text"))
+    rows = {r["doc_id"]: r for r in quality_lm.judge(docs, labels).collect()}
+    assert len(rows) == 300 and 60 < sum(part[i] for i in range(240)) < 100
+    x, n = {}, {}
+    for i, t in enumerate(texts):
+        h = np.array([textkernel.word_hash(w) for w in t.split()], np.uint64)
+        n[i] = len(h)
+        assert rows[i]["_n_words"] == len(h) and (rows[i]["_perplexity"] is None) == (not len(h))
+        if len(h):
+            x[i] = -quality_lm.log_probabilities(model, h, np.zeros(len(h), int)).mean()
+            assert math.log10(rows[i]["_perplexity"]) == pytest.approx(x[i], abs=1e-9)
+    for k, lang in enumerate(["en", "de", None]):
+        own = [i for i in x if i < 240 and not part[i] and (lang is None or i % 3 == k)]
+        middle = np.median([x[i] for i in own])
+        drawn = lambda i: (n[i] * x[i] + quality_lm.PRIOR_WORDS * middle) / (n[i] + quality_lm.PRIOR_WORDS)
+        high = np.quantile([drawn(i) for i in own], quality_lm.HIGH_QUANTILE) + quality_lm.MARGIN
+        for i in range(k, 300, 3):
+            assert rows[i]["_high"] == pytest.approx(high, abs=1e-9)
+            assert rows[i]["_kept"] == (i in x and drawn(i) <= high)
+
+
 def test_toxicity_by_clauses(spark, none):
     rng = random.Random(5)
     words = ["".join(rng.choice("aeioklmnrst") for _ in range(5)) for _ in range(300)]
