@@ -21,19 +21,22 @@ packed each; ids that are null stay null.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .shared import cut
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 MOST_BINS, RANK_BLOCKS = 256, 64
-CACHED_WORDS = 300_000
+CACHED_WORDS, PIECE_BYTES = 300_000, 16 << 20
 
 
 # The bytes that byte-level vocabularies write as themselves; the others, in order, from code point 256 on.
@@ -46,6 +49,10 @@ def _latin_word(part: str) -> bool:
     return part.isalpha() and (part.isascii() or max(part) < "\u0250" and part.lower().isalpha())
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
     """Ids of whole texts, as little-endian 32-bit bytes, by the tokenizers library.
 
@@ -58,16 +65,17 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.older = Tokenizer.from_file(file), {}
+        self.tokenize = self.tokenizer.model.tokenize
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             if _latin_word(part):
                 word = part.lower() if part.isascii() else "".join(map(str.lower, part)).encode().decode("latin-1").translate(_AS_TEXT)
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+                ids = _bytes([t.id for t in self.tokenize(word)])
             elif part[-1] in ".," and _latin_word(part[:-1]):
                 ids = self[part[:-1]] + self[part[-1]]
             else:
@@ -83,6 +91,28 @@ class Encoder(dict):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
+    def all_ids(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end after it; where each text begins among them). Each distinct part is looked up once."""
+        texts = texts.fill_null("")
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\x1c-\x1f]"))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))  # as the vocabulary does, so that fewer parts differ
+        coded = split.flatten().dictionary_encode()
+        parts = [self[w] if w else b"" for w in coded.dictionary.to_pylist()]
+        ends = np.full(len(texts), len(parts))
+        parts.append(end)
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            ends[k] = len(parts)
+            parts.append(self.whole(texts[k].as_py()) + end)
+        to = split.offsets.to_numpy().astype(np.int64)
+        to -= to[0]
+        code = np.insert(coded.indices.to_numpy().astype(np.int64), to[1:], ends)
+        ids, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        n = sizes[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[code] - upto[:-1], n)
+        places += np.arange(len(places))
+        return ids[places], upto[to + np.arange(len(to))]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -97,13 +127,14 @@ def pieces(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_I
             encoder = _ENCODERS[file] = Encoder(file)
         for batch in it:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for column, value in zip(rows, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
-                        column.append(value)
+            for lo, hi in K.pieces(batch.column(1), PIECE_BYTES):
+                ids, begin = encoder.all_ids(batch.column(1).slice(lo, hi - lo), end)
+                data, begin = memoryview(ids.view(np.uint8)), begin.tolist()
+                for doc_id, at, to in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), begin[:-1], begin[1:], strict=True):
+                    for start in range(at, to, length):
+                        last = min(to, start + length)
+                        for column, value in zip(rows, (doc_id, start - at, last - start, zlib.crc32(data[4 * start : 4 * last]), to - at), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,6 +463,20 @@ def test_automaton_gives_shares_that_add_up_to_one():
     assert a.traverse(numbers, np.array([3, 0, 4])) == pytest.approx([step([0, 1, 2]), 0, step([-1, 2, 1, 0])])
 
 
+def test_packing_encodes_columns_as_texts(monkeypatch):
+    """Each distinct part is looked up once for a column of texts."""
+    encoder = packing.Encoder(packing.tokenizer_file())
+    texts = [*some_texts(), "a <|endoftext|> b", "x\x1cy z", "no\u00a0break\u2003here", " \tÉtat  The the,THE. \n", "日本語 テキスト", "a\x85b"] * 3
+    want = [np.append(np.frombuffer(encoder.whole(t or ""), "<u4"), 1) for t in texts]
+    asked = []
+    monkeypatch.setattr(packing.Encoder, "__getitem__", lambda self, part: asked.append(part) or self.__missing__(part), raising=False)
+    ids, begin = packing.Encoder(packing.tokenizer_file()).all_ids(pa.array(["skipped", *texts], pa.string()).slice(1), np.array([1], "<u4").tobytes())
+    assert len(begin) == len(texts) + 1 and all(np.array_equal(ids[a:b], w) for a, b, w in zip(begin[:-1], begin[1:], want, strict=True))
+    assert len([p for p in asked if p == "again"]) == 1
+    ids, begin = encoder.all_ids(pa.array([], pa.string()), b"\1\0\0\0")
+    assert not len(ids) and begin.tolist() == [0]
+
+
 def test_quality_model_tells_junk(spark, none):
     rng = random.Random(9)
     words = ["".join(rng.choice("aeioklmnrst") for _ in range(5)) for _ in range(60)]
