@@ -8,6 +8,8 @@ answers all runs. Pairs go to the shard of their first word; those of the few
 words that make up more than HOT_SHARE of all go to a second family of shards, by
 their next word, and each of these tells a run how many followers of its hot words
 it knows, which the run adds up. So no word's followers meet in one group.
+Counts travel in as few bytes as a row's largest needs, and what was asked leaves
+the disk before the answers are shuffled.
 Nothing goes through the driver but three totals and the hot words, 1 / HOT_SHARE
 at most; the shards grow in number with the text.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import cut, partitions
+from .shared import cut, partitions, release_shuffles
 
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
@@ -133,27 +135,27 @@ def _asking(shards: int, hot: np.ndarray):
             for r in batch.to_pylist():
                 words, numbers, doc = _opened(r["words"], r["places"], r["lengths"])
                 train = ~np.array(r["held"], bool)[doc]
-                n = np.bincount(numbers[train], minlength=len(words)).astype("<u4")
+                n = np.bincount(numbers[train], minlength=len(words))
                 at, keys = _pairs(numbers, doc, _WIDE)
                 pairs, back = np.unique(keys, return_inverse=True)
-                c = np.bincount(back[train[at]], minlength=len(pairs)).astype("<u4")
+                c = np.bincount(back[train[at]], minlength=len(pairs))
                 state, after = (pairs >> _WIDE).astype(np.int64), words[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
                 is_hot, cold, warm, begin = _dealt(words, pairs, hot, shards)
                 followers = np.bincount(state[cold], minlength=len(words))
                 cuts = _cuts(words, shards)
                 ends = np.concatenate([[0], np.cumsum(followers)])[cuts]
                 full = np.flatnonzero(np.diff(cuts))
-                pack = lambda x, e: pa.array([x[e[s] : e[s + 1]].tobytes() for s in full], pa.binary())
+                pack = lambda x, e, to=K.narrow: pa.array([to(x[e[s] : e[s + 1]]) for s in full], pa.binary())
                 names = ["shard", "run", "words", "n", "followers", "next", "c"]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), r["run"]), pa.int64()), pack(words, cuts), pack(n, cuts), pack(followers.astype("<u4"), cuts), pack(after[cold], ends), pack(c[cold], ends)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), r["run"]), pa.int64()), pack(words, cuts, np.ndarray.tobytes), pack(n, cuts), pack(followers, cuts), pack(after[cold], ends, np.ndarray.tobytes), pack(c[cold], ends)], names)
                 if not is_hot.any():
                     continue
                 # every shard of the second family is asked for the followers that it knows of the run's hot words
                 numbered, own, every = np.cumsum(is_hot) - 1, words[is_hot].tobytes(), range(shards)
-                some = lambda x: pa.array([x(warm[begin[s] : begin[s + 1]]).tobytes() for s in every], pa.binary())
+                some = lambda x, to=K.narrow: pa.array([to(x(warm[begin[s] : begin[s + 1]])) for s in every], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards, 2 * shards), pa.int32()), pa.array(np.full(shards, r["run"]), pa.int64()), pa.array([own] * shards, pa.binary()), pa.array([bytes(len(own) // 2)] * shards, pa.binary()),
-                     some(lambda p: np.bincount(numbered[state[p]], minlength=len(own) // 8).astype("<u4")), some(lambda p: after[p]), some(lambda p: c[p])], names,
+                    [pa.array(np.arange(shards, 2 * shards), pa.int32()), pa.array(np.full(shards, r["run"]), pa.int64()), pa.array([own] * shards, pa.binary()), pa.array([bytes(len(own) // 8)] * shards, pa.binary()),
+                     some(lambda p: np.bincount(numbered[state[p]], minlength=len(own) // 8)), some(lambda p: after[p], np.ndarray.tobytes), some(lambda p: c[p])], names,
                 )
 
     return run
@@ -168,15 +170,16 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _answer(table):
     """Exact counts of a shard over all runs, for every run in the order in which it asked, and a row of the shard's totals."""
     blobs = {k: table.column(k).to_pylist() for k in ("words", "n", "followers", "next", "c")}
-    joined = lambda k, kind: np.frombuffer(b"".join(blobs[k]), kind)
-    words = joined("words", "<u8")
-    first, back, n = _summed(words, joined("n", "<u4"))
-    state = np.repeat(back, joined("followers", "<u4"))
-    one, pair, c = _summed(K.mix(words[first][state] * _MIX + joined("next", "<u8")), joined("c", "<u4"))
+    sizes = {k: np.array([len(b) // 8 for b in blobs[k]]) for k in ("words", "next")}
+    joined = lambda k: np.frombuffer(b"".join(blobs[k]), "<u8")
+    words = joined("words")
+    first, back, n = _summed(words, K.wide(blobs["n"], sizes["words"]))
+    state = np.repeat(back, K.wide(blobs["followers"], sizes["words"]))
+    one, pair, c = _summed(K.mix(words[first][state] * _MIX + joined("next")), K.wide(blobs["c"], sizes["next"]))
     arcs = np.bincount(state[one], c > 0, minlength=len(first)).astype(np.int64)
-    split = lambda x, k, size: [b.tobytes() for b in np.split(x.astype("<i8"), np.cumsum([len(w) // size for w in blobs[k]])[:-1])]
+    split = lambda x, k: [K.narrow(b) for b in np.split(x, np.cumsum(sizes[k])[:-1])]
     zero = [0] * table.num_rows
-    columns = {"run": table.column("run").to_pylist(), "shard": table.column("shard").to_pylist(), "n": split(n[back], "words", 8), "followers": split(arcs[back], "words", 8), "c": split(c[pair], "c", 4), "total": zero, "v": zero, "once": zero}
+    columns = {"run": table.column("run").to_pylist(), "shard": table.column("shard").to_pylist(), "n": split(n[back], "words"), "followers": split(arcs[back], "words"), "c": split(c[pair], "next"), "total": zero, "v": zero, "once": zero}
     own = {"run": None, "shard": columns["shard"][0], "n": None, "followers": None, "c": None, "total": int(n.sum()), "v": int((n > 0).sum()), "once": int((n == 1).sum())}
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table([pa.array([*columns[k], own[k]], kind) for k, kind in zip(columns, kinds, strict=True)], list(columns))
@@ -254,14 +257,15 @@ def _scored(total: int, v: int, once: int, shards: int, hot: np.ndarray):
         words, numbers, doc = _opened(r["words"], r["places"], r["lengths"])
         answers = answers.sort_by("shard")
         arcs = np.unique(_pairs(numbers, doc, _WIDE)[1])
-        is_hot, cold, warm, _ = _dealt(words, arcs, hot, shards)
+        is_hot, cold, warm, begin = _dealt(words, arcs, hot, shards)
+        of_words, of_cold = np.diff(_cuts(words, shards)), np.diff(_cuts(words[(arcs[cold] >> _WIDE).astype(np.int64)], shards))
         main = answers.slice(0, int(np.sum(answers["shard"].to_numpy() < shards)))
         second = answers.slice(main.num_rows)
-        got = lambda t, k: np.frombuffer(b"".join(t.column(k).to_pylist()), "<i8")
-        n, followers, c = got(main, "n"), got(main, "followers").copy(), np.empty(len(arcs), np.int64)
-        c[cold], c[warm] = got(main, "c"), got(second, "c")
+        got = lambda t, k, sizes: K.wide(t.column(k).to_pylist(), sizes)
+        n, followers, c = got(main, "n", of_words), got(main, "followers", of_words), np.empty(len(arcs), np.int64)
+        c[cold], c[warm] = got(main, "c", of_cold), got(second, "c", np.diff(begin))
         if is_hot.any():
-            followers[is_hot] += got(second, "followers").reshape(shards, -1).sum(0)
+            followers[is_hot] += got(second, "followers", np.full(shards, is_hot.sum())).reshape(shards, -1).sum(0)
         seen = c > 0
         a = Automaton(words, n, total, once, arcs[seen], c[seen], followers, _WIDE)
         sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(r["ids"])))
@@ -283,6 +287,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     hot = _hot_words(runs)
     runs = runs.drop("often", "times", "tokens")
     answers = cut(runs.mapInArrow(_asking(shards, hot), _ASKED).groupBy("shard").applyInArrow(_answer, _ANSWERED), "answers")
+    release_shuffles(docs.sparkSession)
     all_ = answers.filter("run is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "v", "once")]).first()
     asked = answers.filter("run is not null").select("run", "shard", "n", "followers", "c")
     out = runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_scored(all_["total"], all_["v"], all_["once"], shards, hot), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -303,17 +303,6 @@ def _found(keys: np.ndarray, numbers: np.ndarray, asked: np.ndarray) -> np.ndarr
     return np.where(keys[at] == asked, numbers[:, at], 0)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
-
-
-def _wide(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Counts of all shards, of so many each; a shard without any may have no row."""
-    full = sizes[sizes > 0].tolist()
-    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, f"<u{len(b) // n}") for b, n in zip(filter(None, blobs), full, strict=True)]]).astype(np.int64)
-
-
 class Run:
     """The distinct words, pairs and trigrams of texts, and the texts' places among them."""
 
@@ -393,7 +382,7 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     for r in asked.to_pylist():
         found = {kind: _found(*held[kind], np.frombuffer(r[c], "<u8")) for kind, c in ((TRI, "tris"), (PAIR, "pairs"), (WORD, "words"))}
         for (_, c), x in zip(_ANSWERS, [x for kind in COLUMNS for x in found[kind]], strict=True):
-            out[c].append(_narrow(x))
+            out[c].append(K.narrow(x))
     return pa.table([asked.column("run"), asked.column("shard"), *[pa.array(v, pa.binary()) for v in out.values()]], ["run", "shard", *out])
 
 
@@ -404,7 +393,7 @@ def _scoring(totals: Totals, shards: int):
         h, doc = _words_of(texts.column("text"))
         r, answers = Run(h, doc, shards), answers.sort_by("shard")
         sizes = {WORD: np.diff(r.cuts[0]), PAIR: np.diff(r.cuts[1]), TRI: np.diff(r.cuts[2])}
-        got = {kind: np.array([_wide(answers.column(c).to_pylist(), sizes[kind]) for of, c in _ANSWERS if of == kind]) for kind in COLUMNS}
+        got = {kind: np.array([K.wide(answers.column(c).to_pylist(), sizes[kind]) for of, c in _ANSWERS if of == kind]) for kind in COLUMNS}
         n = np.bincount(doc, minlength=len(texts))
         total = np.bincount(doc, r.log_probabilities(got[TRI], got[PAIR], got[WORD], totals), minlength=len(texts))
         hash_, salt = texts.column("hash").to_numpy(), texts.column("salt").to_numpy()

@@ -125,6 +125,17 @@ def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE, prefix
     return (h, np.searchsorted(offs, starts, "right") - 1, starts, ends, *begun)
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def wide(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Counts of all blobs of ``narrow``, of so many each; those without any may be absent."""
+    full = sizes[sizes > 0].tolist()
+    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, f"<u{len(b) // n}") for b, n in zip(filter(None, blobs), full, strict=True)]]).astype(np.int64)
+
+
 def word_hash(word: str) -> int:
     """The hash that words() gives this word."""
     b = np.frombuffer(word.encode(), np.uint8)

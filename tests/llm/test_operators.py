@@ -450,6 +450,25 @@ def test_lm_score_counts_rare_pairs(spark, monkeypatch):
         assert got == {i: pytest.approx(want(t), rel=1e-5) for i, t in tokens.items()}
 
 
+def test_counts_are_narrow_and_what_was_asked_leaves_the_disk(spark, monkeypatch):
+    """Counts of one byte take one byte each, larger ones what they need; shards' answers are the same sums."""
+    word, after, n = np.array([3, 9], "<u8").tobytes(), np.array([9, 3, 9], "<u8").tobytes(), textkernel.narrow
+    ask = lambda run, n_words, c: (0, run, word, n(np.array(n_words)), n(np.array([2, 1])), after, n(np.array(c)))
+    asked = [ask(1, [200, 0], [1, 200, 0]), ask(2, [3, 1], [0, 3, 0]), ask(3, [70_000, 1], [1, 1, 1])]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*asked, strict=True), kinds, strict=True)], ["shard", "run", "words", "n", "followers", "next", "c"])
+    answers = lm_score._answer(table).to_pylist()
+    for r in answers[:3]:
+        assert textkernel.wide([r["n"]], np.array([2])).tolist() == [70_203, 2] and textkernel.wide([r["followers"]], np.array([2])).tolist() == [2, 1]
+        assert textkernel.wide([r["c"]], np.array([3])).tolist() == [2, 204, 1] and (len(r["n"]), len(r["followers"]), len(r["c"])) == (8, 2, 3)
+    assert (answers[3]["total"], answers[3]["v"]) == (70_205, 2)
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(400))) for i in range(40)]
+    docs, steps, cut = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), [], lm_score.cut
+    monkeypatch.setattr(lm_score, "cut", lambda df, name: steps.append(name) or cut(df, name))
+    monkeypatch.setattr(lm_score, "release_shuffles", lambda s: steps.append("release"))
+    assert lm_score.score(docs).count() == 40 and steps == ["runs", "answers", "release"]
+
+
 def test_automaton_gives_shares_that_add_up_to_one():
     words = np.sort(np.array([11, 22, 33], np.uint64))
     n = np.array([50, 30, 20])
