@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: each stage works on all that the one before it kept.
 
-1. quality classifier: documents outside their language's perplexity bounds go;
+1. quality classifier: documents outside their language's perplexity bounds go; every trusted document is counted by the model and sets the bounds;
 2. line dedup: lines that ten documents or more hold stay in the one with the smallest id only; texts left without words go;
 3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays, without an id only if none has one;
 4. mixing: every document is repeated as often as its source's target asks, or left out;
@@ -34,7 +34,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d, new, back = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_lm.judge(d, labels, new["doc_id"], new["text"], new["lang"]).filter("_kept").select(*back)
+    return quality_lm.judge(d, labels, new["doc_id"], new["text"], new["lang"], whole=True).filter("_kept").select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

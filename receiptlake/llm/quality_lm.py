@@ -8,6 +8,13 @@ not above its language's bound; short texts are drawn to their language's middle
 before. There is no lower bound: copies of what the model has seen are as
 predictable as text can be, and are no junk.
 
+With ``whole``, as in the pipeline, nothing is parted: the model counts every trusted
+document, and every trusted document sets the bounds, scored by the model
+without what its own row adds to it. So no word is judged by itself, and no
+document is lost to either side. Such scores are exact but for the discounts,
+which stay those of all: what a text adds to counts, contexts and words is
+told by its own n-grams.
+
 Counts. All n-grams live in shards by their keys' hashes. Trigrams are shuffled
 once, packed, to the shard of the pair of their last two words, where their
 counts and the pairs' are; what they add to contexts and to single words goes on
@@ -45,6 +52,7 @@ TRAIN_DOCUMENTS, THRESHOLD_DOCUMENTS, LEAST_TRUSTED = 4000, 8000, 25  # of so ma
 HIGH_QUANTILE, MARGIN, PRIOR_WORDS = 0.995, 0.02, 30
 PACKED_WORDS, RUN_BYTES, SHARD_BYTES = 1_500_000, 6 << 20, 12 << 20
 BATCHES, BATCH_BYTES, SALTS = 8, 24 << 20, 16
+OWN_WORDS = 1 << 17  # of texts scored without their own counts at once
 RANGES = 1024  # of values in one unit of log10, for quantiles
 BEGIN = U(0x5DEECE66D)
 _A, _B = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
@@ -262,6 +270,7 @@ class Totals:
         self.total, distinct, capped = word[4:7]
         more = capped - word[0] - 2 * word[1]  # three times the words that were after three words or more
         freed = self.d1[1] * word[0] + self.d1[2] * word[1] + self.d1[3] * (more // 3)
+        self.freed, self.distinct = freed, distinct
         self.floor = freed / self.total / (distinct + 1)
 
 
@@ -336,6 +345,44 @@ class Run:
             p = np.where(total > 0, (own[at] + free[before] * p) / np.maximum(total, 1), p)
         return np.log10(np.maximum(p, 1e-300))
 
+    def without_own(self, doc: np.ndarray, tri: np.ndarray, pair: np.ndarray, word: np.ndarray, totals: Totals) -> np.ndarray:
+        """The same for texts that the model has counted, under the model without the word's own text."""
+        out, lo, ends = np.zeros(len(doc)), 0, np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+        while lo < len(doc):  # some whole texts after the others
+            hi = int(ends[min(np.searchsorted(ends, lo + OWN_WORDS), len(ends) - 1)])
+            out[lo:hi] = self._without_own(slice(lo, hi), doc[lo:hi] - doc[lo], tri, pair, word, totals)
+            lo = hi
+        return out
+
+    def _without_own(self, part: slice, doc: np.ndarray, tri: np.ndarray, pair: np.ndarray, word: np.ndarray, totals: Totals) -> np.ndarray:
+        # first place of each n-gram in each text, and the number of the one at each place
+        places = lambda x: np.unique(doc * (int(x.max()) + 1) + x, return_index=True, return_inverse=True)[1:]
+        grams = [x[part] for x in (self.tri, self.pair, self.context, self.near, self.word)]
+        (at_tri, of_tri), (at_pair, of_pair), (at_context, of_context), (at_near, of_near), (at_word, of_word) = map(places, grams)
+        less = lambda at, x, size: np.bincount(at, x, minlength=size).astype(np.int64)
+        gone = lambda old, new: (old > 0) & (new == 0)
+        n, m, k = tri[0][grams[0][at_tri]], pair[0][grams[1][at_pair]], word[4][grams[4][at_word]]
+        n_left = np.maximum(n - np.bincount(of_tri), 0)
+        m_left = np.maximum(m - less(of_pair[at_tri], gone(n, n_left), len(m)), 0)
+        k_left = np.maximum(k - less(of_word[at_pair], gone(m, m_left), len(k)), 0)
+
+        def left(x, at, old, new, d):
+            """(total, share that discounts free) of contexts whose followers' counts were old and are new."""
+            kinds = [np.maximum(x[j] - less(at, np.minimum(old, 3) == j, x.shape[1]) + less(at, np.minimum(new, 3) == j, x.shape[1]), 0) for j in (1, 2, 3)]
+            return np.maximum(x[0] - less(at, old - new, x.shape[1]), 0), d[1] * kinds[0] + d[2] * kinds[1] + d[3] * kinds[2]
+
+        texts, d = int(doc[-1]) + 1, totals.d1
+        total = np.maximum(totals.total - less(doc[at_pair], gone(m, m_left), texts), 1)
+        freed = np.maximum(totals.freed + np.bincount(doc[at_word], d[np.minimum(k_left, 3)] - d[np.minimum(k, 3)], minlength=texts), 0)
+        floor = freed / total / (totals.distinct + 1 - less(doc[at_word], gone(k, k_left), texts))
+        p = np.where(k_left > 0, k_left - d[np.minimum(k_left, 3)], 0)[of_word] / total[doc] + floor[doc]
+        near = left(word[:4, grams[3][at_near]], of_near[at_pair], m, m_left, totals.d2)
+        context = left(pair[1:, grams[2][at_context]], of_context[at_tri], n, n_left, totals.d3)
+        for x, at, d, (total, free), before in ((m_left, of_pair, totals.d2, near, of_near), (n_left, of_tri, totals.d3, context, of_context)):
+            total, own = total[before], x - d[np.minimum(x, 3)]
+            p = np.where(total > 0, (own[at] + free[before] * p) / np.maximum(total, 1), p)
+        return np.log10(np.maximum(p, 1e-300))
+
 
 def _held(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {kind: _gathered(rows, kind, columns) for kind, columns in COLUMNS.items()}
@@ -386,8 +433,8 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table([asked.column("run"), asked.column("shard"), *[pa.array(v, pa.binary()) for v in out.values()]], ["run", "shard", *out])
 
 
-def _scoring(totals: Totals, shards: int):
-    """(hash, salt, n_words, log10 probability) of a run's texts, one row for equal ones."""
+def _scoring(totals: Totals, shards: int, whole: bool):
+    """(hash, salt, n_words, log10 probability) of a run's texts, one row for equal ones; with whole, also that without a text's own counts."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         h, doc = _words_of(texts.column("text"))
@@ -396,9 +443,11 @@ def _scoring(totals: Totals, shards: int):
         got = {kind: np.array([K.wide(answers.column(c).to_pylist(), sizes[kind]) for of, c in _ANSWERS if of == kind]) for kind in COLUMNS}
         n = np.bincount(doc, minlength=len(texts))
         total = np.bincount(doc, r.log_probabilities(got[TRI], got[PAIR], got[WORD], totals), minlength=len(texts))
+        own = np.bincount(doc, r.without_own(doc, got[TRI], got[PAIR], got[WORD], totals), minlength=len(texts)) if whole else None
         hash_, salt = texts.column("hash").to_numpy(), texts.column("salt").to_numpy()
         _, at = np.unique(np.array([hash_, salt.astype(np.int64)]), axis=1, return_index=True)
-        return pa.table([pa.array(hash_[at]), pa.array(salt[at]), pa.array(n[at], pa.int64()), pa.array(total[at])], ["hash", "salt", "n_words", "total"])
+        out = {"hash": hash_[at], "salt": salt[at], "n_words": n[at].astype(np.int64), "total": total[at]}
+        return pa.table(out | {"own": own[at]} if whole else out)
 
     return run
 
@@ -408,8 +457,9 @@ def _text_key(text: Column, id_: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.coalesce(text, F.lit(""))), F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")
 
 
-def scores(docs: DataFrame, model: DataFrame, totals: Totals, shards: int, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(hash, salt, n_words, total): the number of words and log10 probability of every text, by ``_text_key``. Batches of runs, of which one lies in shuffles at a time."""
+def scores(docs: DataFrame, model: DataFrame, totals: Totals, shards: int, size: int, id_column: str, text_column: str, whole: bool = False) -> DataFrame:
+    """(hash, salt, n_words, total): the number of words and log10 probability of every text, by ``_text_key``; with whole, also
+    own, that without the text's own counts, for texts that have some. Batches of runs, of which one lies in shuffles at a time."""
     spark = docs.sparkSession
     batches = max(1, min(BATCHES, -(-size // BATCH_BYTES)))
     runs = max(batches, -(-size // RUN_BYTES))
@@ -421,7 +471,7 @@ def scores(docs: DataFrame, model: DataFrame, totals: Totals, shards: int, size:
         of_batch = texts.filter(F.pmod("run", F.lit(batches)) == k)
         asked = of_batch.groupBy("run").applyInArrow(_asking(shards), "shard int, run long, words binary, pairs binary, tris binary")
         answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, "run long, shard int, " + ", ".join(f"{c} binary" for _, c in _ANSWERS))
-        done = of_batch.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_scoring(totals, shards), "hash long, salt int, n_words long, total double")
+        done = of_batch.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_scoring(totals, shards, whole), "hash long, salt int, n_words long, total double" + ", own double" * whole)
         out.append(cut(done, "scores"))
         del of_batch, asked, answers, done
         release_shuffles(spark)
@@ -463,34 +513,47 @@ def thresholds(rows: DataFrame) -> dict[str | None, tuple[float, float]]:
     return {r["lang"]: (r["value"], high[r["lang"]]) for r in middles}
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """docs with _n_words, _perplexity, _high (the bound on its log10) and _kept, which replace columns of these names."""
+def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", whole: bool = False) -> DataFrame:
+    """docs with _n_words, _perplexity, _high (the bound on its log10) and _kept, which replace columns of these names.
+
+    With whole, every trusted document is counted and sets the bounds, and its perplexity is that without its own counts."""
     spark = docs.sparkSession
     docs = docs.drop("_n_words", "_perplexity", "_high", "_kept")
-    own = {c: f"_{c}_{uuid.uuid4().hex}" for c in ("hash", "salt", "of_hash", "of_salt", "total", "lang", "middle")}
+    own = {c: f"_{c}_{uuid.uuid4().hex}" for c in ("hash", "salt", "of_hash", "of_salt", "total", "own", "trusted", "lang", "middle")}
     trains = lambda c: F.pmod(F.xxhash64(c), F.lit(TRAIN_DOCUMENTS + THRESHOLD_DOCUMENTS)) < TRAIN_DOCUMENTS
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     size = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    # the part that trains is told by ids alone, so no other text is shuffled to find it
-    texts = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")).filter(trains(F.col("_id").cast(trusted.schema["_trusted"].dataType)))
+    texts = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text"))
+    if whole:
+        shards = max(1, -(-size * (TRAIN_DOCUMENTS + THRESHOLD_DOCUMENTS) // (SHARD_BYTES * TRAIN_DOCUMENTS)))
+        bounding = trusted
+    else:
+        shards = max(1, -(-size // SHARD_BYTES))
+        # the part that trains is told by ids alone, so no other text is shuffled to find it
+        texts = texts.filter(trains(F.col("_id").cast(trusted.schema["_trusted"].dataType)))
+        bounding = trusted.filter(~trains(F.col("_trusted")))
     model = counts(texts.join(trusted, F.col("_id") == F.col("_trusted")).select("_text"), shards)
     if model is None:
         scored = docs.withColumn("_n_words", F.lit(None).cast("long")).withColumn("_perplexity", F.lit(None).cast("double"))
         return scored.withColumn("_high", F.lit(None).cast("double")).withColumn("_kept", F.lit(True))
-    of_texts = scores(docs, model[0].rows, model[1], shards, size, id_column, text_column)
+    of_texts = scores(docs, model[0].rows, model[1], shards, size, id_column, text_column, whole)
     model[0].drop()
     hash_, salt = _text_key(docs[text_column], docs[id_column])
-    x = -F.col("total") / F.col("n_words")
+    x = -F.col("own" if whole else "total") / F.col("n_words")
     held_out = docs.select(docs[id_column].alias("_id"), docs[lang_column].cast("string").alias("lang"), hash_.alias("hash"), salt.alias("salt"))
-    held_out = held_out.join(trusted.filter(~trains(F.col("_trusted"))), F.col("_id") == F.col("_trusted")).join(of_texts, ["hash", "salt"])
+    held_out = held_out.join(bounding, F.col("_id") == F.col("_trusted")).join(of_texts, ["hash", "salt"])
     groups = thresholds(held_out.filter("n_words > 0").select("lang", "n_words", F.least(F.lit(300.0), x).alias("x")))
     middle_all, high_all = groups.pop(None, (0.0, float("inf")))
     bounds = spark.createDataFrame([(lang, *g) for lang, g in groups.items()], f"{own['lang']} string, {own['middle']} double, _high double")
-    of_texts = of_texts.toDF(own["of_hash"], own["of_salt"], "_n_words", own["total"])
+    of_texts = of_texts.toDF(own["of_hash"], own["of_salt"], "_n_words", own["total"], *[own["own"]] * whole)
     scored = docs.withColumns({own["hash"]: hash_, own["salt"]: salt})  # as columns, so that a text that nobody reads further on is not shuffled
     scored = scored.join(of_texts, (F.col(own["hash"]) == F.col(own["of_hash"])) & (F.col(own["salt"]) == F.col(own["of_salt"])), "left")
-    log = F.least(F.lit(300.0), -F.col(own["total"]) / F.col("_n_words"))
+    total = F.col(own["total"])
+    if whole:
+        mine = trusted.select(F.col("_trusted").alias(own["trusted"]))
+        scored = scored.join(mine, scored[id_column] == F.col(own["trusted"]), "left")
+        total = F.when(F.col(own["trusted"]).isNotNull(), F.col(own["own"])).otherwise(total)
+    log = F.least(F.lit(300.0), -total / F.col("_n_words"))
     scored = scored.withColumn("_perplexity", F.when(F.col("_n_words") > 0, F.pow(F.lit(10.0), log)))
     out = scored.join(F.broadcast(bounds), scored[lang_column] == bounds[own["lang"]], "left")
     out = out.withColumn("_high", F.coalesce("_high", F.lit(high_all)))

@@ -1,7 +1,9 @@
 """The pipeline, stage by stage, against plain versions of what each stage must keep."""
 
 import collections
+import math
 import os
+import random
 import re
 import sys
 
@@ -11,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from test_operators import LOWER, brute_components, some_texts  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
-from receiptlake.llm import packing  # noqa: E402
+from receiptlake.llm import packing, quality_lm  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +103,59 @@ def test_near_copies_without_ids_stay_once(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, rows[4][1]), (1, rows[0][1]), (7, "")]
 
 
+def test_quality_counts_all_trusted_documents_each_without_itself(spark, tmp_path, monkeypatch):
+    """Against a plain Kneser-Ney model of all trusted documents but the scored one; every trusted document sets the bounds."""
+    monkeypatch.setattr(quality_lm, "OWN_WORDS", 50)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d", "e", "f", f"own{i}", f"two{i // 2}"], weights=[9, 7, 5, 3, 2, 2, 1, 1], k=rng.randint(0, 30))) for i in range(70)]
+    texts += ["a b c own3", "zz", "", None, texts[5], "x"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(9, texts[9], "en", "a", 1), (None, texts[5], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    words = lambda t: (t or "").split()
+    count = lambda ts: collections.Counter(tuple(p[i - 2 : i + 1]) for p in (["<", "<", *words(t)] for t in ts) for i in range(2, len(p)))
+    whole = count([t for i, t, *_ in rows if i is not None and i < 60])
+    levels = lambda tri: (collections.Counter(w for _, w in {g[1:] for g in tri}), collections.Counter(g[1:] for g in tri), tri)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0, *[min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]]
+
+    ds = [discounts(c) for c in levels(whole)]
+
+    def score(t, tri):
+        uni, bi, tri = levels(+tri)
+        total, out = sum(uni.values()), 0
+        floor = sum(ds[0][min(c, 3)] for c in uni.values()) / total / (len(uni) + 1)
+        p = ["<", "<", *words(t)]
+        for i in range(2, len(p)):
+            q = (uni[p[i]] - ds[0][min(uni[p[i]], 3)]) / total + floor
+            for counts, d, context in ((bi, ds[1], (p[i - 1],)), (tri, ds[2], (p[i - 2], p[i - 1]))):
+                followers = [c for g, c in counts.items() if g[:-1] == context]
+                if followers:
+                    c = counts[(*context, p[i])]
+                    q = (c - d[min(c, 3)] + sum(d[min(f, 3)] for f in followers) * q) / sum(followers)
+            out += math.log10(q)
+        return -out / len(words(t))
+
+    x = {i: score(t, whole - count([t]) if i is not None and i < 60 else whole) for i, t, *_ in rows if words(t)}
+    got = quality_lm.judge(docs, labels, whole=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["_n_words"] == len(words(r["text"])) and (r["_perplexity"] is None) == (not words(r["text"]))
+        assert not words(r["text"]) or abs(math.log10(r["_perplexity"]) - x[r["doc_id"]]) < 1e-9
+    own = [(x[i], len(words(t))) for i, t, *_ in rows if i is not None and i < 60 and words(t)]
+    middle = np.median([v for v, _ in own])
+    drawn = lambda v, n: (n * v + quality_lm.PRIOR_WORDS * middle) / (n + quality_lm.PRIOR_WORDS)
+    high = np.quantile([drawn(*o) for o in own], quality_lm.HIGH_QUANTILE) + quality_lm.MARGIN
+    assert all(abs(r["_high"] - high) < 1e-9 for r in got)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = sorted([(i, t) for i, t, *_ in rows if words(t) and drawn(x[i], len(words(t))) <= high], key=key)
+    assert sorted([(r["doc_id"], r["text"]) for r in pipeline.keep_quality(spark, docs, str(tmp_path)).collect()], key=key) == want
+
+
 def test_no_documents(spark, tmp_path):
     sf_dir = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf_dir}/documents.parquet")
