@@ -52,7 +52,8 @@ TRAIN_DOCUMENTS, THRESHOLD_DOCUMENTS, LEAST_TRUSTED = 4000, 8000, 25  # of so ma
 HIGH_QUANTILE, MARGIN, PRIOR_WORDS = 0.995, 0.02, 30
 PACKED_WORDS, RUN_BYTES, SHARD_BYTES = 1_500_000, 6 << 20, 12 << 20
 BATCHES, BATCH_BYTES, SALTS = 8, 24 << 20, 16
-OWN_WORDS = 1 << 17  # of texts scored without their own counts at once
+OWN_WORDS, COUNTED_WORDS = 1 << 17, 1 << 19  # of texts scored without their own counts, and counted, at once
+BROADCAST_TRUSTED = 1 << 20  # trusted ids told to all tasks; more are joined by shuffles
 RANGES = 1024  # of values in one unit of log10, for quantiles
 BEGIN = U(0x5DEECE66D)
 _A, _B = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
@@ -138,7 +139,7 @@ def _counted(shards: int):
                     far, near, _, _ = _grams(h, doc)
                     parts.append((far, near, h))
                     held += len(h)
-                if held >= PACKED_WORDS:
+                if held >= COUNTED_WORDS:
                     yield emit(parts)
                     parts, held = [], 0
         if held:
@@ -526,7 +527,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     texts = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text"))
     if whole:
         shards = max(1, -(-size * (TRAIN_DOCUMENTS + THRESHOLD_DOCUMENTS) // (SHARD_BYTES * TRAIN_DOCUMENTS)))
-        bounding = trusted
+        bounding = trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_TRUSTED else trusted
     else:
         shards = max(1, -(-size // SHARD_BYTES))
         # the part that trains is told by ids alone, so no other text is shuffled to find it

@@ -142,8 +142,10 @@ def test_quality_counts_all_trusted_documents_each_without_itself(spark, tmp_pat
 
     x = {i: score(t, whole - count([t]) if i is not None and i < 60 else whole) for i, t, *_ in rows if words(t)}
     got = quality_lm.judge(docs, labels, whole=True).collect()
-    assert len(got) == len(rows)
-    for r in got:
+    monkeypatch.setattr(quality_lm, "BROADCAST_TRUSTED", 0)
+    shuffled = quality_lm.judge(docs, labels, whole=True).collect()
+    assert len(got) == len(shuffled) == len(rows)
+    for r in got + shuffled:
         assert r["_n_words"] == len(words(r["text"])) and (r["_perplexity"] is None) == (not words(r["text"]))
         assert not words(r["text"]) or abs(math.log10(r["_perplexity"]) - x[r["doc_id"]]) < 1e-9
     own = [(x[i], len(words(t))) for i, t, *_ in rows if i is not None and i < 60 and words(t)]
