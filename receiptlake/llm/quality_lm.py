@@ -463,7 +463,7 @@ def scores(docs: DataFrame, model: DataFrame, totals: Totals, shards: int, size:
     own, that without the text's own counts, for texts that have some. Batches of runs, of which one lies in shuffles at a time."""
     spark = docs.sparkSession
     batches = max(1, min(BATCHES, -(-size // BATCH_BYTES)))
-    runs = max(batches, -(-size // RUN_BYTES))
+    runs = max(batches, -(-size // (RUN_BYTES // 3 if whole else RUN_BYTES)))  # memory, not results, depends on these
     hash_, salt = _text_key(docs[text_column], docs[id_column])
     texts = docs.select(hash_.alias("hash"), salt.alias("salt"), docs[text_column].alias("text"))
     texts = texts.withColumn("run", F.pmod(F.xxhash64("hash", "salt"), F.lit(runs)))
