@@ -278,9 +278,9 @@ class Totals:
 class Shards:
     """Packed rows as a table in buckets by shard, so that they are read without a shuffle; ``drop`` removes it with its files."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, shards: int):
         self.spark, self.name = rows.sparkSession, f"quality_lm_{uuid.uuid4().hex}"
-        rows.write.bucketBy(partitions(self.spark), "shard").sortBy("shard").option("compression", "zstd").saveAsTable(self.name)
+        rows.write.bucketBy(max(partitions(self.spark), shards // 2), "shard").sortBy("shard").option("compression", "zstd").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -291,10 +291,10 @@ def counts(texts: DataFrame, shards: int) -> tuple[Shards, Totals] | None:
     """(the model by shard, totals) of a column of texts; None without words."""
     spark = texts.sparkSession
     packed = texts.mapInArrow(_counted(shards), "shard int, near binary, word binary, each binary, far binary, n binary")
-    merged = Shards(packed.groupBy("shard").applyInArrow(_merged, _ROW))
+    merged = Shards(packed.groupBy("shard").applyInArrow(_merged, _ROW), shards)
     release_shuffles(spark)
     added = merged.rows.mapInArrow(_adding(shards), _ROW)
-    model = Shards(merged.rows.groupBy("shard").cogroup(added.groupBy("shard")).applyInArrow(_added, _ROW))
+    model = Shards(merged.rows.groupBy("shard").cogroup(added.groupBy("shard")).applyInArrow(_added, _ROW), shards)
     merged.drop()
     release_shuffles(spark)
     sums = [F.coalesce(F.sum(F.get("of", F.lit(k))), F.lit(0)).alias(f"n{k}") for k in range(7)]
@@ -526,7 +526,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     size = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
     texts = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text"))
     if whole:
-        shards = max(1, -(-size * (TRAIN_DOCUMENTS + THRESHOLD_DOCUMENTS) // (SHARD_BYTES * TRAIN_DOCUMENTS)))
+        shards = max(1, -(-size // (SHARD_BYTES // 6)))  # three times as many words are counted, in groups of half the size
         bounding = trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_TRUSTED else trusted
     else:
         shards = max(1, -(-size // SHARD_BYTES))
