@@ -51,3 +51,32 @@ def test_expansion_counts(tables, monkeypatch, largest, few):
 
 def test_expansion_counts_shuffle_no_words(spark):
     assert few_shuffles(registry.QUERIES["J8_expansion_regions"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("largest", [0, automaton.LARGEST])
+@pytest.mark.parametrize("radius", [0, 37, 150])
+def test_keyword_neighbours(tables, monkeypatch, largest, radius):
+    monkeypatch.setattr(automaton, "LARGEST", largest)
+    monkeypatch.setattr(near, "PAIRS", 50)
+    monkeypatch.setattr(near, "ROWS", 20)
+    w, _, defs = tables
+    pairs = zones.nearby_values(w, zones.keyword_boxes(w, defs.select("field", "keywords").filter("field <> 'a' or keywords[0] = 'bs'")), radius)
+    got = zones.keyword_neighbours(w, defs.filter("field <> 'a' or keywords[0] = 'bs'"), radius)
+    key = ["image_id", "field", "word_idx"]
+    assert rows(got.select(*key, "n", "words", F.round("distance", 6))) == rows(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("v_idx").alias("words"), F.round(F.sum("distance"), 6).alias("round(distance, 6)")))
+    nearest = zones.nearest_value(pairs)
+    assert rows(got.filter("v_idx is not null").select(*key, *zones.VALUES, F.col("v_distance").alias("distance"))) == rows(nearest.select(*key, *zones.VALUES, "distance"))
+
+
+@pytest.mark.parametrize("name", ["J3_nearby_values", "W5_nearest_value"])
+def test_keyword_neighbours_shuffle_no_pairs(spark, name):
+    assert few_shuffles(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_dense_page_in_bounded_blocks(spark, monkeypatch):
+    """Two thousand million pairs if all were made."""
+    monkeypatch.setattr(near, "PAIRS", 10_000)
+    n = 60_000
+    w = spark.range(n).select(F.lit("page").alias("image_id"), F.col("id").cast("int").alias("word_idx"), F.when(F.col("id") % 2 == 0, "key").otherwise("value").alias("text"), ((F.col("id") % 400) * 50).cast("int").alias("left"), (F.floor(F.col("id") / 400) * 40).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(20).alias("height"), F.lit(90.0).alias("conf"))
+    got = zones.keyword_neighbours(w, spark.createDataFrame([("f", ["key"])], "field string, keywords array<string>"), 45)
+    assert tuple(got.agg(F.count(F.lit(1)), F.sum("n")).first()) == (n // 2, n // 2 + 2 * (n // 2 - 400 // 2))
