@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from receiptlake.functions import automaton, near
-from receiptlake.operators import extract, zones
+from receiptlake.fields import EXPANSION
+from receiptlake.functions import automaton, near, text
+from receiptlake.operators import extract, words, zones
 from receiptlake.plans import registry
 
 WORDS = "image_id string, word_idx int, text string, `left` int, top int, width int, height int, conf double"
@@ -80,3 +81,41 @@ def test_a_dense_page_in_bounded_blocks(spark, monkeypatch):
     w = spark.range(n).select(F.lit("page").alias("image_id"), F.col("id").cast("int").alias("word_idx"), F.when(F.col("id") % 2 == 0, "key").otherwise("value").alias("text"), ((F.col("id") % 400) * 50).cast("int").alias("left"), (F.floor(F.col("id") / 400) * 40).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(20).alias("height"), F.lit(90.0).alias("conf"))
     got = zones.keyword_neighbours(w, spark.createDataFrame([("f", ["key"])], "field string, keywords array<string>"), 45)
     assert tuple(got.agg(F.count(F.lit(1)), F.sum("n")).first()) == (n // 2, n // 2 + 2 * (n // 2 - 400 // 2))
+
+
+@pytest.fixture(scope="module")
+def receipts(spark):
+    """Field words with values beside them, some without a place, an image without words and one that is unknown."""
+    rng = random.Random(5)
+    pool = ["Bs", "Monto", "Fecha:", "12/03/2024", "1.234,50", "88,10", "Ref", "000123456789", "V-12345678", "Banco", "a (b) c", "x  y", "ñ#!", "", None]
+    spot = lambda: None if rng.random() < 0.05 else rng.randint(0, 400)
+    w = [(f"p{k % 3}", k, rng.choice(pool), spot(), spot(), rng.choice([20, 61]), 20, float(rng.choice([40, 61, 70, 88, 95]))) for k in range(150)]
+    images = [("p0", 801, 600), ("p1", 400, 333), ("p4", 10, 10)]
+    return spark.createDataFrame(w, WORDS).cache(), spark.createDataFrame(images, "image_id string, img_width int, img_height int").cache()
+
+
+def joined(spark, w, images):
+    """W8 over the joined squares of J8 and the region texts of A2."""
+    defs = zones.field_table(spark, [(f, k) for f, k, _ in EXPANSION], "field string, keywords array<string>")
+    inside = extract.expansion_regions(w.filter("conf > 60"), zones.anchor_points(w, images, defs)).withColumn("text", F.coalesce(text.charset_filter(F.col("text"), F.col("field")), F.lit("")))
+    texts = words.region_text(inside, ["image_id", "field", "x", "y", "n_anchors", "first", "radius"])
+    return extract.best_expansion(texts.withColumn("value", text.validate_field(F.col("raw_text"), F.col("field"))))
+
+
+def test_best_regions(spark, receipts, monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", 50)
+    columns = ["image_id", "field", "value", F.round("confidence", 6), "radius", "raw_text"]
+    want = rows(joined(spark, *receipts).select(*columns))
+    assert rows(extract.best_regions(*receipts).filter("value is not null").select(*columns)) == want and len(want) > 4
+
+
+def test_expansion_fields_of_words_without_a_place(spark, receipts):
+    """A keyword's word without a place has its anchor at the image's centre, as in J2."""
+    got = extract.extract_fields_expansion(*receipts)
+    best = joined(spark, *receipts).filter("extraction_successful").select("image_id", "field", "value")
+    assert rows(got.filter("extraction_successful").select("image_id", "field", "value")) == rows(best)
+    assert got.count() == 3 * 8 and got.filter("image_id = 'p4' and anchor_points_found = 0 and confidence = 0 and reason is not null").count() == 8
+
+
+def test_best_expansion_shuffles_no_words(spark):
+    assert few_shuffles(registry.QUERIES["W8_best_expansion"](spark, "/root/testdata/sf0.001"))
