@@ -119,3 +119,28 @@ def test_expansion_fields_of_words_without_a_place(spark, receipts):
 
 def test_best_expansion_shuffles_no_words(spark):
     assert few_shuffles(registry.QUERIES["W8_best_expansion"](spark, "/root/testdata/sf0.001"))
+
+
+def test_keywords_that_begin_alike(spark, monkeypatch):
+    """By their first three letters, 3600 million pairs of texts and keywords would meet."""
+    monkeypatch.setattr(zones, "LITERALS", 0)
+    monkeypatch.setattr(automaton, "LARGEST", 0)
+    k = spark.range(60_000).select((F.col("id") % 25).cast("string").alias("field"), F.lpad((F.col("id") * 7).cast("string"), 11, "0").alias("kw")).groupBy("field").agg(F.collect_list("kw").alias("keywords"))
+    w = spark.range(60_000).select(F.lit("p").alias("image_id"), F.col("id").cast("int").alias("word_idx"), F.concat(F.lit("x"), F.lpad(F.col("id").cast("string"), 11, "0")).alias("text"), F.lit(90.0).alias("conf"))
+    got = zones.keyword_boxes(w, k)
+    assert got.count() == 60_000 // 7 + 1 and got.filter("text = 'x00000000014'").select("field", "keyword").collect() == [("2", "00000000014")]
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 16])
+def test_keywords_of_many_lengths(spark, monkeypatch, pieces):
+    monkeypatch.setattr(zones, "PIECES", pieces)
+    monkeypatch.setattr(zones, "LITERALS", 0)
+    monkeypatch.setattr(automaton, "LARGEST", 0)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    defs = [(str(i), [letters(rng.randint(1, 9)) for _ in range(4)]) for i in range(12)]
+    texts = [letters(rng.randint(0, 12)).upper() for _ in range(60)]
+    w = spark.createDataFrame([("p", i, t, 90.0) for i, t in enumerate(texts)], "image_id string, word_idx int, text string, conf double")
+    got = zones.keyword_hits(w, spark.createDataFrame(defs, "field string, keywords array<string>"), ["field"], False)
+    assert sorted((r["word_idx"], r["field"], r["k"]) for r in got.collect()) == sorted((i, f, k) for i, t in enumerate(texts) for f, ks in defs for k, x in enumerate(ks) if x in t.lower())
+    assert zones.keyword_hits(w, spark.createDataFrame([], "field string, keywords array<string>"), ["field"], False).count() == 0
