@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from receiptlake.fields import EXPANSION
+from receiptlake.fields import EXPANSION, ZONES_FIXED
 from receiptlake.functions import automaton, near, text
 from receiptlake.operators import extract, words, zones
 from receiptlake.plans import registry
@@ -144,3 +144,32 @@ def test_keywords_of_many_lengths(spark, monkeypatch, pieces):
     got = zones.keyword_hits(w, spark.createDataFrame(defs, "field string, keywords array<string>"), ["field"], False)
     assert sorted((r["word_idx"], r["field"], r["k"]) for r in got.collect()) == sorted((i, f, k) for i, t in enumerate(texts) for f, ks in defs for k, x in enumerate(ks) if x in t.lower())
     assert zones.keyword_hits(w, spark.createDataFrame([], "field string, keywords array<string>"), ["field"], False).count() == 0
+
+
+def test_dynamic_zones_of_odd_words(spark, receipts):
+    """Against the joins of J1, J3 and W5; words without a place are no boxes, an image without a size has no regions by position."""
+    w = receipts[0].withColumn("text", F.when(F.col("word_idx") % 7 == 0, "origen").otherwise(F.col("text")))
+    images = receipts[1].union(spark.createDataFrame([("p5", None, None)], receipts[1].schema))
+    nearest = zones.nearest_value(zones.nearby_values(w, zones.keyword_boxes(w, zones.field_table(spark, [(f, k) for f, k, _ in ZONES_FIXED], "field string, keywords array<string>").select("field", "keywords")), 150)).join(images, "image_id")
+    left, top = F.greatest(F.lit(0), F.col("v_left") - 5), F.greatest(F.lit(0), F.col("v_top") - 5)
+    zone = nearest.select("image_id", "field", "word_idx", "v_conf", "v_text", left.alias("l"), top.alias("t"), F.least(F.col("img_width") - left, F.col("v_width") + 10).alias("w"), F.least(F.col("img_height") - top, F.col("v_height") + 10).alias("h")).filter("w > 0 and h > 0")
+    best = zone.groupBy("image_id", "field").agg(F.min(F.struct((-F.col("v_conf")).alias("c"), "word_idx", "l", "t", "w", "h", "v_text")).alias("b")).select("image_id", "field", "b.l", "b.t", "b.w", "b.h", "b.v_text")
+    got = zones.dynamic_zones_fixed(w, images)
+    found = got.filter("method = 'value_box_direct'").select("image_id", "field", *[F.col(c).alias(n) for c, n in zip(("left", "top", "width", "height", "detected_text"), ("l", "t", "w", "h", "v_text"), strict=True)])
+    assert rows(found) == rows(best) and best.count()
+    assert got.filter("image_id = 'p4'").count() == 1 and got.filter("image_id = 'p5'").count() == 0 and got.filter("detected_text is null and method <> 'fallback_relative_position'").count() == 0
+
+
+def test_combined_phases(spark):
+    """O3: also of repeated rows and nulls, and rows that lie by image stay so."""
+    a = spark.createDataFrame([("i", "f", "1"), ("i", None, "2"), (None, "f", "3")], "image_id string, field string, value string")
+    g = spark.createDataFrame([("i", "f", "4"), ("i", "g", "5"), ("i", "g", "5"), ("i", None, "6"), (None, "f", "7")], a.schema)
+    want = a.unionByName(g.join(a.select("image_id", "field"), ["image_id", "field"], "left_anti"))
+    assert rows(extract.combine_phases(a, g)) == rows(want) and want.count() == 7
+    assert few_shuffles(registry.QUERIES["O3_combine_phases"](spark, "/root/testdata/sf0.001"))
+
+
+def test_validated_fields_make_no_row_for_each_field(spark):
+    """Nothing is joined with the fields or sorted by them."""
+    plan = registry.QUERIES["X3_validate_field"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Sort [" not in plan
