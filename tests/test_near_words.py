@@ -173,3 +173,12 @@ def test_validated_fields_make_no_row_for_each_field(spark):
     """Nothing is joined with the fields or sorted by them."""
     plan = registry.QUERIES["X3_validate_field"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "Sort [" not in plan
+
+
+def test_words_in_cells_are_not_shuffled(spark, receipts):
+    """J4 over a grid; words and zones without an image or a place meet nothing."""
+    w = receipts[0].unionByName(receipts[0].filter("word_idx = 1").withColumn("image_id", F.lit(None).cast("string")))
+    z = w.select("image_id", F.col("word_idx").cast("string").alias("field"), *[F.col(c).alias(f"z_{c}") for c in ("left", "top", "width", "height")])
+    got, want = zones.words_in_zone(w, z, 64), zones.words_in_zone(w, z)
+    assert rows(got) == rows(want.select(*got.columns)) and sorted(got.columns) == sorted(want.columns) and want.count()
+    assert few_shuffles(registry.QUERIES["J4_words_in_zone_grid"](spark, "/root/testdata/sf0.001"))
